@@ -13,7 +13,7 @@ from ..functions.text import no_strings, strings, suggestion_for
 from ..functions.values import value_hash
 from ..operators.builtin import HITS_TYPE, with_builtin_hits, with_file_signals
 from ..operators.contextual import EntitySetting, with_contextual_hits
-from ..operators.findings import has_signal, regroup_hits, with_risk
+from ..operators.findings import has_signal, with_risk
 from ..operators.merge import merge_hits, merge_matches
 from ..operators.rules import Rule, with_rule_hits
 from ..operators.store import file_id_of
