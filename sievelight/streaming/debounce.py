@@ -7,9 +7,12 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .sessions import session_ids
+
 QUIET_SECONDS = 2
 CAP_SECONDS = 20
 
@@ -106,7 +109,7 @@ def debounce(
     event_time: bool = True,
     late: str = "10 seconds",
 ) -> DataFrame:
-    """Stable files from ``changes(path, size, mtime, changed_at)``.
+    """Stable files from a stream of ``path, size, mtime, changed_at``.
 
     A path is emitted when nothing changed for ``quiet_seconds``, or ``cap_seconds`` after its
     first pending change. Event time makes results repeatable and needs a watermark (``late``);
@@ -123,3 +126,70 @@ def debounce(
         outputMode="Append",
         timeMode="EventTime" if event_time else "ProcessingTime",
     )
+
+
+def debounce_batch(
+    changes: DataFrame,
+    *,
+    quiet_seconds: int = QUIET_SECONDS,
+    cap_seconds: int = CAP_SECONDS,
+    bucket_seconds: int = 86_400,
+) -> DataFrame:
+    """The event-time result of :func:`debounce` for a table of changes.
+
+    Runs of changes without a quiet gap are found first, by key and time bucket. A run shorter
+    than the cap is one row, from a plain aggregate. Longer runs are laid out one run after the
+    other in time order and cut while they stream by, so no run is ever held in memory, and the
+    runs of a busy path go to different tasks.
+    """
+    micros = 1_000_000
+    quiet, cap = int(quiet_seconds * micros), int(cap_seconds * micros)
+    tagged = session_ids(
+        changes.select("path", "size", "mtime", "changed_at"),
+        "path", "changed_at", quiet_seconds, bucket_seconds,
+    )
+    runs = tagged.groupBy("path", "_session").agg(
+        F.max("_t").alias("last"),
+        F.max_by(F.struct("size", "mtime"), F.struct("_t", "mtime", "size")).alias("v"),
+    )
+    short = runs.filter(F.col("last") - F.col("_session") < cap).select(
+        "path", F.col("_session").alias("first"), "last", "v.size", "v.mtime"
+    )
+    long_runs = runs.filter(F.col("last") - F.col("_session") >= cap).select("path", "_session")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, entry = None, None
+        columns = ["path", "first", "last", "size", "mtime"]
+        for batch in batches:
+            done = []
+            for path, session, t, size, mtime in zip(
+                batch["path"], batch["_session"], batch["_t"], batch["size"], batch["mtime"]
+            ):
+                if run != (path, session) or t >= entry[1] + cap:
+                    if entry is not None:
+                        done.append(entry)
+                    run, entry = (path, session), (path, t, t, size, mtime)
+                else:
+                    entry = (path, entry[1], t, size, mtime)
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if entry is not None:
+            yield pd.DataFrame([entry], columns=columns)
+
+    pieces = (
+        tagged.join(long_runs, ["path", "_session"], "left_semi")
+        .repartition("path", "_session")
+        .sortWithinPartitions("path", "_session", "_t", "mtime", "size")
+        .select("path", "_session", "_t", "size", "mtime")
+        .mapInPandas(cut, "path string, first long, last long, size long, mtime long")
+    )
+    return short.unionByName(pieces).select(
+        "path",
+        F.timestamp_micros("first").alias("first_seen"),
+        F.timestamp_micros("last").alias("last_change"),
+        "size",
+        "mtime",
+        F.timestamp_micros(
+            F.least(F.col("last") + F.lit(quiet), F.col("first") + F.lit(cap))
+        ).alias("ready_at"),
+    )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def session_activity(
-    events: DataFrame, key: str, ts: str, quiet_seconds: int, *aggregates: Column, late: str = "1 hour"
+    events: DataFrame, key: str, ts: str, quiet_seconds: int, *, late: str = "1 hour",
+    **aggregates: Column,
 ) -> DataFrame:
     """Streaming sessions: ``key, session_start, session_end, n_events`` and the aggregates.
 
@@ -19,30 +20,25 @@ def session_activity(
     return (
         events.withWatermark(ts, late)
         .groupBy(F.col(key), window.alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("session_end"), *aggregates)
+        .agg(F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("session_end"), *_named(aggregates))
         .select(
             key,
             F.col("w.start").alias("session_start"),
             "session_end",
             "n_events",
-            *[c for c in _names(aggregates)],
+            *aggregates,
         )
     )
 
 
-def _names(aggregates: tuple[Column, ...]) -> list[str]:
-    return [a._jc.named().name() for a in aggregates]
+def _named(aggregates: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in aggregates.items()]
 
 
-def session_batch(
-    events: DataFrame,
-    key: str,
-    ts: str,
-    quiet_seconds: int,
-    *aggregates: Column,
-    bucket_seconds: int = 86_400,
+def session_ids(
+    events: DataFrame, key: str, ts: str, quiet_seconds: float, bucket_seconds: int = 86_400
 ) -> DataFrame:
-    """The same sessions over a table.
+    """Add ``_t`` (microseconds) and ``_session`` (start of the event's session) to a table.
 
     Events are laid out by key and time bucket, so a key that holds a large part of all events
     is worked on by many tasks. What happens at bucket borders is settled on one row per key and
@@ -67,7 +63,8 @@ def session_batch(
         .withColumn("_prev", F.coalesce(F.lag("_t").over(in_cell), F.col("_before")))
         .withColumn(
             "_starts",
-            F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= quiet_seconds * micros),
+            F.col("_prev").isNull()
+            | (F.col("_t") - F.col("_prev") >= F.lit(int(quiet_seconds * micros))),
         )
         .withColumn("_start", F.when(F.col("_starts"), F.col("_t")))
         .withColumn("_s", F.last("_start", ignorenulls=True).over(in_cell))
@@ -83,19 +80,34 @@ def session_batch(
         )
         .select(*cell, "_carry")
     )
+    return starts.join(running, cell).select(
+        *events.columns, "_t", F.coalesce("_s", "_carry").alias("_session")
+    )
+
+
+def session_batch(
+    events: DataFrame,
+    key: str,
+    ts: str,
+    quiet_seconds: float,
+    *,
+    bucket_seconds: int = 86_400,
+    **aggregates: Column,
+) -> DataFrame:
+    """The sessions of a table: ``key, session_start, session_end, n_events`` and aggregates."""
     return (
-        starts.join(running, cell)
-        .groupBy(key, F.coalesce("_s", "_carry").alias("_session"))
+        session_ids(events, key, ts, quiet_seconds, bucket_seconds)
+        .groupBy(key, "_session")
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.max("_t").alias("_end"),
-            *aggregates,
+            *_named(aggregates),
         )
         .select(
             key,
             F.timestamp_micros("_session").alias("session_start"),
             F.timestamp_micros("_end").alias("session_end"),
             "n_events",
-            *_names(aggregates),
+            *aggregates,
         )
     )
