@@ -6,9 +6,20 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import fixed
 from sievelight.functions.redaction import redact, redact_last
-from sievelight.functions.text import is_internet_url, normalize_file_stem, normalize_pua
+from sievelight.functions.text import (
+    file_name_from_path,
+    is_internet_url,
+    normalize_file_stem,
+    normalize_pua,
+    suggestion_for,
+)
 from sievelight.functions.values import normalize_value, value_hash
-from sievelight.operators.builtin import detect_builtin, detect_filename
+from sievelight.operators.builtin import (
+    detect_builtin,
+    detect_filename,
+    explode_hits,
+    with_builtin_hits,
+)
 from sievelight.operators.contextual import EntitySetting, detect_contextual, split_indicators
 from sievelight.operators.findings import summarize_long
 from sievelight.operators.rules import Rule, compile_rules, detect_rules, field_rule
@@ -33,7 +44,7 @@ MATCH_COLUMNS = ["doc_id", "category", "pos", "value", "redacted"]
 
 
 def _with_redacted(matches):
-    return matches.withColumn("redacted", redact(F.col("category"), F.col("value"))).select(
+    return matches.withColumn("redacted", F.expr(redact("category", "value"))).select(
         *MATCH_COLUMNS
     )
 
@@ -106,8 +117,6 @@ def scan_conversations(spark, sf):
         ),
         "doc_id",
     )
-    from sievelight.operators.builtin import explode_hits, with_builtin_hits
-
     found = explode_hits(with_builtin_hits(turns), ["doc_id", "role"])
     return found.groupBy("role", "category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
@@ -243,9 +252,7 @@ def profile_risk_report(spark, sf):
     corpus = scan_table_text(profiles(spark, sf), "doc_id", "text", path_col="path")
     reports = scan(corpus.withColumn("secrets_enabled", F.lit(True)), rules=PROFILE_RULES)
     flat = _flat_report(reports)
-    from sievelight.functions.text import suggestion_for
-
-    return flat.withColumn("suggestion", suggestion_for(F.col("risk_level")))
+    return flat.withColumn("suggestion", F.expr(suggestion_for("risk_level")))
 
 
 @query(
@@ -309,7 +316,7 @@ TOKEN_RULE = field_rule(["token"], "quoted_token")
 )
 def rules_field(spark, sf):
     found = detect_rules(documents(spark, sf), "text", "doc_id", [TOKEN_RULE])
-    return found.withColumn("redacted", redact_last(F.col("value")))
+    return found.withColumn("redacted", F.expr(redact_last("value")))
 
 
 def _catalog_rules(locale: str | None) -> list[Rule]:
@@ -386,6 +393,7 @@ ENTITIES = {
 }
 # lower thresholds, so that texts with few indicators give results too
 LOW = {"person": 0.6, "organization": 0.6, "location": 0.6}
+PROFILE = {"person": 0.4, "organization": 0.7, "location": 0.65}
 
 
 def _indicator_test(words, v: str) -> str:
@@ -445,7 +453,7 @@ for _entity in ("person", "organization", "location"):
     _entity_query(f"contextual_{_entity}", _entity, documents, DOCS, "docs", LOW[_entity])
     _entity_query(
         f"contextual_profile_{_entity}", _entity, profiles, PROFILES, "profiles",
-        ENTITIES[_entity].threshold,
+        PROFILE[_entity],
     )
 
 
@@ -461,11 +469,10 @@ for _entity in ("person", "organization", "location"):
 )
 def normalize_hash(spark, sf):
     found = detect_builtin(profiles(spark, sf), "text", "doc_id")
-    cat, val = F.col("category"), F.col("value")
-    return found.select(
+    return found.selectExpr(
         "doc_id", "category", "pos",
-        normalize_value(cat, val).alias("nv"),
-        value_hash("pepper", cat, val).alias("value_hash"),
+        f"{normalize_value('category', 'value')} as nv",
+        f"{value_hash('pepper', 'category', 'value')} as value_hash",
     )
 
 
@@ -478,14 +485,14 @@ def normalize_hash(spark, sf):
            translate(concat(url, chr(63723), url), chr(63723), '⎛') as glyphs from p""",
 )
 def normalize_names(spark, sf):
-    from sievelight.functions.text import file_name_from_path
-
-    glyph = F.lit("\uf8eb")
-    return table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", F.concat("url", F.lit("\uf8eb"), "url").alias("twice")
+    )
+    return pages.selectExpr(
         "page_id",
-        file_name_from_path(F.col("url")).alias("file_name"),
-        normalize_file_stem(F.col("url")).alias("stem"),
-        normalize_pua(F.concat("url", glyph, "url")).alias("glyphs"),
+        f"{file_name_from_path('url')} as file_name",
+        f"{normalize_file_stem('url')} as stem",
+        f"{normalize_pua('twice')} as glyphs",
     )
 
 
@@ -510,4 +517,4 @@ _HOSTS = (
 )
 def url_locality(spark, sf):
     pages = table(spark, sf, "pages").selectExpr("page_id", f"{_HOSTS} as u")
-    return pages.withColumn("internet", is_internet_url(F.col("u")))
+    return pages.selectExpr("*", f"{is_internet_url('u')} as internet")

@@ -12,7 +12,12 @@ from sievelight import schemas
 from sievelight.functions import fixed
 from sievelight.operators import alerts as A
 from sievelight.operators import fleet, store
-from sievelight.operators.builtin import HITS_TYPE, detect_builtin, with_builtin_hits
+from sievelight.operators.builtin import (
+    HITS_TYPE,
+    detect_builtin,
+    explode_hits,
+    with_builtin_hits,
+)
 from sievelight.operators.evaluate import case_counts, confusion, dedup_cases, evaluate_cases
 from sievelight.operators.ignore import (
     apply_ignored_values,
@@ -707,10 +712,8 @@ _TRIM_SQL = f"""with {PROFILES}, {_MATCHES_SQL},
 def reveal_trim(spark, sf):
     hits = with_builtin_hits(profiles(spark, sf).select("doc_id", "text"))
     trimmed = hits.withColumn(
-        "hits", trim_reveal_hits(F.col("hits"), _PER_CATEGORY, _PER_FILE)
+        "hits", F.expr(trim_reveal_hits("hits", _PER_CATEGORY, _PER_FILE))
     )
-    from sievelight.operators.builtin import explode_hits
-
     return explode_hits(trimmed, ["doc_id"]).select(
         "doc_id", "category", "pos", F.col("value").alias("clear")
     )
@@ -771,12 +774,11 @@ def neutralize_profiles(spark, sf):
     from profiles""",
 )
 def path_filters(spark, sf):
-    path = F.col("path")
     return route_by_extension(profiles(spark, sf).select("doc_id", "path")).select(
         "doc_id", "path",
-        is_hidden_path(path).alias("hidden"),
-        is_ignored_extension(path).alias("unfinished"),
-        is_in_watched_dirs(path, ["/data/u1", "/data/u22/"]).alias("watched"),
+        is_hidden_path("path").alias("hidden"),
+        is_ignored_extension("path").alias("unfinished"),
+        is_in_watched_dirs("path", ["/data/u1", "/data/u22/"]).alias("watched"),
         file_size_gate(F.octet_length("path"), 25).alias("too_large"),
         F.col("content_kind").alias("kind"),
         "secrets_enabled",
@@ -930,8 +932,6 @@ def zip_scan(spark, sf):
     parts = with_builtin_hits(zip_texts(expand_zip(_archives(spark, sf)))).select(
         "path", "part", "hits", F.array().cast(HITS_TYPE).alias("custom_hits")
     )
-    from sievelight.operators.builtin import explode_hits
-
     merged = merge_matches(parts, "path", "part")
     return explode_hits(merged, ["path"]).groupBy("path", "category").agg(
         F.count(F.lit(1)).alias("cnt")

@@ -1,67 +1,59 @@
-"""Masking of values, one rule per category."""
+"""Masking of values, one rule per category, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from .sql import lit
 from .validators import digits_only
 
 
-def redact_prefix(value: Column, keep: int) -> Column:
+def redact_prefix(v: str, keep: int) -> str:
     """Keep the first ``keep`` characters, mask the rest."""
-    rest = F.greatest(F.length(value) - keep, F.lit(0))
-    return F.concat(F.left(value, F.lit(keep)), F.repeat(F.lit("*"), rest))
+    return f"concat(left({v}, {keep}), repeat('*', greatest(length({v}) - {keep}, 0)))"
 
 
-def redact_last(value: Column, keep: int = 4) -> Column:
+def redact_last(v: str, keep: int = 4) -> str:
     """Keep the last ``keep`` characters; shorter values are masked whole."""
-    n = F.length(value)
-    return F.when(
-        n <= keep, F.repeat(F.lit("*"), F.greatest(n, F.lit(1)))
-    ).otherwise(F.concat(F.repeat(F.lit("*"), n - keep), F.right(value, F.lit(keep))))
+    return (
+        f"case when length({v}) <= {keep} then repeat('*', greatest(length({v}), 1)) "
+        f"else concat(repeat('*', length({v}) - {keep}), right({v}, {keep})) end"
+    )
 
 
-def redact_phone(value: Column) -> Column:
+def redact_phone(v: str) -> str:
     """Keep the first two and last two digits and all punctuation."""
-    shape = r"(?s)^([^0-9]*[0-9][^0-9]*[0-9])(.*)([0-9][^0-9]*[0-9][^0-9]*)$"
-    masked_all = F.regexp_replace(value, "[0-9]", "*")
-    middle = F.regexp_replace(F.regexp_extract(value, shape, 2), "[0-9]", "*")
-    return F.when(F.length(digits_only(value)) <= 4, masked_all).otherwise(
-        F.concat(F.regexp_extract(value, shape, 1), middle, F.regexp_extract(value, shape, 3))
+    shape = lit(r"(?s)^([^0-9]*[0-9][^0-9]*[0-9])(.*)([0-9][^0-9]*[0-9][^0-9]*)$")
+    part = lambda g: f"regexp_extract({v}, {shape}, {g})"
+    return (
+        f"case when length({digits_only(v)}) <= 4 then regexp_replace({v}, '[0-9]', '*') "
+        f"else concat({part(1)}, regexp_replace({part(2)}, '[0-9]', '*'), {part(3)}) end"
     )
 
 
-def redact_email(value: Column) -> Column:
+def redact_email(v: str) -> str:
     """Three characters of the local part, then the domain."""
-    parts = F.split(value, "@")
-    return F.when(
-        F.size(parts) == 2,
-        F.concat(F.left(parts[0], F.lit(3)), F.lit("***@"), F.try_element_at(parts, F.lit(2))),
-    ).otherwise(redact_prefix(value, 6))
+    return (
+        f"case when size(split({v}, '@')) = 2 then "
+        f"concat(left(split_part({v}, '@', 1), 3), '***@', split_part({v}, '@', 2)) "
+        f"else {redact_prefix(v, 6)} end"
+    )
 
 
-def redact_iban(value: Column) -> Column:
-    clean = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
-    n = F.length(clean)
-    return F.when(n < 8, redact_prefix(clean, 4)).otherwise(
-        F.concat(
-            F.left(clean, F.lit(4)), F.repeat(F.lit("*"), n - 7), F.right(clean, F.lit(3))
-        )
+def redact_iban(v: str) -> str:
+    clean = f"upper(regexp_replace({v}, '[^A-Za-z0-9]', ''))"
+    return (
+        f"case when length({clean}) < 8 then {redact_prefix(clean, 4)} else "
+        f"concat(left({clean}, 4), repeat('*', length({clean}) - 7), right({clean}, 3)) end"
     )
 
 
-def redact(category: Column, value: Column) -> Column:
-    """Redacted form of ``value``; rule names and unknown categories keep the last four."""
+def redact(category: str, v: str) -> str:
+    """Redacted form of ``v``; rule names and unknown categories keep the last four."""
     return (
-        F.when(category == "email", redact_email(value))
-        .when(category == "phone", redact_phone(value))
-        .when(category == "iban", redact_iban(value))
-        .when(category == "ip_address", redact_prefix(value, 7))
-        .when(category == "address", redact_prefix(value, 10))
-        .when(category == "postal_code", redact_prefix(value, 2))
-        .when(category == "date_of_birth", redact_prefix(value, 4))
-        .when(category == "file_name_signal", redact_prefix(value, 12))
-        .when(category == "weak_archive_encryption", value)
-        .otherwise(redact_last(value, 4))
+        f"case {category} when 'email' then {redact_email(v)} "
+        f"when 'phone' then {redact_phone(v)} when 'iban' then {redact_iban(v)} "
+        f"when 'ip_address' then {redact_prefix(v, 7)} when 'address' then {redact_prefix(v, 10)} "
+        f"when 'postal_code' then {redact_prefix(v, 2)} "
+        f"when 'date_of_birth' then {redact_prefix(v, 4)} "
+        f"when 'file_name_signal' then {redact_prefix(v, 12)} "
+        f"when 'weak_archive_encryption' then {v} else {redact_last(v)} end"
     )

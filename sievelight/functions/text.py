@@ -1,138 +1,72 @@
-"""Small text helpers shared by the detectors."""
+"""Text helpers as SQL expressions over expressions of paths, URLs, texts and levels."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import fixed
+from .sql import array, in_list, lit
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def strings(values: list[str]) -> Column:
-    """Literal ``array<string>``; empty lists keep their type."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
-def no_strings() -> Column:
-    return strings([])
-
-
-def any_of(values: list[str], test: Callable[[str], Column]) -> Column:
-    """OR over a fixed list of literals."""
-    out = F.lit(False)
-    for v in values:
-        out = out | test(v)
-    return out
-
-
-def strip(value: Column) -> Column:
-    """Trim Unicode white space on both sides."""
-    return F.btrim(value, F.lit(fixed.WHITE_SPACE))
-
-
-def find_all(text: Column, pattern: str, group: int = 0, unicode: bool = False) -> Column:
-    """All non-overlapping matches as ``array<string>``, empty when the text is null."""
-    p = ("(?U)" if unicode else "") + pattern
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(group))
-    return F.coalesce(hits, no_strings())
-
-
-def keep_first(values: Column, cap: int | None) -> Column:
-    return values if cap is None else F.slice(values, 1, cap)
-
-
-def key_values(text: Column, pattern: str, unicode: bool = False) -> Column:
-    """``array<struct<key,value>>`` of key/separator/value hits, found in one pass.
-
-    Keys never hold a separator, so each hit splits at its first one.
-    """
-    split_re = r"(?s)^(.+?)\s*(?:[:=]|->)\s*(.*)$"
-    return F.transform(
-        find_all(text, pattern, 0, unicode),
-        lambda m: F.struct(
-            F.regexp_extract(m, split_re, 1).alias("key"),
-            F.regexp_extract(m, split_re, 2).alias("value"),
-        ),
-    )
-
-
-def file_name(path: Column) -> Column:
+def file_name(path: str) -> str:
     """Last path component ('/' separated)."""
-    name = F.regexp_extract(path, r"([^/]+)/*$", 1)
-    return F.when(name == "", path).otherwise(name)
+    return f"coalesce(nullif(regexp_extract({path}, '([^/]+)/*$', 1), ''), {path})"
 
 
-def file_name_from_path(path: Column) -> Column:
+def file_name_from_path(path: str) -> str:
     """Part after the last '/' or '\\', whatever system wrote the path."""
-    return F.regexp_extract(path, r"[^/\\]*$", 0)
+    return f"regexp_extract({path}, {lit(r'[^/\\]*$')}, 0)"
 
 
-def file_stem(path: Column) -> Column:
-    return F.regexp_replace(file_name(path), r"(?s)^(.+)\.[^.]*$", "$1")
+def file_stem(path: str) -> str:
+    return f"regexp_replace({file_name(path)}, {lit(r'(?s)^(.+)\.[^.]*$')}, '$1')"
 
 
-def file_extension(path: Column) -> Column:
+def file_extension(path: str) -> str:
     """Lower-case extension, empty for dot files and names without one."""
-    return F.lower(F.regexp_extract(file_name(path), r"(?s)^.+\.([^.]*)$", 1))
+    return f"lower(regexp_extract({file_name(path)}, {lit(r'(?s)^.+\.([^.]*)$')}, 1))"
 
 
-def normalize_file_stem(path: Column) -> Column:
-    return F.regexp_replace(F.lower(file_stem(path)), "[^a-z0-9]", " ")
+def normalize_file_stem(path: str) -> str:
+    return f"regexp_replace(lower({file_stem(path)}), '[^a-z0-9]', ' ')"
 
 
-def normalize_pua(text: Column) -> Column:
-    return F.translate(text, fixed.PUA_FROM, fixed.PUA_TO)
+def normalize_pua(text: str) -> str:
+    return f"translate({text}, {lit(fixed.PUA_FROM)}, {lit(fixed.PUA_TO)})"
 
 
-def suggestion_for(level: Column) -> Column:
+def suggestion_for(level: str) -> str:
     return (
-        F.when(level.isin("critical", "high"), fixed.SUGGESTION_HIGH)
-        .when(level == "medium", fixed.SUGGESTION_MEDIUM)
-        .otherwise(fixed.SUGGESTION_LOW)
+        f"case when {level} in ('critical', 'high') then {lit(fixed.SUGGESTION_HIGH)} "
+        f"when {level} = 'medium' then {lit(fixed.SUGGESTION_MEDIUM)} "
+        f"else {lit(fixed.SUGGESTION_LOW)} end"
     )
 
 
-def risk_rank(level: Column) -> Column:
+def risk_rank(level: str) -> str:
     """0..3 for low..critical, null for anything else."""
-    return (
-        F.when(level == "low", 0)
-        .when(level == "medium", 1)
-        .when(level == "high", 2)
-        .when(level == "critical", 3)
-    )
+    arms = " ".join(f"when {lit(n)} then {i}" for i, n in enumerate(fixed.RISK_LEVELS))
+    return f"(case {level} {arms} end)"
 
 
-def risk_name(rank: Column) -> Column:
-    return F.element_at(strings(fixed.RISK_LEVELS), rank.cast("int") + 1)
+def risk_name(rank: str) -> str:
+    return f"element_at({array(fixed.RISK_LEVELS)}, {rank} + 1)"
 
 
-def category_ord(category: Column) -> Column:
-    """Position of a built-in category in the fixed order (1-based, 0 if not built in)."""
-    return F.array_position(strings(fixed.CATEGORIES), category).cast("int")
+def is_builtin(category: str) -> str:
+    return in_list(category, fixed.CATEGORIES)
 
 
-def is_internet_url(url: Column) -> Column:
+def is_internet_url(url: str) -> str:
     """True/false for http(s) URLs outside/inside the local network, null for other input."""
-    scheme = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(
-        F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    )
+    scheme = f"lower(regexp_extract({url}, {lit(r'^\s*([A-Za-z][A-Za-z0-9+.-]*)://')}, 1))"
+    host_at = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+    host = f"lower(regexp_extract({url}, {lit(host_at)}, 1))"
     v4 = r"^(?:\d{1,3}\.){3}\d{1,3}$"
     local_v4 = r"^(?:10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|0\.0\.0\.0$)"
-    local_v6 = r"^\[(?:::1?|0*(?::0*){6}:0*1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$"
-    return F.when(
-        scheme.isin("http", "https") & (host != ""),
-        ~(
-            (host == "localhost")
-            | host.endswith(".local")
-            | (host.rlike(v4) & host.rlike(local_v4))
-            | host.rlike(local_v6)
-        ),
+    local_v6 = (
+        r"^\[(?:::1?|0*(?::0*){6}:0*1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$"
+    )
+    return (
+        f"case when {scheme} in ('http', 'https') and {host} <> '' then not ({host} = 'localhost' "
+        f"or endswith({host}, '.local') or ({host} rlike {lit(v4)} and {host} rlike {lit(local_v4)}) "
+        f"or {host} rlike {lit(local_v6)}) end"
     )

@@ -1,158 +1,156 @@
-"""Acceptance tests applied to candidate values. All are native Column expressions."""
+"""Acceptance tests for candidate values, as SQL expressions over an expression ``v``."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import fixed
-from .text import any_of, let, strip
+from .sql import any_of, contains_any, find_all, fold, in_list, let, lit
 
 # a digit string with at least four different digits
 _FOUR_DISTINCT = r"^(\d)\d*?(?!\1)(\d)\d*?(?!\1|\2)(\d)\d*?(?!\1|\2|\3)\d"
 
 
-def digits_only(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def strip(v: str) -> str:
+    """Trim Unicode white space on both sides."""
+    return f"btrim({v}, {lit(fixed.WHITE_SPACE)})"
+
+
+def digits_only(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
 
 
-def distinct_digit_count(value: Column) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(value, F.lit("[0-9]"), F.lit(0))))
+def distinct_digit_count(v: str) -> str:
+    return f"size(array_distinct(regexp_extract_all({v}, '[0-9]', 0)))"
 
 
-def has_long_run(value: Column, n: int) -> Column:
+def has_long_run(v: str, n: int) -> str:
     """Same character at least ``n`` times in a row."""
-    return value.rlike(rf"(?s)(.)\1{{{n - 1}}}")
+    return f"{v} rlike {lit(rf'(?s)(.)\1{{{n - 1}}}')}"
 
 
-def is_sequential_number(digits: Column) -> Column:
+def is_sequential_number(v: str) -> str:
     """At least six digits, each one up (or each one down) from the one before."""
-    return (F.length(digits) >= 6) & (
-        F.contains(F.lit("0123456789"), digits) | F.contains(F.lit("9876543210"), digits)
-    )
+    return f"(length({v}) >= 6 and (contains('0123456789', {v}) or contains('9876543210', {v})))"
 
 
-def plausible_digits(digits: Column) -> Column:
-    return digits.rlike(_FOUR_DISTINCT) & ~has_long_run(digits, 6) & ~is_sequential_number(digits)
+def plausible_digits(v: str) -> str:
+    return (
+        f"({v} rlike {lit(_FOUR_DISTINCT)} and not ({has_long_run(v, 6)}) "
+        f"and not {is_sequential_number(v)})"
+    )
 
 
-def phone_ok(value: Column, phone_locale: str = "other") -> Column:
+def phone_ok(v: str, phone_locale: str = "other") -> str:
     """Phone acceptance; ``phone_locale`` is one of fr, es, de, other."""
     local = {"fr": fixed.PHONE_FR, "es": fixed.PHONE_ES}.get(phone_locale, fixed.PHONE_OTHER)
-    return let(
-        strip(value),
-        lambda v: ~F.contains(v, F.lit("/"))
-        & plausible_digits(digits_only(v))
-        & (
-            v.rlike(fixed.PHONE_E164)
-            | (F.length(digits_only(v)).between(8, 12) & v.rlike(local))
-        ),
-    )
+
+    def accept(s: str) -> str:
+        digits = let(
+            digits_only(s),
+            lambda d: f"({plausible_digits(d)} and ({s} rlike {lit(fixed.PHONE_E164)} "
+            f"or (length({d}) between 8 and 12 and {s} rlike {lit(local)})))",
+        )
+        return f"(not contains({s}, '/') and {digits})"
+
+    return let(strip(v), accept)
 
 
-def card_network_ok(digits: Column) -> Column:
+def card_network_ok(v: str) -> str:
     """Known issuer prefix and length, on top of plausible digits."""
-    n = F.length(digits)
-    p2 = F.substring(digits, 1, 2).try_cast("int")
-    p3 = F.substring(digits, 1, 3).try_cast("int")
-    p4 = F.substring(digits, 1, 4).try_cast("int")
-    network = (
-        (digits.startswith("4") & n.isin(13, 16, 19))
-        | ((n == 16) & (p2.between(51, 55) | p4.between(2221, 2720) | p4.between(3528, 3589)))
-        | ((n == 15) & p2.isin(34, 37))
-        | (n.isin(16, 19) & ((p4 == 6011) | (p2 == 65) | p3.between(644, 649)))
-        | ((n == 14) & (p3.between(300, 305) | p2.isin(36, 38, 39)))
+    n = f"length({v})"
+    head = lambda k: f"try_cast(left({v}, {k}) as int)"
+    return (
+        f"({plausible_digits(v)} and ("
+        f"(startswith({v}, '4') and {n} in (13, 16, 19))"
+        f" or ({n} = 16 and ({head(2)} between 51 and 55 or {head(4)} between 2221 and 2720"
+        f" or {head(4)} between 3528 and 3589))"
+        f" or ({n} = 15 and {head(2)} in (34, 37))"
+        f" or ({n} in (16, 19) and ({head(4)} = 6011 or {head(2)} = 65"
+        f" or {head(3)} between 644 and 649))"
+        f" or ({n} = 14 and ({head(3)} between 300 and 305 or {head(2)} in (36, 38, 39)))))"
     )
-    return plausible_digits(digits) & network
 
 
-def card_ok(digits: Column) -> Column:
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits) & card_network_ok(digits)
+def card_ok(v: str) -> str:
+    return f"(length({v}) between 13 and 19 and luhn_check({v}) and {card_network_ok(v)})"
 
 
-def iban_ok(value: Column) -> Column:
+def iban_ok(v: str) -> str:
     """15-34 letters/digits whose rearranged number leaves 1 modulo 97."""
 
-    def mod97(s: Column) -> Column:
-        moved = F.concat(F.substring(s, 5, 34), F.substring(s, 1, 4))
-        chars = F.regexp_extract_all(moved, F.lit("."), F.lit(0))
-        return F.aggregate(
+    def mod97(s: str) -> str:
+        chars = find_all(f"concat(substr({s}, 5), left({s}, 4))", ".")
+        return fold(
             chars,
-            F.lit(0),
-            lambda m, c: F.when(c.rlike("[0-9]"), (m * 10 + F.ascii(c) - 48) % 97).otherwise(
-                (m * 100 + F.ascii(c) - 55) % 97
-            ),
+            "0",
+            lambda m, c: f"case when {c} between '0' and '9' then ({m} * 10 + ascii({c}) - 48) % 97 "
+            f"else ({m} * 100 + ascii({c}) - 55) % 97 end",
         )
 
     return let(
-        F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", "")),
-        lambda s: F.length(s).between(15, 34) & (mod97(s) == 1),
+        f"upper(regexp_replace({v}, '[^A-Za-z0-9]', ''))",
+        lambda s: f"(length({s}) between 15 and 34 and {mod97(s)} = 1)",
     )
 
 
-def looks_like_secret_value(value: Column) -> Column:
+def looks_like_secret_value(v: str) -> str:
     return let(
-        strip(value),
-        lambda v: (F.octet_length(v) >= 10)
-        & ~v.rlike("^[0-9]+$")
-        & ~has_long_run(v, 8)
-        & (
-            (F.octet_length(v) >= 24)
-            | (v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9_-]"))
-        ),
+        strip(v),
+        lambda s: f"(octet_length({s}) >= 10 and not ({s} rlike '^[0-9]+$') "
+        f"and not ({has_long_run(s, 8)}) and (octet_length({s}) >= 24 or "
+        f"({s} rlike '[A-Z]' and {s} rlike '[a-z]' and {s} rlike '[0-9_-]')))",
     )
 
 
-def looks_like_secret_key(key: Column) -> Column:
-    return F.translate(F.lower(key), "_-", "").isin(*fixed.SECRET_KEY_NAMES)
+def looks_like_secret_key(key: str) -> str:
+    return f"({in_list(f'''translate(lower({key}), '_-', '')''', fixed.SECRET_KEY_NAMES)})"
 
 
-def calendar_text(text: Column) -> Column:
-    return F.contains(text, F.lit("BEGIN:VCALENDAR")) | F.contains(text, F.lit("BEGIN:VEVENT"))
+def calendar_text(text: str) -> str:
+    return contains_any(text, ["BEGIN:VCALENDAR", "BEGIN:VEVENT"])
 
 
-def calendar_noise(value: Column, in_calendar: Column) -> Column:
-    return in_calendar & (F.octet_length(value) < 24)
+def calendar_noise(v: str, text: str) -> str:
+    return f"(octet_length({v}) < 24 and {calendar_text(text)})"
 
 
-def address_value_ok(value: Column) -> Column:
+def address_value_ok(v: str) -> str:
     words = "|".join(fixed.STREET_WORDS)
     return let(
-        F.lower(strip(value)),
-        lambda v: (F.octet_length(v) >= 8)
-        & F.concat(F.lit(" "), v, F.lit(" ")).rlike(f" (?:{words}) ")
-        & v.rlike("[0-9]"),
+        f"lower({strip(v)})",
+        lambda s: f"(octet_length({s}) >= 8 and concat(' ', {s}, ' ') rlike {lit(f' (?:{words}) ')} "
+        f"and {s} rlike '[0-9]')",
     )
 
 
-def is_example_email(value: Column) -> Column:
+def is_example_email(v: str) -> str:
     return let(
-        F.lower(value), lambda v: any_of(fixed.EXAMPLE_MAIL_ENDINGS, lambda e: v.endswith(e))
+        f"lower({v})",
+        lambda s: any_of(f"endswith({s}, {lit(e)})" for e in fixed.EXAMPLE_MAIL_ENDINGS),
     )
 
 
-def is_local_ip(ip: Column) -> Column:
-    return ip.rlike(r"^(?:127|10|172\.(?:1[6-9]|2\d|3[01])|192\.168|169\.254)\.")
+def is_local_ip(v: str) -> str:
+    p = r"^(?:127|10|172\.(?:1[6-9]|2\d|3[01])|192\.168|169\.254)\."
+    return f"({v} rlike {lit(p)})"
 
 
-def is_section_number_like(ip: Column) -> Column:
+def is_section_number_like(v: str) -> str:
     """All four octets are 31 or less."""
     low = r"(?:[0-2]?\d|3[01])"
-    return ip.rlike(rf"^{low}(?:\.{low}){{3}}$")
+    return f"({v} rlike {lit(rf'^{low}(?:\.{low}){{3}}$')})"
 
 
-def looks_like_svg(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(re.escape(m) for m in fixed.SVG_MARKS))
+def looks_like_svg(text: str) -> str:
+    p = "(?i)" + "|".join(re.escape(m) for m in fixed.SVG_MARKS)
+    return f"({text} rlike {lit(p)})"
 
 
-def looks_like_hash(value: Column) -> Column:
+def looks_like_hash(v: str) -> str:
     return let(
-        strip(value),
-        lambda v: v.rlike("^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$")
-        | (
-            v.rlike("^[A-Za-z0-9_+/=-]{22,}$")
-            & (F.length(digits_only(v)) * 3 < F.octet_length(v))
-        ),
+        strip(v),
+        lambda s: f"({s} rlike '^(?:[0-9A-Fa-f]{{32}}|[0-9A-Fa-f]{{40}}|[0-9A-Fa-f]{{64}})$' "
+        f"or ({s} rlike '^[A-Za-z0-9_+/=-]{{22,}}$' "
+        f"and length({digits_only(s)}) * 3 < octet_length({s})))",
     )

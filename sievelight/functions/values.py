@@ -1,25 +1,20 @@
-"""Normalised, salted value hashes for the ignore list."""
+"""Normalised, salted value hashes for the ignore list, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import let, lit
+from .validators import strip
 
-from .text import strip
 
-
-def normalize_value(category: Column, value: Column) -> Column:
-    v = strip(value)
-    return (
-        F.when(category == "email", F.lower(v))
-        .when(category == "iban", F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", "")))
-        .when(category == "phone", F.regexp_replace(v, "[^0-9]", ""))
-        .otherwise(v)
+def normalize_value(category: str, value: str) -> str:
+    return let(
+        strip(value),
+        lambda v: f"case {category} when 'email' then lower({v}) "
+        f"when 'iban' then upper(regexp_replace({v}, '[^A-Za-z0-9]', '')) "
+        f"when 'phone' then regexp_replace({v}, '[^0-9]', '') else {v} end",
     )
 
 
-def value_hash(salt: str, category: Column, value: Column) -> Column:
+def value_hash(salt: str, category: str, value: str) -> str:
     """SHA-256 of salt, newline and normalised value."""
-    return F.sha2(
-        F.concat(F.lit(salt), F.lit("\n"), normalize_value(category, value)), 256
-    )
+    return f"sha2(concat({lit(salt)}, '\\n', {normalize_value(category, value)}), 256)"

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import no_strings, risk_rank, strings
+from ..functions.sql import NO_STRINGS, array
+from ..functions.text import risk_rank
 from .findings import has_signal
 from .store import files_with_latest_scan
 
@@ -58,7 +59,7 @@ def summarize_types(findings: Column, custom_findings: Column, weak_zip: Column)
     label = lambda f: F.concat(f.category, F.lit(" ("), f["count"].cast("string"), F.lit(")"))
     shown = F.filter(_counted(findings), lambda f: f.category != "file_name_signal")
     parts = F.concat(
-        F.when(weak_zip, strings([WEAK])).otherwise(no_strings()),
+        F.when(weak_zip, F.array(F.lit(WEAK))).otherwise(F.expr(NO_STRINGS)),
         F.transform(F.slice(shown, 1, 4), label),
         F.transform(F.slice(_counted(custom_findings), 1, 3), label),
     )
@@ -81,7 +82,7 @@ def local_items(alerts: DataFrame) -> DataFrame:
         alert_types(F.col("findings"), F.col("custom_findings")), lambda t: t != WEAK
     )
     types = F.concat(
-        plain, F.when(F.col("weak_zip_encryption"), strings([WEAK])).otherwise(no_strings())
+        plain, F.when(F.col("weak_zip_encryption"), F.array(F.lit(WEAK))).otherwise(F.expr(NO_STRINGS))
     )
     return alerts.select(
         F.lit("local").alias("kind"),
@@ -144,14 +145,14 @@ def visible_alerts(
     if risks:
         items = items.filter(F.col("risk_level").isin(*risks))
     if types:
-        items = items.filter(F.arrays_overlap("types", strings(list(types))))
+        items = items.filter(F.arrays_overlap("types", F.expr(array(types))))
     if remote is not None and device != "all":
         items = items.filter(
             F.col("kind") == "local"
             if device == "local"
             else (F.col("kind") == "server") & (F.col("device_id") == device)
         )
-    rank, recent = risk_rank(F.col("risk_level")), F.col("alert_time").desc()
+    rank, recent = F.expr(risk_rank("risk_level")), F.col("alert_time").desc()
     order = {
         "risk_desc": [rank.desc(), recent],
         "risk_asc": [rank.asc(), recent],

@@ -1,300 +1,310 @@
 """Built-in detectors over a text column.
 
-Every detector is a Column expression ``text -> array<string>`` of accepted values in the order
-they are found, so a whole scan stays one narrow projection: no shuffle, no Python worker.
+Every detector is a SQL expression ``text -> array<string>`` of accepted values in the order
+they are found, so a whole scan stays a narrow projection: no shuffle, no Python worker.
+``low`` is an expression of the text in lower case; keyword patterns run only on texts that
+mention one of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import validators as V
-from ..functions.text import (
-    file_extension,
+from ..functions.sql import (
+    NO_STRINGS,
+    array,
+    contains_any,
+    each,
+    each_at,
     find_all,
-    keep_first,
-    key_values,
+    first_n,
+    fold,
+    guarded,
+    keep,
     let,
-    no_strings,
-    normalize_file_stem,
-    strings,
-    strip,
+    lit,
+    some,
+    struct,
+    zipped,
 )
+from ..functions.text import file_extension, normalize_file_stem
 from ..plans.session import pin
 
 HITS_TYPE = "array<struct<category:string,vals:array<string>>>"
+PAIRS_TYPE = "array<struct<key:string,value:string>>"
+EMPTY_HITS = f"cast(array() as {HITS_TYPE})"
 
+# words without which a keyword pattern cannot match (in lower case)
+_SECRET_WORDS = ["key", "token", "secret", "pass", "pwd"]
+_ADDRESS_WORDS = ["addr", "adresse", "direccion", "anschrift", "street", "rue", "calle", "stra", "عنوان"]
+_POSTAL_WORDS = ["postal", "postcode", "zip", "plz", "الرمز"]
+_BIRTH_WORDS = ["naissance", "dob", "birth", "geburtsdatum", "nacimiento", "الميلاد"]
 
-def _guarded(guard: Column, found: Column) -> Column:
-    """Skip a pattern when a cheap test shows that it cannot match."""
-    return F.when(guard, found).otherwise(no_strings())
+# a digit ahead is checked before the costlier word boundary
+_IPV4 = r"(?=\d)" + fixed.IPV4
 
 
-def _has(text: Column, *parts: str) -> Column:
-    out = F.contains(text, F.lit(parts[0]))
-    for p in parts[1:]:
-        out = out | F.contains(text, F.lit(p))
-    return out
+def _has_separator(text: str) -> str:
+    return contains_any(text, [":", "=", "->"])
 
 
-def _mentions(text: Column, words: list[str], unicode: bool) -> Column:
-    """Cheap necessary test for a keyword pattern.
+def key_values(text: str, pattern: str, unicode: bool = False) -> str:
+    """``array<struct<key,value>>`` of key/separator/value hits, found in one pass.
 
-    Under Unicode case folding letters outside ASCII can stand for ASCII ones, so the test is
-    left out there.
+    Keys never hold a separator, so each hit splits at its first one.
     """
-    return F.lit(True) if unicode else _has(F.lower(text), *words)
+    split_at = lit(r"(?s)^(.+?)\s*(?:[:=]|->)\s*(.*)$")
+    return each(
+        find_all(text, pattern, 0, unicode),
+        lambda m: struct(
+            key=f"regexp_extract({m}, {split_at}, 1)", value=f"regexp_extract({m}, {split_at}, 2)"
+        ),
+    )
 
 
-def emails(text: Column, unicode: bool = False) -> Column:
-    return _guarded(
-        _has(text, "@"),
-        F.filter(find_all(text, fixed.EMAIL, 0, unicode), lambda v: ~V.is_example_email(v)),
+def emails(text: str, unicode: bool = False) -> str:
+    return guarded(
+        f"contains({text}, '@')",
+        keep(find_all(text, fixed.EMAIL, 0, unicode), lambda v: f"not {V.is_example_email(v)}"),
     )
 
 
 _NETWORK_WORD = r"(?<![a-z0-9])(?:" + "|".join(fixed.NETWORK_WORDS) + r")(?![a-z0-9])"
 
 
-def _network_context(text: Column, ips: Column, unicode: bool) -> Column:
+def _network_context(text: str, ips: str, unicode: bool) -> str:
     """For each address: is a network word within 64 bytes before or after it?
 
     The text between the addresses is cut down to its two edges, then each window is put
     together from the ten neighbours on either side, which always hold 64 bytes or reach the
     end of the text. The work is linear in the number of addresses.
     """
-    p = ("(?U)" if unicode else "") + fixed.IPV4
-    edges = F.transform(
-        F.split(text, p, -1),
-        lambda g: F.when(
-            F.length(g) > 128, F.concat(F.left(g, F.lit(64)), F.right(g, F.lit(64)))
-        ).otherwise(g),
+    p = ("(?U)" if unicode else "") + _IPV4
+    edges = each(
+        f"split({text}, {lit(p)}, -1)",
+        lambda g: f"case when length({g}) > 128 then concat(left({g}, 64), right({g}, 64)) else {g} end",
     )
 
-    def near(pieces: Column, i: Column) -> Column:
+    def near(pieces: str, i: str) -> str:
         # address i is element 2i+2 (1-based), with its gaps at 2i+1 and 2i+3
-        first = F.greatest(i * 2 + 1 - 20, F.lit(1))
-        before = F.array_join(F.slice(pieces, first, i * 2 + 2 - first), "")
-        after = F.array_join(F.slice(pieces, i * 2 + 3, 21), "")
-        window = F.concat(
-            F.substring(before.cast("binary"), -64, 64),
-            F.lit(" ").cast("binary"),
-            F.substring(after.cast("binary"), 1, 64),
+        first = f"greatest({i} * 2 - 19, 1)"
+        before = f"array_join(slice({pieces}, {first}, {i} * 2 + 2 - {first}), '')"
+        after = f"array_join(slice({pieces}, {i} * 2 + 3, 21), '')"
+        window = (
+            f"concat(substring(cast({before} as binary), -64, 64), cast(' ' as binary), "
+            f"substring(cast({after} as binary), 1, 64))"
         )
-        return F.lower(F.make_valid_utf8(window.cast("string"))).rlike(_NETWORK_WORD)
+        return f"lower(make_valid_utf8(cast({window} as string))) rlike {lit(_NETWORK_WORD)}"
 
     return let(
-        F.flatten(
-            F.zip_with(edges, ips, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))
-        ),
-        lambda pieces: F.transform(ips, lambda _, i: near(pieces, i)),
+        f"flatten({zipped(edges, ips, lambda g, m: f'''array({g}, coalesce({m}, ''))''')})",
+        lambda pieces: each_at(ips, lambda _, i: near(pieces, i)),
     )
 
 
-def public_ips(text: Column, unicode: bool = False) -> Column:
+def public_ips(text: str, unicode: bool = False) -> str:
     """Public IPv4 addresses; look-alikes (section numbers, SVG paths) need a network word."""
 
-    def accept(found: Column) -> Column:
+    def accept(found: str) -> str:
         svg = V.looks_like_svg(text)
-        needs_context = F.exists(
-            found, lambda v: ~V.is_local_ip(v) & V.is_section_number_like(v)
+        unclear = some(
+            found, lambda v: f"not {V.is_local_ip(v)} and {V.is_section_number_like(v)}"
         )
-        judged = F.zip_with(
-            found,
-            _network_context(text, found, unicode),
-            lambda ip, near: F.struct(ip.alias("ip"), near.alias("near")),
+        judged = zipped(
+            found, _network_context(text, found, unicode), lambda ip, near: struct(ip=ip, near=near)
         )
-        with_context = F.transform(
-            F.filter(
+        in_context = each(
+            keep(
                 judged,
-                lambda x: ~V.is_local_ip(x.ip)
-                & (x.near | (~V.is_section_number_like(x.ip) & ~svg)),
+                lambda x: f"not {V.is_local_ip(f'{x}.ip')} and ({x}.near or "
+                f"(not {V.is_section_number_like(f'{x}.ip')} and not {svg}))",
             ),
-            lambda x: x.ip,
+            lambda x: f"{x}.ip",
         )
-        plain = F.filter(found, lambda v: ~V.is_local_ip(v))
+        plain = keep(found, lambda v: f"not {V.is_local_ip(v)}")
         return (
-            F.when(F.size(found) == 0, no_strings())
-            .when(needs_context | svg, with_context)
-            .otherwise(plain)
+            f"case when size({found}) = 0 then {NO_STRINGS} "
+            f"when {unclear} or {svg} then {in_context} else {plain} end"
         )
 
-    return let(find_all(text, fixed.IPV4, 0, unicode), accept)
+    return let(find_all(text, _IPV4, 0, unicode), accept)
 
 
-def ibans(text: Column, unicode: bool = False) -> Column:
-    return F.filter(find_all(text, fixed.IBAN, 0, unicode), V.iban_ok)
+def ibans(text: str, unicode: bool = False) -> str:
+    return keep(find_all(text, fixed.IBAN, 0, unicode), V.iban_ok)
 
 
-def phones(text: Column, phone_locale: str = "other", unicode: bool = False) -> Column:
-    return F.filter(
+def phones(text: str, phone_locale: str = "other", unicode: bool = False) -> str:
+    return keep(
         find_all(text, fixed.PHONE, 0, unicode), lambda v: V.phone_ok(v, phone_locale)
     )
 
 
-def cards(text: Column, unicode: bool = False) -> Column:
+def cards(text: str, unicode: bool = False) -> str:
     """Payment cards, as digits only."""
-    return F.filter(
-        F.transform(find_all(text, fixed.CARD, 0, unicode), V.digits_only), V.card_ok
-    )
+    return keep(each(find_all(text, fixed.CARD, 0, unicode), V.digits_only), V.card_ok)
 
 
-def id_pairs(text: Column, unicode: bool = False) -> Column:
+def id_pairs(text: str, unicode: bool = False) -> str:
     """Identifier and cookie key-values as ``array<struct<key,value>>``, keys lower-case."""
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.when(
-        _has(text, ":", "=", "->"),
-        F.transform(
-            key_values(text, fixed.ID_KV, unicode),
-            lambda kv: F.struct(F.lower(kv.key).alias("key"), kv.value.alias("value")),
-        ),
-    ).otherwise(empty)
+    pairs = each(
+        key_values(text, fixed.ID_KV, unicode),
+        lambda kv: struct(key=f"lower({kv}.key)", value=f"{kv}.value"),
+    )
+    return guarded(_has_separator(text), pairs, f"cast(array() as {PAIRS_TYPE})")
 
 
-def cookies(pairs: Column) -> Column:
-    return F.transform(
-        F.filter(pairs, lambda kv: kv.key.rlike(fixed.COOKIE_KEY)), lambda kv: kv.value
-    )
+def _is_cookie(kv: str) -> str:
+    return f"{kv}.key rlike {lit(fixed.COOKIE_KEY)}"
 
 
-def device_guids(text: Column, unicode: bool = False) -> Column:
+def cookies(pairs: str) -> str:
+    return each(keep(pairs, _is_cookie), lambda kv: f"{kv}.value")
+
+
+def device_guids(text: str, unicode: bool = False) -> str:
     """GUIDs, only in texts that mention a device identifier."""
-    u = "(?U)" if unicode else ""
-    return _guarded(
-        _has(text, "-") & text.rlike(u + fixed.DEVICE_HINT),
-        F.slice(find_all(text, fixed.GUID, 0, unicode), 1, fixed.GUIDS_PER_TEXT),
+    hint = ("(?U)" if unicode else "") + fixed.DEVICE_HINT
+    found = let(
+        f"slice({find_all(text, fixed.GUID, 0, unicode)}, 1, {fixed.GUIDS_PER_TEXT})",
+        lambda g: guarded(f"size({g}) > 0 and {text} rlike {lit(hint)}", g),
     )
+    return guarded(f"contains({text}, '-')", found)
 
 
-def user_ids(pairs: Column, text: Column, unicode: bool = False) -> Column:
-    return F.concat(
-        F.transform(
-            F.filter(pairs, lambda kv: ~kv.key.rlike(fixed.COOKIE_KEY)), lambda kv: kv.value
-        ),
-        device_guids(text, unicode),
-    )
+def user_ids(pairs: str, text: str, unicode: bool = False) -> str:
+    keyed = each(keep(pairs, lambda kv: f"not ({_is_cookie(kv)})"), lambda kv: f"{kv}.value")
+    return f"concat({keyed}, {device_guids(text, unicode)})"
+
+
+def _mentions(low: str, words: Sequence[str], unicode: bool) -> str:
+    """Cheap necessary test for a keyword pattern.
+
+    Under Unicode case folding letters outside ASCII can stand for ASCII ones, so the test is
+    left out there.
+    """
+    return "true" if unicode else contains_any(low, words)
 
 
-def secret_values(text: Column, unicode: bool = False) -> Column:
+def secret_values(text: str, low: str, unicode: bool = False) -> str:
     """Values of secret-looking keys."""
-    pairs = F.filter(
-        key_values(text, fixed.SECRET_KV, unicode),
-        lambda kv: let(
-            F.lower(kv.key),
-            lambda k: F.contains(k, F.lit("password"))
-            | (k == "pwd")
-            | (V.looks_like_secret_key(k) & V.looks_like_secret_value(kv.value)),
-        ),
+
+    def accept(kv: str) -> str:
+        return let(
+            f"lower({kv}.key)",
+            lambda k: f"(contains({k}, 'password') or {k} = 'pwd' or "
+            f"({V.looks_like_secret_key(k)} and {V.looks_like_secret_value(f'{kv}.value')}))",
+        )
+
+    pairs = keep(key_values(text, fixed.SECRET_KV, unicode), accept)
+    return guarded(
+        f"{_has_separator(text)} and {_mentions(low, _SECRET_WORDS, unicode)}",
+        each(pairs, lambda kv: f"{kv}.value"),
     )
-    return _guarded(_has(text, ":", "=", "->"), F.transform(pairs, lambda kv: kv.value))
 
 
-def bearer_tokens(text: Column, unicode: bool = False) -> Column:
-    return _guarded(
-        _mentions(text, ["bearer"], unicode),
-        F.filter(find_all(text, fixed.BEARER, 1, unicode), V.looks_like_secret_value),
+def bearer_tokens(text: str, low: str, unicode: bool = False) -> str:
+    return guarded(
+        _mentions(low, ["bearer"], unicode),
+        keep(find_all(text, fixed.BEARER, 1, unicode), V.looks_like_secret_value),
     )
 
 
-def private_keys(text: Column) -> Column:
-    return _guarded(
-        _has(text, "-----") & text.rlike(fixed.PRIVATE_KEY), strings([fixed.PRIVATE_KEY_VALUE])
+def private_keys(text: str) -> str:
+    return guarded(
+        f"contains({text}, '-----') and {text} rlike {lit(fixed.PRIVATE_KEY)}",
+        array([fixed.PRIVATE_KEY_VALUE]),
     )
 
 
-def jwts(text: Column, unicode: bool = False) -> Column:
-    calendar = V.calendar_text(text)
-    return _guarded(
-        _has(text, "eyJ"),
-        F.filter(
+def jwts(text: str, unicode: bool = False) -> str:
+    return guarded(
+        f"contains({text}, 'eyJ')",
+        keep(
             find_all(text, fixed.JWT, 0, unicode),
-            lambda v: V.looks_like_secret_value(v) & ~V.calendar_noise(v, calendar),
+            lambda v: f"{V.looks_like_secret_value(v)} and not {V.calendar_noise(v, text)}",
         ),
     )
 
 
-def extra_secrets(text: Column, patterns: Sequence[str], unicode: bool = False) -> Column:
+def extra_secrets(text: str, patterns: Sequence[str], unicode: bool = False) -> str:
     """Hits of caller-supplied secret patterns (none are shipped)."""
-    calendar = V.calendar_text(text)
-    found = F.concat(*[find_all(text, p, 0, unicode) for p in patterns]) if patterns else no_strings()
-    return F.filter(found, lambda v: ~V.calendar_noise(v, calendar))
+    found = ", ".join(find_all(text, p, 0, unicode) for p in patterns) or NO_STRINGS
+    return keep(f"concat({found})", lambda v: f"not {V.calendar_noise(v, text)}")
 
 
-def addresses(text: Column, unicode: bool = False) -> Column:
-    return _guarded(
-        _has(text, ":", "="),
-        F.transform(
-            F.filter(find_all(text, fixed.ADDRESS_KV, 1, unicode), V.address_value_ok), strip
-        ),
+def addresses(text: str, low: str, unicode: bool = False) -> str:
+    return guarded(
+        f"{contains_any(text, [':', '='])} and {_mentions(low, _ADDRESS_WORDS, unicode)}",
+        each(keep(find_all(text, fixed.ADDRESS_KV, 1, unicode), V.address_value_ok), V.strip),
     )
 
 
-def postal_codes(text: Column, unicode: bool = False) -> Column:
-    return _guarded(
-        _has(text, ":", "="), F.transform(find_all(text, fixed.POSTAL_KV, 1, unicode), strip)
+def postal_codes(text: str, low: str, unicode: bool = False) -> str:
+    return guarded(
+        f"{contains_any(text, [':', '='])} and {_mentions(low, _POSTAL_WORDS, unicode)}",
+        each(find_all(text, fixed.POSTAL_KV, 1, unicode), V.strip),
     )
 
 
-def birth_dates(text: Column, unicode: bool = False) -> Column:
-    words = ["naissance", "dob", "birth", "geburtsdatum", "nacimiento", "الميلاد"]
-    return _guarded(
-        _mentions(text, words, unicode),
-        F.transform(find_all(text, fixed.BIRTH_DATE, 1, unicode), strip),
+def birth_dates(text: str, low: str, unicode: bool = False) -> str:
+    return guarded(
+        _mentions(low, _BIRTH_WORDS, unicode),
+        each(find_all(text, fixed.BIRTH_DATE, 1, unicode), V.strip),
     )
 
 
-_KEYWORD_TABLE = [(k, k.replace("_", " ").replace("-", " "), s) for k, s in fixed.FILE_NAME_KEYWORDS]
-
-
-def _file_keywords(path: Column) -> Column:
-    table = F.array(
-        *[
-            F.struct(F.lit(k).alias("keyword"), F.lit(f" {p} ").alias("phrase"),
-                     F.lit(s).cast("bigint").alias("score"))
-            for k, p, s in _KEYWORD_TABLE
-        ]
+def file_keywords(path: str) -> str:
+    """``array<struct<keyword, score>>`` of the keywords that a file name holds as words."""
+    rows = ", ".join(
+        struct(
+            keyword=lit(k),
+            phrase=lit(" " + k.replace("_", " ").replace("-", " ") + " "),
+            score=f"{s}L",
+        )
+        for k, s in fixed.FILE_NAME_KEYWORDS
     )
     return let(
-        F.concat(F.lit(" "), normalize_file_stem(path), F.lit(" ")),
-        lambda name: F.filter(table, lambda r: F.contains(name, r.phrase)),
+        f"concat(' ', {normalize_file_stem(path)}, ' ')",
+        lambda name: keep(f"array({rows})", lambda r: f"contains({name}, {r}.phrase)"),
     )
 
 
 def with_file_signals(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Add ``file_signals`` (keywords found, plus ``pst``) and ``file_bonus`` (their score)."""
-    found = _file_keywords(F.col(path_col))
-    pst = file_extension(F.col(path_col)) == "pst"
-    return df.withColumn("_kw", found).withColumns(
-        {
-            "file_signals": F.concat(
-                F.transform("_kw", lambda r: r.keyword),
-                F.when(pst, strings(["pst"])).otherwise(no_strings()),
-            ),
-            "file_bonus": F.aggregate(
-                "_kw", F.lit(0).cast("bigint"), lambda a, r: a + r.score
-            )
-            + F.when(pst, fixed.PST_BONUS).otherwise(0),
-        }
-    ).drop("_kw")
+    pst = f"{file_extension(path_col)} = 'pst'"
+    names = f"concat({each('_kw', lambda r: f'{r}.keyword')}, {guarded(pst, array(['pst']))})"
+    bonus = f"{fold('_kw', '0L', lambda a, r: f'{a} + {r}.score')} + case when {pst} then {fixed.PST_BONUS} else 0 end"
+    return (
+        df.selectExpr("*", f"{file_keywords(path_col)} as _kw")
+        .selectExpr(
+            *df.columns,
+            f"coalesce({names}, {NO_STRINGS}) as file_signals",
+            f"coalesce({bonus}, 0L) as file_bonus",
+        )
+    )
 
 
 def text_values(
-    text: Column,
-    pairs: Column,
+    text: str,
+    pairs: str,
+    low: str,
     *,
-    secrets: bool | Column = True,
+    secrets: str = "true",
     phone_locale: str = "other",
     extra_secret_patterns: Sequence[str] = (),
     unicode: bool = False,
-) -> dict[str, Column]:
+) -> dict[str, str]:
     """Category -> expression of its accepted values. ``pairs`` comes from :func:`id_pairs`."""
-    secrets_on = F.lit(secrets) if isinstance(secrets, bool) else secrets
-    gated = F.concat(
-        jwts(text, unicode), extra_secrets(text, extra_secret_patterns, unicode)
+    gated = f"concat({jwts(text, unicode)}, {extra_secrets(text, extra_secret_patterns, unicode)})"
+    secret = (
+        f"concat({secret_values(text, low, unicode)}, {bearer_tokens(text, low, unicode)}, "
+        f"{private_keys(text)}, {guarded(secrets, gated)})"
     )
     return {
         "email": emails(text, unicode),
@@ -302,30 +312,21 @@ def text_values(
         "iban": ibans(text, unicode),
         "credit_card": cards(text, unicode),
         "ip_address": public_ips(text, unicode),
-        "address": addresses(text, unicode),
-        "postal_code": postal_codes(text, unicode),
-        "date_of_birth": birth_dates(text, unicode),
+        "address": addresses(text, low, unicode),
+        "postal_code": postal_codes(text, low, unicode),
+        "date_of_birth": birth_dates(text, low, unicode),
         "cookie": cookies(pairs),
         "user_id": user_ids(pairs, text, unicode),
-        "secret": F.concat(
-            secret_values(text, unicode),
-            bearer_tokens(text, unicode),
-            private_keys(text),
-            _guarded(secrets_on, gated),
-        ),
+        "secret": secret,
     }
 
 
-def as_hits(values: dict[str, Column]) -> Column:
+def as_hits(values: dict[str, str]) -> str:
     """Non-empty categories as ``array<struct<category, vals>>`` in category order."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("category"), values[c].alias("vals"))
-            for c in fixed.CATEGORIES
-            if c in values
-        ]
+    entries = ", ".join(
+        struct(category=lit(c), vals=values[c]) for c in fixed.CATEGORIES if c in values
     )
-    return F.filter(entries, lambda h: F.size(h.vals) > 0)
+    return keep(f"array({entries})", lambda h: f"size({h}.vals) > 0")
 
 
 def with_builtin_hits(
@@ -333,7 +334,7 @@ def with_builtin_hits(
     text_col: str = "text",
     out: str = "hits",
     *,
-    secrets: bool | Column = True,
+    secrets: bool | str = True,
     phone_locale: str = "other",
     categories: Sequence[str] | None = None,
     extra_secret_patterns: Sequence[str] = (),
@@ -342,45 +343,41 @@ def with_builtin_hits(
 ) -> DataFrame:
     """Add one column with all built-in matches of each row's whole text.
 
-    ``categories`` restricts the detectors that run. ``cap`` is the number of values reported
-    per category and call; ``None`` keeps all of them.
+    ``secrets`` is a flag or the name of a boolean column. ``categories`` restricts the
+    detectors that run. ``cap`` is the number of values reported per category and call; ``None``
+    keeps all of them.
     """
-    pairs = F.col("_id_pairs")
     values = text_values(
-        F.col(text_col),
-        pairs,
-        secrets=secrets,
+        text_col,
+        "_pairs",
+        "_low",
+        secrets=secrets if isinstance(secrets, str) else str(secrets).lower(),
         phone_locale=phone_locale,
         extra_secret_patterns=extra_secret_patterns,
         unicode=unicode,
     )
     wanted = [c for c in values if categories is None or c in categories]
-    chosen = {c: keep_first(values[c], cap) for c in wanted}
-    return (
-        df.withColumn("_id_pairs", id_pairs(F.col(text_col), unicode))
-        .withColumn(out, as_hits(chosen))
-        .drop("_id_pairs")
-    )
+    hits = as_hits({c: first_n(values[c], cap) for c in wanted})
+    # texts in lower case and pairs are used several times, so they are columns of their own
+    return df.selectExpr(
+        "*", f"lower({text_col}) as _low", f"{id_pairs(text_col, unicode)} as _pairs"
+    ).selectExpr(*[f"`{c}`" for c in df.columns], f"{hits} as {out}")
 
 
-def explode_hits(df: DataFrame, id_cols: list[str], hits: str = "hits", scope: str = "builtin") -> DataFrame:
+def explode_hits(
+    df: DataFrame, id_cols: list[str], hits: str = "hits", scope: str = "builtin"
+) -> DataFrame:
     """Long form: one row per match with ``scope, category, pos, value``."""
-    flat = F.flatten(
-        F.transform(
-            hits,
-            lambda h: F.transform(
-                h.vals,
-                lambda v, i: F.struct(
-                    h.category.alias("category"),
-                    i.cast("bigint").alias("pos"),
-                    v.alias("value"),
-                ),
-            ),
-        )
+    rows = each(
+        hits,
+        lambda h: each_at(
+            f"{h}.vals",
+            lambda v, i: struct(category=f"{h}.category", pos=f"cast({i} as bigint)", value=v),
+        ),
     )
     # the outer form keeps the optimizer from repeating the regexes in an extra filter
     return (
-        df.select(*id_cols, F.inline_outer(flat))
+        df.selectExpr(*id_cols, f"inline_outer(flatten({rows}))")
         .filter(F.col("value").isNotNull())
         .select(*id_cols, F.lit(scope).alias("scope"), "category", "pos", "value")
     )

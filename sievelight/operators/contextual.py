@@ -10,12 +10,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, find_all, let
+from ..functions.sql import (
+    any_of,
+    contains_any,
+    each,
+    each_at,
+    find_all,
+    keep,
+    let,
+    lit,
+    struct,
+    zipped,
+)
+from .builtin import EMPTY_HITS, HITS_TYPE
 
 _OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufffd"
 _WORD = r"[A-Z][a-z]+"
@@ -71,76 +83,117 @@ def _run_pattern(entity: str) -> str:
     return {"person": fixed.PERSON, "organization": _ORG_RUN, "location": _RUN}[entity]
 
 
-def _starts(word: Column) -> Column:
+def _unmark(text: str) -> str:
+    return f"translate({text}, {lit(_OPEN + _CLOSE)}, '')"
+
+
+def _starts(word: str) -> str:
     """For each opening mark in a word: the part of the word before it."""
-    parts = F.split(word, _OPEN, -1)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda k: F.translate(F.array_join(F.slice(parts, 1, k), ""), _CLOSE, ""),
+    return let(
+        f"split({word}, {lit(_OPEN)}, -1)",
+        lambda parts: each(
+            f"sequence(1, size({parts}) - 1)",
+            lambda k: _unmark(f"array_join(slice({parts}, 1, {k}), '')"),
+        ),
     )
 
 
-def _ends(word: Column) -> Column:
+def _ends(word: str) -> str:
     """For each closing mark in a word: the part of the word after it."""
-    parts = F.split(word, _CLOSE, -1)
-    n = F.size(parts)
-    return F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda k: F.translate(F.array_join(F.slice(parts, k + 1, n), ""), _OPEN, ""),
+    return let(
+        f"split({word}, {lit(_CLOSE)}, -1)",
+        lambda parts: each(
+            f"sequence(1, size({parts}) - 1)",
+            lambda k: _unmark(f"array_join(slice({parts}, {k} + 1, size({parts})), '')"),
+        ),
     )
 
 
-def _places(words: Column, mark: str, inside) -> Column:
+def _places(words: str, mark: str, inside) -> str:
     """``array<struct<i, part>>`` of all marks in document order; ``i`` is the word index."""
-    at = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    marked = F.filter(at, lambda x: F.contains(x.w, F.lit(mark)))
-    return F.flatten(
-        F.transform(
-            marked,
-            lambda x: F.transform(
-                inside(x.w), lambda part: F.struct(x.i.alias("i"), part.alias("part"))
-            ),
-        )
+    marked = keep(
+        each_at(words, lambda w, i: struct(i=i, w=w)), lambda x: f"contains({x}.w, {lit(mark)})"
     )
+    return "flatten(" + each(
+        marked, lambda x: each(inside(f"{x}.w"), lambda part: struct(i=f"{x}.i", part=part))
+    ) + ")"
 
 
-def _count_matches(context: Column, indicators: Sequence[str]) -> Column:
+def _count_matches(context: str, indicators: Sequence[str]) -> str:
     lowered = [p.lower() for p in indicators]
-    return F.size(
-        F.filter(
-            context,
-            lambda w: let(
-                F.lower(w), lambda x: any_of(lowered, lambda p: F.contains(x, F.lit(p)))
-            ),
-        )
-    ).cast("double")
+    hits = keep(context, lambda w: let(f"lower({w})", lambda x: contains_any(x, lowered)))
+    return f"cast(size({hits}) as double)"
 
 
-def context_score(context: Column, value: Column, setting: EntitySetting) -> Column:
+def context_score(context: str, value: str, setting: EntitySetting) -> str:
     """0.5, plus and minus bounded indicator counts, plus 0.1 for 5 to 40 bytes; in [0, 1]."""
-    score = F.lit(0.5)
+    score = "0.5D"
     if setting.positive is not None:
-        score = score + F.least(_count_matches(context, setting.positive) * 0.1, F.lit(0.35))
+        score += f" + least({_count_matches(context, setting.positive)} * 0.1D, 0.35D)"
     if setting.negative is not None:
-        score = score - F.least(_count_matches(context, setting.negative) * 0.1, F.lit(0.25))
-    score = score + F.when(F.octet_length(value).between(5, 40), 0.1).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+        score += f" - least({_count_matches(context, setting.negative)} * 0.1D, 0.25D)"
+    score += f" + case when octet_length({value}) between 5 and 40 then 0.1D else 0.0D end"
+    return f"greatest(0.0D, least(1.0D, {score}))"
 
 
-def _accept(value: Column, entity: str) -> Column:
+def _accept(value: str, entity: str) -> str:
     if entity == "person":
-        return ~any_of(fixed.NOT_A_NAME_STARTS, lambda w: value.startswith(w))
+        starts = any_of(f"startswith({value}, {lit(w)})" for w in fixed.NOT_A_NAME_STARTS)
+        return f"not {starts}"
     if entity == "location":
-        return ~any_of(fixed.NOT_A_PLACE_WORDS, lambda w: F.contains(value, F.lit(w)))
-    return value != ""
+        return f"not {contains_any(value, fixed.NOT_A_PLACE_WORDS)}"
+    return f"{value} <> ''"
 
 
-def _confidence(context: Column, value: Column, setting: EntitySetting) -> Column:
+def _confidence(context: str, value: str, setting: EntitySetting) -> str:
     score = context_score(context, value, setting)
     if setting.entity_type != "organization":
         return score
-    ends = any_of(fixed.ORG_BONUS_SUFFIXES, lambda s: value.endswith(s))
-    return F.when(ends, F.least(score + 0.15, F.lit(1.0))).otherwise(score)
+    ends = any_of(f"endswith({value}, {lit(x)})" for x in fixed.ORG_BONUS_SUFFIXES)
+    return let(
+        score, lambda x: f"case when {ends} then least({x} + 0.15D, 1.0D) else {x} end"
+    )
+
+
+def _context(words: str, c: str) -> str:
+    """Up to five words on either side of a match, partial words at its edges included."""
+    plain = lambda ws: keep(each(ws, _unmark), lambda w: f"{w} <> ''")
+    i, j = f"{c}.s.i", f"{c}.e.i"
+    before = (
+        f"case when {c}.s.part = '' then "
+        f"{plain(f'slice({words}, greatest({i} - 4, 1), least({i}, 5))')} else concat("
+        f"{plain(f'slice({words}, greatest({i} - 3, 1), least({i}, 4))')}, array({c}.s.part)) end"
+    )
+    after = (
+        f"case when {c}.e.part = '' then {plain(f'slice({words}, {j} + 2, 5)')} "
+        f"else concat(array({c}.e.part), {plain(f'slice({words}, {j} + 2, 4)')}) end"
+    )
+    return f"concat({before}, {after})"
+
+
+_FOUND_TYPE = "array<struct<k:int,value:string,confidence:double>>"
+
+
+def _values(text: str, entity: str, u: str) -> str:
+    runs = find_all(text, u + _run_pattern(entity))
+    if entity != "organization":
+        return runs
+    inside = each(runs, lambda run: f"regexp_extract({run}, {lit(u + _ORG_IN_RUN)}, 0)")
+    return keep(inside, lambda v: f"{v} <> ''")
+
+
+def _marked(text: str, entity: str, u: str) -> str:
+    """The text with a mark before and after each match."""
+    clean = f"translate({text}, {lit(_OPEN + _CLOSE)}, {lit(_OTHER * 2)})"
+    marked = (
+        f"regexp_replace({clean}, {lit(u + _run_pattern(entity))}, {lit(_OPEN + '$0' + _CLOSE)})"
+    )
+    if entity != "organization":
+        return marked
+    # the mark moves to the end of the organisation; a run without one loses its marks
+    split_run = rf"{_OPEN}([^{_CLOSE}]*\s{_SUFFIX})?([^{_CLOSE}]*){_CLOSE}"
+    moved = f"regexp_replace({marked}, {lit(split_run)}, {lit(_OPEN + '$1' + _CLOSE + '$2')})"
+    return f"replace({moved}, {lit(_OPEN + _CLOSE)}, '')"
 
 
 def with_entity_candidates(
@@ -152,79 +205,36 @@ def with_entity_candidates(
     """
     entity = setting.entity_type
     u = "(?U)" if unicode else ""
-    pattern = u + _run_pattern(entity)
-    text = F.col(text_col)
-    clean = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
-
-    if entity == "organization":
-        value_of = lambda run: F.regexp_extract(run, u + _ORG_IN_RUN, 0)
-        # a run without a suffix stays unmarked
-        marked = F.regexp_replace(
-            F.regexp_replace(clean, pattern, _OPEN + "$0" + _CLOSE),
-            rf"{_OPEN}([^{_CLOSE}]*\s{_SUFFIX})?([^{_CLOSE}]*){_CLOSE}",
-            _OPEN + "$1" + _CLOSE + "$2",
-        )
-        marked = F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit(""))
-        values = F.filter(F.transform(find_all(text, pattern), value_of), lambda v: v != "")
-    else:
-        marked = F.regexp_replace(clean, pattern, _OPEN + "$0" + _CLOSE)
-        values = find_all(text, pattern)
-
-    words = F.split(marked, u + r"\s+", -1)
-    places = F.zip_with(
-        _places(F.col("_words"), _OPEN, _starts),
-        _places(F.col("_words"), _CLOSE, _ends),
-        lambda s, e: F.struct(s.alias("s"), e.alias("e")),
+    splitter = lit(u + r"\s+")
+    words = f"split({_marked(text_col, entity, u)}, {splitter}, -1)"
+    places = zipped(
+        _places("_words", _OPEN, _starts),
+        _places("_words", _CLOSE, _ends),
+        lambda s, e: struct(s=s, e=e),
     )
-    candidates = F.zip_with(
-        F.transform(F.col("_values"), lambda v, k: F.struct(k.alias("k"), v.alias("v"))),
+    candidates = zipped(
+        each_at("_values", lambda v, k: struct(k=k, v=v)),
         places,
-        lambda m, p: F.struct(
-            m.k.alias("k"), m.v.alias("value"), p.s.alias("s"), p.e.alias("e")
-        ),
+        lambda m, p: struct(k=f"{m}.k", value=f"{m}.v", s=f"{p}.s", e=f"{p}.e"),
     )
-
-    def context(words: Column, c: Column) -> Column:
-        plain = lambda ws: F.filter(
-            F.transform(ws, lambda w: F.translate(w, _OPEN + _CLOSE, "")), lambda w: w != ""
-        )
-        i, j = c.s.i, c.e.i
-        before = F.when(
-            c.s.part == "", plain(F.slice(words, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))))
-        ).otherwise(
-            F.concat(
-                plain(F.slice(words, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)))),
-                F.array(c.s.part),
-            )
-        )
-        after = F.when(c.e.part == "", plain(F.slice(words, j + 2, 5))).otherwise(
-            F.concat(F.array(c.e.part), plain(F.slice(words, j + 2, 4)))
-        )
-        return F.concat(before, after)
-
     threshold = setting.threshold if setting.threshold is not None else _DEFAULT_THRESHOLD[entity]
-    scored = F.transform(
-        F.filter(F.col("_cands"), lambda c: _accept(c.value, entity)),
-        lambda c: F.struct(
-            c.k.alias("k"),
-            c.value.alias("value"),
-            let(
-                context(F.col("_words"), c), lambda x: _confidence(x, c.value, setting)
-            ).alias("confidence"),
+    scored = each(
+        keep("_cands", lambda c: _accept(f"{c}.value", entity)),
+        lambda c: struct(
+            k=f"{c}.k",
+            value=f"{c}.value",
+            confidence=let(
+                _context("_words", c), lambda x: _confidence(x, f"{c}.value", setting)
+            ),
         ),
     )
+    found = keep(scored, lambda d: f"{d}.confidence >= {threshold!r}D")
+    kept = [f"`{c}`" for c in df.columns]
     return (
-        df.withColumn("_values", values)
-        .withColumn("_words", F.when(F.size("_values") > 0, words))
-        .withColumn("_cands", F.when(F.size("_values") > 0, candidates))
-        .withColumn(
-            out,
-            F.coalesce(
-                F.filter(scored, lambda d: d.confidence >= F.lit(threshold)),
-                F.array().cast("array<struct<k:int,value:string,confidence:double>>"),
-            ),
-        )
-        .drop("_values", "_words", "_cands")
+        df.selectExpr("*", f"{_values(text_col, entity, u)} as _values")
+        .selectExpr("*", f"case when size(_values) > 0 then {words} end as _words")
+        .selectExpr("*", f"case when size(_values) > 0 then {candidates} end as _cands")
+        .selectExpr(*kept, f"coalesce({found}, cast(array() as {_FOUND_TYPE})) as {out}")
     )
 
 
@@ -242,17 +252,13 @@ def with_contextual_hits(
     used = [e for e in entities if e.enabled and e.entity_type in _KNOWN]
     for n, e in enumerate(used):
         df = with_entity_candidates(df, e, text_col, f"_entity{n}", unicode)
-    entries = [
-        F.struct(
-            F.lit(e.entity_type).alias("category"),
-            F.transform(f"_entity{n}", lambda d: d.value).alias("vals"),
-        )
+    entries = ", ".join(
+        struct(category=lit(e.entity_type), vals=each(f"_entity{n}", lambda d: f"{d}.value"))
         for n, e in enumerate(used)
-    ]
-    hits = F.filter(F.array(*entries), lambda h: F.size(h.vals) > 0) if entries else F.array()
-    return df.withColumn(
-        out, hits.cast("array<struct<category:string,vals:array<string>>>")
-    ).drop(*[f"_entity{n}" for n in range(len(used))])
+    )
+    hits = keep(f"array({entries})", lambda h: f"size({h}.vals) > 0") if entries else EMPTY_HITS
+    kept = [f"`{c}`" for c in df.columns if not c.startswith("_entity")]
+    return df.selectExpr(*kept, f"cast({hits} as {HITS_TYPE}) as {out}")
 
 
 def detect_contextual(
@@ -292,25 +298,25 @@ def detect_contextual(
 def _spans(base: DataFrame, entity: str, text_col: str, id_col: str, unicode: bool) -> DataFrame:
     u = "(?U)" if unicode else ""
     pattern = u + _run_pattern(entity)
-    runs = find_all(F.col(text_col), pattern)
-    gaps = F.split(F.col(text_col), pattern, -1)
-    pieces = F.zip_with(
-        gaps,
-        F.col("_runs"),
-        lambda g, r: F.struct(
-            F.octet_length(g).cast("bigint").alias("gap"),
-            F.octet_length(F.coalesce(r, F.lit(""))).cast("bigint").alias("run"),
-            F.octet_length(
-                F.regexp_extract(F.coalesce(r, F.lit("")), u + _ORG_IN_RUN, 0)
-                if entity == "organization"
-                else F.coalesce(r, F.lit(""))
-            ).cast("bigint").alias("size"),
+    size = lambda r: f"octet_length(coalesce({r}, ''))"
+    found = (
+        (lambda r: f"octet_length(regexp_extract(coalesce({r}, ''), {lit(u + _ORG_IN_RUN)}, 0))")
+        if entity == "organization"
+        else size
+    )
+    pieces = zipped(
+        f"split({text_col}, {lit(pattern)}, -1)",
+        "_runs",
+        lambda g, r: struct(
+            gap=f"cast({size(g)} as bigint)",
+            run=f"cast({size(r)} as bigint)",
+            size=f"cast({found(r)} as bigint)",
         ),
     )
     order = W.partitionBy(id_col).orderBy("pos")
     laid = (
-        base.withColumn("_runs", runs)
-        .select(id_col, F.posexplode_outer(pieces).alias("pos", "p"))
+        base.selectExpr("*", f"{find_all(text_col, pattern)} as _runs")
+        .selectExpr(id_col, f"posexplode_outer({pieces}) as (pos, p)")
         .select(id_col, "pos", "p.*")
         .withColumn("run_end", F.sum(F.col("gap") + F.col("run")).over(order))
         .filter(F.col("size") > 0)

@@ -13,99 +13,89 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.redaction import redact, redact_last
-from ..functions.text import no_strings, risk_name, risk_rank, strings
+from ..functions.sql import (
+    NO_STRINGS,
+    each,
+    fold,
+    keep,
+    lit,
+    lookup,
+    struct,
+)
+from ..functions.text import risk_name, risk_rank
 from ..functions.validators import looks_like_hash
+from .builtin import EMPTY_HITS
 from .rules import Rule
 
-FINDINGS_TYPE = "array<struct<category:string,count:bigint,redacted_examples:array<string>>>"
 REASONS_TYPE = "array<struct<key:string,vars:map<string,string>>>"
+_NO_REASONS = f"cast(array() as {REASONS_TYPE})"
 
 
-def _lookup(name: Column, table: dict[str, object], default: object) -> Column:
-    out = F.lit(default)
-    by_value: dict[object, list[str]] = {}
-    for k, v in table.items():
-        by_value.setdefault(v, []).append(k)
-    chain = None
-    for v, keys in by_value.items():
-        cond = name.isin(*keys)
-        chain = F.when(cond, F.lit(v)) if chain is None else chain.when(cond, F.lit(v))
-    return out if chain is None else chain.otherwise(out)
+def weight_of(category: str) -> str:
+    return lookup(category, fixed.WEIGHTS, "0")
 
 
-def weight_of(category: Column) -> Column:
-    return _lookup(category, fixed.WEIGHTS, 0).cast("bigint")
-
-
-def builtin_rank(category: Column) -> Column:
+def builtin_rank(category: str) -> str:
     """Rank of a built-in category's risk: from its weight, never above high."""
-    w = weight_of(category)
-    return F.when(w >= 6, 2).when(w >= 3, 1).otherwise(0)
+    ranks = {c: 2 if w >= 6 else 1 if w >= 3 else 0 for c, w in fixed.WEIGHTS.items()}
+    return lookup(category, ranks, "0")
 
 
-def rule_level(name: Column, rules: Sequence[Rule]) -> Column:
+def rule_level(name: str, rules: Sequence[Rule]) -> str:
     """Risk level of a rule by name, medium when the rule is unknown."""
-    return _lookup(name, {r.name: r.risk_level for r in rules}, "medium")
+    return lookup(name, {r.name: r.risk_level for r in rules}, "'medium'")
 
 
-def summarize(hits: Column, custom: bool = False) -> Column:
+def summarize(hits: str, custom: bool = False) -> str:
     """Category, count and up to five redacted examples, in the order of ``hits``."""
-    masked = (lambda h, v: redact_last(v)) if custom else (lambda h, v: redact(h.category, v))
-    return F.transform(
+    mask = (lambda h, v: redact_last(v)) if custom else (lambda h, v: redact(f"{h}.category", v))
+    return each(
         hits,
-        lambda h: F.struct(
-            h.category.alias("category"),
-            F.size(h.vals).cast("bigint").alias("count"),
-            F.transform(F.slice(h.vals, 1, 5), lambda v: masked(h, v)).alias("redacted_examples"),
+        lambda h: struct(
+            category=f"{h}.category",
+            count=f"cast(size({h}.vals) as bigint)",
+            redacted_examples=each(f"slice({h}.vals, 1, 5)", lambda v: mask(h, v)),
         ),
     )
 
 
-def _hash_like(h: Column) -> Column:
+def _hash_like(h: str) -> str:
     """At least half of the first ten cookie or user-id values look like hashes."""
-    first = F.slice(h.vals, 1, 10)
-    return h.category.isin("cookie", "user_id") & (
-        F.size(F.filter(first, looks_like_hash)) * 2 >= F.size(first)
+    first = f"slice({h}.vals, 1, 10)"
+    return (
+        f"({h}.category in ('cookie', 'user_id') and "
+        f"size({keep(first, looks_like_hash)}) * 2 >= size({first}))"
     )
 
 
-def score_parts(hits: Column) -> Column:
+def score_parts(hits: str) -> str:
     """``array<struct<category, count, hashy, points>>`` for each category with hits."""
-    return F.transform(
-        F.transform(
-            hits,
-            lambda h: F.struct(
-                h.category.alias("category"),
-                F.size(h.vals).cast("bigint").alias("count"),
-                _hash_like(h).alias("hashy"),
-            ),
+    counted = each(
+        hits,
+        lambda h: struct(
+            category=f"{h}.category", count=f"cast(size({h}.vals) as bigint)", hashy=_hash_like(h)
         ),
-        lambda p: F.struct(
-            p.category.alias("category"),
-            p["count"].alias("count"),
-            p.hashy.alias("hashy"),
-            (
-                F.when(p.hashy, F.floor(weight_of(p.category) * 60 / 100)).otherwise(
-                    weight_of(p.category)
-                )
-                * F.least(p["count"], F.lit(21))
-            )
-            .cast("bigint")
-            .alias("points"),
+    )
+    points = lambda p: (
+        f"(case when {p}.hashy then {weight_of(f'{p}.category')} * 60 div 100 "
+        f"else {weight_of(f'{p}.category')} end) * least({p}.count, 21L)"
+    )
+    return each(
+        counted,
+        lambda p: struct(
+            category=f"{p}.category", count=f"{p}.count", hashy=f"{p}.hashy", points=points(p)
         ),
     )
 
 
-def _reason(key: str, **variables: Column) -> Column:
-    pairs = [x for k, v in variables.items() for x in (F.lit(k), v.cast("string"))]
-    empty = F.map_from_arrays(no_strings(), no_strings())
-    return F.struct(
-        F.lit(key).alias("key"), (F.create_map(*pairs) if pairs else empty).alias("vars")
-    )
+def _reason(key: str, **variables: str) -> str:
+    pairs = ", ".join(f"'{k}', cast({v} as string)" for k, v in variables.items())
+    empty = f"map_from_arrays({NO_STRINGS}, {NO_STRINGS})"
+    return struct(key=lit(key), vars=f"map({pairs})" if pairs else empty)
 
 
-def _only_if(condition: Column, reason: Column) -> Column:
-    return F.when(condition, F.array(reason)).otherwise(F.array().cast(REASONS_TYPE))
+def _only_if(condition: str, reason: str) -> str:
+    return f"case when {condition} then array({reason}) else {_NO_REASONS} end"
 
 
 def with_risk(
@@ -125,109 +115,103 @@ def with_risk(
     Optional inputs are column names: file-name ``bonus``, the ``weak_zip`` flag, file-name
     ``signals`` (for their reasons) and the ``too_large`` flag with ``size``.
     """
-    custom = F.col(custom_hits) if custom_hits else F.array().cast(
-        "array<struct<category:string,vals:array<string>>>"
-    )
-    bonus_c = F.col(bonus) if bonus else F.lit(0).cast("bigint")
-    weak_c = F.col(weak_zip) if weak_zip else F.lit(False)
-    zero = F.lit(0).cast("bigint")
-    rule_points = {k: v for k, v in fixed.RULE_WEIGHTS.items()}
+    custom = custom_hits or EMPTY_HITS
+    bonus = bonus or "0L"
+    weak = weak_zip or "false"
 
-    custom_parts = F.transform(
+    custom_parts = each(
         custom,
-        lambda h: F.struct(
-            h.category.alias("category"),
-            F.size(h.vals).cast("bigint").alias("count"),
-            rule_level(h.category, rules).alias("level"),
+        lambda h: struct(
+            category=f"{h}.category",
+            count=f"cast(size({h}.vals) as bigint)",
+            level=rule_level(f"{h}.category", rules),
         ),
     )
-    points = F.aggregate("_parts", zero, lambda a, p: a + p.points)
-    custom_points = F.aggregate(
-        "_custom_parts",
-        zero,
-        lambda a, p: a
-        + _lookup(p.level, rule_points, 4).cast("bigint") * F.least(p["count"], F.lit(20)),
+    rule_points = lambda p: (
+        f"{lookup(f'{p}.level', fixed.RULE_WEIGHTS, '4')} * least({p}.count, 20L)"
     )
-    ranks = F.concat(
-        F.array(F.lit(0)),
-        F.transform("_parts", lambda p: builtin_rank(p.category)),
-        F.transform("_custom_parts", lambda p: risk_rank(p.level)),
-        F.when(weak_c, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")),
+    score = (
+        f"{fold('_parts', '0L', lambda a, p: f'{a} + {p}.points')} + "
+        f"{fold('_custom_parts', '0L', lambda a, p: f'{a} + {rule_points(p)}')} + "
+        f"case when {bonus} > 0 then {bonus} else 0L end + "
+        f"case when {weak} then {fixed.WEAK_ZIP_BONUS} else 0 end"
     )
-    high_types = F.size(
-        F.array_distinct(
-            F.concat(
-                F.transform(
-                    F.filter("_parts", lambda p: builtin_rank(p.category) >= 2),
-                    lambda p: F.concat(F.lit("builtin "), p.category),
-                ),
-                F.transform(
-                    F.filter("_custom_parts", lambda p: risk_rank(p.level) >= 2),
-                    lambda p: p.category,
-                ),
-                F.when(weak_c, strings(["weak_archive_encryption"])).otherwise(no_strings()),
-            )
-        )
+    ranks = (
+        f"concat(array(case when {weak} then 2 else 0 end), "
+        f"{each('_parts', lambda p: builtin_rank(f'{p}.category'))}, "
+        f"{each('_custom_parts', lambda p: risk_rank(f'{p}.level'))})"
+    )
+    high_builtin = keep("_parts", lambda p: f"{builtin_rank(f'{p}.category')} >= 2")
+    high_custom = keep("_custom_parts", lambda p: f"{risk_rank(f'{p}.level')} >= 2")
+    # built-in types and rules count apart; the weak archive also counts once as such
+    builtin_name = lambda p: f"concat('builtin ', {p}.category)"
+    high_types = (
+        f"size(array_distinct(concat({each(high_builtin, builtin_name)}, "
+        f"{each(high_custom, lambda p: f'{p}.category')}, "
+        f"case when {weak} then array('weak_archive_encryption') else {NO_STRINGS} end)))"
     )
-    reasons = F.concat(
-        F.transform(signals, lambda k: _reason("reason.filenameKeyword", keyword=k))
+    keyword_reasons = (
+        each(signals, lambda k: _reason("reason.filenameKeyword", keyword=k))
         if signals
-        else F.array().cast(REASONS_TYPE),
-        _only_if(F.col(too_large), _reason("reason.fileTooLarge", bytes=F.col(size)))
+        else _NO_REASONS
+    )
+    size_reason = (
+        _only_if(too_large, _reason("reason.fileTooLarge", bytes=size))
         if too_large
-        else F.array().cast(REASONS_TYPE),
-        F.flatten(
-            F.transform(
-                "_parts",
-                lambda p: F.concat(
-                    _only_if(p.hashy, _reason("reason.hashLike", category=p.category)),
-                    F.array(
-                        _reason("reason.categoryCount", category=p.category, count=p["count"])
-                    ),
-                ),
-            )
+        else _NO_REASONS
+    )
+    category_reasons = each(
+        "_parts",
+        lambda p: (
+            f"concat({_only_if(f'{p}.hashy', _reason('reason.hashLike', category=f'{p}.category'))}, "
+            f"array({_reason('reason.categoryCount', category=f'{p}.category', count=f'{p}.count')}))"
         ),
-        _only_if(bonus_c > 0, _reason("reason.filenameSignal", bonus=bonus_c)),
-        _only_if(weak_c, _reason("reason.weakZipEncryption")),
-        F.transform(
-            "_custom_parts",
-            lambda p: _reason(
-                "reason.customCategoryCount", category=p.category, count=p["count"], risk=p.level
-            ),
+    )
+    rule_reasons = each(
+        "_custom_parts",
+        lambda p: _reason(
+            "reason.customCategoryCount",
+            category=f"{p}.category", count=f"{p}.count", risk=f"{p}.level",
         ),
     )
+    reasons = (
+        f"concat({keyword_reasons}, {size_reason}, flatten({category_reasons}), "
+        f"{_only_if(f'{bonus} > 0', _reason('reason.filenameSignal', bonus=bonus))}, "
+        f"{_only_if(weak, _reason('reason.weakZipEncryption'))}, {rule_reasons})"
+    )
+    out = ["findings", "custom_findings", "reasons", "risk_score", "risk_level"]
+    kept = [f"`{c}`" for c in df.columns if c not in out]
     return (
-        df.withColumns({"_parts": score_parts(F.col(hits)), "_custom_parts": custom_parts})
-        .withColumns(
-            {
-                "findings": summarize(F.col(hits)),
-                "custom_findings": summarize(custom, custom=True),
-                "reasons": reasons.cast(REASONS_TYPE),
-                "risk_score": points
-                + F.when(bonus_c > 0, bonus_c).otherwise(0)
-                + F.when(weak_c, fixed.WEAK_ZIP_BONUS).otherwise(0)
-                + custom_points,
-                "_max_rank": F.array_max(ranks),
-                "_high_types": high_types,
-            }
+        df.selectExpr(
+            *kept, f"{score_parts(hits)} as _parts", f"{custom_parts} as _custom_parts"
+        )
+        .selectExpr(
+            *kept,
+            f"{summarize(hits)} as findings",
+            f"{summarize(custom, custom=True)} as custom_findings",
+            f"cast({reasons} as {REASONS_TYPE}) as reasons",
+            f"{score} as risk_score",
+            f"array_max({ranks}) as _max_rank",
+            f"{high_types} as _high_types",
         )
-        .withColumn(
-            "risk_level", risk_level(F.col("risk_score"), F.col("_max_rank"), F.col("_high_types"))
+        .selectExpr(
+            *kept,
+            *out[:4],
+            f"{risk_level('risk_score', '_max_rank', '_high_types')} as risk_level",
         )
-        .drop("_parts", "_custom_parts", "_max_rank", "_high_types")
     )
 
 
-def risk_level_from_score(score: Column) -> Column:
+def risk_level_from_score(score: str) -> str:
     """Rank 0..3 by score alone."""
-    return F.when(score >= 55, 3).when(score >= 25, 2).when(score >= 10, 1).otherwise(0)
+    return f"(case when {score} >= 55 then 3 when {score} >= 25 then 2 when {score} >= 10 then 1 else 0 end)"
 
 
-def risk_level(score: Column, max_rank: Column, high_types: Column) -> Column:
+def risk_level(score: str, max_rank: str, high_types: str) -> str:
     """Level by score; critical needs two high types; never above the highest evidence."""
     rank = risk_level_from_score(score)
-    rank = F.when((rank == 3) & (high_types < 2), 2).otherwise(rank)
-    return risk_name(F.least(rank, max_rank))
+    allowed = f"case when {rank} = 3 and {high_types} < 2 then 2 else {rank} end"
+    return risk_name(f"least({allowed}, {max_rank})")
 
 
 def has_signal(
@@ -255,12 +239,13 @@ def summarize_long(matches: DataFrame, id_col: str) -> DataFrame:
     Counting combines map-side. A match is an example only if fewer than five precede it, so
     the collected examples of one group are five at most.
     """
-    masked = F.when(F.col("scope") == "custom", redact_last(F.col("value"))).otherwise(
-        redact(F.col("category"), F.col("value"))
+    masked = (
+        f"case when scope = 'custom' then {redact_last('value')} "
+        f"else {redact('category', 'value')} end"
     )
     return (
-        matches.withColumn(
-            "_ex", F.when(F.col("pos") < 5, F.struct("pos", masked.alias("red")))
+        matches.selectExpr(
+            "*", f"case when pos < 5 then named_struct('pos', pos, 'red', {masked}) end as _ex"
         )
         .groupBy(id_col, "scope", "category")
         .agg(

@@ -14,7 +14,7 @@ def mark_ignored(ignored: DataFrame | None, values: DataFrame, salt: str, now: i
     """Add ``values(category, value)`` to the list; entries already there are kept as they are."""
     new = values.select(
         "category",
-        value_hash(salt, F.col("category"), F.col("value")).alias("value_hash"),
+        F.expr(value_hash(salt, "category", "value")).alias("value_hash"),
         F.lit(now).cast("bigint").alias("created_at"),
     )
     every = new if ignored is None else ignored.select(*new.columns).unionByName(new)
@@ -23,7 +23,7 @@ def mark_ignored(ignored: DataFrame | None, values: DataFrame, salt: str, now: i
 
 def unmark_ignored(ignored: DataFrame, values: DataFrame, salt: str) -> DataFrame:
     gone = values.select(
-        "category", value_hash(salt, F.col("category"), F.col("value")).alias("value_hash")
+        "category", F.expr(value_hash(salt, "category", "value")).alias("value_hash")
     ).distinct()
     return lookup_join(ignored, gone, ["category", "value_hash"], "left_anti")
 
@@ -37,7 +37,7 @@ def apply_ignored_values(
         builtin = F.col("scope") == "builtin"
     hashed = matches.withColumn(
         "value_hash",
-        F.when(builtin, value_hash(salt, F.col("category"), F.col("value"))),
+        F.when(builtin, F.expr(value_hash(salt, "category", "value"))),
     )
     keys = ignored.select("category", "value_hash").distinct()
     kept = lookup_join(
@@ -52,7 +52,7 @@ def flag_ignored_values(pairs: DataFrame, ignored: DataFrame, salt: str, value_c
         "value_hash",
         F.when(
             F.col("category").isin(*fixed.CATEGORIES),
-            value_hash(salt, F.col("category"), F.col(value_col)),
+            F.expr(value_hash(salt, "category", value_col)),
         ),
     )
     keys = ignored.select("category", "value_hash").distinct().withColumn("_hit", F.lit(True))

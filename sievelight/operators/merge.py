@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import let, strings
+from ..functions.sql import array, each, keep, let, struct
 from .builtin import HITS_TYPE
 
 
-def merge_hits(*lists: Column, custom: bool = False) -> Column:
+def merge_hits(*lists: str, custom: bool = False) -> str:
     """Concatenate hit lists per category, keeping the order of the lists.
 
     Built-in categories come out in their fixed order, rule names alphabetically.
     """
-    every = F.concat(*lists) if len(lists) > 1 else lists[0]
-    return merge_flat(every, custom)
 
-
-def merge_flat(entries: Column, custom: bool = False) -> Column:
-    """As :func:`merge_hits` for one list in which a category may occur several times."""
-
-    def regroup(all_entries: Column) -> Column:
-        found = F.transform(all_entries, lambda h: h.category)
+    def regroup(entries: str) -> str:
+        found = each(entries, lambda h: f"{h}.category")
         names = (
-            F.array_sort(F.array_distinct(found))
+            f"array_sort(array_distinct({found}))"
             if custom
-            else F.array_intersect(strings(fixed.CATEGORIES), found)
-        )
-        return F.transform(
-            names,
-            lambda c: F.struct(
-                c.alias("category"),
-                F.flatten(
-                    F.transform(
-                        F.filter(all_entries, lambda h: h.category == c), lambda h: h.vals
-                    )
-                ).alias("vals"),
-            ),
+            else f"array_intersect({array(fixed.CATEGORIES)}, {found})"
         )
 
-    return let(entries, regroup).cast(HITS_TYPE)
+        def values(c: str) -> str:
+            mine = keep(entries, lambda h: f"{h}.category = {c}")
+            return f"flatten({each(mine, lambda h: f'{h}.vals')})"
+
+        return each(names, lambda c: struct(category=c, vals=values(c)))
+
+    every = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
+    return f"cast({let(every, regroup)} as {HITS_TYPE})"
 
 
 def merge_matches(
@@ -52,10 +42,13 @@ def merge_matches(
     Only matches are shuffled. Caps apply per part, not to the merged list.
     """
     collected = F.array_sort(F.collect_list(F.struct(order, hits, custom_hits)))
-    grouped = parts.groupBy(key).agg(collected.alias("_p"))
-    flat = lambda name: F.flatten(F.transform("_p", lambda p: p[name]))
-    return grouped.select(
-        key,
-        merge_flat(flat(hits)).alias(hits),
-        merge_flat(flat(custom_hits), custom=True).alias(custom_hits),
+    flat = lambda name: f"flatten({each('_parts', lambda p: f'{p}.{name}')})"
+    return (
+        parts.groupBy(key)
+        .agg(collected.alias("_parts"))
+        .selectExpr(
+            key,
+            f"{merge_hits(flat(hits))} as {hits}",
+            f"{merge_hits(flat(custom_hits), custom=True)} as {custom_hits}",
+        )
     )

@@ -2,57 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.redaction import redact
+from ..functions.sql import each, fold, keep, let, struct, zipped
 from .ignore import flag_ignored_values
 
 
 def reveal_pairs(matches: DataFrame) -> DataFrame:
     """``redacted, clear`` for each match, in place of its value. Never written by this library."""
-    return matches.withColumn("redacted", redact(F.col("category"), F.col("value"))).withColumnRenamed(
-        "value", "clear"
-    )
-
-
-def _keep_counts(hits: Column, per_category: int, per_file: int) -> Column:
-    """How many values of each category stay: at most ``per_category``; what a file has above
-    ``per_file`` is taken from the categories in name order."""
-    sizes = F.transform(
-        hits,
-        lambda h: F.struct(
-            h.category.alias("category"), F.least(F.size(h.vals), F.lit(per_category)).alias("n")
-        ),
-    )
-    total = F.aggregate(sizes, F.lit(0), lambda a, s: a + s.n)
-    before = lambda s: F.aggregate(
-        F.filter(sizes, lambda o: o.category < s.category), F.lit(0), lambda a, o: a + o.n
-    )
-    return F.transform(
-        sizes,
-        lambda s: F.greatest(
-            F.lit(0),
-            s.n - F.greatest(F.lit(0), F.least(s.n, total - F.lit(per_file) - before(s))),
-        ),
-    )
+    masked = F.expr(redact("category", "value"))
+    return matches.withColumn("redacted", masked).withColumnRenamed("value", "clear")
 
 
 def trim_reveal_hits(
-    hits: Column,
+    hits: str,
     per_category: int = fixed.REVEAL_PER_CATEGORY,
     per_file: int = fixed.REVEAL_PER_FILE,
-) -> Column:
-    """Bounded copy of a document's hits, computed inside the row."""
-    return F.zip_with(
+) -> str:
+    """Bounded copy of a document's hits, computed inside the row.
+
+    At most ``per_category`` values of each category stay. What a file then has above
+    ``per_file`` is taken from the ends of its categories, in name order.
+    """
+    total = lambda sizes: fold(sizes, "0", lambda a, s: f"{a} + {s}.n")
+
+    def cut(sizes: str) -> str:
+        def left_over(h: str, s: str) -> str:
+            before = total(keep(sizes, lambda o: f"{o}.category < {s}.category"))
+            excess = f"greatest(0, least({s}.n, {total(sizes)} - {per_file} - {before}))"
+            return struct(category=f"{h}.category", vals=f"slice({h}.vals, 1, {s}.n - {excess})")
+
+        return zipped(hits, sizes, left_over)
+
+    sizes = each(
         hits,
-        _keep_counts(hits, per_category, per_file),
-        lambda h, n: F.struct(
-            h.category.alias("category"), F.slice(h.vals, 1, n).alias("vals")
-        ),
+        lambda h: struct(category=f"{h}.category", n=f"least(size({h}.vals), {per_category})"),
     )
+    return let(sizes, cut)
 
 
 def trim_reveal_pairs(

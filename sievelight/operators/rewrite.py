@@ -2,51 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.redaction import redact
-from ..functions.text import file_extension, strip
+from ..functions.sql import each, each_at, fold, in_list, keep, struct
+from ..functions.text import file_extension
+from ..functions.validators import strip
 
 
-def replacements(hits: Column, per_category: int = fixed.REVEAL_PER_CATEGORY) -> Column:
-    """``array<struct<old, new>>`` to apply in order: longest values first, then the order in
-    which they were found. Values that redaction leaves unchanged are not replaced."""
-    ranked = F.flatten(
-        F.transform(
-            hits,
-            lambda h, c: F.transform(
-                F.array_distinct(
-                    F.transform(F.slice(h.vals, 1, per_category), lambda v: strip(v))
-                ),
-                lambda v, p: F.struct(
-                    (-F.octet_length(v)).alias("rank"),
-                    c.alias("c"),
-                    p.alias("p"),
-                    v.alias("old"),
-                    redact(h.category, v).alias("new"),
-                ),
+def replacements(hits: str, per_category: int = fixed.REVEAL_PER_CATEGORY) -> str:
+    """``array<struct<rank, c, p, old, new>>`` to apply in order: longest values first, then the
+    order in which they were found. Values that redaction leaves unchanged are not replaced."""
+    ranked = each_at(
+        hits,
+        lambda h, c: each_at(
+            f"array_distinct({each(f'slice({h}.vals, 1, {per_category})', strip)})",
+            lambda v, p: struct(
+                rank=f"-octet_length({v})", c=c, p=p, old=v, new=redact(f"{h}.category", v)
             ),
-        )
-    )
-    useful = F.filter(ranked, lambda r: (r.old != "") & (r.old != r.new))
-    return F.transform(
-        F.array_sort(useful), lambda r: F.struct(r.old.alias("old"), r.new.alias("new"))
+        ),
     )
+    useful = keep(f"flatten({ranked})", lambda r: f"{r}.old <> '' and {r}.old <> {r}.new")
+    return f"array_sort({useful})"
 
 
-def _replace_step(state: Column, pair: Column) -> Column:
-    count = F.when(
-        F.contains(state.text, pair.old),
-        (
-            (F.length(state.text) - F.length(F.replace(state.text, pair.old, F.lit(""))))
-            / F.length(pair.old)
-        ).cast("bigint"),
-    ).otherwise(0)
-    return F.struct(
-        F.replace(state.text, pair.old, pair.new).alias("text"),
-        (state.total + count).alias("total"),
+def _replace_step(state: str, pair: str) -> str:
+    text, old = f"{state}.text", f"{pair}.old"
+    count = f"(length({text}) - length(replace({text}, {old}, ''))) div length({old})"
+    return struct(
+        text=f"replace({text}, {old}, {pair}.new)", total=f"{state}.total + cast({count} as bigint)"
     )
 
 
@@ -64,19 +50,16 @@ def neutralize(
     the whole text, inside the row. With ``path_col`` only files with a text suffix are
     rewritten, others get nulls.
     """
-    start = F.struct(
-        F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("total")
-    )
-    folded = F.aggregate(F.col("_pairs"), start, _replace_step)
+    start = struct(text=text_col, total="0L")
+    done = f"case when size(_pairs) = 0 then {start} else {fold('_pairs', start, _replace_step)} end"
     if path_col:
-        allowed = file_extension(F.col(path_col)).isin(*fixed.NEUTRALIZABLE_EXTENSIONS)
-        folded = F.when(allowed, folded)
+        allowed = in_list(file_extension(path_col), fixed.NEUTRALIZABLE_EXTENSIONS)
+        done = f"case when {allowed} then {done} end"
+    kept = [f"`{c}`" for c in df.columns]
     return (
-        df.withColumn("_pairs", replacements(F.col(hits_col), per_category))
-        .withColumn("_done", folded)
-        .withColumn("redacted_text", F.col("_done.text"))
-        .withColumn("replaced_total", F.col("_done.total"))
-        .drop("_pairs", "_done")
+        df.selectExpr("*", f"{replacements(hits_col, per_category)} as _pairs")
+        .selectExpr(*kept, f"{done} as _done")
+        .selectExpr(*kept, "_done.text as redacted_text", "_done.total as replaced_total")
     )
 
 

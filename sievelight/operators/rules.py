@@ -11,8 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, file_name, find_all, keep_first, key_values, no_strings
-from .builtin import explode_hits
+from ..functions.sql import (
+    NO_STRINGS,
+    each,
+    find_all,
+    first_n,
+    keep,
+    lit,
+    struct,
+)
+from ..functions.text import file_name
+from .builtin import HITS_TYPE, explode_hits
 
 
 @dataclass(frozen=True)
@@ -76,11 +85,10 @@ def locale_matches(requirement: Column, locale: str) -> Column:
 def active_rules(rules: DataFrame, locale: str | None = None) -> DataFrame:
     """Enabled rules that fit the locale and have a pattern; ``locale=None`` admits all."""
     patterns = ["filename_regex", "field_name_regex", "value_regex"]
-    some = any_of(patterns, lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False)))
-    keep = F.col("enabled") & some
+    wanted = F.col("enabled") & (F.trim(F.concat_ws("", *patterns)) != "")
     if locale is not None:
-        keep = keep & locale_matches(F.col("locale_requirement"), locale)
-    return rules.filter(keep)
+        wanted = wanted & locale_matches(F.col("locale_requirement"), locale)
+    return rules.filter(wanted)
 
 
 def compile_rules(rules: DataFrame, locale: str | None = None, max_rules: int = 5_000) -> list[Rule]:
@@ -112,35 +120,47 @@ def compile_rules(rules: DataFrame, locale: str | None = None, max_rules: int =
     return out
 
 
-def field_pairs(text: Column, unicode: bool = False) -> Column:
+# The generic pair pattern of the fixed values, matched in linear time. A key is the end of a
+# whole run of key characters (80 of them at most), so a run without a separator behind it is
+# given up at once instead of from each of its characters. A run that ends in '-' before '>' is
+# a key followed by '->'.
+_KEY_CHAR = r"[A-Za-z0-9_\-.]"
+_PAIR = (
+    rf"(?:(?<!{_KEY_CHAR})|\G){_KEY_CHAR}{{2,}}+(?:\s*(?:[:=]|->)|(?<={_KEY_CHAR}{{2}}-)>)"
+    r"\s*[^\n\r]{1,300}"
+)
+_PAIR_PARTS = rf"(?s)^({_KEY_CHAR}+?)(?:\s*[:=]|\s*->)\s*(.*)$"
+
+
+def field_pairs(text: str) -> str:
     """The first generic ``key separator value`` pairs of a text."""
-    return F.slice(key_values(text, fixed.GENERIC_KV, unicode), 1, fixed.RULE_HITS_PER_PASS)
+    found = f"slice({find_all(text, _PAIR)}, 1, {fixed.RULE_HITS_PER_PASS})"
+    part = lambda m, g: f"regexp_extract({m}, {lit(_PAIR_PARTS)}, {g})"
+    return each(found, lambda m: struct(key=f"right({part(m, 1)}, 80)", value=part(m, 2)))
 
 
 def rule_values(
-    rule: Rule, text: Column, name: Column | None, pairs: Column, cap: int | None, unicode: bool
-) -> Column:
+    rule: Rule, text: str, name: str | None, pairs: str, cap: int | None, unicode: bool
+) -> str:
+    """Values of one rule: the file name, then fields, then text hits."""
     parts = []
-    if rule.filename_regex and name is not None:
+    if rule.filename_regex and name:
         parts.append(
-            F.when(name.rlike(rule.filename_regex), F.array(name)).otherwise(no_strings())
+            f"case when {name} rlike {lit(rule.filename_regex)} then array({name}) else {NO_STRINGS} end"
         )
     if rule.field_name_regex:
-        hits = F.filter(pairs, lambda kv: kv.key.rlike(rule.field_name_regex))
-        parts.append(F.transform(hits, lambda kv: kv.value))
+        fields = keep(pairs, lambda kv: f"{kv}.key rlike {lit(rule.field_name_regex)}")
+        parts.append(each(fields, lambda kv: f"{kv}.value"))
     if rule.value_regex:
-        parts.append(
-            F.slice(
-                find_all(text, rule.value_regex, 0, unicode), 1, fixed.RULE_HITS_PER_PASS
-            )
-        )
-    return keep_first(F.concat(*parts) if parts else no_strings(), cap)
+        found = find_all(text, rule.value_regex, 0, unicode)
+        parts.append(f"slice({found}, 1, {fixed.RULE_HITS_PER_PASS})")
+    return first_n(f"concat({', '.join(parts) or NO_STRINGS})", cap)
 
 
 def with_rule_hits(
     df: DataFrame,
     rules: Sequence[Rule],
-    text_col: str = "text",
+    text_col: str | None = "text",
     name_col: str | None = None,
     out: str = "custom_hits",
     *,
@@ -152,21 +172,23 @@ def with_rule_hits(
     Patterns are literals of the plan, so each compiles once per task. The generic key-value
     pairs are found once and shared by all field-name rules.
     """
-    name = file_name(F.col(name_col)) if name_col else None
-    pairs = F.col("_pairs")
-    entries = [
-        F.struct(
-            F.lit(r.name).alias("category"),
-            rule_values(r, F.col(text_col), name, pairs, cap, unicode).alias("vals"),
+    text = text_col or "cast(null as string)"
+    ordered = sorted(rules, key=lambda r: r.name)
+    entries = ", ".join(
+        struct(
+            category=lit(r.name),
+            vals=rule_values(r, text, "_name" if name_col else None, "_pairs", cap, unicode),
         )
-        for r in sorted(rules, key=lambda r: r.name)
-    ]
-    hits = F.filter(F.array(*entries), lambda h: F.size(h.vals) > 0) if entries else F.array()
+        for r in ordered
+    )
+    hits = keep(f"array({entries})", lambda h: f"size({h}.vals) > 0") if entries else "array()"
+    helpers = []
     if any(r.field_name_regex for r in rules):
-        df = df.withColumn("_pairs", field_pairs(F.col(text_col), unicode))
-    return df.withColumn(
-        out, hits.cast("array<struct<category:string,vals:array<string>>>")
-    ).drop("_pairs")
+        helpers.append(f"{field_pairs(text)} as _pairs")
+    if name_col:
+        helpers.append(f"{file_name(name_col)} as _name")
+    kept = [f"`{c}`" for c in df.columns if c != out]
+    return df.selectExpr("*", *helpers).selectExpr(*kept, f"cast({hits} as {HITS_TYPE}) as {out}")
 
 
 def detect_rules(

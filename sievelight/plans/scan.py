@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import no_strings, strings, suggestion_for
+from ..functions.sql import array, each, each_at, lit, struct
+from ..functions.sql import keep as keep_where
+from ..functions.text import suggestion_for
 from ..functions.values import value_hash
-from ..operators.builtin import HITS_TYPE, with_builtin_hits, with_file_signals
+from ..operators.builtin import EMPTY_HITS, with_builtin_hits, with_file_signals
 from ..operators.contextual import EntitySetting, with_contextual_hits
 from ..operators.findings import has_signal, with_risk
 from ..operators.merge import merge_hits, merge_matches
@@ -22,7 +24,6 @@ from ..sources.files import decode_text, read_files, text_if_not_binary
 from .session import lookup_join, pin
 
 MIB = 1 << 20
-_EMPTY_HITS = lambda: F.array().cast(HITS_TYPE)
 
 
 def _name_rules(rules: Sequence[Rule]) -> list[Rule]:
@@ -43,7 +44,7 @@ def _with_text_matches(
     rules: Sequence[Rule],
     entities: Sequence[EntitySetting],
     *,
-    secrets: Column | bool,
+    secrets: bool | str,
     phone_locale: str,
     unicode: bool,
     compat: bool,
@@ -60,7 +61,7 @@ def _with_text_matches(
     )
     if compat and name_col:
         df = df.withColumn(
-            "custom_hits", F.when(F.col("text").isNotNull(), F.col("custom_hits")).otherwise(_EMPTY_HITS())
+            "custom_hits", F.expr(f"case when text is not null then custom_hits else {EMPTY_HITS} end")
         )
     if not any(e.enabled for e in entities):
         return df
@@ -70,76 +71,65 @@ def _with_text_matches(
         source = "_ctx_text"
     df = with_contextual_hits(df, entities, source, unicode=unicode)
     return df.withColumn(
-        "custom_hits", merge_hits(F.col("custom_hits"), F.col("entity_hits"), custom=True)
+        "custom_hits", F.expr(merge_hits("custom_hits", "entity_hits", custom=True))
     ).drop("entity_hits", "_ctx_text")
 
 
 def _with_file_level(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Merge what the file itself shows (name, weak archive) into ``hits``/``custom_hits``."""
     df = with_file_signals(df, "path")
-    entry = lambda c, v: F.when(
-        F.size(v) > 0, F.array(F.struct(F.lit(c).alias("category"), v.alias("vals")))
-    ).otherwise(_EMPTY_HITS())
-    weak = F.when(F.col("weak_zip_encryption"), strings(["ZipCrypto"])).otherwise(no_strings())
-    df = df.withColumn(
-        "hits",
-        F.concat(
-            "hits",
-            entry("file_name_signal", F.col("file_signals")),
-            entry("weak_archive_encryption", weak),
-        ),
+    entry = lambda c, v: f"array({struct(category=lit(c), vals=v)})"
+    name_entry = entry("file_name_signal", "file_signals")
+    weak_entry = entry("weak_archive_encryption", "array('ZipCrypto')")
+    own = (
+        f"concat(hits, case when size(file_signals) > 0 then {name_entry} else {EMPTY_HITS} end, "
+        f"case when weak_zip_encryption then {weak_entry} else {EMPTY_HITS} end)"
     )
+    df = df.withColumn("hits", F.expr(own))
     named = _name_rules(rules)
     if named:
-        df = with_rule_hits(
-            df.withColumn("_no_text", F.lit(None).cast("string")), named, "_no_text", "path",
-            "_name_hits",
-        )
+        df = with_rule_hits(df, named, None, "path", "_name_hits")
         df = df.withColumn(
-            "custom_hits", merge_hits(F.col("_name_hits"), F.col("custom_hits"), custom=True)
-        ).drop("_name_hits", "_no_text")
+            "custom_hits", F.expr(merge_hits("_name_hits", "custom_hits", custom=True))
+        ).drop("_name_hits")
     return df
 
 
 def drop_ignored(
-    df: DataFrame, ignored: DataFrame, salt: str, id_col: str, bypass: Column | None = None
+    df: DataFrame, ignored: DataFrame, salt: str, id_col: str, bypass: str | None = None
 ) -> DataFrame:
     """Remove ignored values from ``hits``.
 
     Matches are exploded and anti-joined; each document also sends one row with its other
     columns, which cannot match, so documents without any value left survive. One shuffle by
-    ``id_col`` puts the rows together again; texts do not take part in it.
+    ``id_col`` puts the rows together again; texts do not take part in it. ``bypass`` names a
+    flag of documents whose text values are exempt.
     """
-    others = [c for c in df.columns if c not in ("hits", id_col)]
-    exempt = F.lit(False) if bypass is None else bypass
-    null = F.lit(None)
-    fields = lambda cat, pos, val: [
-        cat.cast("string").alias("category"),
-        pos.cast("bigint").alias("pos"),
-        val.cast("string").alias("value"),
-    ]
-    meta = F.struct(*others)
-    head = F.array(F.struct(*fields(null, null, null), meta.alias("meta"), null.cast("boolean").alias("free")))
-    rows = F.flatten(
-        F.transform(
-            "hits",
-            lambda h: F.transform(
-                h.vals,
-                lambda v, i: F.struct(
-                    *fields(h.category, i, v),
-                    F.when(F.lit(False), meta).alias("meta"),
-                    (
-                        (h.category == "weak_archive_encryption")
-                        | (exempt & (h.category != "file_name_signal"))
-                    ).alias("free"),
-                ),
+    others = ", ".join(f"`{c}`" for c in df.columns if c not in ("hits", id_col))
+    exempt = f"({bypass} and {{c}} <> 'file_name_signal')" if bypass else "false"
+    null = "cast(null as string)"
+    head = struct(
+        category=null, pos="cast(null as bigint)", value=null, meta=f"struct({others})",
+        free="true",
+    )
+    rows = each(
+        "hits",
+        lambda h: each_at(
+            f"{h}.vals",
+            lambda v, i: struct(
+                category=f"{h}.category",
+                pos=f"cast({i} as bigint)",
+                value=v,
+                meta=f"case when false then struct({others}) end",
+                free=f"({h}.category = 'weak_archive_encryption' or "
+                f"{exempt.format(c=f'{h}.category')})",
             ),
-        )
+        ),
     )
-    long = df.select(id_col, F.inline_outer(F.concat(head, rows)))
+    long = df.selectExpr(id_col, f"inline_outer(concat(array({head}), flatten({rows})))")
     hashed = long.withColumn(
         "value_hash",
-        F.when(~F.col("free"), value_hash(salt, F.col("category"), F.col("value"))),
+        F.expr(f"case when not free then {value_hash(salt, 'category', 'value')} end"),
     )
     keys = ignored.select("category", "value_hash").distinct()
     kept = lookup_join(hashed, keys, ["category", "value_hash"], "left_anti")
@@ -149,16 +139,16 @@ def drop_ignored(
     grouped = kept.groupBy(id_col).agg(
         F.first("meta", ignorenulls=True).alias("_meta"), listed.alias("_m")
     )
-    hits = F.transform(
-        F.array_intersect(
-            strings(fixed.CATEGORIES), F.transform("_m", lambda m: m.category)
-        ),
-        lambda c: F.struct(
-            c.alias("category"),
-            F.transform(F.filter("_m", lambda m: m.category == c), lambda m: m.value).alias("vals"),
-        ),
+
+    def values(c: str) -> str:
+        return each(keep_where("_m", lambda m: f"{m}.category = {c}"), lambda m: f"{m}.value")
+
+    found = each("_m", lambda m: f"{m}.category")
+    hits = each(
+        f"array_intersect({array(fixed.CATEGORIES)}, {found})",
+        lambda c: struct(category=c, vals=values(c)),
     )
-    return grouped.select(id_col, "_meta.*", hits.alias("hits"))
+    return grouped.selectExpr(id_col, "_meta.*", f"{hits} as hits")
 
 
 def scan(
@@ -188,7 +178,7 @@ def scan(
     if "weak_zip_encryption" not in df.columns:
         df = df.withColumn("weak_zip_encryption", F.lit(False))
     df = _with_text_matches(
-        df, rules, entities, secrets=F.col("secrets_enabled"), phone_locale=phone_locale,
+        df, rules, entities, secrets="secrets_enabled", phone_locale=phone_locale,
         unicode=unicode, compat=compat, **options,
     ).drop("text")
     return _report(df, "doc_id", rules, ignored, salt, keep)
@@ -200,7 +190,7 @@ def _report(
 ) -> DataFrame:
     df = _with_file_level(df, rules)
     if ignored is not None:
-        df = drop_ignored(df, ignored, salt, id_col, F.col(bypass) if bypass else None)
+        df = drop_ignored(df, ignored, salt, id_col, bypass)
     df = with_risk(
         df, rules, custom_hits="custom_hits", bonus="file_bonus", weak_zip="weak_zip_encryption",
         signals="file_signals", too_large="too_large",
@@ -214,7 +204,7 @@ def _report(
         "risk_score",
         "risk_level",
         "weak_zip_encryption",
-        suggestion_for(F.col("risk_level")).alias("suggestion"),
+        F.expr(suggestion_for("risk_level")).alias("suggestion"),
     )
 
 
@@ -304,7 +294,7 @@ def scan_files(
     files = read_files(spark, roots)
     small = files.filter(F.col("size") <= max_file_bytes)
     parts = _with_text_matches(
-        file_parts(small, extracted), rules, entities, secrets=F.col("secrets_enabled"),
+        file_parts(small, extracted), rules, entities, secrets="secrets_enabled",
         phone_locale=phone_locale, unicode=unicode, compat=compat,
         entities_allowed=~F.col("kind").isin("zip", "sheet"), **options,
     )
@@ -316,8 +306,8 @@ def scan_files(
         .join(audit.select("path", "weak_zip_encryption"), "path", "left")
         .withColumns(
             {
-                "hits": F.coalesce("hits", _EMPTY_HITS()),
-                "custom_hits": F.coalesce("custom_hits", _EMPTY_HITS()),
+                "hits": F.coalesce("hits", F.expr(EMPTY_HITS)),
+                "custom_hits": F.coalesce("custom_hits", F.expr(EMPTY_HITS)),
                 "weak_zip_encryption": F.coalesce("weak_zip_encryption", F.lit(False)),
                 "too_large": F.col("size") > max_file_bytes,
                 "bypass": F.col("content_kind").isin("zip", "sheet"),

@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, file_extension, file_name
+from ..functions.sql import any_of, lit
+from ..functions.text import file_extension, file_name
 
 
-def is_hidden_path(path: Column) -> Column:
+def is_hidden_path(path: str) -> Column:
     """Any component starts with a dot ('.' and '..' themselves do not count)."""
-    return path.rlike(r"(?:^|/)\.(?!\.?(?:/|$))")
+    return F.col(path).rlike(r"(?:^|/)\.(?!\.?(?:/|$))")
 
 
-def is_ignored_extension(path: Column, suffixes: Sequence[str] = tuple(fixed.IGNORED_SUFFIXES)) -> Column:
-    name = file_name(path)
-    return any_of(list(suffixes), lambda s: name.endswith(s))
+def is_ignored_extension(path: str, suffixes: Sequence[str] = tuple(fixed.IGNORED_SUFFIXES)) -> Column:
+    """File name ends in one of the suffixes of unfinished downloads. ``path`` is a column name."""
+    return F.expr(any_of(f"endswith({file_name(path)}, {lit(s)})" for s in suffixes))
 
 
-def is_in_watched_dirs(path: Column, roots: Sequence[str]) -> Column:
-    """Component-wise prefix test against a few roots."""
+def is_in_watched_dirs(path: str, roots: Sequence[str]) -> Column:
+    """Component-wise prefix test against a few roots. ``path`` is a column name."""
     clean = [r.rstrip("/") for r in roots]
-    return any_of(clean, lambda r: (path == r) | path.startswith(r + "/"))
+    return F.expr(
+        any_of(f"({path} = {lit(r)} or startswith({path}, {lit(r + '/')}))" for r in clean)
+    )
 
 
 def read_file_inventory(
@@ -63,7 +66,7 @@ def read_file_inventory(
     if out is None:
         out = spark.createDataFrame([], "path string, size bigint, mtime timestamp")
     return out.filter(
-        ~is_hidden_path(F.col("path")) & ~is_ignored_extension(F.col("path"), ignored_suffixes)
+        ~is_hidden_path("path") & ~is_ignored_extension("path", ignored_suffixes)
     )
 
 
@@ -101,7 +104,7 @@ def content_kind(ext: Column) -> Column:
 def route_by_extension(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Add ``ext, content_kind, secrets_enabled``."""
     return (
-        df.withColumn("ext", file_extension(F.col(path_col)))
+        df.withColumn("ext", F.expr(file_extension(path_col)))
         .withColumn("content_kind", content_kind(F.col("ext")))
         .withColumn("secrets_enabled", ~F.col("ext").isin(*fixed.TECHNICAL_EXTENSIONS))
     )
@@ -131,7 +134,7 @@ def read_files(spark: SparkSession, roots: Sequence[str], **options) -> DataFram
         out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("no root given")
-    shown = out.filter(~is_hidden_path(F.col("path")) & ~is_ignored_extension(F.col("path")))
+    shown = out.filter(~is_hidden_path("path") & ~is_ignored_extension("path"))
     return route_by_extension(shown)
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import file_extension
+
 
 def _setting_bytes(spark: SparkSession, key: str) -> int:
     return int(spark.conf.get(key).lower().removesuffix("b"))
@@ -45,13 +47,11 @@ def scan_table_text(
 
     Only the named columns are read. ``size`` is the text's bytes, ``path`` defaults to null.
     """
-    from ..functions.text import file_extension
-
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     return df.select(
         F.col(id_col).alias("doc_id"),
         path.alias("path"),
-        F.coalesce(file_extension(path), F.lit("")).alias("ext"),
+        F.expr(f"coalesce({file_extension(path_col)}, '')" if path_col else "''").alias("ext"),
         F.octet_length(text_col).cast("bigint").alias("size"),
         F.col(text_col).alias("text"),
         F.lit(True).alias("secrets_enabled"),

@@ -21,15 +21,20 @@ from ..operators.rules import Rule
 from ..operators.store import append_scans, file_id_of, reminder_rows, upsert_files
 from ..plans.scan import as_scans, scan, signals_only
 from ..plans.session import checkpoint_dir
-from ..sources.files import is_hidden_path, is_ignored_extension, is_in_watched_dirs
+from ..sources.files import (
+    is_hidden_path,
+    is_ignored_extension,
+    is_in_watched_dirs,
+    route_by_extension,
+)
 
 
 def visible_changes(changes: DataFrame, roots: Sequence[str] = ()) -> DataFrame:
     """Changes of visible, finished files below the roots."""
     kept = changes.filter(
-        F.col("is_file") & ~is_hidden_path(F.col("path")) & ~is_ignored_extension(F.col("path"))
+        F.col("is_file") & ~is_hidden_path("path") & ~is_ignored_extension("path")
     )
-    return kept.filter(is_in_watched_dirs(F.col("path"), roots)) if roots else kept
+    return kept.filter(is_in_watched_dirs("path", roots)) if roots else kept
 
 
 def change_stream(spark: SparkSession, path: str, roots: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
@@ -137,9 +142,6 @@ def read_contents(stable: DataFrame) -> DataFrame:
     For files that the executors see under the same path (a shared folder). The file is read by
     the task that holds its row.
     """
-    from ..functions.text import file_extension
-    from ..sources.files import route_by_extension
-
     @F.udf("struct<text:string,error:string>")
     def load(path: str):
         try:
@@ -149,7 +151,7 @@ def read_contents(stable: DataFrame) -> DataFrame:
             return None, str(error)
         return (None if b"\0" in data else data.decode("utf-8", errors="replace")), None
 
-    routed = route_by_extension(stable.withColumn("ext", file_extension(F.col("path"))))
+    routed = route_by_extension(stable)
     return (
         routed.withColumn("_c", load(F.col("path")))
         .withColumns({"text": F.col("_c.text"), "error": F.col("_c.error"), "doc_id": file_id_of(F.col("path"))})
