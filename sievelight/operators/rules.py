@@ -35,25 +35,34 @@ class Rule:
     value_regex: str | None = None
 
 
-def _java_pattern_error(spark: SparkSession, pattern: str) -> str | None:
+def _rejected(spark: SparkSession, patterns: Sequence[str]) -> str | None:
+    """Why Spark does not accept one of the patterns, None when it accepts all."""
+    tests = ", ".join(f"regexp_like('', {lit(p)})" for p in patterns)
     try:
-        spark.range(1).select(F.regexp_like(F.lit(""), F.lit(pattern))).collect()
+        spark.sql(f"select {tests}").collect()
     except PySparkException as error:
         return str(error).splitlines()[0]
     return None
 
 
-def validate_rule_regex(spark: SparkSession, pattern: str) -> str | None:
-    """None when the pattern is usable, otherwise what is wrong with it."""
-    p = pattern.strip()
-    if not p:
+def _out_of_bounds(pattern: str) -> str | None:
+    if not pattern:
         return "empty regex"
-    if len(p.encode("utf-8")) > fixed.RULE_REGEX_MAX_BYTES:
+    if len(pattern.encode("utf-8")) > fixed.RULE_REGEX_MAX_BYTES:
         return f"regex too long (max {fixed.RULE_REGEX_MAX_BYTES} bytes)"
-    if p.count("|") > fixed.RULE_REGEX_MAX_ALTERNATIVES:
+    if pattern.count("|") > fixed.RULE_REGEX_MAX_ALTERNATIVES:
         return f"too many alternatives (max {fixed.RULE_REGEX_MAX_ALTERNATIVES})"
-    error = _java_pattern_error(spark, p)
-    return f"invalid regex: {error}" if error else None
+    return None
+
+
+def validate_rule_regex(spark: SparkSession, pattern: str) -> str | None:
+    """None when the pattern is usable, otherwise what is wrong with it."""
+    p = pattern.strip()
+    error = _out_of_bounds(p)
+    if error is None:
+        rejected = _rejected(spark, [p])
+        error = rejected and f"invalid regex: {rejected}"
+    return error
 
 
 def locale_parts(locale: Column) -> tuple[Column, Column]:
@@ -105,19 +114,17 @@ def compile_rules(rules: DataFrame, locale: str | None = None, max_rules: int =
     )
     if len(rows) > max_rules:
         raise ValueError(f"more than {max_rules} active rules")
+    fields = ("filename_regex", "field_name_regex", "value_regex")
+    found = [{f: (r[f] or "").strip() or None for f in fields} for r in rows]
+    every = [p for named in found for p in named.values() if p]
     spark = rules.sparkSession
-    out = []
-    for r in rows:
-        named = {
-            f: (r[f] or "").strip() or None
-            for f in ("filename_regex", "field_name_regex", "value_regex")
-        }
-        for field, pattern in named.items():
-            error = pattern and validate_rule_regex(spark, pattern)
-            if error:
-                raise ValueError(f"rule {r['id']}, {field}: {error}")
-        out.append(Rule(r["id"], r["risk_level"], **named))
-    return out
+    if any(_out_of_bounds(p) for p in every) or (every and _rejected(spark, every)):
+        for r, named in zip(rows, found):
+            for field, pattern in named.items():
+                error = pattern and validate_rule_regex(spark, pattern)
+                if error:
+                    raise ValueError(f"rule {r['id']}, {field}: {error}")
+    return [Rule(r["id"], r["risk_level"], **named) for r, named in zip(rows, found)]
 
 
 # The generic pair pattern of the fixed values, matched in linear time. A key is the end of a

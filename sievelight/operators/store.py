@@ -174,20 +174,26 @@ def reminder_rows(
     )
 
 
-def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``existing`` plus the rows of ``new`` whose key is free; first by ``order`` wins."""
+def insert_or_ignore(
+    existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None
+) -> DataFrame:
+    """``existing`` plus the rows of ``new`` whose key is free.
+
+    With ``order`` the first of several new rows with one key wins; without it the keys of
+    ``new`` must be unique.
+    """
     columns = existing.columns
-    first = new.groupBy(*keys).agg(
-        F.min_by(F.struct(*columns), F.struct(order, *[c for c in columns if c != order])).alias("r")
-    ).select("r.*")
-    return existing.unionByName(first.join(existing.select(*keys), keys, "left_anti"))
+    if order is not None:
+        rank = F.struct(order, *[c for c in columns if c != order])
+        new = new.groupBy(*keys).agg(F.min_by(F.struct(*columns), rank).alias("r")).select("r.*")
+    return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"))
 
 
 def schedule_reminders(reminders: DataFrame, alerts: DataFrame, now: Column, **thresholds) -> DataFrame:
     """Reminders with those of newly alerted files added; existing ones keep their date."""
-    return insert_or_ignore(
-        reminders, reminder_rows(alerts, now, **thresholds), ["file_id", "threshold"], "due_at"
-    )
+    first = alerts.groupBy("file_id").agg(F.min(now).alias("now"))
+    new = reminder_rows(first, F.col("now"), **thresholds)
+    return insert_or_ignore(reminders, new, ["file_id", "threshold"])
 
 
 def due_reminders(reminders: DataFrame, files: DataFrame, now: int) -> DataFrame:

@@ -14,14 +14,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a fresh local folder is
     made.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return folder
 
 

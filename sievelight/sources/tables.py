@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_extension
 
-
-def _setting_bytes(spark: SparkSession, key: str) -> int:
-    return int(spark.conf.get(key).lower().removesuffix("b"))
+DEFAULT_SPLIT = 128 << 20
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, split_bytes: int = DEFAULT_SPLIT) -> DataFrame:
     """Split a small input over all cores; leave a large one as its file splits.
 
-    A file with a single row group is read by one task however many cores are free. Inputs with
-    fewer bytes than one split per core are therefore hashed by ``keys`` over the cores. Larger
-    inputs already fill the cluster and are not shuffled.
+    A file with a single row group is read by one task however many cores are free. Inputs that
+    Spark's statistics put below one split per core are therefore hashed by ``keys`` over the
+    cores. Larger inputs already fill the cluster and are not shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _setting_bytes(spark, "spark.sql.files.maxPartitionBytes")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for name in df.inputFiles():
-        path = hadoop.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-        if math.ceil(total / split) >= cores:
-            return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size.toString()) >= cores * split_bytes:
+        return df
     return df.repartition(cores, *keys)
 
 

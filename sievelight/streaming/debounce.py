@@ -133,7 +133,7 @@ def debounce_batch(
     *,
     quiet_seconds: int = QUIET_SECONDS,
     cap_seconds: int = CAP_SECONDS,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int = 3_600,
 ) -> DataFrame:
     """The event-time result of :func:`debounce` for a table of changes.
 

@@ -36,7 +36,7 @@ def _named(aggregates: dict[str, Column]) -> list[Column]:
 
 
 def session_ids(
-    events: DataFrame, key: str, ts: str, quiet_seconds: float, bucket_seconds: int = 86_400
+    events: DataFrame, key: str, ts: str, quiet_seconds: float, bucket_seconds: int = 3_600
 ) -> DataFrame:
     """Add ``_t`` (microseconds) and ``_session`` (start of the event's session) to a table.
 
@@ -91,7 +91,7 @@ def session_batch(
     ts: str,
     quiet_seconds: float,
     *,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int = 3_600,
     **aggregates: Column,
 ) -> DataFrame:
     """The sessions of a table: ``key, session_start, session_end, n_events`` and aggregates."""
