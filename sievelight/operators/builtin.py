@@ -58,7 +58,7 @@ def key_values(text: str, pattern: str, unicode: bool = False) -> str:
 
     Keys never hold a separator, so each hit splits at its first one.
     """
-    split_at = lit(r"(?s)^(.+?)\s*(?:[:=]|->)\s*(.*)$")
+    split_at = lit(("(?U)" if unicode else "") + r"(?s)^(.+?)\s*(?:[:=]|->)\s*(.+)$")
     return each(
         find_all(text, pattern, 0, unicode),
         lambda m: struct(

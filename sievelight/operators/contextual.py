@@ -35,9 +35,10 @@ _SUFFIX = "(?:" + "|".join(fixed.ORG_SUFFIXES) + ")"
 
 # Runs of capitalised words, matched without backtracking into the run, so that very long runs
 # cannot overflow the regex engine's stack. An organisation is the part of a run (with the
-# suffix that follows it) up to the last suffix that stands after white space.
+# suffix that follows it) up to the last suffix that stands after white space. "GmbH" begins like
+# a word of its own, so its last letter is added to a run that ends in "Gmb".
 _RUN = rf"{_WORD}(?:\s+{_WORD})*+"
-_ORG_RUN = rf"{_RUN}(?:(?<=\sGmb)H|\s+{_SUFFIX})?"
+_ORG_RUN = rf"{_WORD}(?:(?:\s+{_WORD})++(?:(?<=\sGmb)H|\s+{_SUFFIX})?|\s+{_SUFFIX})?"
 _ORG_IN_RUN = rf"(?s)^.+\s{_SUFFIX}"
 
 

@@ -136,7 +136,7 @@ _PAIR = (
     rf"(?:(?<!{_KEY_CHAR})|\G){_KEY_CHAR}{{2,}}+(?:\s*(?:[:=]|->)|(?<={_KEY_CHAR}{{2}}-)>)"
     r"\s*[^\n\r]{1,300}"
 )
-_PAIR_PARTS = rf"(?s)^({_KEY_CHAR}+?)(?:\s*[:=]|\s*->)\s*(.*)$"
+_PAIR_PARTS = rf"(?s)^({_KEY_CHAR}+?)(?:\s*[:=]|\s*->)\s*(.+)$"
 
 
 def field_pairs(text: str) -> str:

@@ -19,7 +19,7 @@ def spread(df: DataFrame, *keys: str, split_bytes: int = DEFAULT_SPLIT) -> DataF
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) >= cores * split_bytes:
+    if int(str(size)) >= cores * split_bytes:
         return df
     return df.repartition(cores, *keys)
 
