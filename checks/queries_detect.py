@@ -457,6 +457,32 @@ for _entity in ("person", "organization", "location"):
     )
 
 
+def _entity_rows(entity: str, docs: str) -> str:
+    """Values of one entity in the long form of rule matches."""
+    return (
+        f"select doc_id, entity as category, row_number() over (partition by doc_id order by k) - 1 as pos, value "
+        f"from (with {_entity_sql(entity, docs, PROFILE[entity]).strip()})"
+    )
+
+
+@query(
+    "scan_with_entities",
+    f"""with {PROFILES}, m as materialized ({D.matches('profiles')}),
+    nn as (select null::bigint as doc_id, 0 as i, '' as value, 0 as score where false),
+    custom as ({_rules_sql(PROFILE_RULES[2:], 'profiles')} union all ({_entity_rows('organization', 'profiles')})
+               union all ({_entity_rows('location', 'profiles')})),
+    {D.risk_report('profiles', 'm', 'custom', 'nn', {r.name: r.risk_level for r in PROFILE_RULES})}
+    select doc_id, risk_score, risk_level, findings, custom_findings, reasons from report""",
+)
+def scan_with_entities(spark, sf):
+    entities = [
+        EntitySetting(n, ENTITIES[n].positive, ENTITIES[n].negative, PROFILE[n])
+        for n in ("organization", "location")
+    ]
+    corpus = scan_table_text(profiles(spark, sf), "doc_id", "text")
+    return _flat_report(scan(corpus, rules=PROFILE_RULES[2:], entities=entities))
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 

@@ -37,7 +37,13 @@ from sievelight.operators.rewrite import neutralize
 from sievelight.operators.rules import compile_rules
 from sievelight.plans.scan import scan
 from sievelight.plans.session import pin
-from sievelight.sources.archives import audit_zip_encryption, docx_text, expand_zip, zip_texts
+from sievelight.sources.archives import (
+    audit_zip_encryption,
+    docx_text,
+    expand_zip,
+    zip_budget,
+    zip_texts,
+)
 from sievelight.sources.catalog import load_rules
 from sievelight.sources.files import (
     decode_text,
@@ -938,6 +944,30 @@ def zip_scan(spark, sf):
     )
 
 
+_ENTRIES = {
+    "path": "concat('/z/', l_suppkey::string, '.zip')",
+    "part": "l_orderkey * 10 + l_linenumber",
+    "size": "(l_quantity * 1000)::bigint",
+    "encrypted": "l_linenumber = 6",
+    "line": "l_partkey",
+}
+
+
+@query(
+    "zip_budget",
+    f"""with e as ({corpora.select(_ENTRIES, 'lineitem')}),
+    n as (select *, row_number() over (partition by path order by part, line) as no from e),
+    t as (select *, sum(case when encrypted then 0 else size end) over (partition by path order by part, line) as total from n where no <= 600)
+    select path, count(*) as n, sum(size)::bigint as bytes from t
+    where not encrypted and total <= 900000 and size <= 45000 group by path""",
+)
+def zip_budget_query(spark, sf):
+    entries = table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ENTRIES.items()])
+    ordered = entries.withColumn("at", F.struct("part", "line"))
+    kept = zip_budget(ordered, order="at", max_total_bytes=900_000, max_entry_bytes=45_000)
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
 def _docx(texts: pd.Series) -> pd.Series:
     def build(text: str) -> bytes:
         out = io.BytesIO()

@@ -27,8 +27,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# columns that tell rows apart, to spread the larger tables over the cores
+_ROW_KEYS = {
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "orders": ["o_orderkey"],
+    "events": ["event_id"],
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, *_ROW_KEYS[name]) if name in _ROW_KEYS else df
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +52,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Order notes ``doc_id, text``."""
-    source = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    source = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return source.selectExpr(*[f"{e} as {n}" for n, e in corpora.order_note_columns().items()])
 
 

@@ -72,8 +72,13 @@ def any_of(tests: Iterable[str]) -> str:
     return f"({joined})" if joined else "false"
 
 
-def in_list(value: str, names: Iterable[str]) -> str:
-    return f"{value} in ({', '.join(lit(n) for n in names)})"
+def in_list(value: str, names: Iterable[str | int]) -> str:
+    """Membership in a few constants, as equalities: inside lambdas Spark evaluates a short IN
+    list far more slowly than these. Long lists become hash sets."""
+    values = [lit(n) if isinstance(n, str) else str(n) for n in names]
+    if len(values) > 10:
+        return f"{value} in ({', '.join(values)})"
+    return any_of(f"{value} = {v}" for v in values)
 
 
 def contains_any(text: str, parts: Iterable[str]) -> str:
@@ -82,12 +87,9 @@ def contains_any(text: str, parts: Iterable[str]) -> str:
 
 def lookup(key: str, table: dict[str, object], default: str) -> str:
     """Constant table as a CASE; numbers stay numbers."""
-    by_value: dict[object, list[str]] = {}
-    for k, v in table.items():
-        by_value.setdefault(v, []).append(k)
     value = lambda v: lit(v) if isinstance(v, str) else str(v)
-    arms = " ".join(f"when {in_list(key, ks)} then {value(v)}" for v, ks in by_value.items())
-    return f"(case {arms} else {default} end)" if arms else default
+    arms = " ".join(f"when {lit(k)} then {value(v)}" for k, v in table.items())
+    return f"(case {key} {arms} else {default} end)" if arms else default
 
 
 def find_all(text: str, pattern: str, group: int = 0, unicode: bool = False) -> str:

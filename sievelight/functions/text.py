@@ -35,7 +35,7 @@ def normalize_pua(text: str) -> str:
 
 def suggestion_for(level: str) -> str:
     return (
-        f"case when {level} in ('critical', 'high') then {lit(fixed.SUGGESTION_HIGH)} "
+        f"case when {in_list(level, ['critical', 'high'])} then {lit(fixed.SUGGESTION_HIGH)} "
         f"when {level} = 'medium' then {lit(fixed.SUGGESTION_MEDIUM)} "
         f"else {lit(fixed.SUGGESTION_LOW)} end"
     )
@@ -66,7 +66,7 @@ def is_internet_url(url: str) -> str:
         r"^\[(?:::1?|0*(?::0*){6}:0*1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$"
     )
     return (
-        f"case when {scheme} in ('http', 'https') and {host} <> '' then not ({host} = 'localhost' "
+        f"case when {in_list(scheme, ['http', 'https'])} and {host} <> '' then not ({host} = 'localhost' "
         f"or endswith({host}, '.local') or ({host} rlike {lit(v4)} and {host} rlike {lit(local_v4)}) "
         f"or {host} rlike {lit(local_v6)}) end"
     )

@@ -62,13 +62,13 @@ def card_network_ok(v: str) -> str:
     head = lambda k: f"try_cast(left({v}, {k}) as int)"
     return (
         f"({plausible_digits(v)} and ("
-        f"(startswith({v}, '4') and {n} in (13, 16, 19))"
+        f"(startswith({v}, '4') and {in_list(n, [13, 16, 19])})"
         f" or ({n} = 16 and ({head(2)} between 51 and 55 or {head(4)} between 2221 and 2720"
         f" or {head(4)} between 3528 and 3589))"
-        f" or ({n} = 15 and {head(2)} in (34, 37))"
-        f" or ({n} in (16, 19) and ({head(4)} = 6011 or {head(2)} = 65"
+        f" or ({n} = 15 and {in_list(head(2), [34, 37])})"
+        f" or ({in_list(n, [16, 19])} and ({head(4)} = 6011 or {head(2)} = 65"
         f" or {head(3)} between 644 and 649))"
-        f" or ({n} = 14 and ({head(3)} between 300 and 305 or {head(2)} in (36, 38, 39)))))"
+        f" or ({n} = 14 and ({head(3)} between 300 and 305 or {in_list(head(2), [36, 38, 39])}))))"
     )
 
 
@@ -104,7 +104,8 @@ def looks_like_secret_value(v: str) -> str:
 
 
 def looks_like_secret_key(key: str) -> str:
-    return f"({in_list(f'''translate(lower({key}), '_-', '')''', fixed.SECRET_KEY_NAMES)})"
+    plain = f"translate(lower({key}), '_-', '')"
+    return f"({in_list(plain, fixed.SECRET_KEY_NAMES)})"
 
 
 def calendar_text(text: str) -> str:

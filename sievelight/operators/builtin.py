@@ -45,8 +45,19 @@ _ADDRESS_WORDS = ["addr", "adresse", "direccion", "anschrift", "street", "rue",
 _POSTAL_WORDS = ["postal", "postcode", "zip", "plz", "الرمز"]
 _BIRTH_WORDS = ["naissance", "dob", "birth", "geburtsdatum", "nacimiento", "الميلاد"]
 
-# a digit ahead is checked before the costlier word boundary
+
+
+def _starting(pattern: str, letters: str) -> str:
+    """The keyword pattern with its possible first letters tested before the costlier word
+    boundary."""
+    return f"(?i)(?=[{letters}])" + pattern.removeprefix("(?i)")
+
+
 _IPV4 = r"(?=\d)" + fixed.IPV4
+_SECRET_KV = _starting(fixed.SECRET_KV, "axritscp")
+_DEVICE_HINT = _starting(fixed.DEVICE_HINT, "udmiga")
+_ADDRESS_KV = _starting(fixed.ADDRESS_KV, "adsrcع")
+_BIRTH_DATE = _starting(fixed.BIRTH_DATE, "dnbgfت")
 
 
 def _has_separator(text: str) -> str:
@@ -169,7 +180,7 @@ def cookies(pairs: str) -> str:
 
 def device_guids(text: str, unicode: bool = False) -> str:
     """GUIDs, only in texts that mention a device identifier."""
-    hint = ("(?U)" if unicode else "") + fixed.DEVICE_HINT
+    hint = ("(?U)" if unicode else "") + _DEVICE_HINT
     found = let(
         f"slice({find_all(text, fixed.GUID, 0, unicode)}, 1, {fixed.GUIDS_PER_TEXT})",
         lambda g: guarded(f"size({g}) > 0 and {text} rlike {lit(hint)}", g),
@@ -201,7 +212,7 @@ def secret_values(text: str, low: str, unicode: bool = False) -> str:
             f"({V.looks_like_secret_key(k)} and {V.looks_like_secret_value(f'{kv}.value')}))",
         )
 
-    pairs = keep(key_values(text, fixed.SECRET_KV, unicode), accept)
+    pairs = keep(key_values(text, _SECRET_KV, unicode), accept)
     return guarded(
         f"{_has_separator(text)} and {_mentions(low, _SECRET_WORDS, unicode)}",
         each(pairs, lambda kv: f"{kv}.value"),
@@ -241,7 +252,7 @@ def extra_secrets(text: str, patterns: Sequence[str], unicode: bool = False) ->
 def addresses(text: str, low: str, unicode: bool = False) -> str:
     return guarded(
         f"{contains_any(text, [':', '='])} and {_mentions(low, _ADDRESS_WORDS, unicode)}",
-        each(keep(find_all(text, fixed.ADDRESS_KV, 1, unicode), V.address_value_ok), V.strip),
+        each(keep(find_all(text, _ADDRESS_KV, 1, unicode), V.address_value_ok), V.strip),
     )
 
 
@@ -255,7 +266,7 @@ def postal_codes(text: str, low: str, unicode: bool = False) -> str:
 def birth_dates(text: str, low: str, unicode: bool = False) -> str:
     return guarded(
         _mentions(low, _BIRTH_WORDS, unicode),
-        each(find_all(text, fixed.BIRTH_DATE, 1, unicode), V.strip),
+        each(find_all(text, _BIRTH_DATE, 1, unicode), V.strip),
     )
 
 

@@ -17,6 +17,7 @@ from ..functions.sql import (
     NO_STRINGS,
     each,
     fold,
+    in_list,
     keep,
     lit,
     lookup,
@@ -63,7 +64,7 @@ def _hash_like(h: str) -> str:
     """At least half of the first ten cookie or user-id values look like hashes."""
     first = f"slice({h}.vals, 1, 10)"
     return (
-        f"({h}.category in ('cookie', 'user_id') and "
+        f"({in_list(f'{h}.category', ['cookie', 'user_id'])} and "
         f"size({keep(first, looks_like_hash)}) * 2 >= size({first}))"
     )
 

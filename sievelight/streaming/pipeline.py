@@ -143,7 +143,7 @@ def read_contents(stable: DataFrame) -> DataFrame:
     the task that holds its row.
     """
     @F.udf("struct<text:string,error:string>")
-    def load(path: str):
+    def load(path):
         try:
             with open(path, "rb") as handle:
                 data = handle.read()
