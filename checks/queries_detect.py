@@ -433,7 +433,7 @@ def _entity_sql(entity: str, docs: str, threshold: float) -> str:
           {words('left(text, (stop - length(value))::int)')}[-5:], {words('substr(text, stop::int + 1)')}[:5]) as ctx
         from placed where {accept}),
       judged as (select *, {score} as confidence from around)
-      select doc_id, '{entity}' as entity, k::int as k, value, round(confidence, 4) as confidence,
+      select doc_id, '{entity}' as entity, (row_number() over (partition by doc_id order by k) - 1)::int as k, value, round(confidence, 4) as confidence,
              (stop_byte - strlen(value))::bigint as start_byte, stop_byte::bigint as end_byte
       from judged where confidence >= {threshold}::double"""
 

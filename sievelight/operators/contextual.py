@@ -157,7 +157,7 @@ def _confidence(context: str, value: str, setting: EntitySetting) -> str:
 
 
 def _context(words: str, c: str) -> str:
-    """Up to five words on either side of a match, partial words at its edges included."""
+    """Up to five words on either side of a place, partial words at its edges included."""
     plain = lambda ws: keep(each(ws, _unmark), lambda w: f"{w} <> ''")
     i, j = f"{c}.s.i", f"{c}.e.i"
     before = (
@@ -172,15 +172,15 @@ def _context(words: str, c: str) -> str:
     return f"concat({before}, {after})"
 
 
-_FOUND_TYPE = "array<struct<k:int,value:string,confidence:double>>"
+_FOUND_TYPE = "array<struct<value:string,confidence:double>>"
 
 
 def _values(text: str, entity: str, u: str) -> str:
+    """One value per run of the pattern, empty for a run without an organisation."""
     runs = find_all(text, u + _run_pattern(entity))
     if entity != "organization":
         return runs
-    inside = each(runs, lambda run: f"regexp_extract({run}, {lit(u + _ORG_IN_RUN)}, 0)")
-    return keep(inside, lambda v: f"{v} <> ''")
+    return each(runs, lambda run: f"regexp_extract({run}, {lit(u + _ORG_IN_RUN)}, 0)")
 
 
 def _marked(text: str, entity: str, u: str) -> str:
@@ -191,19 +191,16 @@ def _marked(text: str, entity: str, u: str) -> str:
     )
     if entity != "organization":
         return marked
-    # the mark moves to the end of the organisation; a run without one loses its marks
-    split_run = rf"{_OPEN}([^{_CLOSE}]*\s{_SUFFIX})?([^{_CLOSE}]*){_CLOSE}"
-    moved = f"regexp_replace({marked}, {lit(split_run)}, {lit(_OPEN + '$1' + _CLOSE + '$2')})"
-    return f"replace({moved}, {lit(_OPEN + _CLOSE)}, '')"
+    # the closing mark moves to the end of the organisation
+    split_run = rf"{_OPEN}([^{_CLOSE}]*\s{_SUFFIX})([^{_CLOSE}]*){_CLOSE}"
+    return f"regexp_replace({marked}, {lit(split_run)}, {lit(_OPEN + '$1' + _CLOSE + '$2')})"
 
 
 def with_entity_candidates(
     df: DataFrame, setting: EntitySetting, text_col: str, out: str, unicode: bool = False
 ) -> DataFrame:
-    """Add ``array<struct<k, value, confidence>>`` of the matches that reach the threshold.
-
-    ``k`` numbers the pattern's matches in the text from 0.
-    """
+    """Add ``array<struct<value, confidence>>`` with one element per run of the pattern: the
+    match when it reaches the threshold, else null."""
     entity = setting.entity_type
     u = "(?U)" if unicode else ""
     splitter = lit(u + r"\s+")
@@ -213,35 +210,38 @@ def with_entity_candidates(
         _places("_words", _CLOSE, _ends),
         lambda s, e: struct(s=s, e=e),
     )
-    candidates = zipped(
-        each_at("_values", lambda v, k: struct(k=k, v=v)),
-        places,
-        lambda m, p: struct(k=f"{m}.k", value=f"{m}.v", s=f"{p}.s", e=f"{p}.e"),
-    )
     threshold = setting.threshold if setting.threshold is not None else _DEFAULT_THRESHOLD[entity]
-    scored = each(
-        keep("_cands", lambda c: _accept(f"{c}.value", entity)),
-        lambda c: struct(
-            k=f"{c}.k",
-            value=f"{c}.value",
-            confidence=let(
-                _context("_words", c), lambda x: _confidence(x, f"{c}.value", setting)
-            ),
-        ),
-    )
-    found = keep(scored, lambda d: f"{d}.confidence >= {threshold!r}D")
+
+    def judge(value: str, place: str) -> str:
+        def decide(confidence: str) -> str:
+            found = struct(value=value, confidence=confidence)
+            return f"case when {confidence} >= {threshold!r}D then {found} end"
+
+        scored = let(
+            let(_context("_words", place), lambda x: _confidence(x, value, setting)), decide
+        )
+        return f"case when {_accept(value, entity)} then {scored} end"
+
     kept = [f"`{c}`" for c in df.columns]
+    none = f"cast(array() as {_FOUND_TYPE})"
     return (
         df.selectExpr("*", f"{_values(text_col, entity, u)} as _values")
         .selectExpr("*", f"case when size(_values) > 0 then {words} end as _words")
-        .selectExpr("*", f"case when size(_values) > 0 then {candidates} end as _cands")
-        .selectExpr(*kept, f"coalesce({found}, cast(array() as {_FOUND_TYPE})) as {out}")
+        .selectExpr("*", f"case when size(_values) > 0 then {places} end as _places")
+        .selectExpr(
+            *kept,
+            f"cast(coalesce({zipped('_values', '_places', judge)}, {none}) as {_FOUND_TYPE}) as {out}",
+        )
     )
 
 
 _KNOWN = ("person", "organization", "location")
 
 
+def _used(entities: Sequence[EntitySetting]) -> list[EntitySetting]:
+    return [e for e in entities if e.enabled and e.entity_type in _KNOWN]
+
+
 def with_contextual_hits(
     df: DataFrame,
     entities: Sequence[EntitySetting],
@@ -250,15 +250,16 @@ def with_contextual_hits(
     unicode: bool = False,
 ) -> DataFrame:
     """Add entity matches as ``array<struct<category, vals>>``, settings in the given order."""
-    used = [e for e in entities if e.enabled and e.entity_type in _KNOWN]
+    used = _used(entities)
+    kept = [f"`{c}`" for c in df.columns]
     for n, e in enumerate(used):
         df = with_entity_candidates(df, e, text_col, f"_entity{n}", unicode)
+    accepted = lambda n: keep(f"_entity{n}", lambda d: f"{d} is not null")
     entries = ", ".join(
-        struct(category=lit(e.entity_type), vals=each(f"_entity{n}", lambda d: f"{d}.value"))
+        struct(category=lit(e.entity_type), vals=each(accepted(n), lambda d: f"{d}.value"))
         for n, e in enumerate(used)
     )
     hits = keep(f"array({entries})", lambda h: f"size({h}.vals) > 0") if entries else EMPTY_HITS
-    kept = [f"`{c}`" for c in df.columns if not c.startswith("_entity")]
     return df.selectExpr(*kept, f"cast({hits} as {HITS_TYPE}) as {out}")
 
 
@@ -272,61 +273,68 @@ def detect_contextual(
     unicode: bool = False,
 ) -> DataFrame:
     """Entities in long form: ``entity, k, value, confidence``, with ``spans`` also
-    ``start_byte, end_byte``.
+    ``start_byte, end_byte``. ``k`` numbers a document's detections of one kind from 0.
 
-    Spans come from a running sum of match and gap lengths per document. Only lengths and
-    values are shuffled for that, never texts.
+    All kinds are found in one pass over the texts. Spans come from a running sum of the lengths
+    of matches and gaps; for that, lengths and values are shuffled by document, never texts.
     """
+    used = _used(entities)
+    if not used:
+        raise ValueError("no enabled contextual entity")
     base = df.select(id_col, text_col)
-    out = None
-    for e in entities:
-        if not e.enabled or e.entity_type not in _KNOWN:
-            continue
-        found = with_entity_candidates(base, e, text_col, "_found", unicode)
-        rows = (
-            found.select(id_col, F.inline_outer("_found"))
-            .filter(F.col("value").isNotNull())
-            .select(id_col, F.lit(e.entity_type).alias("entity"), "k", "value", "confidence")
+    for n, e in enumerate(used):
+        base = with_entity_candidates(base, e, text_col, f"_entity{n}", unicode)
+    if spans:
+        return _with_spans(base, used, text_col, id_col, unicode)
+    rows = []
+    for n, e in enumerate(used):
+        accepted = keep(f"_entity{n}", lambda d: f"{d} is not null")
+        rows.append(
+            each_at(
+                accepted,
+                lambda d, k, e=e: struct(
+                    entity=lit(e.entity_type), k=k, value=f"{d}.value", confidence=f"{d}.confidence"
+                ),
+            )
         )
-        if spans:
-            rows = rows.join(_spans(base, e.entity_type, text_col, id_col, unicode), [id_col, "k"])
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no enabled contextual entity")
-    return out
+    return base.selectExpr(id_col, f"inline_outer(concat({', '.join(rows)}))").filter(
+        F.col("value").isNotNull()
+    )
 
 
-def _spans(base: DataFrame, entity: str, text_col: str, id_col: str, unicode: bool) -> DataFrame:
+def _with_spans(
+    base: DataFrame, used: Sequence[EntitySetting], text_col: str, id_col: str, unicode: bool
+) -> DataFrame:
     u = "(?U)" if unicode else ""
-    pattern = u + _run_pattern(entity)
-    size = lambda r: f"octet_length(coalesce({r}, ''))"
-    found = (
-        (lambda r: f"octet_length(regexp_extract(coalesce({r}, ''), {lit(u + _ORG_IN_RUN)}, 0))")
-        if entity == "organization"
-        else size
-    )
-    pieces = zipped(
-        f"split({text_col}, {lit(pattern)}, -1)",
-        "_runs",
-        lambda g, r: struct(
-            gap=f"cast({size(g)} as bigint)",
-            run=f"cast({size(r)} as bigint)",
-            size=f"cast({found(r)} as bigint)",
-        ),
-    )
-    order = W.partitionBy(id_col).orderBy("pos")
-    laid = (
-        base.selectExpr("*", f"{find_all(text_col, pattern)} as _runs")
-        .selectExpr(id_col, f"posexplode_outer({pieces}) as (pos, p)")
-        .select(id_col, "pos", "p.*")
-        .withColumn("run_end", F.sum(F.col("gap") + F.col("run")).over(order))
-        .filter(F.col("size") > 0)
-        .withColumn("start_byte", F.col("run_end") - F.col("run"))
-        .withColumn("end_byte", F.col("start_byte") + F.col("size"))
-    )
-    return laid.select(
-        id_col,
-        (F.row_number().over(order) - 1).cast("int").alias("k"),
-        "start_byte",
-        "end_byte",
+    size = lambda r: f"cast(octet_length(coalesce({r}, '')) as bigint)"
+    pieces = []
+    for n, e in enumerate(used):
+        pattern = u + _run_pattern(e.entity_type)
+        lengths = zipped(
+            f"split({text_col}, {lit(pattern)}, -1)",
+            find_all(text_col, pattern),
+            lambda g, r: struct(gap=size(g), run=size(r)),
+        )
+        pieces.append(
+            let(
+                zipped(lengths, f"_entity{n}", lambda p, d: struct(p=p, d=d)),
+                lambda ps, e=e: each_at(
+                    ps,
+                    lambda x, i: struct(
+                        entity=lit(e.entity_type), pos=i, gap=f"{x}.p.gap", run=f"{x}.p.run",
+                        value=f"{x}.d.value", confidence=f"{x}.d.confidence",
+                    ),
+                ),
+            )
+        )
+    order = W.partitionBy(id_col, "entity").orderBy("pos")
+    end = F.col("start_byte") + F.octet_length("value")
+    return (
+        base.selectExpr(id_col, f"inline_outer(concat({', '.join(pieces)}))")
+        .withColumn("start_byte", F.sum(F.col("gap") + F.col("run")).over(order) - F.col("run"))
+        .filter(F.col("value").isNotNull())
+        .withColumn("k", (F.row_number().over(order) - 1).cast("int"))
+        .select(
+            id_col, "entity", "k", "value", "confidence", "start_byte", end.cast("bigint").alias("end_byte")
+        )
     )

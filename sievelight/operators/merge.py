@@ -35,19 +35,22 @@ def merge_hits(*lists: str, custom: bool = False) -> str:
 
 
 def merge_matches(
-    parts: DataFrame, key: str, order: str, hits: str = "hits", custom_hits: str = "custom_hits"
+    parts: DataFrame, key: str, order: str, *flags: str, hits: str = "hits",
+    custom_hits: str = "custom_hits",
 ) -> DataFrame:
     """One row per ``key`` from the hits of its parts (archive entries, sheets) in ``order``.
 
-    Only matches are shuffled. Caps apply per part, not to the merged list.
+    ``flags`` are boolean columns, true when they are for any part. Only matches are shuffled.
+    Caps apply per part, not to the merged list.
     """
     collected = F.array_sort(F.collect_list(F.struct(order, hits, custom_hits)))
     flat = lambda name: f"flatten({each('_parts', lambda p: f'{p}.{name}')})"
     return (
         parts.groupBy(key)
-        .agg(collected.alias("_parts"))
+        .agg(collected.alias("_parts"), *[F.bool_or(f).alias(f) for f in flags])
         .selectExpr(
             key,
+            *flags,
             f"{merge_hits(flat(hits))} as {hits}",
             f"{merge_hits(flat(custom_hits), custom=True)} as {custom_hits}",
         )

@@ -19,7 +19,7 @@ from ..operators.findings import has_signal, with_risk
 from ..operators.merge import merge_hits, merge_matches
 from ..operators.rules import Rule, with_rule_hits
 from ..operators.store import file_id_of
-from ..sources.archives import audit_zip_encryption, docx_text, expand_zip, zip_texts
+from ..sources.archives import docx_text, expand_zip, is_text_entry
 from ..sources.files import decode_text, read_files, text_if_not_binary
 from .session import lookup_join, pin
 
@@ -238,12 +238,11 @@ def as_scans(reports: DataFrame, scanned_at: Column) -> DataFrame:
     )
 
 
-def file_parts(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
-    """Texts found in files: ``path, part, kind, secrets_enabled, text``.
+def file_parts(files: DataFrame, docx: DataFrame, zips: DataFrame) -> DataFrame:
+    """Texts found in files: ``path, part, kind, secrets_enabled, text, weak_zip_encryption``.
 
     Text files and unknown files without NUL bytes are one part, DOCX files too, archives one
-    per text entry. ``extracted(path, part, text)`` adds texts from elsewhere (PDF text, image
-    text, sheets) under the kind of their file.
+    per text entry, with one part without text that carries the result of the audit.
     """
     plain = files.filter(F.col("content_kind").isin("text", "other")).select(
         "path",
@@ -253,23 +252,19 @@ def file_parts(files: DataFrame, extracted: DataFrame | None = None) -> DataFram
         F.when(F.col("content_kind") == "text", decode_text(F.col("content")))
         .otherwise(text_if_not_binary(F.col("content")))
         .alias("text"),
+        F.lit(False).alias("weak_zip_encryption"),
     )
-    docx = docx_text(files.filter(F.col("content_kind") == "docx")).select(
+    written = docx_text(docx).select(
         "path", F.array(F.lit(0)).alias("part"), F.lit("docx").alias("kind"),
-        F.lit(True).alias("secrets_enabled"), "text",
+        F.lit(True).alias("secrets_enabled"), "text", F.lit(False).alias("weak_zip_encryption"),
     )
-    zipped = zip_texts(expand_zip(files.filter(F.col("content_kind") == "zip"))).select(
-        "path", "part", F.lit("zip").alias("kind"), F.lit(True).alias("secrets_enabled"), "text"
+    entries = expand_zip(zips, audit=True).filter(F.col("entry").isNull() | is_text_entry("entry"))
+    zipped = entries.select(
+        "path", "part", F.lit("zip").alias("kind"), F.lit(True).alias("secrets_enabled"),
+        text_if_not_binary(F.col("content")).alias("text"),
+        (F.coalesce("zip_encryption", F.lit("")) == "zipcrypto").alias("weak_zip_encryption"),
     )
-    out = plain.unionByName(docx).unionByName(zipped)
-    if extracted is not None:
-        kinds = files.select("path", F.col("content_kind").alias("kind"))
-        out = out.unionByName(
-            extracted.join(kinds, "path").select(
-                "path", "part", "kind", F.lit(True).alias("secrets_enabled"), "text"
-            )
-        )
-    return out.filter(F.col("text").isNotNull())
+    return plain.unionByName(written).unionByName(zipped)
 
 
 def scan_files(
@@ -289,27 +284,41 @@ def scan_files(
 ) -> DataFrame:
     """Score every visible file below the roots, one row per file.
 
-    Parts are scanned where their bytes are; only matches are shuffled, by path.
+    Parts are scanned where their bytes are; only matches are shuffled, by path. Files are
+    opened once, archives and DOCX files by a reader of their own. ``extracted(path, part,
+    text)`` adds texts from elsewhere (PDF text, image text, sheets) under the kind of their
+    file.
     """
+    small = F.col("size") <= max_file_bytes
     files = read_files(spark, roots)
-    small = files.filter(F.col("size") <= max_file_bytes)
-    parts = _with_text_matches(
-        file_parts(small, extracted), rules, entities, secrets="secrets_enabled",
+    parts = file_parts(
+        files.filter(small),
+        read_files(spark, roots, "docx").filter(small),
+        read_files(spark, roots, "zip").filter(small),
+    )
+    if extracted is not None:
+        kinds = files.select("path", F.col("content_kind").alias("kind"))
+        parts = parts.unionByName(
+            extracted.join(kinds, "path").select(
+                "path", "part", "kind", F.lit(True).alias("secrets_enabled"), "text",
+                F.lit(False).alias("weak_zip_encryption"),
+            )
+        )
+    found = _with_text_matches(
+        parts, rules, entities, secrets="secrets_enabled",
         phone_locale=phone_locale, unicode=unicode, compat=compat,
         entities_allowed=~F.col("kind").isin("zip", "sheet"), **options,
     )
-    merged = merge_matches(parts, "path", "part")
-    audit = audit_zip_encryption(small.filter(F.col("content_kind") == "zip"))
+    merged = merge_matches(found, "path", "part", "weak_zip_encryption")
     df = (
         files.select("path", "size", "mtime", "content_kind")
         .join(merged, "path", "left")
-        .join(audit.select("path", "weak_zip_encryption"), "path", "left")
         .withColumns(
             {
                 "hits": F.coalesce("hits", F.expr(EMPTY_HITS)),
                 "custom_hits": F.coalesce("custom_hits", F.expr(EMPTY_HITS)),
                 "weak_zip_encryption": F.coalesce("weak_zip_encryption", F.lit(False)),
-                "too_large": F.col("size") > max_file_bytes,
+                "too_large": ~small,
                 "bypass": F.col("content_kind").isin("zip", "sheet"),
             }
         )

@@ -115,8 +115,18 @@ def file_size_gate(size: Column, max_file_bytes: int) -> Column:
     return size > max_file_bytes
 
 
-def read_files(spark: SparkSession, roots: Sequence[str], **options) -> DataFrame:
-    """Visible files with their bytes: ``path, size, mtime, content, ext, content_kind, ...``."""
+def extension_glob(ext: str) -> str:
+    """Glob for files of one extension in any case."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in ext)
+
+
+def read_files(spark: SparkSession, roots: Sequence[str], ext: str | None = None) -> DataFrame:
+    """Visible files with their bytes: ``path, size, mtime, content, ext, content_kind, ...``.
+
+    With ``ext`` only files of that extension are opened. Filters on ``size`` reach the reader;
+    without ``content`` in the query only names and metadata are read.
+    """
+    options = {"pathGlobFilter": extension_glob(ext)} if ext else {}
     out = None
     for root in roots:
         found = (
