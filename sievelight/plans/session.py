@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -39,7 +40,7 @@ def pin(df: DataFrame, *columns: str) -> DataFrame:
 def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
     """True when ``df`` is proven to hold at most that many rows and bytes.
 
-    Reads no more than ``max_rows + 1`` rows.
+    Reads no more than ``max_rows + 1`` rows, in a small job at the time the plan is built.
     """
     size = (
         df.limit(max_rows + 1)
@@ -70,7 +71,11 @@ def lookup_join(
     """
     if fits(right, max_rows):
         return left.join(F.broadcast(right), on, how)
-    rest = [c for c in left.columns if c not in on]
+    rest = [
+        f.name
+        for f in left.schema.fields
+        if f.name not in on and isinstance(f.dataType, T.AtomicType)
+    ]
     salted_left = left.withColumn(
         "_salt", F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)).cast("int")
     )

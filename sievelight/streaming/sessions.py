@@ -50,7 +50,7 @@ def session_ids(
     by_bucket = W.partitionBy(key).orderBy("_bucket")
 
     laid = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_bucket", F.floor(F.col("_t") / F.lit(bucket_seconds * micros))
+        "_bucket", F.expr(f"_t div {bucket_seconds * micros}L")
     )
     last_before = (
         laid.groupBy(*cell)
