@@ -22,7 +22,13 @@ from sievelight.operators.builtin import (
 )
 from sievelight.operators.contextual import EntitySetting, detect_contextual, split_indicators
 from sievelight.operators.findings import summarize_long
-from sievelight.operators.rules import Rule, compile_rules, detect_rules, field_rule
+from sievelight.operators.rules import (
+    Rule,
+    compile_rules,
+    detect_rules,
+    field_rule,
+    with_rule_hits,
+)
 from sievelight.plans.scan import scan, signals_only
 from sievelight.sources.catalog import load_rules
 from sievelight.sources.tables import scan_table_text, spread
@@ -106,20 +112,21 @@ _scan_query("scan_pages", _pages, "pg as (select page_id as doc_id, html as text
 @query(
     "scan_conversations",
     f"""with t as (select conv_id * 1000 + turn as doc_id, role, text from conversations),
-    m as ({D.matches('t')})
-    select role, category, count(*) as n, count(distinct doc_id) as n_docs
-    from m join t using (doc_id) group by all""",
+    m as ({D.matches('t')}), n as (select doc_id, count(*) as n from m group by doc_id)
+    select role, count(*) as n_turns, count(n) as n_found, coalesce(sum(n), 0)::bigint as n_values
+    from t left join n using (doc_id) group by role""",
 )
 def scan_conversations(spark, sf):
     turns = spread(
-        table(spark, sf, "conversations").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text"
-        ),
-        "doc_id",
+        table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn"
     )
-    found = explode_hits(with_builtin_hits(turns), ["doc_id", "role"])
-    return found.groupBy("role", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
+    counted = with_builtin_hits(turns).selectExpr(
+        "role", "aggregate(hits, 0L, (n, h) -> n + size(h.vals)) as n"
+    )
+    return counted.groupBy("role").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.count_if(F.col("n") > 0).alias("n_found"),
+        F.sum("n").alias("n_values"),
     )
 
 
@@ -369,6 +376,30 @@ def rules_all_documents(spark, sf):
     )
 
 
+DOCUMENT_RULES = [
+    Rule("hex_token", "high", field_name_regex="^token$", value_regex=r"\b[0-9a-f]{40}\b"),
+    Rule("long_number", "medium", value_regex=r"\b\d{16}\b"),
+    Rule("mail_host", "low", value_regex=r"(?i)@mail\d\.[a-z.]+"),
+]
+
+
+@query(
+    "rules_documents",
+    f"""with {DOCS}, m as ({_rules_sql(DOCUMENT_RULES, 'docs')})
+    select source, lang, category, count(*) as n, count(distinct doc_id) as n_docs
+    from m join documents using (doc_id) group by all""",
+)
+def rules_documents(spark, sf):
+    docs = spread(
+        table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id"
+    )
+    hits = with_rule_hits(docs, DOCUMENT_RULES, "text")
+    found = explode_hits(hits, ["doc_id", "source", "lang"], "custom_hits", "custom")
+    return found.groupBy("source", "lang", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
+    )
+
+
 _FILE_RULES = [
     Rule("exports", "medium", filename_regex=r"(?i)(?:export|paie|scan)"),
     Rule("office", "low", filename_regex=r"\.(?:csv|json)$"),

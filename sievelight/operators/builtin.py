@@ -305,13 +305,18 @@ def text_values(
     text: str,
     pairs: str,
     low: str,
+    digit: str = "true",
     *,
     secrets: str = "true",
     phone_locale: str = "other",
     extra_secret_patterns: Sequence[str] = (),
     unicode: bool = False,
 ) -> dict[str, str]:
-    """Category -> expression of its accepted values. ``pairs`` comes from :func:`id_pairs`."""
+    """Category -> expression of its accepted values.
+
+    ``pairs`` comes from :func:`id_pairs`; ``digit`` tells whether the text holds a digit, without
+    which the number patterns cannot match.
+    """
     gated = f"concat({jwts(text, unicode)}, {extra_secrets(text, extra_secret_patterns, unicode)})"
     secret = (
         f"concat({secret_values(text, low, unicode)}, {bearer_tokens(text, low, unicode)}, "
@@ -319,13 +324,13 @@ def text_values(
     )
     return {
         "email": emails(text, unicode),
-        "phone": phones(text, phone_locale, unicode),
-        "iban": ibans(text, unicode),
-        "credit_card": cards(text, unicode),
-        "ip_address": public_ips(text, unicode),
+        "phone": guarded(digit, phones(text, phone_locale, unicode)),
+        "iban": guarded(digit, ibans(text, unicode)),
+        "credit_card": guarded(digit, cards(text, unicode)),
+        "ip_address": guarded(digit, public_ips(text, unicode)),
         "address": addresses(text, low, unicode),
         "postal_code": postal_codes(text, low, unicode),
-        "date_of_birth": birth_dates(text, low, unicode),
+        "date_of_birth": guarded(digit, birth_dates(text, low, unicode)),
         "cookie": cookies(pairs),
         "user_id": user_ids(pairs, text, unicode),
         "secret": secret,
@@ -362,6 +367,7 @@ def with_builtin_hits(
         text_col,
         "_pairs",
         "_low",
+        "_digit",
         secrets=secrets if isinstance(secrets, str) else str(secrets).lower(),
         phone_locale=phone_locale,
         extra_secret_patterns=extra_secret_patterns,
@@ -369,9 +375,13 @@ def with_builtin_hits(
     )
     wanted = [c for c in values if categories is None or c in categories]
     hits = as_hits({c: first_n(values[c], cap) for c in wanted})
-    # texts in lower case and pairs are used several times, so they are columns of their own
+    # what several detectors use is computed once, in columns of its own
+    any_digit = lit("(?U)\\d" if unicode else "[0-9]")
     return df.selectExpr(
-        "*", f"lower({text_col}) as _low", f"{id_pairs(text_col, unicode)} as _pairs"
+        "*",
+        f"lower({text_col}) as _low",
+        f"{text_col} rlike {any_digit} as _digit",
+        f"{id_pairs(text_col, unicode)} as _pairs",
     ).selectExpr(*[f"`{c}`" for c in df.columns], f"{hits} as {out}")
 
 
