@@ -150,15 +150,20 @@ def ibans(text: str, unicode: bool = False) -> str:
     return keep(find_all(text, fixed.IBAN, 0, unicode), V.iban_ok)
 
 
-def phones(text: str, phone_locale: str = "other", unicode: bool = False) -> str:
-    return keep(
-        find_all(text, fixed.PHONE, 0, unicode), lambda v: V.phone_ok(v, phone_locale)
-    )
+def long_numbers(text: str, unicode: bool = False) -> str:
+    """Runs of digits and separators: the candidates for phone numbers. Every card number lies
+    in one, so a text without them holds no cards either."""
+    return find_all(text, fixed.PHONE, 0, unicode)
+
+
+def phones(numbers: str, phone_locale: str = "other") -> str:
+    return keep(numbers, lambda v: V.phone_ok(v, phone_locale))
 
 
-def cards(text: str, unicode: bool = False) -> str:
+def cards(text: str, numbers: str, unicode: bool = False) -> str:
     """Payment cards, as digits only."""
-    return keep(each(find_all(text, fixed.CARD, 0, unicode), V.digits_only), V.card_ok)
+    found = each(find_all(text, fixed.CARD, 0, unicode), V.digits_only)
+    return guarded(f"size({numbers}) > 0", keep(found, V.card_ok))
 
 
 def id_pairs(text: str, unicode: bool = False) -> str:
@@ -304,6 +309,7 @@ def with_file_signals(df: DataFrame, path_col: str = "path") -> DataFrame:
 def text_values(
     text: str,
     pairs: str,
+    numbers: str,
     low: str,
     digit: str = "true",
     *,
@@ -314,8 +320,8 @@ def text_values(
 ) -> dict[str, str]:
     """Category -> expression of its accepted values.
 
-    ``pairs`` comes from :func:`id_pairs`; ``digit`` tells whether the text holds a digit, without
-    which the number patterns cannot match.
+    ``pairs`` comes from :func:`id_pairs`, ``numbers`` from :func:`long_numbers`; ``digit`` tells
+    whether the text holds a digit, without which the number patterns cannot match.
     """
     gated = f"concat({jwts(text, unicode)}, {extra_secrets(text, extra_secret_patterns, unicode)})"
     secret = (
@@ -324,9 +330,9 @@ def text_values(
     )
     return {
         "email": emails(text, unicode),
-        "phone": guarded(digit, phones(text, phone_locale, unicode)),
+        "phone": phones(numbers, phone_locale),
         "iban": guarded(digit, ibans(text, unicode)),
-        "credit_card": guarded(digit, cards(text, unicode)),
+        "credit_card": cards(text, numbers, unicode),
         "ip_address": guarded(digit, public_ips(text, unicode)),
         "address": addresses(text, low, unicode),
         "postal_code": postal_codes(text, low, unicode),
@@ -366,6 +372,7 @@ def with_builtin_hits(
     values = text_values(
         text_col,
         "_pairs",
+        "_numbers",
         "_low",
         "_digit",
         secrets=secrets if isinstance(secrets, str) else str(secrets).lower(),
@@ -377,12 +384,13 @@ def with_builtin_hits(
     hits = as_hits({c: first_n(values[c], cap) for c in wanted})
     # what several detectors use is computed once, in columns of its own
     any_digit = lit("(?U)\\d" if unicode else "[0-9]")
-    return df.selectExpr(
+    helpers = df.selectExpr(
         "*",
         f"lower({text_col}) as _low",
         f"{text_col} rlike {any_digit} as _digit",
         f"{id_pairs(text_col, unicode)} as _pairs",
-    ).selectExpr(*[f"`{c}`" for c in df.columns], f"{hits} as {out}")
+    ).selectExpr("*", f"{guarded('_digit', long_numbers(text_col, unicode))} as _numbers")
+    return helpers.selectExpr(*[f"`{c}`" for c in df.columns], f"{hits} as {out}")
 
 
 def explode_hits(
