@@ -36,6 +36,7 @@ _ROW_KEYS = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times of the tables are UTC
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return spread(df, *_ROW_KEYS[name]) if name in _ROW_KEYS else df
 

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_extension
 
-DEFAULT_SPLIT = 128 << 20
-
-
-def spread(df: DataFrame, *keys: str, split_bytes: int = DEFAULT_SPLIT) -> DataFrame:
+def spread(
+    df: DataFrame, *keys: str, split_bytes: int = 128 << 20, max_bytes: int = 4 << 30
+) -> DataFrame:
     """Split a small input over all cores; leave a large one as its file splits.
 
     A file with a single row group is read by one task however many cores are free. Inputs that
-    Spark's statistics put below one split per core are therefore hashed by ``keys`` over the
-    cores. Larger inputs already fill the cluster and are not shuffled.
+    Spark's statistics put below one split per core, and below ``max_bytes``, are therefore
+    hashed by ``keys`` over the cores. Larger inputs have splits enough and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * split_bytes:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= min(cores * split_bytes, max_bytes):
         return df
     return df.repartition(cores, *keys)
 

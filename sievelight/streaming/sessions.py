@@ -40,6 +40,8 @@ def session_ids(
 ) -> DataFrame:
     """Add ``_t`` (microseconds) and ``_session`` (start of the event's session) to a table.
 
+    Rows need a key and a time.
+
     Events are laid out by key and time bucket, so a key that holds a large part of all events
     is worked on by many tasks. What happens at bucket borders is settled on one row per key and
     bucket: first the last event before a bucket, then the session that runs into it.
