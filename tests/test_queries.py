@@ -27,3 +27,9 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["doc_id", "risk_score", "risk_level"]
     assert df.count() == 200
+
+
+def test_worker_code_travels_with_the_query():
+    from pyspark import cloudpickle
+
+    assert {"checks", "sievelight"} <= set(cloudpickle.list_registry_pickle_by_value())
