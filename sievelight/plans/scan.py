@@ -284,10 +284,10 @@ def scan_files(
 ) -> DataFrame:
     """Score every visible file below the roots, one row per file.
 
-    Parts are scanned where their bytes are; only matches are shuffled, by path. Files are
-    opened once, archives and DOCX files by a reader of their own. ``extracted(path, part,
-    text)`` adds texts from elsewhere (PDF text, image text, sheets) under the kind of their
-    file.
+    Parts are scanned where their bytes are; only matches are shuffled, by path. One pass reads
+    the files; archives and DOCX files are read once more, by readers that see only them.
+    ``extracted(path, part, text)`` adds texts from elsewhere (PDF text, image text, sheets)
+    under the kind of their file.
     """
     small = F.col("size") <= max_file_bytes
     files = read_files(spark, roots)
