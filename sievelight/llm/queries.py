@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules
-from .common import staged, word_count
+from . import chat, mixing, quality_rules, simhash, substrings
+from .common import WORD, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,46 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("_loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"), width=3, max_bits=2)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+@query(
+    "op7_substring_dedup",
+    f"""
+    with d as (
+        select doc_id, coalesce({WORDS}, []) as w from documents
+    ), k as (
+        select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i, w from d
+    ), x as (
+        select doc_id, i, word, case when i + 12 <= len(w) then array_to_string(w[i:i + 12], ' ') end as win from k
+    ), m as (
+        select win, min(doc_id) as first from x where win is not null group by win
+    ), y as (
+        select x.doc_id, i, word, max(case when first < x.doc_id then 1 else 0 end) over (
+            partition by x.doc_id order by i rows between 12 preceding and current row) as gone
+        from x left join m on x.win = m.win
+    ), z as (
+        select doc_id, count(*) as n_words, sum(gone) as n_removed,
+            string_agg(word, ' ' order by i) filter (gone = 0) as kept
+        from y group by doc_id
+    )
+    select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+        sha256(coalesce(kept, '')) as kept_sha256
+    from d left join z on d.doc_id = z.doc_id
+    """,
+)
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = substrings.remove_repeated_passages(docs)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    kept = F.sha2(F.array_join(words, " "), 256).alias("kept_sha256")
+    return done.select("doc_id", "n_words", "n_removed", kept)
