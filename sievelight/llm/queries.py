@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules, simhash, substrings
+from . import bpe, chat, mixing, quality_rules, simhash, substrings, tokens
 from .common import WORD, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,38 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     kept = F.sha2(F.array_join(words, " "), 256).alias("kept_sha256")
     return done.select("doc_id", "n_words", "n_removed", kept)
+
+
+def vocabulary(name: str) -> str:
+    """Place of an installed public vocabulary; elsewhere a path is handed to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(
+        F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).alias("key"),
+        "text",
+    )
+    counted = tokens.token_counts(docs, vocabulary("byte_bpe_50k.json"), id="key")
+    return counted.select(
+        "key.doc_id", F.col("key.n").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit")
+    )
+
+
+@query("op8_bpe_round_trip")
+def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return digests(bpe.encode_documents(docs, vocabulary("word_bpe_49k.json")))
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Digests of the ids and texts of an encoded frame."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
