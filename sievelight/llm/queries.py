@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality_rules, simhash, substrings, tokens
+from . import bpe, chat, mixing, quality_rules, simhash, substrings, tokens, topk
 from .common import WORD, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,26 @@ def digests(encoded: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op2_top_k",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+        from embeddings
+        where embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), s as (
+        select q.vec_id as query_id, c.vec_id,
+            list_inner_product(q.v, c.v)::bigint as score
+        from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+    ), r as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+    )
+    select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+    """,
+)
+def op2_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("values"))
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
