@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality_rules, simhash, substrings, tokens, topk
+from . import bpe, chat, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk
 from .common import WORD, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,14 @@ def digests(encoded: DataFrame) -> DataFrame:
 def op2_top_k(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("values"))
     return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    extracted = pages.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
