@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, connect
+from checks.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -16,10 +17,10 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    ok, note = compare(df, con, entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    ok, note = compare(df, con, SQL[name])
     assert ok, note
 
 
