@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, without
+from .common import staged, unused
 from .components import components
 
 _SEGMENT = 32
@@ -129,14 +129,14 @@ def first_of_each(
 
     Rows that share this id are told apart by a hash of id and text, and the smallest one stays.
     """
-    plain = without(docs, "_fp", "_hash")
+    key, mark = unused(docs, "_key"), unused(docs, "_hash")
     hashed = F.xxhash64(F.col(id), F.col(text))
-    fps = fingerprints(plain.withColumn("_key", F.struct(F.col(id).alias("i"), hashed.alias("h"))), id="_key", text=text, width=width)
-    rows = staged(fps.select("fp", "_key.i", "_key.h"), "fingerprints")
-    groups = classes(rows.withColumnRenamed("i", id), id, max_bits)
+    keyed = docs.select(F.struct(F.col(id).alias("i"), hashed.alias("h")).alias(key), F.col(text))
+    fps = fingerprints(keyed, id=key, text=text, width=width)
+    rows = staged(fps.select("fp", f"{key}.i", f"{key}.h"), "fingerprints")
+    groups = classes(rows.select(F.col("i").alias("id"), "fp"), "id", max_bits)
+    group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("fp"), "fp"))
     order = F.struct(F.col("i").isNull(), "i", "h")
-    kept = rows.join(groups, "fp").groupBy(F.coalesce(F.col("component").cast("string"), F.concat(F.lit("fp"), "fp"))).agg(
-        F.min(order).alias("k")
-    ).select(F.col("k.h").alias("_hash")).distinct()
-    marked = plain.withColumn("_hash", hashed)
-    return marked.join(kept, "_hash").dropDuplicates(["_hash"]).drop("_hash").select(*docs.columns)
+    firsts = rows.join(groups, "fp").groupBy(group).agg(F.min(order).alias("k"))
+    kept = firsts.select(F.col("k.h").alias(mark)).distinct()
+    return docs.withColumn(mark, hashed).join(kept, mark).dropDuplicates([mark]).select(*docs.columns)

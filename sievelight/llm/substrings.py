@@ -305,7 +305,7 @@ def remove_repeated_passages(
     smaller integer id; windows are those of the input. A null id is larger than any other and no
     smaller than itself; rows with equal ids do not repeat each other. Null texts stay null with 0 words; texts
     shorter than a window stay as they are. All rows and columns are returned, except that input columns
-    named ``n_words`` or ``n_removed`` are replaced.
+    named ``n_words`` or ``n_removed`` are replaced and ones named ``_doc``, ``_text`` or ``_zip`` left out.
     """
     plain = without(docs, "n_words", "n_removed", "_doc", "_text", "_zip")
     doc = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("_doc")
