@@ -28,7 +28,7 @@ from .common import without
 #: Characters on which NFC changes nothing and the installed regex module, ``str.lower`` and the
 #: tokenizer library agree; texts with others are normalised and split by the library.
 ALIKE = r"[\x00-˿ -⁯]"
-_TABLE = 400_000  # words a task remembers
+_TABLE = 150_000  # words a task remembers
 _NEVER = 1 << 60
 
 

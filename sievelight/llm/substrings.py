@@ -37,7 +37,8 @@ WIDTH = 13
 ANCHOR = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15  # odd, 5 modulo 8
-_PIECE = 1 << 19  # words that are worked on at once, unless one text has more
+_PIECE = 1 << 17  # words that are worked on at once, unless one text has more
+_BATCH = 1 << 20  # blocks that are combined before the shuffle
 _FREQUENT = 64  # blocks of one anchor in a batch from which it counts as frequent
 NORMAL, SPREAD, KNOWN, MARKER = 0, 1, 2, 3
 
@@ -129,46 +130,54 @@ _INDEX = "anchor long, block long, doc long, kind int"
 
 def _index_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             ids, texts = np.array(batch.column(0), dtype=np.int64), batch.column(1).to_pylist()
-            found = []
             for first, held in _pieces(texts):
                 b = Blocks(held, width)
                 found.append((b.anchor, b.block, ids[first + b.owner]))
-            anchor, block, doc = (
-                np.concatenate([f[k] for f in found]).astype(t)
-                for k, t in enumerate((np.uint64, np.uint64, np.int64))
-            )
-            if not len(doc):
-                continue
-            order = np.lexsort((doc, block, anchor))
-            anchor, block, doc = anchor[order], block[order], doc[order]
-            same = np.zeros(len(doc), dtype=bool)
-            same[1:] = (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1])
-            once = ~(same & np.concatenate([[False], doc[1:] == doc[:-1]]))
-            anchor, block, doc, same = anchor[once], block[once], doc[once], same[once]
-            # the smallest document of each block goes on; the others know already that they repeat it
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-            kind = np.where(same & (doc > doc[lead]), KNOWN, NORMAL)
-            head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            group = np.cumsum(np.concatenate([[False], anchor[1:] != anchor[:-1]]))
-            many = np.bincount(group, weights=kind == NORMAL) >= _FREQUENT
-            kind = np.where((kind == NORMAL) & many[group], SPREAD, kind)
-            marks = head[many]
-            keys = np.where(kind == SPREAD, mixed(block), np.where(kind == KNOWN, mixed(doc.view(np.uint64)), anchor))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(np.concatenate([keys, anchor[marks]])),
-                    _signed(np.concatenate([block, np.zeros(len(marks), dtype=np.uint64)])),
-                    pa.array(np.concatenate([doc, doc[marks]])),
-                    pa.array(np.concatenate([kind, np.full(len(marks), MARKER)]).astype(np.int32)),
-                ],
-                names=["anchor", "block", "doc", "kind"],
-            )
+                size += len(b.owner)
+                if size >= _BATCH:
+                    yield _combined(found)
+                    found, size = [], 0
+        if size:
+            yield _combined(found)
 
     return run
 
 
+def _combined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Index rows of a batch: of equal blocks only the smallest document goes on to the index."""
+    anchor, block, doc = (
+        np.concatenate([f[k] for f in found]).astype(t)
+        for k, t in enumerate((np.uint64, np.uint64, np.int64))
+    )
+    order = np.lexsort((doc, block, anchor))
+    anchor, block, doc = anchor[order], block[order], doc[order]
+    same = np.zeros(len(doc), dtype=bool)
+    same[1:] = (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1])
+    once = ~(same & np.concatenate([[False], doc[1:] == doc[:-1]]))
+    anchor, block, doc, same = anchor[once], block[once], doc[once], same[once]
+    # documents after the smallest know already that they repeat it
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
+    kind = np.where(same & (doc > doc[lead]), KNOWN, NORMAL)
+    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, weights=kind == NORMAL) >= _FREQUENT
+    kind = np.where((kind == NORMAL) & many[group], SPREAD, kind)
+    marks = np.flatnonzero(new)[many]
+    keys = np.where(kind == SPREAD, mixed(block), np.where(kind == KNOWN, mixed(doc.view(np.uint64)), anchor))
+    return pa.RecordBatch.from_arrays(
+        [
+            _signed(np.concatenate([keys, anchor[marks]])),
+            _signed(np.concatenate([block, np.zeros(len(marks), dtype=np.uint64)])),
+            pa.array(np.concatenate([doc, doc[marks]])),
+            pa.array(np.concatenate([kind, np.full(len(marks), MARKER)]).astype(np.int32)),
+        ],
+        names=["anchor", "block", "doc", "kind"],
+    )
+
+
 def _among(keys: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(keys), dtype=bool)

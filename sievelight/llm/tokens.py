@@ -23,7 +23,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters on which the installed regex module and the tokenizer library class letters, digits and
 #: spaces alike; texts with others are split by the library.
 ALIKE = r"[\x00-ԯ -⁯　-ヿ一-龥가-힣]"
-_TABLE = 400_000  # pre-tokens a task remembers
+_TABLE = 200_000  # pre-tokens a task remembers
 
 
 class PieceCounter:
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
     """Rows ``id, n_tokens`` (long) of every row of ``docs``; null texts have 0 tokens.
 
     ``path`` names the vocabulary file on the executors. Rows that repeat are all counted; other
-    columns are not read. A batch is worked on in pieces of about 4 million characters.
+    columns are not read. A batch is worked on in pieces of about 2 million characters.
     """
     schema = T.StructType([docs.select(F.col(id)).schema[0], T.StructField("n_tokens", T.LongType(), False)])
 
@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
             for value in batch.column(1):
                 held.append(value.as_py())
                 size += len(held[-1] or "")
-                if size > 4_000_000:
+                if size > 2_000_000:
                     counts += counter.counts(held)
                     held, size = [], 0
             counts += counter.counts(held)

@@ -178,7 +178,7 @@ def test_weights_against_plain_python(spark):
     plain = raw / raw.sum() * (target + 2) / (target.sum() * raw / raw.sum() + 2)
     used = raw > 0
     assert ratios[used] == pytest.approx(np.log(plain[used] / plain.sum() / (raw[used] / raw.sum())))
-    for r in quality_model.log_weights(docs, ratios, id="doc_id", text="text").collect():
+    for r in quality_model.with_log_weights(docs, ratios, text="text").collect():
         assert r.log_weight == pytest.approx(ratios[quality_model.ngram_buckets(rows[r.doc_id][1])].sum())
 
 
@@ -195,7 +195,7 @@ def test_gumbel_top_k_draws_by_weight(spark):
 
 def test_resample_nulls_repeats_and_empty(spark):
     rows = [(None, None), (1, "a"), (1, "a"), (2, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as _gone", "3 as kept")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as log_weight_", "3 as kept")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_model.resample(df, none)
     assert got.columns == ["doc_id", "log_weight", "key", "kept"]
