@@ -192,7 +192,7 @@ def detector_sql(docs: str, phone_locale: str = "other") -> dict[str, list[str]]
         "cookie": [_listed(o["cookie"], 0, second(f"list_filter({ids}, lambda v: {cookie})"), docs)],
         "user_id": [
             _listed(o["user_id"], 0, second(f"list_filter({ids}, lambda v: not {cookie})"), docs),
-            _listed(o["user_id"], 1, f"{all_matches(f.GUID)}[:200]", docs, f"regexp_matches(text, {q(f.DEVICE_HINT)})"),
+            _listed(o["user_id"], 1, all_matches(f.GUID), docs, f"regexp_matches(text, {q(f.DEVICE_HINT)})"),
         ],
         "secret": [
             _listed(o["secret"], 0, second(secret_pairs), docs),
@@ -212,7 +212,7 @@ def matches(docs: str, categories=None, phone_locale: str = "other") -> str:
         f"select doc_id, ord, [{names}][ord] as category, pos, val as value from ("
         "select *, row_number() over (partition by doc_id, ord order by src, ix) - 1 as pos from ("
         + " union all ".join(f"({s})" for s in selects)
-        + f")) where pos < {f.VALUES_PER_CATEGORY}"
+        + "))"
     )
 
 
@@ -297,7 +297,7 @@ def risk_report(docs: str, builtin: str, custom: str, bonus: str, rule_levels: d
     found as (
       select doc_id, ord, category, count(*) as cnt,
              category in ('cookie', 'user_id') and
-               2 * count(*) filter (where pos < 10 and {looks_like_hash('value')}) >= count(*) filter (where pos < 10) as hashy,
+               2 * count(*) filter (where {looks_like_hash('value')}) >= count(*) as hashy,
              array_to_string(list(redacted order by pos) filter (where pos < 5), '|') as ex
       from (select *, {redact('category', 'value')} as redacted from {builtin})
       group by doc_id, ord, category

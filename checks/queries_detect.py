@@ -224,18 +224,18 @@ def _rule_sql(rule: Rule, docs: str, name_expr: str | None = None) -> str:
     if rule.filename_regex and name_expr:
         parts.append(f"case when regexp_matches({name_expr}, {D.q(rule.filename_regex)}) then [{name_expr}] else [] end")
     if rule.field_name_regex:
-        pairs = f"list_zip({D.all_matches(D.GENERIC_KV, 1)}, {D.all_matches(D.GENERIC_KV, 2)})[:300]"
+        pairs = f"list_zip({D.all_matches(D.GENERIC_KV, 1)}, {D.all_matches(D.GENERIC_KV, 2)})"
         parts.append(
             f"list_transform(list_filter({pairs}, lambda p: regexp_matches(p[1], {D.q(rule.field_name_regex)})), lambda p: p[2])"
         )
     if rule.value_regex:
-        parts.append(f"{D.all_matches(rule.value_regex)}[:300]")
+        parts.append(D.all_matches(rule.value_regex))
     expr = parts[0]
     for p in parts[1:]:
         expr = f"list_concat({expr}, {p})"
     return (
         f"select doc_id, {D.q(rule.name)} as category, unnest(range(len(v))) as pos, unnest(v) as value "
-        f"from (select doc_id, ({expr})[:{fixed.VALUES_PER_CATEGORY}] as v from {docs})"
+        f"from (select doc_id, ({expr}) as v from {docs})"
     )
 
 

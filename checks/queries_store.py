@@ -70,6 +70,7 @@ from .registry import (
     order_notes,
     profiles,
     query,
+    ranked,
     table,
 )
 
@@ -371,12 +372,12 @@ def fleet_top(spark, sf):
 
 @query(
     "fleet_retention",
-    f"""with {_FLEET_SQL}, kept as (select * from fleet order by received_at desc, file_id desc limit 10000)
+    f"""with {_FLEET_SQL}, kept as (select * from fleet order by received_at desc, file_id desc limit 1000)
     select device_id, count(*) as n, min(received_at) as oldest from kept group by device_id""",
 )
 def fleet_retention(spark, sf):
     kept = fleet.fleet_retention(
-        _fleet_alerts(spark, sf), fixed.FLEET_RETENTION, "received_at", "file_id"
+        _fleet_alerts(spark, sf), 1_000, "received_at", "file_id"
     )
     return kept.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("received_at").alias("oldest")
@@ -737,7 +738,7 @@ def _neutralize_sql(cte: str, docs: str) -> str:
     return f"""with {cte}, m as materialized ({D.matches(docs)}),
     pairs as (select doc_id, list([old, new] order by strlen(old) desc, ord, pos) as ps
       from (select doc_id, ord, min(pos) as pos, old, any_value({D.redact('category', 'old')}) as new
-            from (select *, trim(value) as old from m where pos < 100) group by doc_id, ord, category, old)
+            from (select *, trim(value) as old from m) group by doc_id, ord, category, old)
       where old <> new and old <> '' group by doc_id),
     done as (select d.doc_id, case when ps is null then [text, '0'] else
         list_reduce(ps, lambda acc, p: [replace(acc[1], p[1], p[2]),
@@ -763,6 +764,33 @@ def neutralize_profiles(spark, sf):
     return _neutralized(profiles(spark, sf).select("doc_id", "text"))
 
 
+_MANY = "c_custkey % 3"
+_ADDRESS = "concat('user', c_custkey::string, '@shop', (c_custkey % 7)::string, '.org')"
+
+
+@query(
+    "neutralize_many",
+    f"""with many as (select {_MANY} as doc_id, string_agg({_ADDRESS}, ' ' order by c_custkey) as text from customer group by all)
+    select doc_id, length(text) as chars, (length(text) - length(replace(text, '@', '')))::bigint as replaced_total,
+      md5(regexp_replace(text, 'user?(?:r)[0-9]+@', 'use***@', 'g')) as text_md5, 0 as clear from many""",
+)
+def neutralize_many(spark, sf):
+    """Texts with hundreds of values of a category: none stays readable."""
+    row = table(spark, sf, "customer").selectExpr(
+        f"{_MANY} as doc_id", "c_custkey", f"{_ADDRESS} as address"
+    )
+    listed = F.sort_array(F.collect_list(F.struct("c_custkey", "address")))
+    many = row.groupBy("doc_id").agg(F.array_join(listed["address"], " ").alias("text"))
+    done = neutralize(with_builtin_hits(many))
+    return done.select(
+        "doc_id",
+        F.length("text").alias("chars"),
+        "replaced_total",
+        F.md5(F.col("redacted_text").cast("binary")).alias("text_md5"),
+        F.regexp_count("redacted_text", F.lit("user[0-9]")).alias("clear"),
+    )
+
+
 # --- sources ----------------------------------------------------------------------------------
 
 
@@ -802,13 +830,14 @@ def not_a_file(spark, sf):
 
 @query(
     "recent_files",
-    "select p_partkey, p_size from part order by p_size desc, concat('/', p_partkey) limit 5000",
+    """select p_partkey, p_size, row_number() over (order by p_size desc, concat('/', p_partkey)) as rank from part
+    qualify rank <= 150""",
 )
 def recent_files(spark, sf):
     inventory = table(spark, sf, "part").selectExpr(
         "p_partkey", "p_size", "p_size as mtime", "concat('/', p_partkey) as path"
     )
-    return recent_first(inventory).select("p_partkey", "p_size")
+    return ranked(recent_first(inventory, 150), 150).select("p_partkey", "p_size", "rank")
 
 
 @query(
@@ -851,7 +880,7 @@ def _cells(spark, sf):
     "sheet_text",
     f"""with cells as ({corpora.select(_CELLS, 'lineitem')})
     select path, sheet_no, md5(concat('sheet:', sheet, chr(10), string_agg(concat(value, chr(10)), '' order by row, col, value))) as text_md5
-    from cells where row < 5000 and col < 50 and value <> '' group by path, sheet_no, sheet""",
+    from cells where value <> '' group by path, sheet_no, sheet""",
 )
 def sheet_text(spark, sf):
     return sheet_cells_to_text(_cells(spark, sf)).select(
@@ -863,7 +892,7 @@ def sheet_text(spark, sf):
     "sheet_text_budget",
     f"""with cells as ({corpora.select(_CELLS, 'lineitem')}),
     kept as (select *, row_number() over (partition by path, sheet_no order by row, col) = 1 as first
-             from cells where row < 5000 and col < 50 and value <> ''),
+             from cells where value <> ''),
     sized as (select *, strlen(value) + 1 + case when first then strlen(sheet) + 7 else 0 end as size from kept),
     summed as (select *, sum(size) over (partition by path order by sheet_no, row, col) as upto from sized),
     shown as (select *, upto <= 300 as fits, first and upto - size < 300 as opens,
@@ -954,14 +983,14 @@ _ENTRIES = {
     "zip_budget",
     f"""with e as ({corpora.select(_ENTRIES, 'lineitem')}),
     n as (select *, row_number() over (partition by path order by part, line) as no from e),
-    t as (select *, sum(case when encrypted then 0 else size end) over (partition by path order by part, line) as total from n where no <= 600)
+    t as (select *, sum(case when encrypted then 0 else size end) over (partition by path order by part, line) as total from n where no <= 40)
     select path, count(*) as n, sum(size)::bigint as bytes from t
     where not encrypted and total <= 900000 and size <= 45000 group by path""",
 )
 def zip_budget_query(spark, sf):
     entries = table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ENTRIES.items()])
     ordered = entries.withColumn("at", F.struct("part", "line"))
-    kept = zip_budget(ordered, order="at", max_total_bytes=900_000, max_entry_bytes=45_000)
+    kept = zip_budget(ordered, order="at", max_total_bytes=900_000, max_entry_bytes=45_000, max_entries=40)
     return kept.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
@@ -1055,8 +1084,8 @@ _ISLANDS = f"""with e as (select user_id, ts, value, ts - lag(ts) over (partitio
 def session_activity_query(spark, sf):
     found = session_batch(
         table(spark, sf, "events").select("user_id", "ts", "value"), "user_id", "ts", _GAP,
-        total=F.round(F.sum("value"), 4),
-    )
+        total=("sum", "value"),
+    ).withColumn("total", F.round("total", 4))
     return found.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
     )

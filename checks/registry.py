@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelight.sources.tables import spread
@@ -57,6 +57,13 @@ def order_notes(spark: SparkSession, sf: str) -> DataFrame:
     return source.selectExpr(*[f"{e} as {n}" for n, e in corpora.order_note_columns().items()])
 
 
+def ranked(ordered: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of an ordered frame with their place, to compare the order."""
+    place = F.monotonically_increasing_id()  # rises in the order of the rows of one partition
+    first = ordered.limit(n).withColumn("_at", place)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 def joined(values, sep: str = "|"):
     """Array as text, for comparing results across engines."""
     return F.array_join(values, sep)

@@ -187,7 +187,7 @@ def device_guids(text: str, unicode: bool = False) -> str:
     """GUIDs, only in texts that mention a device identifier."""
     hint = ("(?U)" if unicode else "") + _DEVICE_HINT
     found = let(
-        f"slice({find_all(text, fixed.GUID, 0, unicode)}, 1, {fixed.GUIDS_PER_TEXT})",
+        find_all(text, fixed.GUID, 0, unicode),
         lambda g: guarded(f"size({g}) > 0 and {text} rlike {lit(hint)}", g),
     )
     return guarded(f"contains({text}, '-')", found)
@@ -199,12 +199,13 @@ def user_ids(pairs: str, text: str, unicode: bool = False) -> str:
 
 
 def _mentions(low: str, words: Sequence[str], unicode: bool) -> str:
-    """Cheap necessary test for a keyword pattern.
+    """Cheap necessary test for a keyword pattern."""
+    return contains_any(low, words)
 
-    Under Unicode case folding letters outside ASCII can stand for ASCII ones, so the test is
-    left out there.
-    """
-    return "true" if unicode else contains_any(low, words)
+
+def lowered(text: str) -> str:
+    """The text in lower case, with the letters that Unicode case folding takes for ASCII ones."""
+    return f"lower(replace(replace(replace({text}, 'ſ', 's'), 'ı', 'i'), 'İ', 'i'))"
 
 
 def secret_values(text: str, low: str, unicode: bool = False) -> str:
@@ -360,14 +361,14 @@ def with_builtin_hits(
     phone_locale: str = "other",
     categories: Sequence[str] | None = None,
     extra_secret_patterns: Sequence[str] = (),
-    cap: int | None = fixed.VALUES_PER_CATEGORY,
-    unicode: bool = False,
+    cap: int | None = None,
+    unicode: bool = True,
 ) -> DataFrame:
     """Add one column with all built-in matches of each row's whole text.
 
     ``secrets`` is a flag or the name of a boolean column. ``categories`` restricts the
-    detectors that run. ``cap`` is the number of values reported per category and call; ``None``
-    keeps all of them.
+    detectors that run. All values are reported, unless ``cap`` bounds them per category and row.
+    ``unicode=False`` restricts digits, spaces, word borders and case folding to ASCII.
     """
     values = text_values(
         text_col,
@@ -386,7 +387,7 @@ def with_builtin_hits(
     any_digit = lit("(?U)\\d" if unicode else "[0-9]")
     helpers = df.selectExpr(
         "*",
-        f"lower({text_col}) as _low",
+        f"{lowered(text_col)} as _low",
         f"{text_col} rlike {any_digit} as _digit",
         f"{id_pairs(text_col, unicode)} as _pairs",
     ).selectExpr("*", f"{guarded('_digit', long_numbers(text_col, unicode))} as _numbers")

@@ -197,7 +197,7 @@ def _marked(text: str, entity: str, u: str) -> str:
 
 
 def with_entity_candidates(
-    df: DataFrame, setting: EntitySetting, text_col: str, out: str, unicode: bool = False
+    df: DataFrame, setting: EntitySetting, text_col: str, out: str, unicode: bool = True
 ) -> DataFrame:
     """Add ``array<struct<value, confidence>>`` with one element per run of the pattern: the
     match when it reaches the threshold, else null."""
@@ -247,7 +247,7 @@ def with_contextual_hits(
     entities: Sequence[EntitySetting],
     text_col: str = "text",
     out: str = "entity_hits",
-    unicode: bool = False,
+    unicode: bool = True,
 ) -> DataFrame:
     """Add entity matches as ``array<struct<category, vals>>``, settings in the given order."""
     used = _used(entities)
@@ -270,7 +270,7 @@ def detect_contextual(
     entities: Sequence[EntitySetting],
     *,
     spans: bool = False,
-    unicode: bool = False,
+    unicode: bool = True,
 ) -> DataFrame:
     """Entities in long form: ``entity, k, value, confidence``, with ``spans`` also
     ``start_byte, end_byte``. ``k`` numbers a document's detections of one kind from 0.

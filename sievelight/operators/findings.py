@@ -47,25 +47,24 @@ def rule_level(name: str, rules: Sequence[Rule]) -> str:
     return lookup(name, {r.name: r.risk_level for r in rules}, "'medium'")
 
 
-def summarize(hits: str, custom: bool = False) -> str:
-    """Category, count and up to five redacted examples, in the order of ``hits``."""
+def summarize(hits: str, custom: bool = False, examples: int = 5) -> str:
+    """Category, count and a few redacted examples for display, in the order of ``hits``."""
     mask = (lambda h, v: redact_last(v)) if custom else (lambda h, v: redact(f"{h}.category", v))
     return each(
         hits,
         lambda h: struct(
             category=f"{h}.category",
             count=f"cast(size({h}.vals) as bigint)",
-            redacted_examples=each(f"slice({h}.vals, 1, 5)", lambda v: mask(h, v)),
+            redacted_examples=each(f"slice({h}.vals, 1, {examples})", lambda v: mask(h, v)),
         ),
     )
 
 
 def _hash_like(h: str) -> str:
-    """At least half of the first ten cookie or user-id values look like hashes."""
-    first = f"slice({h}.vals, 1, 10)"
+    """At least half of the cookie or user-id values look like hashes."""
     return (
         f"({in_list(f'{h}.category', ['cookie', 'user_id'])} and "
-        f"size({keep(first, looks_like_hash)}) * 2 >= size({first}))"
+        f"size({keep(f'{h}.vals', looks_like_hash)}) * 2 >= size({h}.vals))"
     )
 
 
@@ -234,11 +233,11 @@ def has_signal(
 # --- long form --------------------------------------------------------------------------------
 
 
-def summarize_long(matches: DataFrame, id_col: str) -> DataFrame:
+def summarize_long(matches: DataFrame, id_col: str, examples: int = 5) -> DataFrame:
     """Findings from long-form matches: ``scope, category, cnt, redacted_examples``.
 
-    Counting combines map-side. A match is an example only if fewer than five precede it, so
-    the collected examples of one group are five at most.
+    Counting combines map-side. A match is an example only if fewer than ``examples`` precede it,
+    so no more than these are collected for one group.
     """
     masked = (
         f"case when scope = 'custom' then {redact_last('value')} "
@@ -246,7 +245,7 @@ def summarize_long(matches: DataFrame, id_col: str) -> DataFrame:
     )
     return (
         matches.selectExpr(
-            "*", f"case when pos < 5 then named_struct('pos', pos, 'red', {masked}) end as _ex"
+            "*", f"case when pos < {examples} then named_struct('pos', pos, 'red', {masked}) end as _ex"
         )
         .groupBy(id_col, "scope", "category")
         .agg(

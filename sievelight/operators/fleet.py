@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..plans.session import lookup_join
 
 
@@ -58,15 +57,16 @@ def device_last_seen(devices: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def fleet_retention(
-    alerts: DataFrame, keep: int = fixed.FLEET_RETENTION, *arrival: str
+    alerts: DataFrame, keep: int | None = None, *arrival: str
 ) -> DataFrame:
-    """The last ``keep`` alerts by arrival."""
+    """The last ``keep`` alerts by arrival; all without a number."""
+    if keep is None:
+        return alerts
     order = [F.col(c).desc() for c in (arrival or ("received_at", "device_id", "file_id"))]
     return alerts.orderBy(*order).limit(keep)
 
 
 def fleet_alerts_top(alerts: DataFrame, limit: int = 50, *tie: str) -> DataFrame:
-    """Most recent alerts; ``limit`` is held between 1 and 500."""
-    n = min(max(limit, 1), 500)
+    """The ``limit`` most recent alerts."""
     order = [F.col("received_at").desc(), *[F.col(c) for c in (tie or ("device_id", "file_id"))]]
-    return alerts.orderBy(*order).limit(n)
+    return alerts.orderBy(*order).limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -28,13 +28,19 @@ def unmark_ignored(ignored: DataFrame, values: DataFrame, salt: str) -> DataFram
     return lookup_join(ignored, gone, ["category", "value_hash"], "left_anti")
 
 
+def is_builtin(matches: DataFrame) -> Column:
+    """Is a match one of a built-in detector? By its scope, since rules may be named like a category;
+    without that column by the name."""
+    if "scope" in matches.columns:
+        return F.col("scope") == "builtin"
+    return F.col("category").isin(*fixed.CATEGORIES)
+
+
 def apply_ignored_values(
     matches: DataFrame, ignored: DataFrame, salt: str, *, salts: int = 32, max_rows: int = 200_000
 ) -> DataFrame:
     """Drop built-in matches whose salted hash is on the list; rule matches always stay."""
-    builtin = F.col("category").isin(*fixed.CATEGORIES)
-    if "scope" in matches.columns:
-        builtin = F.col("scope") == "builtin"
+    builtin = is_builtin(matches)
     hashed = matches.withColumn(
         "value_hash",
         F.when(builtin, F.expr(value_hash(salt, "category", "value"))),
@@ -51,7 +57,7 @@ def flag_ignored_values(pairs: DataFrame, ignored: DataFrame, salt: str, value_c
     hashed = pairs.withColumn(
         "value_hash",
         F.when(
-            F.col("category").isin(*fixed.CATEGORIES),
+            is_builtin(pairs),
             F.expr(value_hash(salt, "category", value_col)),
         ),
     )

@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..functions.redaction import redact
+from ..functions.redaction import redact, redact_last
 from ..functions.sql import each, fold, keep, let, struct, zipped
-from .ignore import flag_ignored_values
+from .ignore import flag_ignored_values, is_builtin
+
+
+_ALL = (1 << 31) - 1
 
 
 def reveal_pairs(matches: DataFrame) -> DataFrame:
     """``redacted, clear`` for each match, in place of its value. Never written by this library."""
-    masked = F.expr(redact("category", "value"))
+    builtin, custom = F.expr(redact("category", "value")), F.expr(redact_last("value"))
+    masked = F.when(is_builtin(matches), builtin).otherwise(custom)
     return matches.withColumn("redacted", masked).withColumnRenamed("value", "clear")
 
 
 def trim_reveal_hits(
     hits: str,
-    per_category: int = fixed.REVEAL_PER_CATEGORY,
-    per_file: int = fixed.REVEAL_PER_FILE,
+    per_category: int | None = None,
+    per_file: int | None = None,
 ) -> str:
-    """Bounded copy of a document's hits, computed inside the row.
+    """Bounded copy of a document's hits, computed inside the row; without bounds all of them.
 
     At most ``per_category`` values of each category stay. What a file then has above
     ``per_file`` is taken from the ends of its categories, in name order.
     """
+    per_category, per_file = per_category or _ALL, per_file or _ALL
     total = lambda sizes: fold(sizes, "0", lambda a, s: f"{a} + {s}.n")
 
     def cut(sizes: str) -> str:
@@ -48,10 +52,13 @@ def trim_reveal_hits(
 def trim_reveal_pairs(
     pairs: DataFrame,
     id_col: str,
-    per_category: int = fixed.REVEAL_PER_CATEGORY,
-    per_file: int = fixed.REVEAL_PER_FILE,
+    per_category: int | None = None,
+    per_file: int | None = None,
 ) -> DataFrame:
     """As :func:`trim_reveal_hits` for long-form rows with ``category, pos``."""
+    if per_category is None and per_file is None:
+        return pairs
+    per_category, per_file = per_category or _ALL, per_file or _ALL
     top = (
         pairs.withColumn(
             "_n", F.row_number().over(W.partitionBy(id_col, "category").orderBy("pos"))
@@ -80,5 +87,4 @@ def reveal_lookup(
 
 def revealed_report(pairs: DataFrame, ignored: DataFrame, salt: str) -> DataFrame:
     """Every pair of a built-in category with its ``is_ignored`` flag."""
-    builtin = pairs.filter(F.col("category").isin(*fixed.CATEGORIES))
-    return flag_ignored_values(builtin, ignored, salt)
+    return flag_ignored_values(pairs.filter(is_builtin(pairs)), ignored, salt)

@@ -12,13 +12,13 @@ from ..functions.text import file_extension
 from ..functions.validators import strip
 
 
-def replacements(hits: str, per_category: int = fixed.REVEAL_PER_CATEGORY) -> str:
+def replacements(hits: str) -> str:
     """``array<struct<rank, c, p, old, new>>`` to apply in order: longest values first, then the
     order in which they were found. Values that redaction leaves unchanged are not replaced."""
     ranked = each_at(
         hits,
         lambda h, c: each_at(
-            f"array_distinct({each(f'slice({h}.vals, 1, {per_category})', strip)})",
+            f"array_distinct({each(f'{h}.vals', strip)})",
             lambda v, p: struct(
                 rank=f"-octet_length({v})", c=c, p=p, old=v, new=redact(f"{h}.category", v)
             ),
@@ -41,13 +41,11 @@ def neutralize(
     hits_col: str = "hits",
     text_col: str = "text",
     path_col: str | None = None,
-    *,
-    per_category: int = fixed.REVEAL_PER_CATEGORY,
 ) -> DataFrame:
     """Add ``redacted_text`` and ``replaced_total``.
 
-    ``hits_col`` holds the built-in matches of the text; all literal occurrences are replaced in
-    the whole text, inside the row. With ``path_col`` only files with a text suffix are
+    ``hits_col`` holds the built-in matches of the text, found without a cap; all literal occurrences
+    of all of them are replaced in the whole text, inside the row. With ``path_col`` only files with a text suffix are
     rewritten, others get nulls.
     """
     start = struct(text=text_col, total="0L")
@@ -57,7 +55,7 @@ def neutralize(
         done = f"case when {allowed} then {done} end"
     kept = [f"`{c}`" for c in df.columns]
     return (
-        df.selectExpr("*", f"{replacements(hits_col, per_category)} as _pairs")
+        df.selectExpr("*", f"{replacements(hits_col)} as _pairs")
         .selectExpr(*kept, f"{done} as _done")
         .selectExpr(*kept, "_done.text as redacted_text", "_done.total as replaced_total")
     )

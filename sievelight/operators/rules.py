@@ -139,10 +139,15 @@ _PAIR = (
 _PAIR_PARTS = rf"(?s)^({_KEY_CHAR}+?)(?:\s*[:=]|\s*->)\s*(.+)$"
 
 
-def field_pairs(text: str) -> str:
-    """The first generic ``key separator value`` pairs of a text."""
-    found = f"slice({find_all(text, _PAIR)}, 1, {fixed.RULE_HITS_PER_PASS})"
-    part = lambda m, g: f"regexp_extract({m}, {lit(_PAIR_PARTS)}, {g})"
+def field_pairs(text: str, unicode: bool = True) -> str:
+    """All generic ``key separator value`` pairs of a text.
+
+    By the fixed pattern a key is at most the last 80 characters of its run, and a value the first 300 of
+    its line.
+    """
+    found = find_all(text, _PAIR, 0, unicode)
+    parts = lit(("(?U)" if unicode else "") + _PAIR_PARTS)
+    part = lambda m, g: f"regexp_extract({m}, {parts}, {g})"
     return each(found, lambda m: struct(key=f"right({part(m, 1)}, 80)", value=part(m, 2)))
 
 
@@ -159,8 +164,7 @@ def rule_values(
         fields = keep(pairs, lambda kv: f"{kv}.key rlike {lit(rule.field_name_regex)}")
         parts.append(each(fields, lambda kv: f"{kv}.value"))
     if rule.value_regex:
-        found = find_all(text, rule.value_regex, 0, unicode)
-        parts.append(f"slice({found}, 1, {fixed.RULE_HITS_PER_PASS})")
+        parts.append(find_all(text, rule.value_regex, 0, unicode))
     return first_n(f"concat({', '.join(parts) or NO_STRINGS})", cap)
 
 
@@ -171,13 +175,14 @@ def with_rule_hits(
     name_col: str | None = None,
     out: str = "custom_hits",
     *,
-    cap: int | None = fixed.VALUES_PER_CATEGORY,
-    unicode: bool = False,
+    cap: int | None = None,
+    unicode: bool = True,
 ) -> DataFrame:
     """Add all rule matches as ``array<struct<category, vals>>`` in rule-name order.
 
     Patterns are literals of the plan, so each compiles once per task. The generic key-value
-    pairs are found once and shared by all field-name rules.
+    pairs are found once and shared by all field-name rules. All values are reported, unless
+    ``cap`` bounds them per rule and row.
     """
     text = text_col or "cast(null as string)"
     ordered = sorted(rules, key=lambda r: r.name)
@@ -191,7 +196,7 @@ def with_rule_hits(
     hits = keep(f"array({entries})", lambda h: f"size({h}.vals) > 0") if entries else "array()"
     helpers = []
     if any(r.field_name_regex for r in rules):
-        helpers.append(f"{field_pairs(text)} as _pairs")
+        helpers.append(f"{field_pairs(text, unicode)} as _pairs")
     if name_col:
         helpers.append(f"{file_name(name_col)} as _name")
     kept = [f"`{c}`" for c in df.columns if c != out]

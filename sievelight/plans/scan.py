@@ -20,12 +20,9 @@ from ..operators.merge import merge_hits, merge_matches
 from ..operators.rules import Rule, with_rule_hits
 from ..operators.store import file_id_of
 from ..sources.archives import docx_text, expand_zip, is_text_entry
-from ..sources.files import decode_text, read_files, text_if_not_binary
+from ..sources.files import decode_text, file_size_gate, read_files, text_if_not_binary
 from .session import lookup_join, pin
 
-MIB = 1 << 20
-
-
 def _name_rules(rules: Sequence[Rule]) -> list[Rule]:
     return [
         replace(r, field_name_regex=None, value_regex=None) for r in rules if r.filename_regex
@@ -158,20 +155,21 @@ def scan(
     entities: Sequence[EntitySetting] = (),
     ignored: DataFrame | None = None,
     salt: str = "",
-    max_file_bytes: int = 150 * MIB,
+    max_file_bytes: int | None = None,
     phone_locale: str = "other",
-    unicode: bool = False,
+    unicode: bool = True,
     compat: bool = False,
     keep: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """Score every document of a corpus (``doc_id, path, size, text, secrets_enabled``).
 
-    Without an ignore list this is one narrow projection: no shuffle. Returns ``doc_id, path``,
+    Texts above ``max_file_bytes`` are not read, if it is given. Without an ignore list this is one
+    narrow projection: no shuffle. Returns ``doc_id, path``,
     the ``keep`` columns and ``findings, custom_findings, reasons, risk_score, risk_level,
     weak_zip_encryption, suggestion`` for all documents, also those without findings.
     """
-    too_large = F.col("size") > max_file_bytes
+    too_large = file_size_gate(F.col("size"), max_file_bytes)
     df = corpus.withColumn("text", F.when(~too_large, F.col("text"))).withColumn(
         "too_large", F.coalesce(too_large, F.lit(False))
     )
@@ -276,9 +274,9 @@ def scan_files(
     ignored: DataFrame | None = None,
     salt: str = "",
     extracted: DataFrame | None = None,
-    max_file_bytes: int = 150 * MIB,
+    max_file_bytes: int | None = None,
     phone_locale: str = "other",
-    unicode: bool = False,
+    unicode: bool = True,
     compat: bool = False,
     **options,
 ) -> DataFrame:
@@ -289,7 +287,7 @@ def scan_files(
     ``extracted(path, part, text)`` adds texts from elsewhere (PDF text, image text, sheets)
     under the kind of their file.
     """
-    small = F.col("size") <= max_file_bytes
+    small = ~file_size_gate(F.col("size"), max_file_bytes)
     files = read_files(spark, roots)
     parts = file_parts(
         files.filter(small),

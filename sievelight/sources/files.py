@@ -70,8 +70,8 @@ def read_file_inventory(
     )
 
 
-def recent_first(inventory: DataFrame, limit: int | None = fixed.BULK_SCAN_FILES) -> DataFrame:
-    """Most recent files first; ``limit`` is the size of one bulk scan."""
+def recent_first(inventory: DataFrame, limit: int | None = None) -> DataFrame:
+    """Most recent files first; ``limit`` is the size of one bulk scan, if it is bounded."""
     ordered = inventory.orderBy(F.col("mtime").desc(), "path")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -110,9 +110,9 @@ def route_by_extension(df: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
-def file_size_gate(size: Column, max_file_bytes: int) -> Column:
-    """True for files too large to be opened."""
-    return size > max_file_bytes
+def file_size_gate(size: Column, max_file_bytes: int | None) -> Column:
+    """True for files too large to be opened; without a bound none is."""
+    return F.lit(False) if max_file_bytes is None else size > max_file_bytes
 
 
 def extension_glob(ext: str) -> str:

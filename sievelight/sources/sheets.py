@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 
 
 def sheet_cells_to_text(
-    cells: DataFrame, *, max_rows: int = 5_000, max_cols: int = 50, max_bytes: int | None = None
+    cells: DataFrame,
+    *,
+    max_rows: int | None = None,
+    max_cols: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One text per sheet: a ``sheet:<name>`` line, then one non-empty cell per line.
 
     ``cells`` has ``path, sheet_no, sheet, row, col, value`` (``row`` and ``col`` from 0; a sheet
-    without cells has one row with a null value). ``max_bytes`` is a budget over a file's sheets:
-    reading stops at the first cell that does not fit.
+    without cells has one row with a null value). All cells are read unless ``max_rows`` or
+    ``max_cols`` bound a sheet. ``max_bytes`` is a budget over a file's sheets: reading stops at the
+    first cell that does not fit.
     """
-    wanted = cells.filter(
-        F.col("value").isNull() | ((F.col("row") < max_rows) & (F.col("col") < max_cols))
-    ).filter(F.col("value").isNull() | (F.col("value") != ""))
+    inside = F.lit(True)
+    if max_rows is not None:
+        inside = inside & (F.col("row") < max_rows)
+    if max_cols is not None:
+        inside = inside & (F.col("col") < max_cols)
+    wanted = cells.filter(F.col("value").isNull() | (inside & (F.col("value") != "")))
     header = F.concat(F.lit("sheet:"), F.col("sheet"), F.lit("\n"))
     line = F.concat(F.col("value"), F.lit("\n"))
     kept = wanted.withColumn("_line", line)

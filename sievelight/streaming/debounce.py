@@ -7,11 +7,12 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .sessions import session_ids
+from .sessions import MICROS, across_cells, bucket_of, in_cells
 
 QUIET_SECONDS = 2
 CAP_SECONDS = 20
@@ -59,31 +60,40 @@ class Debouncer(StatefulProcessor):
         out = pd.DataFrame(rows, columns=OUTPUT.names)
         return out.astype({"size": "int64", "mtime": "int64"})
 
+    def _in_order(self, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[tuple[int, int, int]]:
+        """Time, size and mtime of all changes of the key in the batch, in time order.
+
+        A key may come in several chunks, which are not ordered among each other; three numbers of
+        each row are kept.
+        """
+        kept = []
+        for chunk in rows:
+            if self.event_time:
+                ms = pd.to_datetime(chunk["changed_at"], utc=True).map(lambda t: t.value // 1_000_000)
+            else:
+                ms = pd.Series(timerValues.getCurrentProcessingTimeInMs(), index=chunk.index)
+            kept.append(pd.DataFrame({"ms": ms, "size": chunk["size"], "mtime": chunk["mtime"]}))
+        if kept:
+            every = pd.concat(kept).sort_values(["ms", "mtime", "size"], kind="stable").astype("int64")
+            yield from every.itertuples(index=False, name=None)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         path = key[0]
         entry = tuple(self.pending.get()) if self.pending.exists() else None
         before = entry
-        for chunk in rows:
-            done = []
-            if self.event_time:
-                stamps = pd.to_datetime(chunk["changed_at"], utc=True)
-                chunk = chunk.assign(_ms=stamps.map(lambda t: t.value // 1_000_000)).sort_values(
-                    "_ms", kind="stable"
-                )
-            else:
-                chunk = chunk.assign(_ms=timerValues.getCurrentProcessingTimeInMs())
-            for ms, size, mtime in zip(chunk["_ms"], chunk["size"], chunk["mtime"]):
-                ms, size, mtime = int(ms), int(size), int(mtime)
-                if entry is not None and ms >= self._due(entry):
-                    done.append(self._row(path, entry))
-                    entry = None
-                entry = (
-                    (ms, ms, size, mtime)
-                    if entry is None
-                    else (min(entry[0], ms), max(entry[1], ms), size, mtime)
-                )
-            if done:
-                yield self._frame(done)
+        done = []
+        for ms, size, mtime in self._in_order(rows, timerValues):
+            if entry is not None and ms >= self._due(entry):
+                done.append(self._row(path, entry))
+                entry = None
+            if entry is None:
+                entry = (ms, ms, size, mtime)
+            elif ms >= entry[1]:
+                entry = (entry[0], ms, size, mtime)
+            else:  # late, but still within the pending change
+                entry = (min(entry[0], ms), *entry[1:])
+        if done:
+            yield self._frame(done)
         if entry is not None:
             if before is not None:
                 self.handle.deleteTimer(self._due(before))
@@ -137,25 +147,37 @@ def debounce_batch(
 ) -> DataFrame:
     """The event-time result of :func:`debounce` for a table of changes.
 
-    Runs of changes without a quiet gap are found first, by key and time bucket. A run shorter
-    than the cap is one row, from a plain aggregate. Longer runs are laid out one run after the
-    other in time order and cut while they stream by, so no run is ever held in memory, and the
-    runs of a busy path go to different tasks.
+    Runs of changes without a quiet gap are found first, in cells of key and time bucket. A run shorter
+    than the cap is one row, from aggregates alone. The changes of longer runs come from the same
+    shuffle, are laid out one run after the other in time order and cut while they stream by, so no
+    run is ever held in memory, and the runs of a busy path go to different tasks.
     """
-    micros = 1_000_000
-    quiet, cap = int(quiet_seconds * micros), int(cap_seconds * micros)
-    tagged = session_ids(
+    quiet, cap = int(quiet_seconds * MICROS), int(cap_seconds * MICROS)
+    tagged = in_cells(
         changes.select("path", "size", "mtime", "changed_at"),
         "path", "changed_at", quiet_seconds, bucket_seconds,
     )
-    runs = tagged.groupBy("path", "_session").agg(
-        F.max("_t").alias("last"),
-        F.max_by(F.struct("size", "mtime"), F.struct("_t", "mtime", "size")).alias("v"),
+    # the last change of a run with its values; both results below need all of it, so they share its shuffle
+    inside = tagged.groupBy("path", "_bucket", "_run").agg(F.max(F.array("_t", "mtime", "size")).alias("v"))
+    parts = across_cells(inside.withColumn("_end", F.col("v")[0]), "path", quiet_seconds)
+    session = W.partitionBy("path", "_part", "_session")
+    runs = parts.withColumn("last", F.max(F.col("v")[0]).over(session))
+    is_long = F.col("last") - F.col("_session") >= cap
+    short = (
+        runs.filter(~is_long)
+        .groupBy("path", "_part", "_session")
+        .agg(F.max("v").alias("v"))
+        .select(
+            "path", F.col("_session").alias("first"), F.col("v")[0].alias("last"),
+            F.col("v")[2].alias("size"), F.col("v")[1].alias("mtime"),
+        )
     )
-    short = runs.filter(F.col("last") - F.col("_session") < cap).select(
-        "path", F.col("_session").alias("first"), "last", "v.size", "v.mtime"
+    # the cells of long runs, with the run that each part of theirs belongs to
+    long_cells = (
+        runs.filter(is_long)
+        .groupBy("path", bucket_of(F.col("_run"), bucket_seconds).alias("_bucket"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_run", "_session"))).alias("_sessions"))
     )
-    long_runs = runs.filter(F.col("last") - F.col("_session") >= cap).select("path", "_session")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, entry = None, None
@@ -177,10 +199,12 @@ def debounce_batch(
             yield pd.DataFrame([entry], columns=columns)
 
     pieces = (
-        tagged.join(long_runs, ["path", "_session"], "left_semi")
+        tagged.join(long_cells, ["path", "_bucket"])
+        .withColumn("_session", F.try_element_at("_sessions", F.col("_run")))
+        .filter(F.col("_session").isNotNull())
+        .select("path", "_session", "_t", "size", "mtime")
         .repartition("path", "_session")
         .sortWithinPartitions("path", "_session", "_t", "mtime", "size")
-        .select("path", "_session", "_t", "size", "mtime")
         .mapInPandas(cut, "path string, first long, last long, size long, mtime long")
     )
     return short.unionByName(pieces).select(

@@ -35,56 +35,50 @@ def _named(aggregates: dict[str, Column]) -> list[Column]:
     return [c.alias(name) for name, c in aggregates.items()]
 
 
-def session_ids(
+MICROS = 1_000_000
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}
+_FIRST = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+
+
+def bucket_of(micros: Column, bucket_seconds: int) -> Column:
+    return F.floor(micros / F.lit(bucket_seconds * MICROS))
+
+
+def in_cells(
     events: DataFrame, key: str, ts: str, quiet_seconds: float, bucket_seconds: int = 3_600
 ) -> DataFrame:
-    """Add ``_t`` (microseconds) and ``_session`` (start of the event's session) to a table.
+    """Add ``_t`` (microseconds), ``_bucket`` and ``_run`` (start of the run inside the cell).
 
-    Rows need a key and a time.
-
-    Events are laid out by key and time bucket, so a key that holds a large part of all events
-    is worked on by many tasks. What happens at bucket borders is settled on one row per key and
-    bucket: first the last event before a bucket, then the session that runs into it.
+    Rows without a key or a time are left out. A cell is a key in a time bucket, so a key that holds a large part
+    of all events is worked on by many tasks; this is the one shuffle of the events.
     """
-    micros = 1_000_000
-    cell = [key, "_bucket"]
-    in_cell = W.partitionBy(*cell).orderBy("_t")
-    by_bucket = W.partitionBy(key).orderBy("_bucket")
-
-    laid = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_bucket", F.expr(f"_t div {bucket_seconds * micros}L")
-    )
-    last_before = (
-        laid.groupBy(*cell)
-        .agg(F.max("_t").alias("_last"))
-        .withColumn("_before", F.lag("_last").over(by_bucket))
-        .select(*cell, "_before")
-    )
-    starts = (
-        laid.join(last_before, cell)
-        .withColumn("_prev", F.coalesce(F.lag("_t").over(in_cell), F.col("_before")))
-        .withColumn(
-            "_starts",
-            F.col("_prev").isNull()
-            | (F.col("_t") - F.col("_prev") >= F.lit(int(quiet_seconds * micros))),
-        )
-        .withColumn("_start", F.when(F.col("_starts"), F.col("_t")))
-        .withColumn("_s", F.last("_start", ignorenulls=True).over(in_cell))
-    )
-    running = (
-        starts.groupBy(*cell)
-        .agg(F.max("_start").alias("_latest"))
-        .withColumn(
-            "_carry",
-            F.last("_latest", ignorenulls=True).over(
-                by_bucket.rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .select(*cell, "_carry")
-    )
-    return starts.join(running, cell).select(
-        *events.columns, "_t", F.coalesce("_s", "_carry").alias("_session")
+    cell = W.partitionBy(key, "_bucket").orderBy("_t")
+    laid = (
+        events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+        .withColumn("_bucket", bucket_of(F.col("_t"), bucket_seconds))
+        .filter(F.col(key).isNotNull() & F.col("_bucket").isNotNull())
     )
+    before = F.lag("_t").over(cell)
+    starts = before.isNull() | (F.col("_t") - before >= F.lit(int(quiet_seconds * MICROS)))
+    begun = laid.withColumn("_start", F.when(starts, F.col("_t")))
+    return begun.withColumn("_run", F.last("_start", ignorenulls=True).over(cell)).drop("_start")
+
+
+def across_cells(runs: DataFrame, key: str, quiet_seconds: float) -> DataFrame:
+    """Add ``_session`` and ``_part`` to one row per run of a cell (``_run``, ``_end``).
+
+    Only the first and the last run of a cell can go on in another cell. They meet in a window over
+    the key, two rows per cell at most; every other run is a session by itself and has a partition of
+    its own in that window. Rows with equal key, ``_part`` and ``_session`` are one session.
+    """
+    cell = W.partitionBy(key, "_bucket")
+    inner = (F.col("_run") > F.min("_run").over(cell)) & (F.col("_run") < F.max("_run").over(cell))
+    placed = runs.withColumn("_part", F.when(inner, F.col("_run")))
+    order = W.partitionBy(key, "_part").orderBy("_run")
+    before = F.lag("_end").over(order)
+    starts = before.isNull() | (F.col("_run") - before >= F.lit(int(quiet_seconds * MICROS)))
+    begun = placed.withColumn("_start", F.when(starts, F.col("_run")))
+    return begun.withColumn("_session", F.last("_start", ignorenulls=True).over(order)).drop("_start")
 
 
 def session_batch(
@@ -94,22 +88,35 @@ def session_batch(
     quiet_seconds: float,
     *,
     bucket_seconds: int = 3_600,
-    **aggregates: Column,
+    **totals: tuple[str, str],
 ) -> DataFrame:
-    """The sessions of a table: ``key, session_start, session_end, n_events`` and aggregates."""
-    return (
-        session_ids(events, key, ts, quiet_seconds, bucket_seconds)
-        .groupBy(key, "_session")
+    """The sessions of a table: ``key, session_start, session_end, n_events`` and totals.
+
+    A total is a pair of ``sum``, ``min``, ``max`` or ``count`` and a column. Events are summed up
+    inside their cell first; runs that touch across cells are merged on these rows.
+    """
+    runs = (
+        in_cells(events, key, ts, quiet_seconds, bucket_seconds)
+        .groupBy(key, "_bucket", "_run")
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.max("_t").alias("_end"),
-            *_named(aggregates),
+            *[_FIRST[how](column).alias(name) for name, (how, column) in totals.items()],
+        )
+    )
+    return (
+        across_cells(runs, key, quiet_seconds)
+        .groupBy(key, "_part", "_session")
+        .agg(
+            F.sum("n_events").alias("n_events"),
+            F.max("_end").alias("_end"),
+            *[_MERGE[how](name).alias(name) for name, (how, _) in totals.items()],
         )
         .select(
             key,
             F.timestamp_micros("_session").alias("session_start"),
             F.timestamp_micros("_end").alias("session_end"),
             "n_events",
-            *aggregates,
+            *totals,
         )
     )

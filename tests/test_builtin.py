@@ -177,9 +177,9 @@ def test_address_postal_birth(texts):
 
 def test_cap_is_per_category(texts):
     many = " ".join(f"user{i}@shop.org" for i in range(251))
-    assert len(found(texts, "email", many)[0]) == 250
-    assert len(found(texts, "email", many, cap=None)[0]) == 251
-    assert len(found(texts, "email", many.rsplit(" ", 1)[0])[0]) == 250
+    assert len(found(texts, "email", many)[0]) == 251
+    assert len(found(texts, "email", many, cap=250)[0]) == 250
+    assert len(found(texts, "email", many.rsplit(" ", 1)[0], cap=250)[0]) == 250
 
 
 def test_null_text_and_category_order(spark):
@@ -189,11 +189,17 @@ def test_null_text_and_category_order(spark):
     assert [h["category"] for h in rows[1]["hits"]] == ["email", "phone", "secret"]
 
 
-def test_unicode_option(texts):
-    assert found(texts, "phone", "tel ٠٦١٢٣٤٥٧٨٩") == [[]]
+def test_unicode_is_the_default(texts):
     nbsp = "api_key\u00a0: Abc-123456"
-    assert found(texts, "secret", nbsp) == [[]]
-    assert found(texts, "secret", nbsp, unicode=True) == [["Abc-123456"]]
+    assert found(texts, "secret", nbsp) == [["Abc-123456"]]
+    assert found(texts, "secret", nbsp, unicode=False) == [[]]
+    assert found(texts, "postal_code", "code postal\u00a0: 75001") == [["75001"]]
+    assert found(texts, "address", "adresse\u202f: 12 rue Victor Hugo", "strae: 12 rue Victor Hugo",
+                 "straße: 12 rue Victor Hugo", "straß: 12 rue Victor Hugo") == [["12 rue Victor Hugo"]] * 3 + [[]]
+    assert found(texts, "user_id", "user\u00a0id\u00a0: abcdef123") == [["abcdef123"]]
+    # a letter that folds to an ASCII one is no spelling of a key; word borders beside accented letters
+    assert found(texts, "secret", "paſſword: Abc-123456", "PASSWORD: Abc-123456") == [[], ["Abc-123456"]]
+    assert found(texts, "ip_address", "é81.2.69.142", "é 81.2.69.142 é") == [[], ["81.2.69.142"]]
 
 
 def test_file_names(spark):

@@ -11,7 +11,7 @@ from sievelight.operators.rules import Rule
 from sievelight.plans.scan import as_scans, scan_files
 from sievelight.operators.contextual import default_entities
 from sievelight.operators.ignore import mark_ignored
-from sievelight.sources.archives import audit_zip_encryption, docx_text, expand_zip, zip_texts
+from sievelight.sources.archives import ArchiveLimits, audit_zip_encryption, docx_text, expand_zip, zip_texts
 from sievelight.sources.files import (
     is_hidden_path,
     is_in_watched_dirs,
@@ -64,12 +64,42 @@ def test_expand_limits(spark):
     big = make_zip([("1.txt", "a" * 40), ("2.txt", "b" * 70), ("3.txt", "c" * 40), ("4.txt", "d" * 40), ("5.bin", "e")])
     df = files(spark, deep=deep, big=big, junk=b"no archive")
     got = {(r["path"], r["entry"]) for r in zip_texts(expand_zip(df)).collect()}
-    # nested archives are opened down to depth two
-    assert {e for p, e in got if p == "deep"} == {"a.zip.txt", "a.zip!b.zip.txt", "a.zip!b.zip!c.zip.txt"}
-    limited = expand_zip(df.filter("path = 'big'"), max_total_bytes=160, max_entry_bytes=60)
-    # the large entry is skipped but counted, so the fourth exceeds the total
-    assert [r["entry"] for r in limited.collect()] == ["1.txt", "3.txt"]
-    assert expand_zip(df.filter("path = 'big'"), max_entries=2).count() == 2
+    # without limits nested archives are opened all the way down
+    down = {"a.zip.txt", "a.zip!b.zip.txt", "a.zip!b.zip!c.zip.txt"}
+    assert {e for p, e in got if p == "deep"} == down | {"a.zip!b.zip!c.zip!d3.txt"}
+    assert {r["entry"] for r in zip_texts(expand_zip(df.filter("path = 'deep'"), limits=ArchiveLimits(depth=2))).collect()} == down
+    limited = expand_zip(df.filter("path = 'big'"), limits=ArchiveLimits(total_bytes=160, entry_bytes=60))
+    # the large entry is skipped but counted, so the fourth exceeds the total; both leave a mark
+    assert [(r["entry"], r["error"]) for r in limited.collect()] == [
+        ("1.txt", None), ("2.txt", "limit"), ("3.txt", None), ("4.txt", "limit"), ("5.bin", "limit"),
+    ]
+    few = expand_zip(df.filter("path = 'big'"), limits=ArchiveLimits(entries=2))
+    assert [r["error"] for r in few.collect()] == [None, None, "limit", "limit", "limit"]
+
+
+def test_damaged_archives_are_rows(spark):
+    """A broken stream, a broken nested archive and no archive at all end neither the job nor the archive."""
+    good = make_zip([("1.txt", "alpha " * 50), ("2.txt", "beta " * 50), ("in.zip", b"PK\x03\x04 no"), ("3.txt", "gamma")])
+    at = good.find(b"2.txt") + len("2.txt")
+    broken = good[:at] + bytes(b ^ 0x5A for b in good[at : at + 12]) + good[at + 12 :]
+    rows = expand_zip(files(spark, broken=broken, junk=b"no archive", empty=b"")).collect()
+    got = {(r["path"], r["entry"], r["error"]) for r in rows}
+    assert got == {
+        ("broken", "1.txt", None), ("broken", "2.txt", "unreadable"), ("broken", "in.zip", "unreadable"),
+        ("broken", "3.txt", None), ("junk", None, "unreadable"), ("empty", None, "unreadable"),
+    }
+
+
+def test_archive_that_holds_itself_ends(spark, monkeypatch):
+    """An archive is not opened inside itself."""
+    from sievelight.sources import archives
+
+    data = make_zip([("a.txt", "x")])
+    chain = list(archives._entries(archives._open(data), archives.ArchiveLimits(), 0, "", (), (data,)))
+    assert [(e[0], e[5]) for e in chain] == [("a.txt", None)]
+    inner = make_zip([("self.zip", data)])
+    chain = list(archives._entries(archives._open(inner), archives.ArchiveLimits(), 0, "", (), (data, inner)))
+    assert [(e[0], e[5]) for e in chain] == [("self.zip", "cycle")]
 
 
 def test_docx(spark):
@@ -84,7 +114,9 @@ def test_sheets(spark):
              ("f", 0, "A", 1, 0, ""), ("f", 1, "B", 0, 0, "c"), ("f", 2, "C", 0, 0, None)]
     df = spark.createDataFrame(cells, "path string, sheet_no int, sheet string, row int, col int, value string")
     text = lambda **o: [r["text"] for r in sheet_cells_to_text(df, **o).orderBy("sheet_no").collect()]
-    assert text() == ["sheet:A\na\nb\n", "sheet:B\nc\n", "sheet:C\n"]
+    assert text() == ["sheet:A\na\nb\nwide\nfar\n", "sheet:B\nc\n", "sheet:C\n"]
+    assert text(max_rows=5000, max_cols=50) == ["sheet:A\na\nb\n", "sheet:B\nc\n", "sheet:C\n"]
+    text = lambda **o: [r["text"] for r in sheet_cells_to_text(df, max_rows=5000, max_cols=50, **o).orderBy("sheet_no").collect()]
     assert text(max_bytes=12) == ["sheet:A\na\nb\n"]
     assert text(max_bytes=13) == ["sheet:A\na\nb\n", "sheet:B\n"]
     assert text(max_bytes=11) == ["sheet:A\na\n"]

@@ -1,12 +1,19 @@
 """Findings, scores, levels, redaction, reveal, ignore list, rewriting."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions.redaction import redact
 from sievelight.operators.findings import risk_level, with_risk
 from sievelight.operators.ignore import apply_ignored_values, mark_ignored, unmark_ignored
-from sievelight.operators.reveal import trim_reveal_hits, trim_reveal_pairs
+from sievelight.operators.reveal import (
+    reveal_pairs,
+    revealed_report,
+    trim_reveal_hits,
+    trim_reveal_pairs,
+)
 from sievelight.operators.rewrite import neutralize, write_neutralized
 from sievelight.operators.rules import Rule
 from sievelight.plans.scan import scan, signals_only
@@ -47,9 +54,9 @@ def test_hash_discount_is_integer(spark):
     assert scored(spark, [("user_id", [h])])["risk_score"] == 1
     assert scored(spark, [("cookie", [h, "plain1"])])["risk_score"] == 4
     assert scored(spark, [("cookie", [h, "plain1", "plain2"])])["risk_score"] == 12
-    # only the first ten values count
-    row = scored(spark, [("cookie", ["plain1"] * 6 + [h] * 30)])
-    assert row["risk_score"] == 4 * 21
+    # all values count
+    assert scored(spark, [("cookie", ["plain1"] * 6 + [h] * 30)])["risk_score"] == 2 * 21
+    assert scored(spark, [("cookie", [h] * 10 + ["plain1"] * 11)])["risk_score"] == 4 * 21
     keys = [r["key"] for r in scored(spark, [("email", ["a"]), ("user_id", [h])])["reasons"]]
     assert keys == ["reason.categoryCount", "reason.hashLike", "reason.categoryCount"]
 
@@ -99,13 +106,36 @@ def test_reveal_limits(spark):
     hits = [("email", 120), ("cookie", 100), ("phone", 250), ("iban", 150), ("secret", 100), ("address", 60)]
     data = [{"category": c, "vals": [f"{c}{i}" for i in range(n)]} for c, n in hits]
     df = spark.createDataFrame([(1, data)], f"id int, hits {HITS}")
-    trimmed = {h["category"]: len(h["vals"]) for h in df.selectExpr(f"{trim_reveal_hits('hits')} as h").first()["h"]}
+    trimmed = {h["category"]: len(h["vals"]) for h in df.selectExpr(f"{trim_reveal_hits('hits', 100, 500)} as h").first()["h"]}
     # 560 after the first cut: address gives all 60
     assert trimmed == {"email": 100, "cookie": 100, "phone": 100, "iban": 100, "secret": 100, "address": 0}
     flat = [(1, c, i, f"{c}{i}") for c, n in hits for i in range(n)]
     pairs = spark.createDataFrame(flat, "id int, category string, pos bigint, clear string")
-    long = {r["category"]: r["count"] for r in trim_reveal_pairs(pairs, "id").groupBy("category").count().collect()}
+    long = {r["category"]: r["count"] for r in trim_reveal_pairs(pairs, "id", 100, 500).groupBy("category").count().collect()}
     assert long == {c: n for c, n in trimmed.items() if n}
+    assert {h["category"]: len(h["vals"]) for h in df.selectExpr(f"{trim_reveal_hits('hits')} as h").first()["h"]} == dict(hits)
+    assert trim_reveal_pairs(pairs, "id").count() == sum(n for _, n in hits)
+
+
+def test_a_rule_named_like_a_category_is_masked_as_a_rule(spark):
+    matches = spark.createDataFrame(
+        [(1, "builtin", "phone", 0, "0612345678"), (1, "custom", "phone", 0, "EMP-0612345")],
+        "id int, scope string, category string, pos bigint, value string",
+    )
+    got = {r["scope"]: r["redacted"] for r in reveal_pairs(matches).collect()}
+    assert got == {"builtin": "06******78", "custom": "*******2345"}
+    pairs = reveal_pairs(matches)
+    marked = mark_ignored(None, spark.createDataFrame([("phone", "EMP-0612345")], "category string, value string"), "s", 1)
+    assert [r["scope"] for r in revealed_report(pairs, marked, "s").collect()] == ["builtin"]
+
+
+def test_every_value_is_neutralised(spark):
+    from sievelight.operators.builtin import with_builtin_hits
+
+    text = " ".join(f"user{i}@shop.org" for i in range(300))
+    done = neutralize(with_builtin_hits(spark.createDataFrame([(1, text)], "doc_id int, text string"))).first()
+    assert done["replaced_total"] == 300
+    assert not re.search(r"user\d", done["redacted_text"])
 
 
 def test_ignored_values(spark):

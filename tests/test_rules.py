@@ -25,12 +25,12 @@ CASES = os.path.join(os.path.dirname(__file__), "data", "labelled_cases.jsonl")
 
 def test_labelled_cases(spark):
     cases = read_labelled_cases(spark, CASES)
-    assert cases.count() == 68
+    assert cases.count() == 52
     judged = evaluate_cases(cases, compile_rules(load_rules(spark, "fr")))
-    assert judged.filter("outcome in ('MISS', 'FALSE_POS')").collect() == []
+    assert [r["id"] for r in judged.filter("outcome in ('MISS', 'FALSE_POS')").collect()] == []
     counts = {r["target_type"]: (r["hit"], r["clean"]) for r in confusion(judged).collect()}
     assert len(counts) == 15
-    assert counts["mac_address"] == (15, 2)
+    assert counts["mac_address"] == (3, 3)
 
 
 def test_broken_case_line_fails(spark, tmp_path):
@@ -56,7 +56,7 @@ def test_generic_pairs_equal_the_plain_pattern(spark):
     samples += ["a-->b", "foo->bar", "ab--->c", "x: y", "k" * 200 + "->v", "-" * 90 + "> z", "q" * 85 + "-> z"]
     df = spark.createDataFrame(list(enumerate(samples)), "id int, text string").repartition(8)
     for r in df.selectExpr("id", "text", f"{field_pairs('text')} as p").collect():
-        want = [(m.group(1), m.group(2)) for m in PAIR.finditer(r["text"])][:300]
+        want = [(m.group(1), m.group(2)) for m in PAIR.finditer(r["text"])]
         assert [(x["key"], x["value"]) for x in r["p"]] == want, repr(r["text"])
 
 
@@ -65,9 +65,9 @@ def test_pair_and_rule_caps(texts):
     df = texts(lines, "x " * 400)
     rows = detect_rules(df, "text", "id", [Rule("r", field_name_regex="^token$"), Rule("x", value_regex="x")])
     counts = {(r["id"], r["category"]): r["count"] for r in rows.groupBy("id", "category").count().collect()}
-    assert counts == {(0, "r"): 250, (1, "x"): 250}
-    uncapped = detect_rules(df, "text", "id", [Rule("r", field_name_regex="^token$")], cap=None)
-    assert uncapped.count() == 300
+    assert counts == {(0, "r"): 301, (1, "x"): 400}
+    capped = detect_rules(df, "text", "id", [Rule("r", field_name_regex="^token$")], cap=250)
+    assert capped.count() == 250
 
 
 def test_rule_order_name_field_value(spark):

@@ -174,7 +174,8 @@ def test_authorize_order(spark):
 
 def test_fleet_limits(spark):
     rows = spark.range(600).selectExpr("'d' as device_id", "cast(id as string) as file_id", "id as received_at")
-    assert fleet.fleet_alerts_top(rows, 0).count() == 1
-    assert fleet.fleet_alerts_top(rows, 9999).count() == 500
+    assert fleet.fleet_alerts_top(rows, 3).count() == 3
+    assert fleet.fleet_alerts_top(rows, 9999).count() == 600
+    assert fleet.fleet_retention(rows).count() == 600
     assert fleet.fleet_alerts_top(rows).first()["received_at"] == 599
     assert fleet.fleet_retention(rows, 10).agg(F.min("received_at")).first()[0] == 590

@@ -1,6 +1,7 @@
 """Streams: bounded runs against their batch twins and brute force."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -73,6 +74,32 @@ def test_debounce_batch_equals_brute_force(spark, bucket):
     assert got == brute_force(changes, 2, 20)
 
 
+def shuffles(df):
+    """Scans and new exchanges of a plan, without those that are used again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    nodes = [re.sub(r"^[\s:+\-*()0-9]*", "", x) for x in plan.splitlines()]
+    kinds = ("FileScan", "Exchange", "ReusedExchange")
+    return [sum(n.startswith(k) for n in nodes) for k in kinds]
+
+
+def test_sessions_and_debounce_read_and_shuffle_events_once(spark, tmp_path):
+    frame(spark, make_changes()).write.parquet(str(tmp_path / "c"))
+    changes = spark.read.parquet(str(tmp_path / "c"))
+    assert shuffles(session_batch(changes, "path", "changed_at", 2)) == [1, 2, 0]
+    # the changes are read and shuffled once; their shuffle is read again for the long runs
+    assert shuffles(debounce_batch(changes)) == [1, 4, 2]
+
+
+def test_busy_path_is_spread(spark):
+    """A path with half of all changes, whose runs go on over many cells."""
+    rows = [("/hot", i * 0.75 + (i % 50 == 0) * 0.25 + 5 * (i // 200), i) for i in range(3000)]
+    rows += [(f"/p{i % 97}", i * 1.25, i) for i in range(3000)]
+    for bucket in (7, 60, 3600):
+        got = collected(debounce_batch(frame(spark, rows), bucket_seconds=bucket))
+        assert got == brute_force(rows, 2, 20)
+
+
 def run_stream(writer, name):
     query = writer.trigger(availableNow=True).queryName(name).start()
     query.awaitTermination()
@@ -121,7 +148,7 @@ def test_sessions_stream_and_batch(spark, tmp_path):
 
     expected = {k: (e, n, float(n)) for k, (e, n) in want.items()}
     for bucket in (30, 100_000):
-        out = session_batch(df.repartition(8), "u", "ts", 60, bucket_seconds=bucket, total=F.sum("v"))
+        out = session_batch(df.repartition(8), "u", "ts", 60, bucket_seconds=bucket, total=("sum", "v"))
         assert as_dict(out) == expected
     end = spark.createDataFrame([(99, T0 + timedelta(days=900), 1.0)], df.schema)
     src = str(tmp_path / "ev")
