@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import fixed
@@ -247,7 +249,7 @@ _FLEET_SQL = "fleet as (" + corpora.select(
     select * exclude (wanted) from items where wanted and risk_level in ('high', 'critical')""",
 )
 def visible_alerts(spark, sf):
-    local = A.latest_alerts(_files(spark, sf), _scans(spark, sf))
+    local = A.alert_rows(_files(spark, sf), _scans(spark, sf))
     items = A.visible_alerts(
         local, _fleet_alerts(spark, sf), risks=["high", "critical"],
         types=["email", "badge", "weak_archive_encryption"],
@@ -257,13 +259,61 @@ def visible_alerts(spark, sf):
     )
 
 
+_ITEMS_SQL = f"""with {_SCANS_SQL}, {_LATEST_SQL}, {_FILES_SQL}, {_FLEET_SQL},
+    items as (
+      select 'local' as kind, 'local' as device_id, f.file_id::string as file_id, risk_level,
+             last_seen_at as alert_time, {_PRIMARY} as primary_type
+      from files f join latest s on s.file_id = f.file_id where not deleted and {_KEEP} and not ignored
+      union all
+      select 'server', device_id, file_id::string, risk_level, received_at, type from fleet)"""
+_RANK = "case risk_level when 'low' then 0 when 'medium' then 1 when 'high' then 2 else 3 end"
+_ORDERS = {
+    "risk_desc": f"{_RANK} desc, alert_time desc",
+    "risk_asc": f"{_RANK}, alert_time desc",
+    "recent": "alert_time desc",
+    "type": "primary_type",
+}
+_TOP = 120
+
+
+@query(
+    "alert_orders",
+    _ITEMS_SQL
+    + " union all ".join(
+        f"""(select '{name}' as sort, kind, device_id, file_id,
+        row_number() over (order by {order}, kind, device_id, file_id) as rank from items qualify rank <= {_TOP})"""
+        for name, order in _ORDERS.items()
+    ),
+)
+def alert_orders(spark, sf):
+    """The head of the alert list in each of its orders, with the place of each row."""
+    local, remote = A.alert_rows(_files(spark, sf), _scans(spark, sf)), _fleet_alerts(spark, sf)
+    heads = [
+        ranked(A.visible_alerts(local, remote, sort=name), _TOP).select(
+            F.lit(name).alias("sort"), "kind", "device_id", "file_id", "rank"
+        )
+        for name in _ORDERS
+    ]
+    return functools.reduce(DataFrame.unionByName, heads)
+
+
+@query(
+    "alerts_order",
+    f"""with {_SCANS_SQL}, {_LATEST_SQL}, {_FILES_SQL}
+    select f.file_id, row_number() over (order by risk_score desc, scanned_at desc, f.file_id) as rank
+    from files f join latest s on s.file_id = f.file_id where not deleted and {_KEEP} qualify rank <= {_TOP}""",
+)
+def alerts_order(spark, sf):
+    return ranked(A.latest_alerts(_files(spark, sf), _scans(spark, sf)).select("file_id"), _TOP)
+
+
 @query(
     "device_alerts",
     f"""with {_FLEET_SQL} select device_id, file_id::string as file_id, received_at as alert_time, type as primary_type
     from fleet where device_id = 'd1'""",
 )
 def device_alerts(spark, sf):
-    local = A.latest_alerts(_files(spark, sf), _scans(spark, sf))
+    local = A.alert_rows(_files(spark, sf), _scans(spark, sf))
     items = A.visible_alerts(local, _fleet_alerts(spark, sf), device="d1", sort="recent")
     return items.select("device_id", "file_id", "alert_time", "primary_type")
 
@@ -277,7 +327,7 @@ def device_alerts(spark, sf):
       union all select type from fleet where type not in {D.in_list(fixed.CATEGORIES)})""",
 )
 def type_options(spark, sf):
-    local = A.latest_alerts(_files(spark, sf), _scans(spark, sf))
+    local = A.alert_rows(_files(spark, sf), _scans(spark, sf))
     return A.type_options(local, _fleet_alerts(spark, sf))
 
 
@@ -344,7 +394,7 @@ def fleet_authorize(spark, sf):
 def fleet_authorize_salted(spark, sf):
     """The way taken for device tables too large to broadcast."""
     return (
-        _judged(spark, sf, max_rows=0, salts=8)
+        _judged(spark, sf, hint="merge")
         .groupBy("status")
         .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("device_id").alias("devices"))
     )
@@ -640,7 +690,7 @@ def ignored_filter(spark, sf):
 def ignored_filter_salted(spark, sf):
     """The way taken for ignore lists too large to broadcast."""
     kept = apply_ignored_values(
-        _profile_matches(spark, sf), _ignored(spark, sf), SALT, salts=8, max_rows=0
+        _profile_matches(spark, sf), _ignored(spark, sf), SALT, hint="merge"
     )
     return kept.drop("scope")
 

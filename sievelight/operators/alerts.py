@@ -18,6 +18,12 @@ WEAK = "weak_archive_encryption"
 
 def latest_alerts(files: DataFrame, scans: DataFrame) -> DataFrame:
     """Files not deleted whose most recent scan has a signal, worst first."""
+    order = [F.col("risk_score").desc(), F.col("scanned_at").desc(), "file_id"]
+    return alert_rows(files, scans).orderBy(*order)
+
+
+def alert_rows(files: DataFrame, scans: DataFrame) -> DataFrame:
+    """The rows of :func:`latest_alerts` in no order, for lists that are filtered and sorted later."""
     joined = files_with_latest_scan(files.filter(~F.col("deleted")), scans)
     return joined.filter(
         has_signal(
@@ -26,7 +32,7 @@ def latest_alerts(files: DataFrame, scans: DataFrame) -> DataFrame:
             F.col("weak_zip_encryption"),
             F.col("risk_score"),
         )
-    ).orderBy(F.col("risk_score").desc(), F.col("scanned_at").desc(), "file_id")
+    )
 
 
 def _counted(findings: Column) -> Column:
@@ -136,7 +142,8 @@ def visible_alerts(
 ) -> DataFrame:
     """The filtered and sorted alert list.
 
-    ``device`` is ``all``, ``local`` or a device id. Any of the chosen ``types`` is enough.
+    ``local`` are alerts in any order (:func:`alert_rows`); the list is sorted once, here. ``device``
+    is ``all``, ``local`` or a device id. Any of the chosen ``types`` is enough.
     """
     if sort not in _SORTS:
         raise ValueError(f"sort must be one of {_SORTS}")

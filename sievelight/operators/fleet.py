@@ -16,7 +16,7 @@ def bearer_token(authorization: Column) -> Column:
 
 def authorize_alerts(
     requests: DataFrame, devices: DataFrame, now: Column, authorization: str = "authorization",
-    *, salts: int = 32, max_rows: int = 200_000,
+    *, hint: str | None = None,
 ) -> DataFrame:
     """Add ``device_id, device_name, status`` to each request.
 
@@ -30,7 +30,7 @@ def authorize_alerts(
         ).alias("_d")
     )
     asked = requests.withColumn("token", bearer_token(F.col(authorization)))
-    joined = lookup_join(asked, known, ["token"], "left", salts=salts, max_rows=max_rows)
+    joined = lookup_join(asked, known, ["token"], "left", hint=hint)
     status = (
         F.when(F.col("token") == "", "missing_token")
         .when(F.col("_d").isNull(), "unknown_token")

@@ -37,7 +37,7 @@ def is_builtin(matches: DataFrame) -> Column:
 
 
 def apply_ignored_values(
-    matches: DataFrame, ignored: DataFrame, salt: str, *, salts: int = 32, max_rows: int = 200_000
+    matches: DataFrame, ignored: DataFrame, salt: str, *, hint: str | None = None
 ) -> DataFrame:
     """Drop built-in matches whose salted hash is on the list; rule matches always stay."""
     builtin = is_builtin(matches)
@@ -46,9 +46,7 @@ def apply_ignored_values(
         F.when(builtin, F.expr(value_hash(salt, "category", "value"))),
     )
     keys = ignored.select("category", "value_hash").distinct()
-    kept = lookup_join(
-        hashed, keys, ["category", "value_hash"], "left_anti", salts=salts, max_rows=max_rows
-    )
+    kept = lookup_join(hashed, keys, ["category", "value_hash"], "left_anti", hint=hint)
     return kept.select(*matches.columns)
 
 

@@ -36,21 +36,24 @@ def merge_hits(*lists: str, custom: bool = False) -> str:
 
 def merge_matches(
     parts: DataFrame, key: str, order: str, *flags: str, hits: str = "hits",
-    custom_hits: str = "custom_hits",
+    custom_hits: str = "custom_hits", errors: str | None = None,
 ) -> DataFrame:
     """One row per ``key`` from the hits of its parts (archive entries, sheets) in ``order``.
 
-    ``flags`` are boolean columns, true when they are for any part. Only matches are shuffled.
-    Caps apply per part, not to the merged list.
+    ``flags`` are boolean columns, true when they are for any part; ``errors`` names a text column whose
+    values are listed. Only matches are shuffled. A cap of the caller's applies per part, not to the
+    merged list.
     """
+    listed = [F.array_sort(F.collect_set(errors)).alias("errors")] if errors else []
     collected = F.array_sort(F.collect_list(F.struct(order, hits, custom_hits)))
     flat = lambda name: f"flatten({each('_parts', lambda p: f'{p}.{name}')})"
     return (
         parts.groupBy(key)
-        .agg(collected.alias("_parts"), *[F.bool_or(f).alias(f) for f in flags])
+        .agg(collected.alias("_parts"), *[F.bool_or(f).alias(f) for f in flags], *listed)
         .selectExpr(
             key,
             *flags,
+            *(["errors"] if errors else []),
             f"{merge_hits(flat(hits))} as {hits}",
             f"{merge_hits(flat(custom_hits), custom=True)} as {custom_hits}",
         )

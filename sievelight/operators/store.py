@@ -99,12 +99,10 @@ def decode_risk_level(text: Column, default: str = "low") -> Column:
     return F.when(text.isin(*fixed.RISK_LEVELS), text).otherwise(F.lit(default))
 
 
-def append_scans(scans: DataFrame, path: str, batch: str | None = None) -> None:
-    """Append scan rows. With ``batch`` a repeated write of the same batch replaces itself."""
-    if batch is None:
-        scans.write.mode("append").parquet(path)
-    else:
-        scans.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def append_scans(scans: DataFrame, path: str, batch: str) -> None:
+    """Append scan rows as one batch; a repeated write of the same batch replaces itself, so a retry
+    doubles no rows."""
+    scans.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def drop_removed_categories(scans: DataFrame) -> DataFrame:

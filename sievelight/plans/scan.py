@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.sql import array, each, each_at, lit, struct
+from ..functions.sql import NO_STRINGS, array, each, each_at, lit, struct
 from ..functions.sql import keep as keep_where
 from ..functions.text import suggestion_for
 from ..functions.values import value_hash
@@ -20,7 +20,15 @@ from ..operators.merge import merge_hits, merge_matches
 from ..operators.rules import Rule, with_rule_hits
 from ..operators.store import file_id_of
 from ..sources.archives import docx_text, expand_zip, is_text_entry
-from ..sources.files import decode_text, file_size_gate, read_files, text_if_not_binary
+from ..sources.files import (
+    decode_text,
+    existing_paths,
+    file_size_gate,
+    missing_files,
+    read_files,
+    read_paths,
+    text_if_not_binary,
+)
 from .session import lookup_join, pin
 
 def _name_rules(rules: Sequence[Rule]) -> list[Rule]:
@@ -236,31 +244,36 @@ def as_scans(reports: DataFrame, scanned_at: Column) -> DataFrame:
     )
 
 
-def file_parts(files: DataFrame, docx: DataFrame, zips: DataFrame) -> DataFrame:
-    """Texts found in files: ``path, part, kind, secrets_enabled, text, weak_zip_encryption``.
+def file_parts(texts: DataFrame, docx: DataFrame, zips: DataFrame) -> DataFrame:
+    """Texts found in files: ``path, part, kind, secrets_enabled, text, weak_zip_encryption, error``.
 
     Text files and unknown files without NUL bytes are one part, DOCX files too, archives one
-    per text entry, with one part without text that carries the result of the audit.
+    per text entry, with one part without text that carries the result of the audit. What could not be
+    read is a part with an ``error``.
     """
-    plain = files.filter(F.col("content_kind").isin("text", "other")).select(
+    none, plain_part = F.lit(None).cast("string"), F.array(F.lit(0))
+    plain = texts.select(
         "path",
-        F.array(F.lit(0)).alias("part"),
+        plain_part.alias("part"),
         F.col("content_kind").alias("kind"),
         "secrets_enabled",
         F.when(F.col("content_kind") == "text", decode_text(F.col("content")))
         .otherwise(text_if_not_binary(F.col("content")))
         .alias("text"),
         F.lit(False).alias("weak_zip_encryption"),
+        none.alias("error"),
     )
     written = docx_text(docx).select(
-        "path", F.array(F.lit(0)).alias("part"), F.lit("docx").alias("kind"),
+        "path", plain_part.alias("part"), F.lit("docx").alias("kind"),
         F.lit(True).alias("secrets_enabled"), "text", F.lit(False).alias("weak_zip_encryption"),
+        none.alias("error"),
     )
-    entries = expand_zip(zips, audit=True).filter(F.col("entry").isNull() | is_text_entry("entry"))
-    zipped = entries.select(
+    wanted = F.col("entry").isNull() | F.col("error").isNotNull() | is_text_entry("entry")
+    zipped = expand_zip(zips, audit=True).filter(wanted).select(
         "path", "part", F.lit("zip").alias("kind"), F.lit(True).alias("secrets_enabled"),
         text_if_not_binary(F.col("content")).alias("text"),
         (F.coalesce("zip_encryption", F.lit("")) == "zipcrypto").alias("weak_zip_encryption"),
+        F.when(F.col("error").isNotNull(), F.concat_ws(": ", "entry", "error")).alias("error"),
     )
     return plain.unionByName(written).unionByName(zipped)
 
@@ -269,37 +282,88 @@ def scan_files(
     spark: SparkSession,
     roots: Sequence[str],
     *,
-    rules: Sequence[Rule] = (),
-    entities: Sequence[EntitySetting] = (),
-    ignored: DataFrame | None = None,
-    salt: str = "",
     extracted: DataFrame | None = None,
     max_file_bytes: int | None = None,
-    phone_locale: str = "other",
-    unicode: bool = True,
-    compat: bool = False,
     **options,
 ) -> DataFrame:
-    """Score every visible file below the roots, one row per file.
+    """Score every visible file below the roots, one row per file; options as for :func:`scan`.
 
-    Parts are scanned where their bytes are; only matches are shuffled, by path. One pass reads
-    the files; archives and DOCX files are read once more, by readers that see only them.
+    Parts are scanned where their bytes are; only matches are shuffled, by path. Each branch opens
+    only files of its extensions, so the bytes of PDF files, images and workbooks are never loaded; files of
+    unknown extensions are opened by name, from the list that the file index holds anyway.
     ``extracted(path, part, text)`` adds texts from elsewhere (PDF text, image text, sheets)
-    under the kind of their file.
+    under the kind of their file. ``errors`` lists what could not be read.
+    """
+    small = ~file_size_gate(F.col("size"), max_file_bytes)
+    listed = read_files(spark, roots).drop("content")
+    unknown = listed.filter((F.col("content_kind") == "other") & small).select("path")
+    others = read_paths(spark, [r["path"] for r in unknown.toLocalIterator()])
+    texts = read_files(spark, roots, fixed.TEXT_EXTENSIONS).unionByName(others)
+    parts = file_parts(
+        texts.filter(small),
+        read_files(spark, roots, ["docx"]).filter(small),
+        read_files(spark, roots, ["zip"]).filter(small),
+    )
+    return _scan_parts(listed, parts, small, extracted, **options)
+
+
+def scan_paths(
+    spark: SparkSession, paths: Sequence[str], *, max_file_bytes: int | None = None, **options
+) -> DataFrame:
+    """Score single files, routed like those of :func:`scan_files`; a live scan calls it for its changes.
+
+    Paths that are no files give a row with the reason ``reason.notAFile``.
     """
+    there = existing_paths(spark, paths)
     small = ~file_size_gate(F.col("size"), max_file_bytes)
-    files = read_files(spark, roots)
+    files = read_paths(spark, there)
+    kind = F.col("content_kind")
+    opened = [p for p in there if extension_of(p) not in _UNOPENED]
+    readable = read_paths(spark, [p for p in opened if extension_of(p) not in ("zip", "docx")])
     parts = file_parts(
-        files.filter(small),
-        read_files(spark, roots, "docx").filter(small),
-        read_files(spark, roots, "zip").filter(small),
+        readable.filter(small & kind.isin("text", "other")),
+        read_paths(spark, [p for p in opened if extension_of(p) == "docx"]).filter(small),
+        read_paths(spark, [p for p in opened if extension_of(p) == "zip"]).filter(small),
     )
+    reports = _scan_parts(files.drop("content"), parts, small, None, **options)
+    gone = sorted(set(paths).difference(there))
+    if not gone:
+        return reports
+    missing = missing_files(spark.createDataFrame([(p,) for p in gone], "path string"), files.select("path"))
+    return reports.unionByName(missing, allowMissingColumns=True)
+
+
+_UNOPENED = frozenset(["pdf", "xls", "xlsx", *fixed.IMAGE_EXTENSIONS])
+
+
+def extension_of(path: str) -> str:
+    """Lower-case extension of a path's file name, as :func:`file_extension` of a column."""
+    name = path.rsplit("/", 1)[-1]
+    stem, dot, ext = name.rpartition(".")
+    return ext.lower() if dot and stem else ""
+
+
+def _scan_parts(
+    files: DataFrame,
+    parts: DataFrame,
+    small: Column,
+    extracted: DataFrame | None,
+    *,
+    rules: Sequence[Rule] = (),
+    entities: Sequence[EntitySetting] = (),
+    ignored: DataFrame | None = None,
+    salt: str = "",
+    phone_locale: str = "other",
+    unicode: bool = True,
+    compat: bool = False,
+    **options,
+) -> DataFrame:
     if extracted is not None:
         kinds = files.select("path", F.col("content_kind").alias("kind"))
         parts = parts.unionByName(
             extracted.join(kinds, "path").select(
                 "path", "part", "kind", F.lit(True).alias("secrets_enabled"), "text",
-                F.lit(False).alias("weak_zip_encryption"),
+                F.lit(False).alias("weak_zip_encryption"), F.lit(None).cast("string").alias("error"),
             )
         )
     found = _with_text_matches(
@@ -307,7 +371,7 @@ def scan_files(
         phone_locale=phone_locale, unicode=unicode, compat=compat,
         entities_allowed=~F.col("kind").isin("zip", "sheet"), **options,
     )
-    merged = merge_matches(found, "path", "part", "weak_zip_encryption")
+    merged = merge_matches(found, "path", "part", "weak_zip_encryption", errors="error")
     df = (
         files.select("path", "size", "mtime", "content_kind")
         .join(merged, "path", "left")
@@ -316,9 +380,10 @@ def scan_files(
                 "hits": F.coalesce("hits", F.expr(EMPTY_HITS)),
                 "custom_hits": F.coalesce("custom_hits", F.expr(EMPTY_HITS)),
                 "weak_zip_encryption": F.coalesce("weak_zip_encryption", F.lit(False)),
+                "errors": F.coalesce("errors", F.expr(NO_STRINGS)),
                 "too_large": ~small,
                 "bypass": F.col("content_kind").isin("zip", "sheet"),
             }
         )
     )
-    return _report(df, "path", rules, ignored, salt, ["size", "mtime"], "bypass")
+    return _report(df, "path", rules, ignored, salt, ["size", "mtime", "errors"], "bypass")

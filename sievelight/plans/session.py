@@ -1,4 +1,4 @@
-"""Session-dependent helpers: checkpoint folder, input spreading, checked broadcasts."""
+"""Session-dependent helpers: checkpoint folder, pinned columns, lookup joins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,47 +36,13 @@ def pin(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*keep, F.inline_outer(packed)).select(*df.columns)
 
 
-def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
-    """True when ``df`` is proven to hold at most that many rows and bytes.
-
-    Reads no more than ``max_rows + 1`` rows, in a small job at the time the plan is built.
-    """
-    size = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
-    return size["n"] <= max_rows and size["b"] <= max_bytes
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str,
-    *,
-    max_rows: int = 200_000,
-    salts: int = 32,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, *, hint: str | None = None) -> DataFrame:
     """Join a large table with a lookup table that is unique on ``on``.
 
-    The lookup side is broadcast when a check proves it small. Otherwise both sides shuffle,
-    with the key salted: each lookup row is copied ``salts`` times and each left row goes to
-    one salt, so a key that holds a third of the rows is spread over ``salts`` tasks. ``how``
-    is one of inner, left, left_semi, left_anti, for which this gives the same rows.
+    No side is broadcast by order: Spark broadcasts the lookup table when its statistics, or its
+    measured size at run time, are below ``spark.sql.autoBroadcastJoinThreshold``. Otherwise both sides
+    shuffle once, and adaptive execution splits the partitions of ``left`` that a frequent key makes
+    large. ``how`` is one of inner, left, left_semi, left_anti, whose left side can be split. ``hint``
+    fixes a strategy, for tests.
     """
-    if fits(right, max_rows):
-        return left.join(F.broadcast(right), on, how)
-    rest = [
-        f.name
-        for f in left.schema.fields
-        if f.name not in on and isinstance(f.dataType, T.AtomicType)
-    ]
-    salted_left = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)).cast("int")
-    )
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint(hint) if hint else right, on, how)

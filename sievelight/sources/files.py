@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +55,7 @@ def read_file_inventory(
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", True)
             .load(root)
-            .select(
-                F.regexp_replace("path", r"^file:/+", "/").alias("path"),
-                F.col("length").alias("size"),
-                F.col("modificationTime").alias("mtime"),
-            )
+            .select(_plain_path(), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
         )
         if max_entries_per_root is not None:
             found = recent_first(found, max_entries_per_root)
@@ -115,39 +112,69 @@ def file_size_gate(size: Column, max_file_bytes: int | None) -> Column:
     return F.lit(False) if max_file_bytes is None else size > max_file_bytes
 
 
-def extension_glob(ext: str) -> str:
-    """Glob for files of one extension in any case."""
-    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in ext)
+def extension_glob(extensions: Sequence[str]) -> str:
+    """Glob for files with one of the extensions in any case."""
+    each = ["*." + "".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions]
+    return each[0] if len(each) == 1 else "{" + ",".join(each) + "}"
 
 
-def read_files(spark: SparkSession, roots: Sequence[str], ext: str | None = None) -> DataFrame:
+def _plain_path(column: str = "path") -> Column:
+    return F.regexp_replace(column, r"^file:/+", "/").alias("path")
+
+
+def _binary_files(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .options(**options)
+        .load(list(paths))
+        .select(
+            _plain_path(), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"
+        )
+    )
+
+
+def read_files(
+    spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] | None = None
+) -> DataFrame:
     """Visible files with their bytes: ``path, size, mtime, content, ext, content_kind, ...``.
 
-    With ``ext`` only files of that extension are opened. Filters on ``size`` reach the reader;
-    without ``content`` in the query only names and metadata are read.
+    With ``extensions`` only files with one of them are listed and opened. Filters on ``size`` reach the
+    reader; without ``content`` in the query only names and metadata are read.
     """
-    options = {"pathGlobFilter": extension_glob(ext)} if ext else {}
+    if not roots:
+        raise ValueError("no root given")
+    options = {"recursiveFileLookup": "true"}
+    if extensions:
+        options["pathGlobFilter"] = extension_glob(extensions)
     out = None
-    for root in roots:
-        found = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .options(**options)
-            .load(root)
-            .select(
-                F.regexp_replace("path", r"^file:/+", "/").alias("path"),
-                F.col("length").alias("size"),
-                F.col("modificationTime").alias("mtime"),
-                "content",
-            )
-        )
+    for root in roots:  # one reader for each: a file below two roots belongs to both
+        found = _binary_files(spark, [root], **options)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no root given")
     shown = out.filter(~is_hidden_path("path") & ~is_ignored_extension("path"))
     return route_by_extension(shown)
 
 
+def read_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """As :func:`read_files` for single files that exist, hidden or not; characters with a meaning in globs are taken as they are."""
+    if not paths:
+        empty = "path string, size bigint, mtime timestamp, content binary"
+        return route_by_extension(spark.createDataFrame([], empty))
+    quoted = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    return route_by_extension(_binary_files(spark, quoted))
+
+
+def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of some paths that are files. One call of the file system for each, from the driver."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        at = hadoop.Path(path)
+        system = at.getFileSystem(conf)
+        return system.exists(at) and system.getFileStatus(at).isFile()
+
+    return [p for p in paths if there(p)]
+
+
 def missing_files(requested: DataFrame, inventory: DataFrame) -> DataFrame:
     """Result rows for requested paths that are not files: score 0, level low, one reason."""
     reason = F.array(

@@ -7,9 +7,9 @@ these logs with the same operators that batch jobs use.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -18,14 +18,12 @@ from .. import schemas
 from ..operators.contextual import EntitySetting
 from ..operators.fleet import authorize_alerts, fleet_retention
 from ..operators.rules import Rule
-from ..operators.store import append_scans, file_id_of, reminder_rows, upsert_files
-from ..plans.scan import as_scans, scan, signals_only
-from ..plans.session import checkpoint_dir
+from ..operators.store import append_scans, reminder_rows, upsert_files
+from ..plans.scan import as_scans, scan, scan_paths, signals_only
 from ..sources.files import (
     is_hidden_path,
     is_ignored_extension,
     is_in_watched_dirs,
-    route_by_extension,
 )
 
 
@@ -44,16 +42,16 @@ def change_stream(spark: SparkSession, path: str, roots: Sequence[str] = (), fmt
     )
 
 
-def _log(df: DataFrame, path: str, batch: int) -> None:
+def _log(df: DataFrame, path: str, batch: int | str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
-    """All batches of a log, None before the first one."""
-    try:
-        return spark.read.parquet(path).drop("batch")
-    except AnalysisException:
+    """All batches of a log, None before the first one. A log that cannot be read is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
+    return spark.read.parquet(path).drop("batch")
 
 
 def current_files(spark: SparkSession, store: str) -> DataFrame | None:
@@ -99,32 +97,42 @@ def store_batch(
     reports = signals_only(
         scan(todo, rules=rules, entities=entities, ignored=ignored, salt=salt, **options)
     )
-    append_scans(as_scans(reports, F.lit(now)), f"{store}/scans", str(batch_id))
+    _store_reports(reports, store, str(batch_id), now)
+
+
+def _store_reports(
+    reports: DataFrame, store: str, batch: str, now: int, errors: DataFrame | None = None
+) -> None:
+    """Scans with a signal, their reminders and the events of one batch."""
+    spark = reports.sparkSession
+    append_scans(as_scans(reports, F.lit(now)), f"{store}/scans", batch)
     # later outputs read what was just stored, so that texts are scanned once
-    kept = spark.read.schema(schemas.SCANS).parquet(f"{store}/scans/batch={batch_id}")
-    _log(reminder_rows(kept, F.col("scanned_at")), f"{store}/reminders", batch_id)
-    _log(
-        kept.select(F.lit("alert_created").alias("event_type"), "file_id", "path", "risk_level"),
-        f"{store}/events",
-        batch_id,
-    )
+    kept = spark.read.schema(schemas.SCANS).parquet(f"{store}/scans/batch={batch}")
+    _log(reminder_rows(kept, F.col("scanned_at")), f"{store}/reminders", batch)
+    events = kept.select(F.lit("alert_created").alias("event_type"), "file_id", "path", "risk_level")
+    if errors is not None:
+        events = events.unionByName(errors, allowMissingColumns=True)
+    else:
+        events = events.withColumn("error", F.lit(None).cast("string"))
+    _log(events, f"{store}/events", batch)
 
 
 def scan_stream(
     stable: DataFrame,
     store: str,
     *,
+    checkpoint: str,
     clock: Callable[[], int],
     ignored: Callable[[], DataFrame | None] = lambda: None,
     ignored_files: Callable[[], DataFrame | None] = lambda: None,
-    checkpoint: str | None = None,
     **options,
 ) -> DataStreamWriter:
-    """Writer that scans a stream of stable documents into ``store``.
+    """Writer that scans a stream of stable documents with their texts into ``store``.
+
+    ``checkpoint`` is the stream's own folder, one for each stream.
 
     The ignore lists are read anew for every micro-batch.
     """
-    spark = stable.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
         store_batch(
@@ -132,43 +140,81 @@ def scan_stream(
             ignored_files=ignored_files(), **options,
         )
 
-    where = checkpoint or f"{checkpoint_dir(spark)}/scan_stream"
-    return stable.writeStream.foreachBatch(run).option("checkpointLocation", where)
+    return stable.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def read_contents(stable: DataFrame) -> DataFrame:
-    """Text of stable files for a scan; unreadable ones get an ``error`` and no text.
+def store_file_batch(
+    batch: DataFrame,
+    batch_id: int,
+    store: str,
+    *,
+    now: int,
+    ignored_files: DataFrame | None = None,
+    chunk: int = 2_000,
+    **options,
+) -> None:
+    """Open, scan and store the files of one micro-batch of ``path, size, mtime``.
 
-    For files that the executors see under the same path (a shared folder). The file is read by
-    the task that holds its row.
+    Files go through the same routing as a folder scan (:func:`scan_paths`), ``chunk`` paths at a time, so
+    the driver never holds the paths of a whole batch. Files that are gone or hold unreadable parts become
+    ``scan_error`` events.
     """
-    @F.udf("struct<text:string,error:string>")
-    def load(path):
-        try:
-            with open(path, "rb") as handle:
-                data = handle.read()
-        except OSError as error:
-            return None, str(error)
-        return (None if b"\0" in data else data.decode("utf-8", errors="replace")), None
-
-    routed = route_by_extension(stable)
+    spark = batch.sparkSession
+    seen = batch.groupBy("path").agg(F.max_by(F.struct("size", "mtime"), "mtime").alias("s"))
+    _log(
+        seen.select("path", "s.size", "s.mtime", F.lit(now).cast("bigint").alias("seen_at")),
+        f"{store}/files", batch_id,
+    )
+    todo = seen.select("path")
+    if ignored_files is not None:
+        todo = todo.join(ignored_files.filter("ignored").select("path"), "path", "left_anti")
+    paths = (r["path"] for r in todo.orderBy("path").toLocalIterator())
+    part = 0
+    while some := list(itertools.islice(paths, chunk)):
+        name = f"{batch_id}-{part}"
+        reports = scan_paths(spark, some, **options)
+        reports.write.mode("overwrite").parquet(f"{store}/reports/batch={name}")
+        reports = spark.read.schema(reports.schema).parquet(f"{store}/reports/batch={name}")
+        _store_reports(signals_only(reports.filter("size is not null")), store, name, now, scan_errors(reports))
+        part += 1
+
+
+def scan_errors(reports: DataFrame) -> DataFrame:
+    """``scan_error`` events: files that are gone, and files with parts that could not be read."""
+    gone = F.exists("reasons", lambda r: r["key"] == "reason.notAFile")
     return (
-        routed.withColumn("_c", load(F.col("path")))
-        .withColumns({"text": F.col("_c.text"), "error": F.col("_c.error"), "doc_id": file_id_of(F.col("path"))})
-        .drop("_c")
+        reports.withColumn("error", F.when(gone, "reason.notAFile").otherwise(F.array_join("errors", ", ")))
+        .filter(F.col("error") != "")
+        .select(F.lit("scan_error").alias("event_type"), "path", "error")
     )
 
 
-def scan_errors(contents: DataFrame) -> DataFrame:
-    """``scan_error`` events for files that could not be read."""
-    return contents.filter(F.col("error").isNotNull()).select(
-        F.lit("scan_error").alias("event_type"), "path", "error"
-    )
+def scan_file_stream(
+    stable: DataFrame,
+    store: str,
+    *,
+    checkpoint: str,
+    clock: Callable[[], int],
+    ignored: Callable[[], DataFrame | None] = lambda: None,
+    ignored_files: Callable[[], DataFrame | None] = lambda: None,
+    **options,
+) -> DataStreamWriter:
+    """Writer that opens and scans a stream of stable files ``path, size, mtime`` into ``store``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        store_file_batch(
+            batch, batch_id, store, now=clock(), ignored=ignored(), ignored_files=ignored_files(), **options
+        )
+
+    return stable.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def fleet_batch(batch: DataFrame, batch_id: int, store: str, devices: DataFrame) -> None:
     """Authorise one micro-batch of alerts and log accepted and refused ones."""
-    judged = authorize_alerts(batch, devices, F.col("received_at"))
+    spark = batch.sparkSession
+    _log(authorize_alerts(batch, devices, F.col("received_at")), f"{store}/fleet_requests", batch_id)
+    # authorised once; both outputs read what was stored
+    judged = spark.read.parquet(f"{store}/fleet_requests/batch={batch_id}")
     accepted = judged.filter(F.col("status") == "accepted")
     _log(
         accepted.select(*[f.name for f in schemas.FLEET_ALERTS.fields]),
@@ -184,13 +230,15 @@ def fleet_ingest(
     requests: DataFrame,
     store: str,
     devices: Callable[[], DataFrame],
-    checkpoint: str | None = None,
+    checkpoint: str,
 ) -> DataStreamWriter:
-    """Writer that collects fleet alerts; devices are read anew for every micro-batch."""
-    where = checkpoint or f"{checkpoint_dir(requests.sparkSession)}/fleet_ingest"
+    """Writer that collects fleet alerts; devices are read anew for every micro-batch.
+
+    ``checkpoint`` is the stream's own folder.
+    """
     return requests.writeStream.foreachBatch(
         lambda batch, batch_id: fleet_batch(batch, batch_id, store, devices())
-    ).option("checkpointLocation", where)
+    ).option("checkpointLocation", checkpoint)
 
 
 def current_fleet_alerts(spark: SparkSession, store: str, keep: int | None = None) -> DataFrame | None:

@@ -148,8 +148,8 @@ def test_ignored_values(spark):
     marked = mark_ignored(None, values, "s", 5)
     again = mark_ignored(marked, values, "s", 9)
     assert {r["created_at"] for r in again.collect()} == {5}
-    for max_rows in (10, 0):
-        kept = apply_ignored_values(matches, again, "s", max_rows=max_rows, salts=3)
+    for hint in (None, "merge"):
+        kept = apply_ignored_values(matches, again, "s", hint=hint)
         assert {(r["scope"], r["category"]) for r in kept.collect()} == {("custom", "email"), ("builtin", "user_id")}
     assert unmark_ignored(again, values, "s").count() == 0
     assert apply_ignored_values(matches, again, "other salt").count() == 4

@@ -163,8 +163,8 @@ def test_authorize_order(spark):
         [(1, "Bearer t1", 99), (2, "Bearer t1", 100), (3, "Bearer t2", 200), (4, " Bearer t3 ", 49), (5, "t1", 1), (6, None, 1), (7, "Bearer x", 1)],
         "id int, authorization string, received_at bigint",
     )
-    for max_rows in (100, 0):
-        judged = fleet.authorize_alerts(asked, devices, F.col("received_at"), max_rows=max_rows, salts=3)
+    for hint in (None, "merge", "broadcast"):
+        judged = fleet.authorize_alerts(asked, devices, F.col("received_at"), hint=hint)
         got = {r["id"]: r["status"] for r in judged.collect()}
         assert got == {1: "accepted", 2: "device_expired", 3: "device_disabled", 4: "accepted", 5: "missing_token",
                        6: "missing_token", 7: "unknown_token"}

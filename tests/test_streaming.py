@@ -6,8 +6,10 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from test_files import flagged, make_zip
 
 from sievelight import schemas
+from sievelight.plans.scan import scan_files
 from sievelight.plans.session import checkpoint_dir, lookup_join
 from sievelight.streaming.debounce import debounce, debounce_batch
 from sievelight.streaming.pipeline import (
@@ -16,9 +18,8 @@ from sievelight.streaming.pipeline import (
     current_fleet_alerts,
     current_reminders,
     fleet_ingest,
-    read_contents,
     read_log,
-    scan_errors,
+    scan_file_stream,
     scan_stream,
 )
 from sievelight.streaming.sessions import session_activity, session_batch
@@ -200,15 +201,46 @@ def test_scan_stream(spark, tmp_path):
     assert [r["event_type"] for r in events.collect()] == ["alert_created"] * 2
 
 
-def test_read_contents_and_errors(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes("é".encode())
-    (tmp_path / "b.bin").write_bytes(b"\0")
-    paths = [str(tmp_path / n) for n in ("a.txt", "b.bin", "gone.txt")]
-    out = read_contents(spark.createDataFrame([(p,) for p in paths], "path string"))
-    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in out.collect()}
-    assert got == {"a.txt": "é", "b.bin": None, "gone.txt": None}
-    errors = scan_errors(out).collect()
-    assert [(r["event_type"], r["path"]) for r in errors] == [("scan_error", paths[2])]
+def test_live_files_go_through_the_same_routing_as_folders(spark, tmp_path):
+    """Archives, DOCX, NUL in text files, names with glob characters, damaged and missing files."""
+    root = tmp_path / "in"
+    root.mkdir()
+    good = make_zip([("a.txt", "ann@shop.org"), ("b.txt", "bob@shop.org " * 40)])
+    at = good.find(b"b.txt") + 5
+    content = {
+        "plain.txt": "ann@shop.org é".encode(), "nul.txt": b"ann@shop.org\0", "nul.dat": b"ann@shop.org\0",
+        "odd[1]{x}*.txt": b"eve@shop.org", "box.zip": good, "weak.zip": flagged(good),
+        "broken.zip": good[:at] + bytes(b ^ 0x5A for b in good[at : at + 9]) + good[at + 9 :],
+        "doc.docx": make_zip([("word/document.xml", "<w>dora@shop.org</w>")]), "scan.pdf": b"ann@shop.org",
+    }
+    for name, data in content.items():
+        (root / name).write_bytes(data)
+    changes, store = str(tmp_path / "changes"), str(tmp_path / "store")
+    rows = [(str(root / n), len(b), 1) for n, b in content.items()] + [(str(root / "gone.txt"), 0, 1)]
+    schema = "path string, size bigint, mtime bigint"
+    spark.createDataFrame(rows, schema).write.parquet(changes)
+    stream = spark.readStream.schema(schema).parquet(changes)
+    writer = scan_file_stream(stream, store, checkpoint=str(tmp_path / "cp"), clock=lambda: 7, chunk=4)
+    run_stream(writer, "files")
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    mails = lambda rows: {name(r): sum(f["count"] for f in r["findings"] or [] if f["category"] == "email") for r in rows}
+    live = read_log(spark, f"{store}/scans").collect()
+    assert mails(live) == {
+        "plain.txt": 1, "nul.txt": 1, "odd[1]{x}*.txt": 1, "box.zip": 41, "weak.zip": 40, "broken.zip": 1, "doc.docx": 1,
+    }
+    folder = scan_files(spark, [str(root)]).collect()
+    assert {k: v for k, v in mails(folder).items() if v} == mails(live)
+    assert [name(r) for r in live if r["weak_zip_encryption"]] == ["weak.zip"]
+    events = read_log(spark, f"{store}/events").filter("event_type = 'scan_error'").collect()
+    assert {(name(r), r["error"]) for r in events} == {("gone.txt", "reason.notAFile"), ("broken.zip", "b.txt: unreadable")}
+    assert current_files(spark, store).count() == len(rows)
+
+
+def test_a_damaged_log_is_an_error(spark, tmp_path):
+    (tmp_path / "log" / "batch=0").mkdir(parents=True)
+    (tmp_path / "log" / "batch=0" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="parquet"):
+        read_log(spark, str(tmp_path / "log")).collect()
 
 
 def test_fleet_ingest(spark, tmp_path):
@@ -234,6 +266,7 @@ def test_lookup_join_ways_agree(spark, how):
     left = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 0 else id % 50 end as k")
     right = spark.range(0, 40, 2).selectExpr("id as k", "id * 10 as v")
     small = lookup_join(left, right, ["k"], how)
-    salted = lookup_join(left, right, ["k"], how, max_rows=1, salts=7)
-    assert sorted(map(str, small.collect())) == sorted(map(str, salted.select(*small.columns).collect()))
+    for hint in ("merge", "shuffle_hash"):
+        other = lookup_join(left, right, ["k"], how, hint=hint)
+        assert sorted(map(str, small.collect())) == sorted(map(str, other.select(*small.columns).collect()))
     assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
