@@ -75,10 +75,19 @@ for _name, _cats in (
     ("scan_emails", ["email"]),
     ("scan_ips", ["ip_address"]),
     ("scan_cards", ["credit_card"]),
-    ("scan_phones", ["phone"]),
 ):
     _scan_query(_name, documents, DOCS, "docs", _cats)
 
+# few documents hold a whole number that counts as a phone; each gets one, of every other length
+_CALLED = "concat(text, chr(10), 'tel ', substr(concat('06', (doc_id * 982451653 % 900000000 + 100000000)::string, '71'), 1, (8 + doc_id % 6)::int), ' ;')"
+
+
+def _called(spark, sf):
+    return documents(spark, sf).selectExpr("doc_id", f"{_CALLED} as text")
+
+
+_scan_query("scan_phones", _called, f"cd as (select doc_id, {_CALLED} as text from documents)", "cd", ["phone"])
+
 for _name, _cats in (
     ("scan_kv_ids", ["cookie", "user_id"]),
     ("scan_secrets", ["secret"]),
@@ -143,16 +152,22 @@ def filename_signals(spark, sf):
     return detect_filename(profiles(spark, sf).select("doc_id", "path"), "path", "doc_id")
 
 
+_PART_PATH = (
+    "concat('/x/', p_name, case p_partkey % 6 when 0 then ' IBAN-export' when 1 then '_client_secret v2' when 2 then ' ribbon' "
+    "when 3 then ' cv' else '' end, '.', case when p_partkey % 7 = 0 then 'PST' else p_brand end)"
+)
+
+
 @query(
     "filename_signals_parts",
-    f"""with p as (select p_partkey as doc_id, concat('/x/', p_name, '.', p_brand) as path from part),
+    f"""with p as (select p_partkey as doc_id, {_PART_PATH} as path from part),
     n as ({D.file_signals('p')})
     select doc_id, 'file_name_signal' as category, row_number() over (partition by doc_id order by i) - 1 as pos,
            value, sum(score) over (partition by doc_id)::bigint as bonus from n""",
 )
 def filename_signals_parts(spark, sf):
     paths = table(spark, sf, "part").selectExpr(
-        "p_partkey as doc_id", "concat('/x/', p_name, '.', p_brand) as path"
+        "p_partkey as doc_id", f"{_PART_PATH} as path"
     )
     return detect_filename(paths, "path", "doc_id")
 
@@ -363,14 +378,23 @@ for _name, _locale in (
     _rules_query(_name, _locale)
 
 
+# documents hold no number of the catalog's kinds; each gets one
+_NUMBERED = (
+    "concat(text, chr(10), case doc_id % 6 when 0 then concat('mac 3c:07:54:1b:9e:', lpad((doc_id % 90 + 10)::string, 2, '0')) "
+    "when 1 then concat('vat DE', (doc_id % 900000000 + 100000000)::string) when 2 then concat('nir 1', lpad(doc_id::string, 14, '8')) "
+    "when 3 then concat('id 0x', md5(doc_id::string), '12345678') when 4 then concat('dni ', (doc_id % 9000000 + 1000000)::string, '-K') else 'none' end)"
+)
+
+
 @query(
     "rules_all_documents",
-    f"""with {DOCS}, m as ({_rules_sql(_catalog_rules(None), 'docs')})
+    f"""with docs as (select doc_id, {_NUMBERED} as text from documents), m as ({_rules_sql(_catalog_rules(None), 'docs')})
     select category, count(*) as n, count(distinct doc_id) as n_docs from m group by category""",
 )
 def rules_all_documents(spark, sf):
     rules = compile_rules(load_rules(spark, "fr"))
-    found = detect_rules(documents(spark, sf), "text", "doc_id", rules)
+    numbered = documents(spark, sf).selectExpr("doc_id", f"{_NUMBERED} as text")
+    found = detect_rules(numbered, "text", "doc_id", rules)
     return found.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
     )
@@ -480,8 +504,23 @@ def _entity_query(name: str, entity: str, source, cte: str, cte_name: str, thres
         )
 
 
+# documents name no firm; each gets one
+_FIRMED = "concat(text, chr(10), 'the company ', initcap_, ' Holding ', case doc_id % 4 when 0 then 'Inc' when 1 then 'GmbH' when 2 then 'Ltd' else 'Limited' end, ' from here')"
+_FIRMED = _FIRMED.replace("initcap_", "concat('Acme', substr('abcdefghij', (doc_id % 10 + 1)::int, 1))")
+
+
+def _firmed(spark, sf):
+    return documents(spark, sf).selectExpr("doc_id", f"{_FIRMED} as text")
+
+
 for _entity in ("person", "organization", "location"):
-    _entity_query(f"contextual_{_entity}", _entity, documents, DOCS, "docs", LOW[_entity])
+    if _entity != "organization":
+        _entity_query(f"contextual_{_entity}", _entity, documents, DOCS, "docs", LOW[_entity])
+    else:
+        _entity_query(
+            "contextual_organization", _entity, _firmed,
+            f"fd as (select doc_id, {_FIRMED} as text from documents)", "fd", LOW[_entity],
+        )
     _entity_query(
         f"contextual_profile_{_entity}", _entity, profiles, PROFILES, "profiles",
         PROFILE[_entity],
