@@ -27,8 +27,8 @@ from sievelight.operators.ignore import (
 )
 from sievelight.operators.merge import merge_matches
 from sievelight.operators.reveal import (
-    reveal_lookup,
     reveal_pairs,
+    reveal_requested,
     revealed_report,
     trim_reveal_hits,
     trim_reveal_pairs,
@@ -731,17 +731,28 @@ def scan_with_ignored(spark, sf):
     )
 
 
+# what a session asks for: redacted values it has seen, of every third note, and some that occur nowhere
+_REQUESTS = (
+    "select c_custkey as doc_id, 'email' as category, concat(substr('johmarpieanncaringhugchl', (c_custkey % 8 * 3 + 1)::int, 3), '***@mail.shop.org') as redacted "
+    "from {t} where c_custkey % 3 = 0 "
+    "union all select c_custkey, 'user_id', concat(repeat('*', 28), right(md5(c_custkey::string), 4)) from {t} where c_custkey % 3 = 0"
+)
+
+
 @query(
     "reveal_lookup",
-    f"""with {PROFILES}, {_MATCHES_SQL}, {_IGNORED_SQL}, {_FLAGGED_SQL}
+    f"""with {PROFILES}, {_MATCHES_SQL}, {_IGNORED_SQL}, {_FLAGGED_SQL}, asked as ({_REQUESTS.format(t='customer')})
     select doc_id, category, redacted, arg_min(value, pos) as clear
-    from (select *, {D.redact('category', 'value')} as redacted from flagged)
-    where not is_ignored and category in ('email', 'user_id', 'secret') group by all""",
+    from (select *, {D.redact('category', 'value')} as redacted from flagged) join asked using (doc_id, category, redacted)
+    where not is_ignored group by all""",
 )
 def reveal_lookup_query(spark, sf):
-    pairs = reveal_pairs(_profile_matches(spark, sf))
-    requests = pairs.filter(F.col("category").isin("email", "user_id", "secret"))
-    return reveal_lookup(requests, pairs, _ignored(spark, sf), SALT, "doc_id")
+    table(spark, sf, "customer").createOrReplaceTempView("reveal_customer")
+    requests = spark.sql(_REQUESTS.format(t="reveal_customer"))
+    return reveal_requested(
+        requests, profiles(spark, sf).select("doc_id", "text"), _ignored(spark, sf), SALT, "doc_id",
+        categories=["email", "user_id", "secret"],
+    )
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redact, redact_last
 from ..functions.sql import each, fold, keep, let, struct, zipped
+from ..plans.session import lookup_join
+from .builtin import detect_builtin
 from .ignore import flag_ignored_values, is_builtin
 
 
@@ -80,11 +84,30 @@ def reveal_lookup(
 ) -> DataFrame:
     """First clear value, not ignored, for each requested ``(id, category, redacted)``."""
     keys = [id_col, "category", "redacted"]
-    wanted = pairs.join(requests.select(*keys).distinct(), keys, "left_semi")
+    wanted = lookup_join(pairs, requests.select(*keys).distinct(), keys, "left_semi")
     open_pairs = flag_ignored_values(wanted, ignored, salt).filter(~F.col("is_ignored"))
     return open_pairs.groupBy(*keys).agg(F.min_by("clear", "pos").alias("clear"))
 
 
+def reveal_requested(
+    requests: DataFrame,
+    docs: DataFrame,
+    ignored: DataFrame,
+    salt: str,
+    id_col: str,
+    text_col: str = "text",
+    categories: Sequence[str] | None = None,
+    **options,
+) -> DataFrame:
+    """:func:`reveal_lookup` from texts: only documents that a request names are searched.
+
+    ``requests`` has ``id, category, redacted``; ``categories`` are those that may be asked for.
+    """
+    named = lookup_join(docs, requests.select(id_col).distinct(), [id_col], "left_semi")
+    found = detect_builtin(named, text_col, id_col, categories=categories, **options)
+    return reveal_lookup(requests, reveal_pairs(found), ignored, salt, id_col)
+
+
 def revealed_report(pairs: DataFrame, ignored: DataFrame, salt: str) -> DataFrame:
     """Every pair of a built-in category with its ``is_ignored`` flag."""
     return flag_ignored_values(pairs.filter(is_builtin(pairs)), ignored, salt)

@@ -140,15 +140,10 @@ def load_rules(
             continue
         if found is not None:
             stack.append((origin, found))
-    rows = [
-        _row(definition, layer, origin)
+    # configuration: resolved here, so that the rules of a plan cost no job
+    rows = {
+        definition["id"]: _row(definition, layer, origin)
         for layer, (origin, definitions) in enumerate(stack)
         for definition in definitions
-    ]
-    return last_layer_wins(spark.createDataFrame(rows, schemas.RULES))
-
-
-def last_layer_wins(rules: DataFrame) -> DataFrame:
-    """One row per rule id, taken from its highest layer."""
-    best = rules.groupBy("id").agg(F.max_by(F.struct(*rules.columns), "layer").alias("r"))
-    return best.select("r.*")
+    }
+    return spark.createDataFrame(list(rows.values()), schemas.RULES)

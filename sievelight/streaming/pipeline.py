@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -55,20 +55,57 @@ def read_log(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def current_files(spark: SparkSession, store: str) -> DataFrame | None:
-    log = read_log(spark, f"{store}/files")
-    return None if log is None else upsert_files(None, log)
+    """Files as the last snapshot and the batches after it have them."""
+    known, log = _state(spark, f"{store}/files")
+    return known if log is None else upsert_files(known, log)
 
 
 def current_reminders(spark: SparkSession, store: str) -> DataFrame | None:
     """First date written per file and threshold."""
-    log = read_log(spark, f"{store}/reminders")
-    if log is None:
-        return None
+    known, log = _state(spark, f"{store}/reminders")
+    if known is not None and log is not None:
+        log = known.unionByName(log)
+    elif log is None:
+        return known
     return log.groupBy("file_id", "threshold").agg(
         F.min("due_at").alias("due_at"), F.max("sent_at").alias("sent_at")
     )
 
 
+def _state(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """The newest snapshot of a log, and the batches that it does not hold."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = hadoop.Path(f"{path}_snapshots")
+    system = at.getFileSystem(conf)
+    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+    done = [n for n in names if system.exists(hadoop.Path(f"{path}_snapshots/{n}/_SUCCESS"))]
+    if read_log(spark, path) is None:
+        return None, None
+    log = spark.read.parquet(path)
+    if not done:
+        return None, log.drop("batch")
+    last = max(int(n.removeprefix("upto-")) for n in done)
+    known = spark.read.parquet(f"{path}_snapshots/upto-{last}")
+    return known, log.filter(_batch_number() > last).drop("batch")  # a filter on folders
+
+
+def _batch_number() -> Column:
+    return F.split(F.col("batch").cast("string"), "-")[0].cast("long")
+
+
+def snapshot(spark: SparkSession, store: str) -> None:
+    """Write the current files and reminders, so that reading them no longer goes through all batches.
+
+    To be called now and then, between runs of the stream; logs stay as they are.
+    """
+    for name, current in (("files", current_files), ("reminders", current_reminders)):
+        log = read_log(spark, f"{store}/{name}")
+        if log is not None:
+            last = spark.read.parquet(f"{store}/{name}").agg(F.max(_batch_number())).first()[0]
+            if last is not None:
+                current(spark, store).write.mode("overwrite").parquet(f"{store}/{name}_snapshots/upto-{last}")
+
+
 def store_batch(
     batch: DataFrame,
     batch_id: int,

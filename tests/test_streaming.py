@@ -21,6 +21,7 @@ from sievelight.streaming.pipeline import (
     read_log,
     scan_file_stream,
     scan_stream,
+    snapshot,
 )
 from sievelight.streaming.sessions import session_activity, session_batch
 
@@ -176,7 +177,7 @@ def test_scan_stream(spark, tmp_path):
     docs, store = str(tmp_path / "docs"), str(tmp_path / "store")
     schema = "doc_id string, path string, size bigint, mtime bigint, text string, secrets_enabled boolean"
     batch = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(docs)
-    clock = iter([1000, 2000, 2000])
+    clock = iter([1000, 2000, 3000])
     flags = spark.createDataFrame([("/skip", True)], "path string, ignored boolean")
 
     def go():
@@ -199,6 +200,18 @@ def test_scan_stream(spark, tmp_path):
     assert reminders == {"24h": 1000 + 86400, "7j": 1000 + 7 * 86400, "30j": 1000 + 30 * 86400}
     events = read_log(spark, f"{store}/events")
     assert [r["event_type"] for r in events.collect()] == ["alert_created"] * 2
+    # a snapshot changes nothing, and later batches go on from it
+    rows = lambda df: sorted(map(str, df.collect()))
+    before = rows(current_files(spark, store)), rows(current_reminders(spark, store))
+    snapshot(spark, store)
+    assert (rows(current_files(spark, store)), rows(current_reminders(spark, store))) == before
+    batch(("4", "/new", 1, 1, "carl@shop.org", True), ("1", "/a", 11, 3, "nothing", True))
+    go()
+    files = {r["path"]: r for r in current_files(spark, store).collect()}
+    assert set(files) == {"/a", "/b", "/skip", "/new"} and files["/a"]["size"] == 11 and files["/a"]["first_seen_at"] == 1000
+    assert current_reminders(spark, store).count() == 6
+    inputs = current_files(spark, store)._jdf.queryExecution().executedPlan().toString()
+    assert "bigint) > 1)" in inputs  # the batches of the snapshot are not read
 
 
 def test_live_files_go_through_the_same_routing_as_folders(spark, tmp_path):
