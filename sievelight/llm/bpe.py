@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import tidy, without
 
 #: Characters on which NFC changes nothing and the installed regex module, ``str.lower`` and the
 #: tokenizer library agree; texts with others are normalised and split by the library.
@@ -330,7 +330,7 @@ def encode_documents(
                 texts = decoded(encoder.merges, flat, ends, as_text)
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)
 
 
 def _slices(batch: pa.RecordBatch, place: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

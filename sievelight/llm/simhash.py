@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, unused
+from .common import staged, tidy, unused
 from .components import components
 
 _SEGMENT = 32
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
                 [batch.column(0), pa.array(values, pa.int64())], names=[batch.schema.names[0], "fp"]
             )
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:

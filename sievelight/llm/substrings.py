@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, without
+from .common import staged, tidy, without
 
 WIDTH = 13
 ANCHOR = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15  # odd, 5 modulo 8
 _PIECE = 1 << 17  # words that are worked on at once, unless one text has more
-_BATCH = 1 << 20  # blocks that are combined before the shuffle
+_BATCH = 1 << 18  # blocks that are combined before the shuffle
 _FREQUENT = 64  # blocks of one anchor in a batch from which it counts as frequent
 NORMAL, SPREAD, KNOWN, MARKER = 0, 1, 2, 3
 
@@ -318,15 +318,15 @@ def remove_repeated_passages(
     """
     plain = without(docs, "n_words", "n_removed", "_doc", "_text", "_zip")
     doc = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("_doc")
-    index = plain.select(doc, F.col(text)).mapInArrow(_index_rows(width), _INDEX)
+    index = plain.select(doc, F.col(text)).mapInArrow(tidy(_index_rows(width)), _INDEX)
     marked = _lookups(index)
     rest = [F.col(f"`{c}`") for c in plain.columns if c != text]
     rows = plain.select(*rest, doc, F.col(text).alias("_text"))
-    packed = rows.mapInArrow(_pack, _schema(rows, ("_text",), _zip="binary"))
+    packed = rows.mapInArrow(tidy(_pack), _schema(rows, ("_text",), _zip="binary"))
     joined = packed.join(marked.withColumnRenamed("doc", "_doc"), "_doc", "left")
     parsed = staged(
         joined.mapInArrow(
-            _parse(width),
+            tidy(_parse(width)),
             _schema(joined, ("_known", "_open"), _n="long", _gone="binary", _ask="array<long>", _at="array<int>"),
         ),
         "parsed",
@@ -344,7 +344,7 @@ def remove_repeated_passages(
         parsed.where(F.size("_ask") == 0).withColumn("_found", F.lit(None).cast("array<long>"))
     )
     done = whole.mapInArrow(
-        _finish(width),
+        tidy(_finish(width)),
         _schema(whole, ("_zip", "_n", "_gone", "_ask", "_at", "_found", "_doc"), _text="string", n_words="long", n_removed="long"),
     )
     columns = [F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in plain.columns]

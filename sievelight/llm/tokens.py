@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on which the installed regex module and the tokenizer library class letters, digits and
@@ -111,4 +113,4 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
                 [batch.column(0), pa.array(counts, pa.int64())], names=[batch.schema.names[0], "n_tokens"]
             )
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id), F.col(text)).mapInArrow(tidy(run), schema)
