@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import tidy, without
 
 _SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
 _TOKEN = re.compile(
@@ -50,12 +50,14 @@ _ENDS = {
 _AWAY = frozenset("nav footer aside form menu dialog button search fieldset".split())
 _HERE = frozenset("article main".split())
 _AWAY_NAMES = frozenset(
-    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr "
-    "notice alert popup modal overlay sidebar aside rail widget nav navbar navigation navigate menu breadcrumb breadcrumbs "
+    "ad ads advert adverts advertisement advertisements advertising advertorial adbox adslot adunit banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
+    "cookiebar cookiebanner cookieconsent cookienotice notice notices notification alert popup modal overlay sidebar aside rail widget nav navbar navigation navigate menu breadcrumb breadcrumbs "
     "pagination pager toolbar footer masthead topbar comment comments commentlist disqus reply replies respond discussion "
-    "related recommended recommendations teaser share sharing social follow subscribe subscription newsletter signup login "
+    "related recommended recommendations teaser teasers share sharing social follow subscribe subscription newsletter signup login "
     "search form copyright legal disclaimer skip hidden complementary contentinfo".split()
 )
+#: Class names that tell what a page has or lacks, not what the element is.
+_ABOUT = re.compile(r"(?:has|have|with|no|not|without|is|hide|show|toggle)[-_]", re.I)
 _HERE_NAMES = frozenset("article content post entry story main body text".split())
 _SENTENCE = re.compile(r"[.!?…。](?:[\s\"'”’)]|$)")
 _STEP, _SAME, _NEAR = 0.5, 0.75, 0.5  # smoothness: neighbours, neighbours in one element, next in the element
@@ -82,7 +84,8 @@ def _marks(tag: str, rest: str, within: int) -> tuple[int, int]:
             elif key == "style":
                 away = away or "display:none" in value.replace(" ", "").lower()
             else:
-                names = {n.lower() for n in _NAME.findall(value)}
+                own = [n for n in value.split() if not _ABOUT.match(n)]
+                names = {n.lower() for n in _NAME.findall(" ".join(own))}
                 away = away or not names.isdisjoint(_AWAY_NAMES)
                 if "header" in names and not within:
                     away = True
@@ -309,4 +312,4 @@ def extract(pages: DataFrame, *, html: str = "html", text: str = "text") -> Data
             texts = pa.array([main_text(p.as_py()) for p in batch.column(html)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), texts], names=[*rest, text])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)

@@ -31,6 +31,9 @@ def test_article_without_its_surroundings():
         ("<article><ul><li>a<li>b</ul></article>", "a\n\nb"),
         ('<article><p title="a > b">t</p><img alt="<p>"><p>u</p></article>', "t\n\nu"),
         ("<article><script>if (a < b) { '</p>' }</script><p>t</p><style>", "t"),
+        ('<div class="post has-sidebar no-comments"><p>one</p></div><div class="CookieBanner">We use them.</div>', "one"),
+        ('<main id="main"><div class="leftNav">a b</div><p>one</p><div role="complementary">two</div></main>', "one"),
+        ("<article><header><h1>Head</h1></header><p>one</p><footer>by me</footer></article>", "Head\n\none"),
         ("<article><p>one</p><aside>two, and some more text here.</aside><p>three</p></article>", "one\n\nthree"),
     ],
 )
