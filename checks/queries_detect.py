@@ -33,6 +33,7 @@ from sievelight.plans.scan import scan, signals_only
 from sievelight.sources.catalog import load_rules
 from sievelight.sources.tables import scan_table_text, spread
 
+from . import corpora
 from . import detect_sql as D
 from .registry import (
     DOCS,
@@ -107,6 +108,49 @@ _scan_query("scan_phones_fr", profiles, PROFILES, "profiles", ["phone"], "fr")
 _scan_query("scan_phones_es", profiles, PROFILES, "profiles", ["phone"], "es")
 
 
+# card numbers of all networks: prefix and length, a body from the key, and the check digit
+_NETWORKS = [
+    ("4", 13), ("4", 16), ("4", 19), ("51", 16), ("55", 16), ("2221", 16), ("2720", 16), ("34", 15), ("37", 15), ("6011", 16), ("65", 19),
+    ("644", 16), ("3528", 16), ("3589", 16), ("300", 14), ("305", 14), ("36", 14), ("38", 14), ("56", 16), ("2721", 16), ("306", 14), ("35", 15),
+]
+
+
+_PREFIX = corpora._pick([p for p, _ in _NETWORKS], "c_custkey")
+_LENGTH = corpora._pick([str(n) for _, n in _NETWORKS], "c_custkey")
+_CARD_STEPS = [
+    f"c_custkey as doc_id, {_PREFIX} as prefix, ({_LENGTH})::int as n, (c_custkey * 7919 % 10007 * 982451653 % 1000000000)::string as seed",
+    "doc_id, concat(prefix, lpad(seed, (n - 1 - length(prefix))::int, '7283')) as body",
+    "doc_id, body, reverse(body) as back",
+    "doc_id, body, ("
+    + " + ".join(
+        f"coalesce(try_cast(substr(back, {i}, 1) as int), 0)"
+        + (f" * 2 - case when coalesce(try_cast(substr(back, {i}, 1) as int), 0) > 4 then 9 else 0 end" if i % 2 else "")
+        for i in range(1, 19)
+    )
+    + ") as total",
+    "doc_id, body, (10 - total % 10) % 10 as digit",
+    "doc_id, concat('paid with ', body, digit::string, ', refused ', body, ((digit + 1) % 10)::string, '.') as text",
+]
+
+
+def _card_notes(spark, sf):
+    notes = table(spark, sf, "customer")
+    for step in _CARD_STEPS:
+        notes = notes.selectExpr(f"inline(array(struct({step})))")  # a generator: steps are not merged
+    return notes
+
+
+def _nested(steps: list[str], source: str) -> str:
+    for step in steps:
+        source = f"(select {step} from {source})"
+    return source
+
+
+_scan_query(
+    "scan_card_networks", _card_notes, f"cn as (select * from {_nested(_CARD_STEPS, 'customer')})", "cn", ["credit_card"]
+)
+
+
 # pages and conversations are scanned by the same detectors
 def _pages(spark, sf):
     return spread(
@@ -572,17 +616,25 @@ def normalize_hash(spark, sf):
     )
 
 
+_OLD_GLYPHS = "".join(
+    chr(c)
+    for c in (
+        0xF8EB, 0xF8ED, 0xF8EF, 0xF8F0, 0xF8F1, 0xF8F2, 0xF8F3, 0xF8F4, 0xF8F6, 0xF8F9, 0xF8FA, 0xF8FB, 0xF8FC, 0xF8FD, 0xF8FE,
+    )
+)
+
+
 @query(
     "normalize_names",
     r"""with p as (select page_id, url from pages)
     select page_id, regexp_extract(url, '[^/\\]*$') as file_name,
            regexp_replace(lower(regexp_replace(case when regexp_extract(url, '([^/]+)/*$', 1) = '' then url else regexp_extract(url, '([^/]+)/*$', 1) end,
              '(?s)^(.+)\.[^.]*$', '\1')), '[^a-z0-9]', ' ', 'g') as stem,
-           translate(concat(url, chr(63723), url), chr(63723), '⎛') as glyphs from p""",
+           concat(url, '⎛⎝⎢⎣⎧⎨⎩⎪⎞⎤⎥⎦⎫⎬⎭', url) as glyphs from p""",
 )
 def normalize_names(spark, sf):
     pages = table(spark, sf, "pages").select(
-        "page_id", "url", F.concat("url", F.lit("\uf8eb"), "url").alias("twice")
+        "page_id", "url", F.concat("url", F.lit(_OLD_GLYPHS), "url").alias("twice")
     )
     return pages.selectExpr(
         "page_id",
