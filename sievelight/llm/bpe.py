@@ -20,14 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import tidy, without
 
 #: Characters on which NFC changes nothing and the installed regex module, ``str.lower`` and the
 #: tokenizer library agree; texts with others are normalised and split by the library.
-ALIKE = r"[\x00-˿ -⁯]"
+ALIKE = r"[\x00-\u02ff\u2000-\u206f]"
 _TABLE = 150_000  # words a task remembers
 _NEVER = 1 << 60
 

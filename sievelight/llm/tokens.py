@@ -24,7 +24,7 @@ from .common import tidy
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on which the installed regex module and the tokenizer library class letters, digits and
 #: spaces alike; texts with others are split by the library.
-ALIKE = r"[\x00-ԯ -⁯　-ヿ一-龥가-힣]"
+ALIKE = r"[\x00-\u052f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
 _TABLE = 200_000  # pre-tokens a task remembers
 
 

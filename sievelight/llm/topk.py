@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-
 _CANDIDATES = 4096  # in a block
 _QUERIES = 1024  # in a block, on average
 _SPREAD = 64  # tasks among which the cells of one block of queries are dealt

@@ -53,7 +53,7 @@ def test_passage_in_many_documents(spark):
     check(spark, rows, parts=6)
 
 
-def test_frequent_anchor_in_new_blocks(spark, monkeypatch):
+def test_frequent_anchor_in_new_blocks(spark):
     """Five frequent words with other words around, more often than a batch counts as frequent."""
     rng = random.Random(2)
     middle = "m1 m2 m3 m4 m5"
