@@ -8,7 +8,6 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 from ..catalog import shipped

@@ -90,7 +90,7 @@ def test_damaged_archives_are_rows(spark):
     }
 
 
-def test_archive_that_holds_itself_ends(spark, monkeypatch):
+def test_archive_that_holds_itself_ends():
     """An archive is not opened inside itself."""
     from sievelight.sources import archives
 
