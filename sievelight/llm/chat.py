@@ -196,7 +196,8 @@ def formatted(
 ) -> DataFrame:
     """One row ``id, formatted, loss_spans`` for each conversation.
 
-    ``loss_spans`` are start and length, in code points from 0, of the texts whose role is in ``learn``.
+    ``loss_spans`` are start and length, in UTF-8 bytes from 0, of the texts whose role is in ``learn``;
+    bytes, so that a span is cut out of a long conversation without counting its characters.
     Turns are ordered by ``pos``, then role and text (null first); null roles count as empty, repeated
     turns are all kept, rows with a null ``pos`` stand first. Null ids are one conversation.
     A conversation is one value by its nature, so its turns meet in one task; offsets
@@ -210,14 +211,15 @@ def formatted(
     body = template.escaped(F.col("text"))
     pieces = rows.select(
         "id", "pos", "role", "text", F.inline(F.array(F.struct(head.alias("_head"), body.alias("_body"))))
-    ).withColumn("_len", F.length("_head") + F.length("_body") + len(template.end))
+    ).withColumn("_len", F.octet_length("_head") + F.octet_length("_body") + len(template.end.encode()))
     order = Window.partitionBy("id").orderBy("pos", "role", "text")
     placed = pieces.withColumn("_n", F.row_number().over(order)).withColumn(
         "_end", F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
     learnt = F.col("role").isin(list(learn))
-    length = F.length("_body").cast("long")
-    span = F.struct((F.col("_end") - length - len(template.end)).alias("start"), length.alias("length"))
+    length = F.octet_length("_body").cast("long")
+    start = F.col("_end") - length - len(template.end.encode())
+    span = F.struct(start.alias("start"), length.alias("length"))
     whole = placed.groupBy("id").agg(
         F.sort_array(
             F.collect_list(
@@ -248,10 +250,10 @@ def read_back(text: str, template: Template = Template()) -> Column:
 
 def under_mask(text: str, spans: str, template: Template = Template()) -> Column:
     """The texts under the loss mask, unescaped, one after the other."""
-    cut = F.transform(
-        F.col(spans),
-        lambda s: template.unescaped(
-            F.substr(F.col(text), (s["start"] + 1).cast("int"), s["length"].cast("int"))
-        ),
-    )
-    return F.array_join(cut, "")
+
+    def cut(whole: Column) -> Column:
+        piece = lambda s: F.substring(whole, (s["start"] + 1).cast("int"), s["length"].cast("int"))
+        return F.transform(F.col(spans), lambda s: template.unescaped(piece(s).cast("string")))
+
+    # the bytes of the conversation are made once, then bound to a name
+    return F.array_join(F.transform(F.array(F.col(text).cast("binary")), cut)[0], "")

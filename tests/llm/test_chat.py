@@ -34,7 +34,7 @@ def test_control_strings_survive(spark):
         assert row.loss == text
         assert row.formatted.count("<|end|>") == 3 and "</s>" not in row.formatted
         start, size = row.loss_spans[0]
-        assert row.formatted[start : start + size].replace("\\", "") == text.replace("\\", "")
+        assert row.formatted.encode()[start : start + size].decode().replace("\\", "") == text.replace("\\", "")
 
 
 @settings(max_examples=15, deadline=None)
@@ -46,6 +46,12 @@ def test_random_texts_survive(spark, texts):
     assert row.loss == "".join(texts[1::2])
 
 
+def test_long_conversation_takes_linear_time(spark):
+    rows = [(0, i, "assistant" if i % 2 else "user", f"é<s>{i}" * 20) for i in range(20_000)]
+    (row,) = formatted(spark, rows)
+    assert len(row.turns) == 20_000 and row.loss == "".join(r[3] for r in rows[1::2])
+
+
 def test_nulls_ties_and_repeats(spark):
     rows = [
         (None, 1, "user", None), (None, 0, None, "x"), (5, None, "user", "first"), (5, 2, "user", "b"),
