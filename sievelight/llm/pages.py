@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from .common import tidy, without
 
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
+_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
+    # the end tag of a head may be missing
+    r"|<(?P<head>head)\b[^>]*>.*?(?:</head\s*>|(?=<(?:body|header|nav|main|article|section|div|p|h[1-6])\b))"
     rf"|<(?P<silent>{_SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)"
@@ -145,7 +147,7 @@ def blocks(page: str) -> list[_Block]:
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
-            if token["silent"] is None:  # a comment stands between letters as nothing, others too
+            if token["silent"] is None and token["head"] is None:  # a comment stands between letters as nothing, others too
                 continue
             parts.append(" ")
             continue

@@ -28,6 +28,9 @@ def test_article_without_its_surroundings():
         (None, ""), ("", ""), ("<nav>a</nav>", ""), ("<article>x", "x"),
         ("<article><p>a<b>b</p><p>c</b>d</article>", "ab\n\ncd"),
         ("<article><p>1 &lt; 2 &#8364; &eacute;<p>x</article>", "1 < 2 € é\n\nx"),
+        ("<html><head><title>T</title><meta name=x><body><article><p>x</p></article>", "x"),
+        ("<head><title>T</title><p>A text without a body, but long enough. It counts.", "A text without a body, but long enough. It counts."),
+        ("<title>T</title><article>x<header>y</header></article>", "x\n\ny"),
         ("<article><ul><li>a<li>b</ul></article>", "a\n\nb"),
         ('<article><p title="a > b">t</p><img alt="<p>"><p>u</p></article>', "t\n\nu"),
         ("<article><script>if (a < b) { '</p>' }</script><p>t</p><style>", "t"),
