@@ -30,7 +30,7 @@ def replacements(hits: str) -> str:
 
 def _replace_step(state: str, pair: str) -> str:
     text, old = f"{state}.text", f"{pair}.old"
-    count = f"(length({text}) - length(replace({text}, {old}, ''))) div length({old})"
+    count = f"(octet_length({text}) - octet_length(replace({text}, {old}, ''))) div octet_length({old})"
     return struct(
         text=f"replace({text}, {old}, {pair}.new)", total=f"{state}.total + cast({count} as bigint)"
     )
@@ -46,7 +46,7 @@ def neutralize(
 
     ``hits_col`` holds the built-in matches of the text, found without a cap; all literal occurrences
     of all of them are replaced in the whole text, inside the row. With ``path_col`` only files with a text suffix are
-    rewritten, others get nulls.
+    rewritten, others get nulls. The work is the number of different values times the length of the text.
     """
     start = struct(text=text_col, total="0L")
     done = f"case when size(_pairs) = 0 then {start} else {fold('_pairs', start, _replace_step)} end"
