@@ -5,8 +5,8 @@ holdout documents: for each stratum and rule, cutoffs are tried from loose to st
 certified while the exact binomial test rejects "more than ``risk`` of the good documents would be
 rejected". Trying them in a fixed order until the first failure needs no correction within a rule;
 the Bonferroni correction over all rules and strata covers the rest. Of the certified cutoffs, the one
-that tells labelled good and bad documents apart best is used, the loosest of equals, so clean texts are not
-spent up to the allowed risk. Everything is built-in SQL functions.
+with the largest gain is used, the loosest of equals: the share of bad documents it rejects less ``cost`` times the
+share of good ones, so clean texts are not spent up to the allowed risk. Everything is built-in SQL functions.
 """
 
 from __future__ import annotations
@@ -125,6 +125,7 @@ def certified_cutoffs(
     grid: tuple[float, ...] = GRID,
     risk: float = 0.05,
     delta: float = 0.05,
+    cost: float = 20.0,
 ) -> DataFrame:
     """One row ``_stratum`` and one column for each rule: its cutoff, null where none is certified.
 
@@ -172,7 +173,7 @@ def certified_cutoffs(
     gain = F.transform(
         F.arrays_zip("k", "b"),
         lambda x: F.coalesce(
-            F.try_divide(x["b"], F.col("m")) - F.try_divide(x["k"], F.col("n")), F.lit(0.0)
+            F.try_divide(x["b"], F.col("m")) - F.lit(cost) * F.try_divide(x["k"], F.col("n")), F.lit(0.0)
         ),
     )
     picked = (

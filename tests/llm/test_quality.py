@@ -85,7 +85,7 @@ def test_verdicts_against_plain_python(spark):
                 p = tail(len(good), k, 0.05 / 4) if k < len(good) * 0.05 / 4 else 1.0
                 if p > 0.05 / 4 / len(strata):
                     break
-                gain = (sum(v > c for v in bad) / len(bad) if bad else 0) - k / len(good)
+                gain = (sum(v > c for v in bad) / len(bad) if bad else 0) - 20 * k / len(good)
                 if gain > best[0] + 1e-12:
                     best = (gain, c)
             cuts[s, rule] = best[1]
