@@ -60,14 +60,16 @@ def alert_payload(reports: DataFrame) -> DataFrame:
     )
 
 
-def summarize_types(findings: Column, custom_findings: Column, weak_zip: Column) -> Column:
-    """``weak zip, category (n), ...``: four built-in categories and three rules at most."""
+def summarize_types(
+    findings: Column, custom_findings: Column, weak_zip: Column, *, categories: int = 4, rules: int = 3
+) -> Column:
+    """``weak zip, category (n), ...`` for display: the first ``categories`` and ``rules``."""
     label = lambda f: F.concat(f.category, F.lit(" ("), f["count"].cast("string"), F.lit(")"))
     shown = F.filter(_counted(findings), lambda f: f.category != "file_name_signal")
     parts = F.concat(
         F.when(weak_zip, F.array(F.lit(WEAK))).otherwise(F.expr(NO_STRINGS)),
-        F.transform(F.slice(shown, 1, 4), label),
-        F.transform(F.slice(_counted(custom_findings), 1, 3), label),
+        F.transform(F.slice(shown, 1, categories), label),
+        F.transform(F.slice(_counted(custom_findings), 1, rules), label),
     )
     return F.array_join(parts, ", ")
 
