@@ -82,7 +82,7 @@ def mix(
     sized = docs.withColumn("_mix_size", F.coalesce(size, F.lit(0)).cast("long"))
     plain = without(sized, *(n for n in _OUT if n not in (id, source)))
     salt = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id).cast("string"), F.lit("null")))
-    atoms = [c for c, t in plain.dtypes if not t.startswith(("map", "variant"))]
+    atoms = [c for c, t in plain.dtypes if "map<" not in t and "variant" not in t]
     rows = plain.select(
         *[F.col(f"`{c}`") for c in plain.columns if c != "_mix_size"],
         F.col("_mix_size").alias("size"),
@@ -150,6 +150,16 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def drawn(
+    docs: DataFrame, size: Column, *, id: str = "doc_id", source: str = "source", **options
+) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, with their own columns only."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_doc")
+    packed = docs.select(row, F.col(id).alias("id"), F.col(source).alias("source"), size.alias("_mix_words"))
+    mixed = mix(packed, F.col("_mix_words"), id="id", source="source", **options)
+    return emitted(mixed, ["_mix_doc"]).select("_mix_doc.*")
+
+
 def emitted(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))

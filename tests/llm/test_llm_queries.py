@@ -81,6 +81,20 @@ def test_pipeline_stages_against_brute_force(spark, llm_tables):
         assert stage.columns == docs.columns
 
 
+def test_stages_keep_clashing_columns_and_empty_tables(spark, llm_tables):
+    docs = spark.read.parquet(f"{llm_tables}/documents.parquet").limit(60)
+    taken = ["size", "copies", "target", "n_words", "_doc", "_hash", "log_weight", "key", "fp", "_mix_row", "id", "component"]
+    more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in taken])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, more, llm_tables)
+        if name != "bpe_round_trip":
+            assert got.columns == more.columns, name
+            assert got.where(F.col("copies") != F.concat(F.lit("copies"), "doc_id")).count() == 0, name
+            assert got.where(F.col("n_words") != F.concat(F.lit("n_words"), "doc_id")).count() == 0, name
+        got.count()
+        assert stage(spark, more.where("false"), llm_tables).count() == 0, name
+
+
 def test_pipeline_runs(spark, llm_tables):
     got = corpus_pipeline.run(spark, llm_tables)
     assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"]
