@@ -26,8 +26,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    # small row groups: a writer holds one in memory beside the Python workers
-    df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
+    # beside Python workers a writer has to be small: it holds one row group, and other codecs keep
+    # buffers outside the heap that live until the collector happens to run
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
