@@ -18,13 +18,18 @@ from sievelight.plans.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, *, narrow: bool = False) -> DataFrame:
     """Write a frame once to the shared folder and go on from the files.
 
+    ``narrow`` rows, a few numbers each, are dealt to as many files as there are cores first: one small file for
+    each task of a large scan costs more than their shuffle.
+
     Cuts the lineage, so that later steps neither repeat the work nor depend on an executor that
     may be lost. The folder is the one that the session names in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     path = f"{checkpoint_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
     # beside Python workers a writer has to be small: it holds one row group, and other codecs keep
     # buffers outside the heap that live until the collector happens to run

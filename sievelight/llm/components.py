@@ -19,14 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    edges, seen = staged(edges.distinct(), "links"), None
+    edges, seen = staged(edges.distinct(), "links", narrow=True), None
     while True:
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
         if state == seen or state[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, seen = staged(_small_star(_large_star(edges)), "links"), state
+        edges, seen = staged(_small_star(_large_star(edges)), "links", narrow=True), state
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -96,6 +96,7 @@ def mix(
             F.count(F.lit(1)).alias("_mix_n")
         ),
         "mix-counts",
+        narrow=True,
     )
     sizes = counts.groupBy("_mix_s", "source", "size").agg(F.sum("_mix_n").alias("_mix_n"))
     totals = sizes.groupBy("_mix_s", "source").agg(

@@ -79,7 +79,7 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")
     )
-    mixed = mixing.mix(staged(docs, "mix-sizes"), F.col("size"))
+    mixed = mixing.mix(staged(docs, "mix-sizes", narrow=True), F.col("size"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 

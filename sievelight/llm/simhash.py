@@ -104,13 +104,13 @@ def near_duplicates(
     with a null id get the smallest id that is not null, or null if their group has none. Rows that
     repeat are all returned. Other columns are not read, whatever their names.
     """
-    fps = staged(fingerprints(docs, id=id, text=text, width=width), "fingerprints")
+    fps = staged(fingerprints(docs, id=id, text=text, width=width), "fingerprints", narrow=True)
     return fps.join(classes(fps, id, max_bits), "fp").select(id, "fp", "component")
 
 
 def classes(fps: DataFrame, id: str, max_bits: int) -> DataFrame:
     """Rows ``fp, component`` of the distinct fingerprints."""
-    distinct = staged(fps.groupBy("fp").agg(F.min(id).alias("first")), "distinct-fingerprints")
+    distinct = staged(fps.groupBy("fp").agg(F.min(id).alias("first")), "distinct-fingerprints", narrow=True)
     roots = components(linked(distinct, max_bits))
     # the root of a component is in no row of its own
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -133,7 +133,7 @@ def first_of_each(
     hashed = F.xxhash64(F.col(id), F.col(text))
     keyed = docs.select(F.struct(F.col(id).alias("i"), hashed.alias("h")).alias(key), F.col(text))
     fps = fingerprints(keyed, id=key, text=text, width=width)
-    rows = staged(fps.select("fp", f"{key}.i", f"{key}.h"), "fingerprints")
+    rows = staged(fps.select("fp", f"{key}.i", f"{key}.h"), "fingerprints", narrow=True)
     groups = classes(rows.select(F.col("i").alias("id"), "fp"), "id", max_bits)
     group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("fp"), "fp"))
     order = F.struct(F.col("i").isNull(), "i", "h")
