@@ -271,6 +271,6 @@ def quality_rules(
     chosen = docs.select(F.col(id), F.col(stratum).alias("_lang"), F.col(text).alias("_body"))
     counts = staged(text_counts(chosen, id=id, text="_body", keep=("_lang",)), "rule-counts", narrow=True)
     cutoffs = staged(
-        certified_cutoffs(counts, labels, "_lang", id=id, risk=risk, delta=delta), "rule-cutoffs"
+        certified_cutoffs(counts, labels, "_lang", id=id, risk=risk, delta=delta), "rule-cutoffs", narrow=True
     )
     return judged(counts, cutoffs, "_lang").drop("_lang")
