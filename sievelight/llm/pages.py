@@ -51,6 +51,11 @@ _ENDS = {
 }
 _AWAY = frozenset("nav footer aside form menu dialog button search fieldset".split())
 _HERE = frozenset("article main".split())
+_WRAPS = frozenset("form fieldset".split())
+#: Kinds of boilerplate marks. A weak one gives way to a content mark nearer to the block. Any is lifted
+#: from an element that holds the content: ``main``, or most of the sentences. Where the page has marked content
+#: outside of it, this is true of weak marks only; a firm one needs marked content inside.
+_WEAK, _STRONG, _FIRM = 1, 2, 3
 _AWAY_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising advertorial adbox adslot adunit banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
     "cookiebar cookiebanner cookieconsent cookienotice notice notices notification alert popup modal overlay sidebar aside rail widget nav navbar navigation navigate menu breadcrumb breadcrumbs "
@@ -58,6 +63,10 @@ _AWAY_NAMES = frozenset(
     "related recommended recommendations teaser teasers share sharing social follow subscribe subscription newsletter signup login "
     "search form copyright legal disclaimer skip hidden complementary contentinfo".split()
 )
+_FIRM_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial adbox adslot adunit sponsor sponsored "
+    "cookie cookies consent gdpr cookiebar cookiebanner cookieconsent cookienotice".split()
+)
 #: Class names that tell what a page has or lacks, not what the element is.
 _ABOUT = re.compile(r"(?:has|have|with|no|not|without|is|hide|show|toggle)[-_]", re.I)
 _HERE_NAMES = frozenset("article content post entry story main body text".split())
@@ -74,33 +83,109 @@ class _Block:
 
 
 def _marks(tag: str, rest: str, within: int) -> tuple[int, int]:
-    """Whether an element is marked as boilerplate or as content. ``within``: depth of content marks."""
-    away, here = tag in _AWAY, tag in _HERE
+    """How an element is marked as boilerplate, and whether as content. ``within``: depth of content marks.
+
+    A boilerplate mark is weak where it may only describe what the element has: of a form, or of a
+    compound name whose last part says something else. An element keeps both marks.
+    """
+    away, here = _WEAK if tag in _WRAPS else _STRONG if tag in _AWAY else 0, tag in _HERE
     if tag == "header" and not within:
-        away = True
+        away = _STRONG
     if rest and "=" in rest or "hidden" in rest:
         for key, a, b, c in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                away = True
+                away = _FIRM
             elif key == "style":
-                away = away or "display:none" in value.replace(" ", "").lower()
+                away = _FIRM if "display:none" in value.replace(" ", "").lower() else away
+            else:
+                for name in value.split():
+                    if _ABOUT.match(name):
+                        continue
+                    parts = [n.lower() for n in _NAME.findall(name) if not n.isdigit()]
+                    bad = [n in _AWAY_NAMES or n == "header" and not within for n in parts]
+                    if any(bad):
+                        firm = not _FIRM_NAMES.isdisjoint(parts)
+                        away = max(away, (_FIRM if firm else _STRONG) if bad[-1] else _WEAK)
+                    here = here or not any(bad) and not _HERE_NAMES.isdisjoint(parts)
+    return (0, 0) if tag in ("html", "body") else (away, int(here))
+
+
+class _Tree:
+    """The marked elements of a page and the text in them. A mark holds for a chain of elements."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, int, int]] = []  # tag, boilerplate mark, content mark
+        self.chains: list[tuple[int, int]] = []  # element, chain around it
+
+    def add(self, element: int, around: int) -> int:
+        self.chains.append((element, around))
+        return len(self.chains) - 1
+
+    def settle(self, found: list[_Block]) -> None:
+        """Sets ``away`` and ``here`` of the blocks, whose ``away`` is the number of their chain."""
+        n = len(self.chains)
+        plain = [len(b.text) - b.links for b in found]
+        said = [p if _SENTENCE.search(b.text) else 0 for p, b in zip(plain, found, strict=True)]
+        if not any(said):  # a page without sentence ends
+            said = plain
+        kinds = [self.elements[e] for e, _ in self.chains]
+        nearest = [not away and here for _, away, here in kinds]
+        strong = [away >= _STRONG for _, away, _ in kinds]
+        for c, (_, around) in enumerate(self.chains):
+            strong[c] = strong[c] or around >= 0 and strong[around]
+        inside, marked, lead = [0] * n, [0] * n, [0] * n
+        total, bare, content_ = sum(said), 0, 0
+        for b, size, text in zip(found, said, plain, strict=True):
+            c = b.away
+            bare += size if c < 0 or not strong[c] else 0
+            if c >= 0:
+                inside[c] += size
+                if nearest[c]:
+                    marked[c] += text
+                    content_ += text
+        sums = [[0, 0, 0] for _ in self.elements]
+        for c in range(n - 1, -1, -1):
+            element, around = self.chains[c]
+            tag, away, _ = kinds[c]
+            if tag in _HERE and not away and inside[c]:
+                lead[c] = max(lead[c], 2 if tag == "main" else 1)
+            if around >= 0:
+                inside[around] += inside[c]
+                marked[around] += marked[c]
+                lead[around] = max(lead[around], lead[c])
+            of = sums[element]
+            of[0], of[1], of[2] = of[0] + inside[c], of[1] + marked[c], max(of[2], lead[c])
+        lifted = []
+        for (_, away, _), (text, own, best) in zip(self.elements, sums, strict=True):
+            other, most = content_ - own, 2 * text > total
+            if away == _WEAK:
+                lifted.append(best == 2 or most and other <= text)
+            elif away == _STRONG:
+                lifted.append(best == 2 or not other and (most or best == 1 and text > bare))
             else:
-                own = [n for n in value.split() if not _ABOUT.match(n)]
-                names = {n.lower() for n in _NAME.findall(" ".join(own))}
-                away = away or not names.isdisjoint(_AWAY_NAMES)
-                if "header" in names and not within:
-                    away = True
-                here = here or not names.isdisjoint(_HERE_NAMES)
-    return int(away and tag not in ("html", "body")), int(here and not away and tag not in ("html", "body"))
+                lifted.append(bool(away) and not other and bool(own) and most)
+        state: list[tuple[int, int, int]] = []  # firm mark, weak mark, content mark
+        for c, (element, around) in enumerate(self.chains):
+            firm, weak, here = state[around] if around >= 0 else (0, 0, 0)
+            _, away, own = kinds[c]
+            if away and not lifted[element]:
+                firm, weak = (firm, 1) if away == _WEAK else (1, weak)
+            elif own:
+                weak, here = 0, 1
+            state.append((firm, weak, here))
+        for b in found:
+            firm, weak, b.here = state[b.away] if b.away >= 0 else (0, 0, 0)
+            b.away = firm or weak
 
 
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order, with what the classifier needs."""
     out: list[_Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, marks, number
+    stack: list[tuple[str, int, int, int]] = []  # tag, chain of marked elements, content mark, number
     open_ = Counter()
-    away = here = links = heading = 0
+    tree = _Tree()
+    here = links = heading = 0
     numbers = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -112,14 +197,13 @@ def blocks(page: str) -> list[_Block]:
             if text:
                 owner = next((s[3] for s in reversed(stack) if s[0] not in ("p",)), 0)
                 inside = len(" ".join(html_module.unescape("".join(linked)).split()))
-                out.append(_Block(text, inside, away, here, heading > 0, owner))
+                out.append(_Block(text, inside, stack[-1][1] if stack else -1, 0, heading > 0, owner))
         parts, linked = [], []
 
     def pop() -> None:
-        nonlocal away, here, links, heading
-        tag, a, h, _ = stack.pop()
+        nonlocal here, links, heading
+        tag, _, h, _ = stack.pop()
         open_[tag] -= 1
-        away -= a
         here -= h
         links -= tag == "a"
         heading -= tag == "h1"
@@ -164,10 +248,19 @@ def blocks(page: str) -> list[_Block]:
                 else:  # an inline element does not close the blocks that were opened in it
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:
-                            del_tag, a, h, _ = stack.pop(i)
+                            del_tag, chain, h, _ = stack.pop(i)
                             open_[tag] -= 1
-                            away, here = away - a, here - h
+                            here -= h
                             links -= del_tag == "a"
+                            around = stack[i - 1][1] if i else -1
+                            if chain != around:  # the elements in it are marked without it from here on
+                                old = chain
+                                for k in range(i, len(stack)):
+                                    t, c, h, number = stack[k]
+                                    if c != old:
+                                        old, chain = c, tree.add(tree.chains[c][0], around)
+                                        around = chain
+                                    stack[k] = (t, around, h, number)
                             break
             continue
         if tag in _VOID:
@@ -185,16 +278,21 @@ def blocks(page: str) -> list[_Block]:
         if rest and rest.endswith("/") and not block:
             continue
         a, h = _marks(tag, rest or "", here) if block or rest else (0, 0)
+        chain = stack[-1][1] if stack else -1
+        if a or h:
+            tree.elements.append((tag, a, h))
+            chain = tree.add(len(tree.elements) - 1, chain)
+        h = int(h and not a)
         numbers += 1
-        stack.append((tag, a, h, numbers))
+        stack.append((tag, chain, h, numbers))
         open_[tag] += 1
-        away += a
         here += h
         links += tag == "a"
         heading += tag == "h1"
     if at < len(page):
         parts.append(page[at:])
     flush()
+    tree.settle(out)
     return out
 
 

@@ -50,6 +50,36 @@ def test_plain_page_without_marks():
     assert op.main_text(page) == f"{body}\n\n{body}\n\nOk."
 
 
+LONG = "This is the article, and it has a sentence or two. It goes on for a while, so that it is most of the page. It ends."
+NAV = "<nav><a href=1>Home</a></nav>"
+FOOT = "<footer>&copy; by us. All rights are ours.</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=aspnetForm>{NAV}<div><p>{LONG}</p><p>{LONG}</p></div>{FOOT}</form></body>",
+        f"<body><form id=aspnetForm>{NAV}<div class=comments><p>Nice one, thanks.</p></div><div class=content><p>{LONG}</p><p>{LONG}</p></div>{FOOT}</form></body>",
+        f'<div class="content-sidebar-wrap">{NAV}<article><p>{LONG}</p><p>{LONG}</p></article><aside>See also this. And that.</aside></div>{FOOT}',
+        f'<div class="page layout-sidebar-right">{NAV}<div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>Old posts. New posts.</div></div>{FOOT}',
+        f'<div id="page" class="right-sidebar">{NAV}<main><p>{LONG}</p><p>{LONG}</p></main></div>{FOOT}',
+        f'<div class="content-sidebar-wrap"><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div><div class=comments>{f"<p>{LONG}</p>" * 9}</div>',
+        f'<main><p>{LONG}</p><p>{LONG}</p></main><div class="related"><article><p>{LONG}</p></article></div>',
+        f'<article><p>{LONG}</p><p>{LONG}</p></article><section id=comments>{f"<article><p>{LONG}</p></article>" * 9}</section>',
+        f'<article><p>{LONG}</p><p>{LONG}</p><form><label>Your mail. We need it.</label></form></article>',
+        f'<article><p>{LONG}</p><p>{LONG}</p></article><div class="cookie-consent-wrapper">We use cookies. Accept.</div>',
+    ],
+)
+def test_marks_of_outer_elements_do_not_lose_the_article(page):
+    assert op.main_text(page) == f"{LONG}\n\n{LONG}"
+
+
+def test_marks_after_a_misplaced_end_tag():
+    page = f"<article><p>one</p><b class=ad><div class=text><p>two</p></b><p>three</p></div></article>{FOOT}"
+    assert op.main_text(page) == "one\n\nthree"
+    op.main_text("<div class=ad>a" * 9000 + "<b class=ad><i class=ad>" * 2000 + "</b>" * 2000)
+
+
 def cost(found, labels):
     """What a labelling costs: terminal edges that are cut and smoothness edges between labels."""
     total = sum(max(0, op.leaning(b)) if not keep else max(0, -op.leaning(b)) for b, keep in zip(found, labels, strict=True))
