@@ -20,12 +20,16 @@ from pyspark.sql import types as T
 
 from .common import tidy, without
 
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
+#: Elements whose contents are no markup; without an end tag they run to the end of the page.
+_RAW = "script|style|noscript|iframe|textarea|title"
+_FOREIGN = frozenset("svg math".split())
+#: Elements without text of the page; without an end tag they end with their parent.
+_SILENT = _FOREIGN | frozenset("template object canvas audio video select".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
     # the end tag of a head may be missing
     r"|<(?P<head>head)\b[^>]*>.*?(?:</head\s*>|(?=<(?:body|header|nav|main|article|section|div|p|h[1-6])\b))"
-    rf"|<(?P<silent>{_SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"|(?P<start><(?P<silent>{_RAW})(?=[\s/>])[^>]*>).*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -38,6 +42,9 @@ _BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Tags that end an open ``svg`` or ``math``, unless inside an element of these that may hold markup.
+_BREAKS = (_BLOCKS - {"title"}) | frozenset("b big body br code em embed head i img nobr ruby s small span strong strike sub sup tt u var".split())
+_POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these kinds, unless one of the fences lies between.
 _ENDS = {
@@ -187,6 +194,8 @@ def blocks(page: str) -> list[_Block]:
     tree = _Tree()
     here = links = heading = 0
     numbers = 0
+    quiet: int | None = None  # place of the outermost silent element on the stack
+    inner = Counter()  # open elements from there on
     parts: list[str] = []
     linked: list[str] = []
 
@@ -220,10 +229,51 @@ def blocks(page: str) -> list[_Block]:
             if stack[i][0] in fences:
                 return
 
+    def close_silent() -> None:
+        """Close the outermost silent element and all in it."""
+        nonlocal quiet
+        while len(stack) > quiet:
+            pop()
+        quiet = None
+        inner.clear()
+
+    def still_silent(tag: str, closing: bool, rest: str) -> bool:
+        """Whether a tag inside a silent element belongs to it; if not, the element ends before the tag."""
+        nonlocal numbers, links, heading
+        if closing:
+            if not inner[tag]:
+                if not open_[tag]:
+                    return True
+                close_silent()
+                return False
+            while stack[-1][0] != tag:
+                inner[stack[-1][0]] -= 1
+                pop()
+            inner[tag] -= 1
+            pop()
+            if len(stack) == quiet:
+                close_silent()
+            return True
+        if stack[quiet][0] in _FOREIGN and tag in _BREAKS and not any(inner[k] for k in _POINTS):
+            close_silent()
+            return False
+        kinds, fences = _ENDS.get(tag, ((), ()))
+        if any(open_[k] for k in kinds) and not any(inner[k] for k in (*kinds, *fences)):
+            close_silent()
+            return False
+        if tag not in _VOID and not rest.endswith("/"):
+            numbers += 1
+            stack.append((tag, stack[-1][1], 0, numbers))
+            open_[tag] += 1
+            inner[tag] += 1
+            links += tag == "a"
+            heading += tag == "h1"
+        return True
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         begin = token.start()
-        if begin > at:
+        if begin > at and quiet is None:
             text = page[at:begin]
             parts.append(text)
             if links:
@@ -231,15 +281,23 @@ def blocks(page: str) -> list[_Block]:
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
+            if quiet is not None:
+                if token["silent"] and token["start"].endswith("/>") and stack[quiet][0] in _FOREIGN:
+                    at = token.end("start")
+                continue
             if token["silent"] is None and token["head"] is None:  # a comment stands between letters as nothing, others too
                 continue
             parts.append(" ")
             continue
         tag = tag.lower()
+        closing = bool(token["close"] or token["close2"])
+        rest = (token["rest"] if token["tag"] else token["rest2"]) or ""
+        if quiet is not None and still_silent(tag, closing, rest):
+            continue
         block = tag in _BLOCKS
         if block:
             flush()
-        if token["close"] or token["close2"]:
+        if closing:
             if open_[tag]:
                 if block:
                     end({tag}, set())
@@ -274,10 +332,11 @@ def blocks(page: str) -> list[_Block]:
                 end(*_ENDS[tag])
         elif tag == "a" and open_["a"]:
             end({"a"}, _BLOCKS)
-        rest = token["rest"] if token["tag"] else token["rest2"]
-        if rest and rest.endswith("/") and not block:
+        if tag in _SILENT:
+            parts.append(" ")
+        if rest.endswith("/") and not block:
             continue
-        a, h = _marks(tag, rest or "", here) if block or rest else (0, 0)
+        a, h = _marks(tag, rest, here) if block or rest else (0, 0)
         chain = stack[-1][1] if stack else -1
         if a or h:
             tree.elements.append((tag, a, h))
@@ -289,7 +348,12 @@ def blocks(page: str) -> list[_Block]:
         here += h
         links += tag == "a"
         heading += tag == "h1"
-    if at < len(page):
+        if tag in _SILENT:
+            quiet = len(stack) - 1
+            inner[tag] += 1
+    if quiet is not None:
+        close_silent()
+    elif at < len(page):
         parts.append(page[at:])
     flush()
     tree.settle(out)

@@ -80,6 +80,28 @@ def test_marks_after_a_misplaced_end_tag():
     op.main_text("<div class=ad>a" * 9000 + "<b class=ad><i class=ad>" * 2000 + "</b>" * 2000)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', "one two\n\nthree"),
+        ('<article><p>one <svg class="i"> two</p><p>three</p></article>', "one\n\nthree"),
+        ('<article><p>a <svg aria-hidden="true"><use/><style/></svg> b<svg><title>x</title><text>y</text></svg></p></article>', "a b"),
+        ("<article><p>one <math/> two<svg><path><p>three <math><mi>x<span>y</span></mi></math> four</article>", "one two\n\nthree four"),
+        ("<article><ul><li>one <select><option>x<option>y<li>two</ul><p>three</article>", "one\n\ntwo\n\nthree"),
+        ("<article><div>a <canvas> no</div><div>b <b><audio>no</b> c</div><div>d <video>no <p>no</p><a>no</video> e</div></article>", "a\n\nb c\n\nd e"),
+        ("<article><p>one</p><object><div>no</div></object><p>two</p><template><p>no</p></template><title-bar>x</title-bar><video-box>y", "one\n\ntwo\n\nxy"),
+        ("<article><p>one</p><iframe src=x>no <p>no</p><p>no", "one"),
+    ],
+)
+def test_silent_elements_end(page, text):
+    assert op.main_text(page) == text
+
+
+def test_hostile_silent_elements_end():
+    for page in ("<svg><g>" * 9000 + "</b>" * 9000, "<li><video>" * 9000 + "<li>" * 9000, "<svg/>x" * 30_000, "<b><canvas></b>" * 20_000):
+        op.main_text(page)
+
+
 def cost(found, labels):
     """What a labelling costs: terminal edges that are cut and smoothness edges between labels."""
     total = sum(max(0, op.leaning(b)) if not keep else max(0, -op.leaning(b)) for b, keep in zip(found, labels, strict=True))
