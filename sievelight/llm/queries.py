@@ -87,7 +87,7 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_rules(
-        table(spark, sf, "documents"), table(spark, sf, "labels")
+        table(spark, sf, "documents"), table(spark, sf, "labels"), joint=True
     ).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",

@@ -96,6 +96,65 @@ def test_verdicts_against_plain_python(spark):
         assert r.kept == (not r.base_failed and not broken)
 
 
+def strata_of_few_labels():
+    """Strata with 400, 130, 90 and 60 good labels; some good documents repeat a line."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for lang, n in (("a", 400), ("b", 130), ("c", 90), ("d", 60)):
+        for i in range(3 * n):
+            text = " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(20, 40)))
+            bad = i % 10 == 9
+            if bad:
+                text = " ".join(w + "%" * rng.randint(1, 4) for w in text.split())
+            elif rng.random() < 0.04:
+                text = "so it is\n" * 2 + text
+            rows.append((len(rows), text, lang))
+            if bad and i % 20 == 9 or not bad and sum(q for x, q, _ in labels if rows[x][2] == lang) < n:
+                labels.append((len(rows) - 1, int(not bad), 0))
+    return rows, labels
+
+
+def test_joint_cutoffs_of_small_strata(spark):
+    rows, labels = strata_of_few_labels()
+    docs = spark.createDataFrame(rows, FIELDS)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, known, joint=True).collect()}
+    for lang in "abcd":
+        junk = [kept[i] for i, t, x in rows if x == lang and "%" in t]
+        clean = [kept[i] for i, t, x in rows if x == lang and "%" not in t]
+        assert all(clean) and any(junk) == all(junk) == (lang == "d")
+
+
+def test_joint_cutoffs_against_plain_python(spark):
+    rows, labels = strata_of_few_labels()
+    rows = [(i, t.replace("%", "") if i % 7 == 0 else t + " %%%%" if i % 31 == 0 else t, x) for i, t, x in rows]
+    counts = quality_rules.text_counts(spark.createDataFrame(rows, FIELDS), keep=("lang",)).cache()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["_stratum"]: r for r in quality_rules.joint_cutoffs(counts, known, "lang").collect()}
+    quality, grid = {i: q for i, q, _ in labels}, quality_rules.GRID
+    rate = lambda r: [r.n_symbols / r.word_chars, r.n_capitals / r.word_chars, r.n_dup_lines / r.n_lines, r.n_repeat_words / r.n_words]
+    found = counts.where(~quality_rules.base_failed()).collect()
+    for lang in "abcd":
+        mine = [(rate(r), quality.get(r.doc_id)) for r in found if r.lang == lang]
+        of = lambda q: [v for v, x in mine if x == q]  # noqa: E731, B023
+        good, bad, other = of(1), of(0), of(None)
+        ranks = []
+        for rule in range(4):
+            for at, c in enumerate(grid):
+                b, u = (sum(v[rule] > c for v in vs) for vs in (bad, other))
+                if b:
+                    ranks.append((-(b / len(bad) * (len(other) + 1) / (u + 0.5)), at, rule))
+        vector, best, gain = [None] * 4, [None] * 4, 0.0
+        for _, at, rule in sorted(ranks):
+            vector[rule] = min(vector[rule] or 1, grid[at])
+            k, b = (sum(any(c is not None and x > c for x, c in zip(v, vector, strict=True)) for v in vs) for vs in (good, bad))
+            if k >= len(good) * 0.05 or tail(len(good), k, 0.05) > 0.05 / 4:
+                break
+            if b / len(bad) - 20 * k / len(good) > gain + 1e-12:
+                gain, best = b / len(bad) - 20 * k / len(good), list(vector)
+        assert [got[lang][f"_c_{n}"] if lang in got else None for n in quality_rules.RULES] == best, lang
+
+
 def test_risk_holds_on_new_documents(spark):
     """Good documents that were not labelled are rejected no more often than the risk allows."""
     rng = random.Random(8)
