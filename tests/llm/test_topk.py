@@ -58,6 +58,23 @@ def test_vectors_that_take_no_part(spark):
     assert searched(spark, rows) == [(0, 1, 1, 256 * 256 - 128 * 128), (0, 2, 3, -256)]
 
 
+def test_large_finite_vectors_take_part(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(0, 1, size=(300, 3)).astype(np.float32)
+    data[[7, 50, 61]] *= np.float32(3e6)  # scores within a long
+    got = searched(spark, [(i, [float(x) for x in v], "") for i, v in enumerate(data)])
+    want = brute(np.arange(300), np.floor(256 * data.astype(np.float64)).astype(np.int64), range(0, 300, 50), 5)
+    assert got == [(q, r + 1, i, s) for q in sorted(want) for r, (i, s) in enumerate(want[q])]
+    assert {7, 61} & {i for _, _, i, _ in got} and {q for q, *_ in got} == set(range(0, 300, 50))
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1.0, 1.0], ""), (1, [-3e38, 0.0], ""), (2, [2.0, 0.0], ""), (3, [-3e38, 1.0], "")]
+    assert searched(spark, rows, k=1) == [(0, 1, 2, 512 * 256)]
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        searched(spark, rows, k=2)
+
+
 def test_ties_and_repeats(spark):
     rows = [(0, [1.0], ""), (0, [1.0], ""), (7, [0.5], ""), (5, [0.5], ""), (5, [0.5], ""), (9, [0.25], "")]
     got = searched(spark, rows, k=3)
