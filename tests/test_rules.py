@@ -135,3 +135,14 @@ def test_regex_validation(spark):
     layer = [("custom", [{"id": "broken", "risk_level": "low", "enabled": True, "value_regex": "["}])]
     with pytest.raises(ValueError, match="rule broken, value_regex"):
         compile_rules(load_rules(spark, "", layers=layer))
+
+
+def test_query_validates_every_rule(spark, monkeypatch):
+    """``checked`` stands in the rows of all rules, so all patterns are tried."""
+    from checks import queries_stream
+
+    tried = []
+    monkeypatch.setattr(queries_stream, "validate_rule_regex", lambda _, pattern: tried.append(pattern))
+    sf = "/root/testdata/sf0.001"
+    queries_stream.rules_from_table(spark, sf)
+    assert len(tried) == len(set(tried)) == spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count() > 3
