@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk
+from . import bpe, chat, lexical, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk
 from .common import WORD, small_batches, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +266,42 @@ def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_TERMS = r"""regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+    with d as (
+        select doc_id, row_number() over () as row, {_TERMS} as terms from documents
+    ), size as (
+        select row, doc_id, len(terms)::bigint as n from d where len(terms) > 0
+    ), every as (
+        select count(*)::bigint as docs, sum(n)::bigint as terms from size
+    ), item as (
+        select distinct item_id, unnest({_TERMS}) as term from benchmark
+    ), posting as (
+        select row, term, count(*)::bigint as tf from (select row, unnest(terms) as term from d) group by row, term
+    ), asked as (
+        select term, row, tf from posting where term in (select term from item)
+    ), weight as (
+        select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+        from asked, every group by term
+    ), part as (
+        select item_id, row, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // every.terms))) as part
+        from item join weight using (term) join asked using (term) join size using (row), every
+    ), score as (
+        select item_id, doc_id, sum(part)::bigint as score from part join size using (row) group by item_id, row, doc_id
+    ), ranked as (
+        select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank
+        from score where score > 0
+    )
+    select item_id, rank, doc_id, score from ranked where rank <= 10
+    """,
+)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)

@@ -112,6 +112,10 @@ def write_tables(spark, folder):
             [(i, [((i * 7 + j * 3) % 11 - 5) / 7 for j in range(8)], 0) for i in range(160)] + [(200, None, 1)],
             "vec_id long, embedding array<float>, label int",
         ),
+        "benchmark": spark.createDataFrame(
+            [(i, rows[7 * i + 8][1]) for i in range(12)] + [(20, None), (21, "."), (21, "One"), (None, "two ﬁ"), (22, "unknown")],
+            "item_id long, text string",
+        ),
         "pages": spark.createDataFrame(
             [(1, "u", None), (2, "u", ""), (3, None, "<article><p>A &amp; b.</p></article><nav>x</nav>")],
             "page_id long, url string, html string",

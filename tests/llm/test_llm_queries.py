@@ -11,7 +11,7 @@ import corpus_pipeline
 from sievelight.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "conversations", "embeddings", "pages")
+TABLES = ("documents", "labels", "conversations", "embeddings", "pages", "benchmark")
 
 
 def rows_of(folder, sql, name):
