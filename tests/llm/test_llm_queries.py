@@ -42,6 +42,8 @@ def test_against_sql(spark, llm_tables, name, given):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_odd_tables(spark, llm_tables, name):
+    if name.startswith("op13_"):
+        pytest.skip("one row for each component: see test_whitening")
     table = "pages" if "page_id" in QUERIES[name](spark, llm_tables).columns else "documents"
     rows = spark.read.parquet(f"{llm_tables}/{table}.parquet").count()
     assert QUERIES[name](spark, llm_tables).count() == rows
