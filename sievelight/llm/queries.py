@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lexical, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk, whitening
+from . import bpe, chat, language, lexical, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk, whitening
 from .common import WORD, small_batches, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,3 +311,8 @@ def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", whitening.whole(F.col("embedding")).alias("values"))
     return whitening.whiten(vectors, 4)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
