@@ -260,12 +260,8 @@ def search(
     wanted = items.select(F.col(item).alias("item"), F.explode(terms_of(F.col(item_text))).alias("term")).distinct()
     wanted = staged(wanted, "item-terms")
     blocks = staged(index(docs, wanted.select("term").distinct(), id=id, text=text, sizes=sizes), "postings")
-    n_docs, n_terms, n_items = (
-        blocks.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l"))
-        .crossJoin(wanted.agg(F.count_distinct(F.struct("item")).alias("items")))  # one row each
-        .first()
-    )
-    n_docs, n_terms = n_docs or 0, n_terms or 0
+    n_docs, n_terms = (v or 0 for v in blocks.agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    n_items = wanted.agg(F.count_distinct(F.struct("item"))).first()[0]
     counted = blocks.select(F.inline(F.arrays_zip("terms", "dfs"))).groupBy("terms").agg(F.sum("dfs").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1)))
     weighed = wanted.join(counted, wanted.term == counted.terms).select("item", F.struct("df", "term", weight.alias("w")).alias("t"))

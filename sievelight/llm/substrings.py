@@ -1,16 +1,19 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by factors relative to an index of all documents, after relative Lempel-Ziv parsing.
 
 A window is ``WIDTH`` consecutive words; a window of a document is a duplicate if its words also start in a
-document with a smaller id. Documents are parsed against an index of reference blocks:
+document with a smaller id. A document is parsed against an index of reference blocks into factors, the longest runs of words that
+follow one another under duplicate windows; what lies between factors is kept.
 
 * Each window has an anchor, the 5 words in it whose hash is smallest (equal windows have equal anchors).
   The run of windows with one anchor is a block; a text has about one block in five words. The index
   has, for each block, the smallest document that holds it, and for each anchor, whether it heads different
   blocks.
-* A document is factored greedily: blocks that a smaller document holds follow one another as one
-  factor, which is at least a window long by construction, and its words are duplicates.
-* At factor boundaries blocks differ although their anchor is known. Only there, and in the first
-  document of each such block, single windows are looked up.
+* Blocks that a smaller document holds follow one another as one factor, as long as they last.
+* At factor boundaries blocks differ although their anchor is known. There, and in the first document of each such block,
+  windows are looked up one by one, and lengthen the factor or start one.
+
+A factor's words may come from several documents, unlike a Lempel-Ziv factor, which has one source: removal needs the longest run
+of known windows, whatever their sources.
 
 Copies are combined inside each batch before the shuffle: of equal blocks only the smallest document of
 a batch goes to the index. Anchors that are frequent in a batch go there by block instead of by
@@ -27,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,117 +197,153 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def _covered(windows: np.ndarray, size: int, width: int) -> np.ndarray:
-    """Which words of a text lie under the windows that start at these places."""
-    steps = np.zeros(size + 1, dtype=np.int32)
-    steps[windows] += 1
-    steps[windows + width] -= 1
-    return np.cumsum(steps[:-1]) > 0
+def factors(windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and lengths of the maximal runs of words under windows that start at these sorted places."""
+    if not len(windows):
+        return windows, windows
+    breaks = np.flatnonzero(np.diff(windows) > width)
+    first = windows[np.concatenate([[0], breaks + 1])]
+    last = windows[np.concatenate([breaks, [len(windows) - 1]])]
+    return first, last - first + width
 
 
-def cut(text: str, gone: np.ndarray) -> str:
-    """The text without the marked words; runs of kept words stay as they are, joined by one space."""
-    if not gone.any():
+def cut(text: str, starts: list[int], lengths: list[int]) -> str:
+    """The text without the words of its factors; runs of kept words stay as they are, joined by one space."""
+    if not starts:
         return text
     body = text.encode()
     spans = [m.span() for m in _WORD.finditer(body)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
-    runs = [body[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    edges = [0, *(e for s, n in zip(starts, lengths, strict=True) for e in (s, s + n)), len(spans)]
+    runs = [body[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
     return b" ".join(runs).decode()
 
 
-def _unpacked(column: pa.Array) -> list[str | None]:
-    unzip = zstandard.ZstdDecompressor()
-    return [None if not z.is_valid else unzip.decompress(z.as_py()).decode() for z in column]
-
-
-def _with(batch: pa.RecordBatch, drop: tuple[str, ...], **more: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n not in drop and n not in more]
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(n) for n in names), *more.values()], names=[*names, *more]
-    )
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compress the texts for the shuffle."""
     zip_ = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        texts = batch.column("_text")
+        texts = batch.column("text")
         packed = [None if not t.is_valid else zip_.compress(t.as_py().encode()) for t in texts]
-        yield _with(batch, ("_text",), _zip=pa.array(packed, pa.binary()))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in batch.schema.names if n != "text"), pa.array(packed, pa.binary())],
+            names=[*(n for n in batch.schema.names if n != "text"), "zip"],
+        )
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows whose column ``text`` is compressed, as ``zip``."""
+    kept = [f for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(tidy(_pack), T.StructType([*kept, T.StructField("zip", T.BinaryType())]))
+
+
+def _unpacked(column: pa.Array) -> list[str | None]:
+    unzip = zstandard.ZstdDecompressor()
+    return [None if not z.is_valid else unzip.decompress(z.as_py()).decode() for z in column]
+
+
+_PARSED = "doc long, mark long, known array<int>, asked array<long>, at array<int>"
 
 
 def _parse(width: int):
-    """Factor the texts: mark the words of known blocks, list the windows to look up."""
+    """Factor the texts: windows inside known blocks, and the windows at their ends that are to be looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, open_ = _lists(batch.column("_known")), _lists(batch.column("_open"))
-            texts = _unpacked(batch.column("_zip"))
-            none = np.zeros(0, dtype=np.int64)
-            sizes = [0] * len(texts)
-            marks, hashes, places = [b""] * len(texts), [none] * len(texts), [none] * len(texts)
-            told = [i for i in range(len(texts)) if len(known[i]) or len(open_[i])]
-            for i in set(range(len(texts))).difference(told):
-                sizes[i] = len((texts[i] or "").encode().split())
-                marks[i] = bytes((sizes[i] + 7) // 8)
-            for first, held in _pieces([texts[i] for i in told]):
+            known, open_ = _lists(batch.column("known")), _lists(batch.column("open"))
+            inside, asked, places = [], [], []
+            for first, held in _pieces(_unpacked(batch.column("zip"))):
                 b = Blocks(held, width)
                 bounds = np.searchsorted(b.owner, np.arange(len(held) + 1))
                 windows = np.searchsorted(b.text, np.arange(len(held) + 1))
-                for k, words in enumerate(held):
-                    i, mine = told[first + k], slice(bounds[k], bounds[k + 1])
+                for k in range(len(held)):
+                    i, mine = first + k, slice(bounds[k], bounds[k + 1])
                     block, runs = b.block[mine], b.last[mine] - b.first[mine] + 1
                     is_known = _among(block, known[i])
                     is_open = np.repeat(_among(block, open_[i]) & ~is_known, runs)
                     begin = b.window[windows[k] : windows[k + 1]] - b.starts[k]
-                    gone = _covered(begin[np.repeat(is_known, runs)], len(words), width)
-                    sizes[i], marks[i] = len(words), np.packbits(gone).tobytes()
-                    hashes[i] = b.hash[windows[k] : windows[k + 1]][is_open].view(np.int64)
-                    places[i] = begin[is_open]
-            yield _with(
-                batch,
-                ("_known", "_open"),
-                _n=pa.array(sizes, pa.int64()),
-                _gone=pa.array(marks, pa.binary()),
-                _ask=pa.array(hashes, pa.list_(pa.int64())),
-                _at=pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())),
+                    inside.append(begin[np.repeat(is_known, runs)].astype(np.int32))
+                    asked.append(b.hash[windows[k] : windows[k + 1]][is_open].view(np.int64))
+                    places.append(begin[is_open].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    batch.column("mark"),
+                    pa.array(inside, pa.list_(pa.int32())),
+                    pa.array(asked, pa.list_(pa.int64())),
+                    pa.array(places, pa.list_(pa.int32())),
+                ],
+                names=["doc", "mark", "known", "asked", "at"],
             )
 
     return run
 
 
-def _finish(width: int):
-    """Mark the windows found elsewhere and cut the texts."""
+_FACTORS = "doc long, mark long, starts array<int>, lengths array<int>"
+
+
+def _join_factors(width: int):
+    """Factors of each text, from the windows inside known blocks and those found one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _lists(batch.column("_found"))
-            out, removed = [], []
-            texts = _unpacked(batch.column("_zip"))
-            rows = zip(
-                texts, batch.column("_n").to_pylist(), batch.column("_gone"), batch.column("_ask"),
-                batch.column("_at"), found, strict=True,
-            )
-            for text, n, gone_bits, ask, at, mine in rows:
-                gone = np.unpackbits(np.frombuffer(gone_bits.as_py(), dtype=np.uint8), count=n).astype(bool)
-                if len(mine):
-                    keys = ask.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    starts = at.values.to_numpy(zero_copy_only=False)[_among(keys, mine)]
-                    gone |= _covered(starts.astype(np.int64), n, width)
-                out.append(text if text is None else cut(text, gone))
-                removed.append(int(gone.sum()))
-            yield _with(
-                batch,
-                ("_zip", "_n", "_gone", "_ask", "_at", "_found", "_doc"),
-                _text=pa.array(out, pa.string()),
-                n_words=batch.column("_n"),
-                n_removed=pa.array(removed, pa.int64()),
-            )
+            starts, lengths = [], []
+            rows = zip(batch.column("known"), batch.column("asked"), batch.column("at"), _lists(batch.column("found")), strict=True)
+            for known, asked, at, mine in rows:
+                keys = asked.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                places = at.values.to_numpy(zero_copy_only=False)[_among(keys, mine)]
+                first, size = factors(np.union1d(known.values.to_numpy(zero_copy_only=False), places).astype(np.int32), width)
+                starts.append(first)
+                lengths.append(size)
+            found = [batch.column("doc"), batch.column("mark"), *(pa.array(v, pa.list_(pa.int32())) for v in (starts, lengths))]
+            whole = pa.RecordBatch.from_arrays(found, names=["doc", "mark", "starts", "lengths"])
+            yield whole.filter(pa.array([len(v) > 0 for v in starts], pa.bool_()))
 
     return run
 
 
+def _keyed(id: str, text: str) -> list[Column]:
+    """Id as a long, its largest value for null, and a hash that tells texts of the same id apart."""
+    return [F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col(text)).alias("mark")]
+
+
+def repeated_factors(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """Rows ``doc, mark, starts, lengths``: the factors of each text, in words, that smaller documents hold.
+
+    A factor is a maximal run of words each of which lies under a window of ``width`` words that also starts in a document with
+    a smaller id. ``doc`` is the id as a long, its largest value for null; ``mark`` is the text's hash. Texts without a factor
+    have no row, rows that repeat have one.
+    """
+    texts = docs.where(F.col(text).isNotNull()).select(*_keyed(id, text), F.col(text).alias("text"))
+    marked = _lookups(texts.select("doc", "text").mapInArrow(tidy(_index_rows(width)), _INDEX))
+    # texts move compressed, and what is written has places and hashes only
+    parsed = staged(_packed(texts).join(marked, "doc").mapInArrow(tidy(_parse(width)), _PARSED), "parsed")
+    windows = parsed.select("doc", F.explode(F.array_distinct("asked")).alias("window"))
+    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    found = (
+        windows.join(least.where("least < most"), "window")
+        .where("doc > least")
+        .groupBy("doc")
+        .agg(F.collect_set("window").alias("found"))
+    )
+    joined = parsed.join(found, "doc", "left").mapInArrow(tidy(_join_factors(width)), _FACTORS)
+    return joined.groupBy("doc", "mark").agg(F.any_value("starts").alias("starts"), F.any_value("lengths").alias("lengths"))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the factors out of the texts."""
+    for batch in batches:
+        texts, starts, lengths = (_unpacked(batch.column("zip")), *(batch.column(n).to_pylist() for n in ("starts", "lengths")))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"),
+                pa.array([t if not s else cut(t, s, n) for t, s, n in zip(texts, starts, lengths, strict=True)], pa.string()),
+                pa.array([len((t or "").encode().split()) for t in texts], pa.int64()),
+                pa.array([sum(n or ()) for n in lengths], pa.int64()),
+            ],
+            names=["row", "text", "n_words", "n_removed"],
+        )
+
+
 def remove_repeated_passages(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH
 ) -> DataFrame:
@@ -314,40 +353,16 @@ def remove_repeated_passages(
     smaller integer id; windows are those of the input. A null id is larger than any other and no
     smaller than itself; rows with equal ids do not repeat each other. Null texts stay null with 0 words; texts
     shorter than a window stay as they are. All rows and columns are returned, except that input columns
-    named ``n_words`` or ``n_removed`` are replaced and ones named ``_doc``, ``_text`` or ``_zip`` left out.
+    named ``n_words`` or ``n_removed`` are replaced.
     """
-    plain = without(docs, "n_words", "n_removed", "_doc", "_text", "_zip")
-    doc = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("_doc")
-    index = plain.select(doc, F.col(text)).mapInArrow(tidy(_index_rows(width)), _INDEX)
-    marked = _lookups(index)
-    rest = [F.col(f"`{c}`") for c in plain.columns if c != text]
-    rows = plain.select(*rest, doc, F.col(text).alias("_text"))
-    packed = rows.mapInArrow(tidy(_pack), _schema(rows, ("_text",), _zip="binary"))
-    joined = packed.join(marked.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    parsed = staged(
-        joined.mapInArrow(
-            tidy(_parse(width)),
-            _schema(joined, ("_known", "_open"), _n="long", _gone="binary", _ask="array<long>", _at="array<int>"),
-        ),
-        "parsed",
-    )
-    asked = parsed.where(F.size("_ask") > 0)
-    windows = asked.select(F.col("_doc"), F.explode(F.array_distinct("_ask")).alias("window"))
-    least = windows.groupBy("window").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most"))
-    found = (
-        windows.join(least.where("least < most"), "window")
-        .where("_doc > least")
-        .groupBy("_doc")
-        .agg(F.collect_set("window").alias("_found"))
-    )
-    whole = asked.join(found, "_doc", "left").unionByName(
-        parsed.where(F.size("_ask") == 0).withColumn("_found", F.lit(None).cast("array<long>"))
-    )
-    done = whole.mapInArrow(
-        tidy(_finish(width)),
-        _schema(whole, ("_zip", "_n", "_gone", "_ask", "_at", "_found", "_doc"), _text="string", n_words="long", n_removed="long"),
-    )
-    columns = [F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in plain.columns]
+    plain = without(docs, "n_words", "n_removed")
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain.columns) if c != text]
+    rows = plain.select(F.struct(*rest).alias("row"), *_keyed(id, text), F.col(text).alias("text"))
+    found = repeated_factors(docs, id=id, text=text, width=width)
+    joined = _packed(rows).join(found, ["doc", "mark"], "left").select("row", "zip", "starts", "lengths")
+    kinds = [rows.schema["row"], *T._parse_datatype_string("text string, n_words long, n_removed long")]
+    done = joined.mapInArrow(tidy(_finish), T.StructType(kinds))
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(plain.columns)]
     return done.select(*columns, "n_words", "n_removed")
 
 
@@ -367,11 +382,5 @@ def _lookups(index: DataFrame) -> DataFrame:
         F.when(~known & opened, F.col("block")).alias("open"),
     ).where("known is not null or open is not null")
     return told.groupBy("doc").agg(
-        F.collect_list("known").alias("_known"), F.collect_list("open").alias("_open")
+        F.collect_list("known").alias("known"), F.collect_list("open").alias("open")
     )
-
-
-def _schema(df: DataFrame, drop: tuple[str, ...], **more: str) -> T.StructType:
-    kept = [f for f in df.schema if f.name not in drop and f.name not in more]
-    added = [T.StructField(n, T._parse_datatype_string(t)) for n, t in more.items()]
-    return T.StructType([*kept, *added])

@@ -63,18 +63,34 @@ def test_frequent_anchor_in_new_blocks(spark):
 
 def test_layout_of_kept_text_stays():
     text = " a  b\nc\td e "
-    assert op.cut(text, np.array([0, 0, 0, 0, 0], bool)) == text
-    assert op.cut(text, np.array([0, 0, 1, 0, 0], bool)) == "a  b d e"
-    assert op.cut(text, np.array([1, 1, 1, 1, 1], bool)) == ""
+    assert op.cut(text, [], []) == text
+    assert op.cut(text, [2], [1]) == "a  b d e"
+    assert op.cut(text, [0, 3], [2, 2]) == "c"
+    assert op.cut(text, [0], [5]) == ""
+
+
+def test_factors_are_maximal_runs():
+    first, size = op.factors(np.array([0, 1, 5, 11, 30, 31]), 6)
+    assert first.tolist() == [0, 30] and size.tolist() == [17, 7]
+    assert [v.tolist() for v in op.factors(np.array([], dtype=int), 6)] == [[], []]
+
+
+def test_factors_of_documents(spark):
+    """A factor runs on over what two documents hold, and the text between factors is in none."""
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    rows = [(1, a), (2, b), (3, f"x {a} y {b[:40]}"), (3, f"{a} {b}"), (4, "x " + a), (5, None)]
+    got = op.repeated_factors(spark.createDataFrame(rows + rows[2:3], FIELDS)).collect()
+    assert sorted((r.doc, list(zip(r.starts, r.lengths))) for r in got) == [(3, [(0, 40)]), (3, [(1, 20)]), (4, [(0, 21)])]
 
 
 def test_nulls_repeats_and_clashing_names(spark):
     long = " ".join(map(str, range(20)))
     rows = [(None, long), (3, long), (3, long), (2, None), (1, ""), (None, long + " x")]
-    df = spark.createDataFrame(rows, FIELDS).selectExpr("*", "'k' as N_WORDS", "1 as _doc", "2 as other")
+    df = spark.createDataFrame(rows, FIELDS).selectExpr("*", "'k' as N_WORDS", "1 as _doc", "2 as other", "3 as mark", "4 as row", "5 as zip", "6 as starts")
     got = op.remove_repeated_passages(df)
-    assert got.columns == ["doc_id", "text", "other", "n_words", "n_removed"]
+    assert got.columns == ["doc_id", "text", "_doc", "other", "mark", "row", "zip", "starts", "n_words", "n_removed"]
+    assert got.where("_doc <> 1 or other <> 2 or mark <> 3 or row <> 4 or zip <> 5 or starts <> 6").count() == 0
     found = sorted((r.doc_id or 99, r.text, r.n_removed) for r in got.where("text is not null").collect())
     assert found == [(1, "", 0), (3, long, 0), (3, long, 0), (99, "", 20), (99, "x", 20)]
-    assert [tuple(r)[3:] for r in got.where("doc_id = 2").collect()] == [(0, 0)]
+    assert [tuple(r)[8:] for r in got.where("doc_id = 2").collect()] == [(0, 0)]
     assert op.remove_repeated_passages(df.where("false")).count() == 0
