@@ -37,6 +37,15 @@ def staged(df: DataFrame, label: str, *, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names (in any case) an operator gives to its own results."""
     taken = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps: each node ties its larger neighbours, then its smaller
     ones, to the smallest it knows. That needs few rounds even for long chains. A round is two
     aggregations (combined before their shuffle) and two joins, written to the shared folder; only a
-    count and a checksum reach the driver. Loops and repeated links are allowed.
+    count and a checksum reach the driver, and the files of a round go once the next one is written. Loops and repeated links are allowed.
     """
     edges = links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         ).first()
         if state == seen or state[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, seen = staged(_small_star(_large_star(edges)), "links", narrow=True), state
+        last, seen = edges, state
+        edges = staged(_small_star(_large_star(last)), "links", narrow=True)
+        discard(last)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

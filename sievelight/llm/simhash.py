@@ -24,6 +24,7 @@ from .common import staged, tidy, unused
 from .components import components
 
 _SEGMENT = 32
+_OFTEN = 1000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -105,12 +106,20 @@ def near_duplicates(
     repeat are all returned. Other columns are not read, whatever their names.
     """
     fps = staged(fingerprints(docs, id=id, text=text, width=width), "fingerprints", narrow=True)
-    return fps.join(classes(fps, id, max_bits), "fp").select(id, "fp", "component")
+    groups = staged(classes(fps, id, max_bits), "fingerprint-classes", narrow=True)
+    # a fingerprint with a thousandth of all rows or more, of which there are a thousand at most, is looked up in place
+    every = groups.agg(F.sum("n")).first()[0] or 0
+    often = groups.where(F.col("n") * _OFTEN >= every).select("fp", F.struct("component").alias("known"))
+    seen = fps.join(F.broadcast(often), "fp", "left")
+    rare = seen.where("known is null").select(id, "fp").join(groups.select("fp", "component"), "fp")
+    common = seen.where("known is not null").select(id, "fp", "known.component")
+    return common.unionByName(rare.select(id, "fp", "component"))
 
 
 def classes(fps: DataFrame, id: str, max_bits: int) -> DataFrame:
-    """Rows ``fp, component`` of the distinct fingerprints."""
-    distinct = staged(fps.groupBy("fp").agg(F.min(id).alias("first")), "distinct-fingerprints", narrow=True)
+    """Rows ``fp, component, n`` of the distinct fingerprints, ``n`` the number of rows that have it."""
+    counted = fps.groupBy("fp").agg(F.min(id).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = staged(counted, "distinct-fingerprints", narrow=True)
     roots = components(linked(distinct, max_bits))
     # the root of a component is in no row of its own
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -118,7 +127,7 @@ def classes(fps: DataFrame, id: str, max_bits: int) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("first").alias("component"))
     placed = grouped.join(least, "root").select("fp", "component")
     return distinct.join(placed, "fp", "left").select(
-        "fp", F.coalesce("component", "first").alias("component")
+        "fp", F.coalesce("component", "first").alias("component"), "n"
     )
 
 
@@ -137,6 +146,10 @@ def first_of_each(
     groups = classes(rows.select(F.col("i").alias("id"), "fp"), "id", max_bits)
     group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("fp"), "fp"))
     order = F.struct(F.col("i").isNull(), "i", "h")
-    firsts = rows.join(groups, "fp").groupBy(group).agg(F.min(order).alias("k"))
-    kept = firsts.select(F.col("k.h").alias(mark)).distinct()
-    return docs.withColumn(mark, hashed).join(kept, mark).dropDuplicates([mark]).select(*docs.columns)
+    least = rows.groupBy("fp").agg(F.min(order).alias("k"))  # one row for each fingerprint, however many copies
+    firsts = least.join(groups, "fp").groupBy(group).agg(F.min("k").alias("k"))
+    # id and hash in one column, so that documents whose hashes happen to agree stay apart and texts move once
+    name = lambda i, h: F.concat(h.cast("string"), F.lit(":"), F.coalesce(i.cast("string"), F.lit("")))
+    kept = firsts.select(name(F.col("k.i"), F.col("k.h")).alias(mark)).distinct()
+    mine = docs.withColumn(mark, name(F.col(id), hashed))
+    return mine.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)

@@ -79,6 +79,16 @@ def test_nulls_repeats_and_other_columns(spark):
     assert op.near_duplicates(empty).count() == op.first_of_each(empty).count() == 0
 
 
+def test_frequent_fingerprints_are_looked_up_in_place(spark, monkeypatch):
+    rows = [(i, f"w{i} x{i} y{i} z{i}") for i in range(50)] + [(100 + i, "a b c d") for i in range(200)] + [(None, "q r s"), (None, "q r s")]
+    df = spark.createDataFrame(rows, FIELDS)
+    want = {(r.doc_id, r.component) for r in op.near_duplicates(df).collect()}
+    monkeypatch.setattr(op, "_OFTEN", 3)
+    found = op.near_duplicates(df).collect()
+    assert {(r.doc_id, r.component) for r in found} == want and len(found) == len(rows)
+    assert {(r.doc_id, r.component) for r in found if r.doc_id and r.doc_id >= 100} == {(100 + i, 100) for i in range(200)}
+
+
 def test_lower_case_is_ascii_only():
     assert op.fingerprint("ÀB c d") == op.fingerprint("Àb C D") != op.fingerprint("àb c d")
     assert lowered("ÀB") == "Àb"
