@@ -28,6 +28,7 @@ from .common import tidy, without
 #: tokenizer library agree; texts with others are normalised and split by the library.
 ALIKE = r"[\x00-\u02ff\u2000-\u206f]"
 _TABLE = 150_000  # words a task remembers
+_IDS = 1 << 14  # that are decoded at once
 _NEVER = 1 << 60
 
 
@@ -92,6 +93,7 @@ class Merges:
         self.final = [self.vocab[c + self.suffix] for c in letters]
         self.special = {a["content"]: a["id"] for a in self.spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
+        self._bytes: dict[bool, pa.Array] = {}
 
     @functools.cached_property
     def raw(self) -> dict[int, bytes]:
@@ -107,6 +109,13 @@ class Merges:
                 out[i] = bytes(codes[c] for c in body) + b" " * ends
         return out
 
+    def bytes_of(self, as_text: bool) -> pa.Array:
+        """What each token adds to a decoded text: its bytes, or a space and its name."""
+        if as_text not in self._bytes:
+            known = {i: b" " + n.encode() for i, n in self.names.items()} if not as_text else self.raw
+            self._bytes[as_text] = pa.array([known.get(i) for i in range(max(self.names) + 1)], pa.binary())
+        return self._bytes[as_text]
+
     def merged(self, ids: list[int]) -> list[int]:
         """Tokens of a run of symbols."""
         if len(ids) <= 64:
@@ -264,52 +273,51 @@ class StreamEncoder:
 
 
 class Decoder:
-    """Ids to text, in pieces.
+    """Ids to text, in pieces: ids give bytes, and a state machine that holds back an unfinished character gives text.
 
-    A vocabulary file without a decoder gives its tokens joined by spaces. ``as_text`` goes from
-    tokens to bytes and on to text: an end of word becomes a space, and bytes that are no UTF-8 become U+FFFD.
+    A vocabulary file without a decoder gives its tokens joined by spaces. ``as_text`` gives the text that the
+    tokens stand for: an end of word becomes a space, and bytes that are no UTF-8 become U+FFFD.
     """
 
     def __init__(self, merges: Merges, as_text: bool = False):
-        self.merges, self.as_text, self.started = merges, as_text, False
+        self.table, self.skip = merges.bytes_of(as_text), 0 if as_text else 1  # no space before the first name
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        if self.as_text:
-            return self.state.decode(b"".join(map(self.merges.raw.__getitem__, ids)))
-        text = " ".join(map(self.merges.names.__getitem__, ids))
-        if self.started and text:
-            text = " " + text
-        self.started = self.started or bool(text)
-        return text
+        found = self.table.take(pa.array(ids, pa.int32()))
+        if not len(found):
+            return ""
+        offsets = np.frombuffer(found.buffers()[1], dtype=np.int32)
+        data = memoryview(found.buffers()[2])[offsets[found.offset] + self.skip : offsets[found.offset + len(found)]]
+        self.skip = 0
+        return self.state.decode(data)
 
     def close(self) -> str:
-        return self.state.decode(b"", True) if self.as_text else ""
+        return self.state.decode(b"", True)
 
 
 def decoded(merges: Merges, ids: np.ndarray, ends: list[int], as_text: bool) -> pa.Array:
     """Texts of several id sequences that stand one after the other."""
-    if as_text:
-        texts = []
-        for a, b in itertools.pairwise([0, *ends]):
-            decoder = Decoder(merges, True)
-            texts.append(decoder.feed(ids[a:b].tolist()) + decoder.close())
-        return pa.array(texts, pa.string())
-    names = pa.array([merges.names.get(i) for i in range(max(merges.names) + 1)], pa.string())
-    lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), names.take(pa.array(ids)))
-    return pc.binary_join(lists, " ")
+    texts = []
+    for a, b in itertools.pairwise([0, *ends]):
+        decoder = Decoder(merges, as_text)
+        parts = [decoder.feed(ids[i : min(i + _IDS, b)]) for i in range(a, b, _IDS)]
+        texts.append("".join([*parts, decoder.close()]))
+    return pa.array(texts, pa.string())
 
 
 def encode_documents(
-    docs: DataFrame, path: str, *, text: str = "text", as_text: bool = False
+    docs: DataFrame, path: str, *, text: str = "text", as_text: bool = False, text_as: str | None = None
 ) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded``, the text decoded from them.
 
-    Null texts count as empty. Input columns named ``ids`` or ``decoded`` are replaced; rows that repeat
+    ``decoded`` is what the vocabulary's own decoder gives, or with ``as_text`` the text that the tokens stand for;
+    ``text_as`` names a column that has the latter besides. Null texts count as empty. Input columns named ``ids`` or ``decoded`` are replaced; rows that repeat
     are all encoded. ``path`` names the vocabulary on the executors.
     """
-    plain = without(docs, "ids", "decoded")
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    more = [text_as] if text_as else []
+    plain = without(docs, "ids", "decoded", *more)
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in ["decoded", *more])]
     schema = T.StructType([*plain.schema, *added])
     place, names = plain.columns.index(text), schema.names
 
@@ -326,8 +334,8 @@ def encode_documents(
                     ends.append(total)
                 flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat))
-                texts = decoded(encoder.merges, flat, ends, as_text)
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=names)
+                texts = [decoded(encoder.merges, flat, ends, kind) for kind in (as_text, *[True] * len(more))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, *texts], names=names)
 
     return plain.mapInArrow(tidy(run), schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, language, lexical, mixing, pages, quality_model, quality_rules, simhash, substrings, tokens, topk, whitening
@@ -221,16 +221,18 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return digests(bpe.encode_documents(docs, vocabulary("word_bpe_49k.json")))
+    encoded = bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), text_as="plain")
+    return digests(encoded, F.sha2("plain", 256).alias("text_sha256"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: Column) -> DataFrame:
     """Digests of the ids and texts of an encoded frame."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

@@ -142,6 +142,18 @@ def test_encode_documents(spark, encoder):
         (0, [], ""), (1, want, encoder.library.decode(want)), (1, want, encoder.library.decode(want)), (2, [], ""),
     ]
     assert bpe.encode_documents(df.where("false"), WORDS).count() == 0
+    both = bpe.encode_documents(df, WORDS, text_as="as_text").where("doc_id = 1").first()
+    assert both.as_text.rstrip(" ") == "some text" and both.decoded == encoder.library.decode(want)
+
+
+def test_decoder_pieces(monkeypatch, encoder):
+    """Pieces of any size give the same text, in both forms."""
+    ids = np.array(ids_of(encoder.encode("naïve 😀 日本 <|endoftext|> " * 40)), dtype=np.int32)
+    for as_text in (False, True):
+        whole = bpe.decoded(encoder.merges, ids, [0, len(ids)], as_text).to_pylist()
+        monkeypatch.setattr(bpe, "_IDS", 3)
+        assert bpe.decoded(encoder.merges, ids, [0, len(ids)], as_text).to_pylist() == whole
+        monkeypatch.undo()
 
 
 def test_counts_equal_the_library():
