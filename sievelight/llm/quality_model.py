@@ -3,8 +3,9 @@
 Two generative models of hashed word n-grams are counted, one of target texts (labelled good) and one of
 all raw texts. The weight of a document is the likelihood ratio of the two; adding Gumbel noise to its
 logarithm and keeping the ``k`` largest draws without replacement in proportion to the weights. The documents that are not
-drawn are rejected. ``k`` is given as a share, or found from labels: the number of documents whose key is at
-least that of all but a thousandth of the good ones among labelled documents that the model has not seen.
+drawn are rejected. ``k`` is given as a share, or counted with labels: the number of documents whose key is at
+least that of all but a thousandth of the good ones among labelled documents that the model has not seen. The draw is the same: the
+k-th largest key of all is found by counting digits, and what lies below it goes.
 
 The target model and the key are fit on a bounded sample of labelled rows; raw counts, weights and the k-th largest key
 cover all documents.
@@ -121,15 +122,18 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
-def cutoff(keys: np.ndarray, good: np.ndarray, spare: float) -> float:
-    """The highest key that leaves out at most a share ``spare`` of the good labelled keys.
+def count_to_keep(keyed: DataFrame, held: DataFrame, id: str, spare: float) -> int | None:
+    """How many documents to draw: those whose order is at least that of all but a share ``spare`` of the good held-out rows.
 
-    Without labels of both kinds it is minus infinity: nothing is rejected.
+    Null without labels of both kinds: everything is kept.
     """
-    if not good.any() or good.all():
-        return -np.inf
-    ordered = np.sort(keys[good])
-    return float(ordered[int(spare * len(ordered))])
+    seen = keyed.select(F.col(id).alias("_id"), "order").join(F.broadcast(held), F.col("_id") == F.col(id))
+    good = seen.where("quality = 1").select("order")
+    n_good, n_seen = good.count(), seen.count()
+    if not n_good or n_good == n_seen:
+        return None
+    least = kth_largest(good, "order", n_good - int(spare * n_good))
+    return keyed.where(F.col("order") >= least).count()
 
 
 def resample(
@@ -146,8 +150,8 @@ def resample(
     """Rows ``id, log_weight, key, kept`` of every row of ``docs``.
 
     ``labels`` has ``id, quality, toxic``; null qualities are left out, of repeated labels the worst
-    holds. ``share`` of the rows is kept; by default, all but those whose keys fall below the cutoff that
-    spares all but ``spare`` of the good labelled rows. Null texts
+    holds. ``share`` of the rows is drawn; by default, as many as have keys that
+    all but ``spare`` of the good labelled rows reach. Null texts
     count as empty; rows with the same id share their noise; rows with the key of the last one drawn are
     all kept. An empty table gives an empty result. Without labels all weights are 1 and everything is
     kept. Other columns are not read.
@@ -189,12 +193,14 @@ def _drawn(
     texts = docs.select(F.col(id), F.col(text).alias("_text"))
     weighed = with_log_weights(texts, ratios, text="_text").drop("_text")
     keyed = staged(weighed.withColumn("key", F.col("log_weight") + noise(id, seed)), "keys", narrow=True)
-    if share is None:  # the k largest keys are those from the cutoff on
-        rows = keyed.select(F.col(id).alias("_id"), "key").join(F.broadcast(held), F.col("_id") == F.col(id))
-        seen = rows.select("key", F.col("quality") == 1).limit(4 * sample).collect()
-        least = cutoff(np.array([r[0] for r in seen]), np.array([r[1] for r in seen], dtype=bool), spare)
-        return keyed, ratios, lambda key: key >= F.lit(least)
-    order = lambda key: F.floor(key * _SCALE).cast("long")
-    k = round(share * keyed.count())
-    last = kth_largest(keyed.select(order(F.col("key")).alias("_order")), "_order", k) if k else None
-    return keyed, ratios, lambda key: F.lit(False) if last is None else order(key) >= last
+    ordered = keyed.withColumn("order", _order(F.col("key")))
+    k = count_to_keep(ordered, held, id, spare) if share is None else round(share * keyed.count())
+    if k is None:
+        return keyed, ratios, lambda key: F.lit(True)
+    last = kth_largest(ordered, "order", k) if k else None
+    return keyed, ratios, lambda key: F.lit(False) if last is None else _order(key) >= last
+
+
+def _order(key: Column) -> Column:
+    """Keys as longs in their order."""
+    return F.floor(key * _SCALE).cast("long")

@@ -223,6 +223,21 @@ def test_held_out_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_kept_against_plain_python(spark):
+    """The k-th key of a plain sort, k counted with the labels that the model has not seen."""
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fit = {r.doc_id for r in known.where(F.pmod(F.xxhash64("doc_id", F.lit(24)), F.lit(2)) == 0).collect()}
+    for spare in (0.001, 0.1, 0.5):
+        got = quality_model.resample(docs, known, spare=spare).collect()
+        order = {r.doc_id: math.floor(r.key * (1 << 20)) for r in got}
+        good = sorted(order[i] for i, q, _ in labels if q == 1 and i not in fit)
+        k = sum(v >= good[int(spare * len(good))] for v in order.values())
+        last = sorted(order.values(), reverse=True)[k - 1]
+        assert {r.doc_id for r in got if r.kept} == {i for i, v in order.items() if v >= last}
+
+
 def test_weights_against_plain_python(spark):
     rows, labels = corpus(80)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
