@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.redaction import redact
-from ..functions.sql import each, each_at, fold, in_list, keep, struct
+from ..functions.redaction import redact, redact_last
+from ..functions.sql import each, each_at, find_all, fold, in_list, keep, let, struct
 from ..functions.text import file_extension
-from ..functions.validators import strip
+from ..functions.validators import card_ok, digits_only, strip
 
 
 def replacements(hits: str) -> str:
@@ -61,6 +64,97 @@ def neutralize(
     )
 
 
+def masked_values(hits: str, text: str, unicode: bool = True) -> str:
+    """``array<struct<old, new>>``: values as the text has them, and what each becomes.
+
+    Cards are taken from the text once more, as they are written there, with spaces or dashes. A value that redaction leaves
+    as it is becomes stars.
+    """
+
+    def pair(category: str, v: str) -> str:
+        hidden = lambda new: f"case when {new} = {v} then repeat('*', length({v})) else {new} end"
+        return struct(old=v, new=let(redact(category, v), hidden))
+
+    found = each(
+        hits, lambda h: each(f"array_distinct({each(f'{h}.vals', strip)})", lambda v: pair(f"{h}.category", v))
+    )
+    cards = keep(find_all(text, fixed.CARD, 0, unicode), lambda v: let(digits_only(v), card_ok))
+    trimmed = each(cards, lambda v: f"regexp_replace({v}, '[ -]+$', '')")
+    written = each(f"array_distinct({trimmed})", lambda v: struct(old=v, new=redact_last(v)))
+    any_card = f"case when exists({hits}, h -> h.category = 'credit_card') then {written} end"
+    every = f"concat(flatten({found}), coalesce({any_card}, array()))"
+    return keep(every, lambda r: f"{r}.old <> ''")
+
+
+def spans(text: str, values: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Start, end and new form of all places of the values in the text, by start, the longest first.
+
+    All values are searched in one pass. A place inside a longer word does not count.
+    """
+    search = ahocorasick.Automaton()
+    for old, new in values.items():
+        search.add_word(old, (len(old), new))
+    search.make_automaton()
+    word = lambda i: text[i] == "_" or text[i].isalnum()
+    found = []
+    for last, (size, new) in search.iter(text):
+        start, end = last + 1 - size, last + 1
+        if start and word(start - 1) and word(start) or end < len(text) and word(last) and word(end):
+            continue
+        found.append((start, end, new))
+    return sorted(found, key=lambda s: (s[0], -s[1]))
+
+
+def splice(text: str, values: dict[str, str]) -> tuple[str, int]:
+    """The text with the union of all places of the values replaced, and the number of replacements.
+
+    Places that overlap are one. It takes the new form of the value that covers it, unless that shows one of the others, and
+    otherwise becomes stars.
+    """
+    parts, at, n = [], 0, 0
+    found = spans(text, values) if values else []
+    i = 0
+    while i < len(found):
+        start, end, new = found[i]
+        first, covered = i, end
+        while i < len(found) and found[i][0] < end:
+            end = max(end, found[i][1])
+            i += 1
+        shown = any(text[s:e] in new for s, e, _ in found[first + 1 : i])
+        parts += [text[at:start], "*" * (end - start) if shown or covered < end else new]
+        at, n = end, n + 1
+    return "".join([*parts, text[at:]]), n
+
+
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("total", T.LongType()))
+def _splice(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+    out = []
+    for text, listed in zip(texts.to_pylist(), pairs.to_pylist(), strict=True):
+        values: dict[str, str] = {}
+        for p in listed or ():
+            values.setdefault(p["old"], p["new"])
+        done, n = (None, 0) if text is None else splice(text, values)
+        out.append({"text": done, "total": n})
+    return pa.array(out, pa.struct([("text", pa.string()), ("total", pa.int64())]))
+
+
+def neutralize_spans(df: DataFrame, hits_col: str = "hits", text_col: str = "text", *, unicode: bool = True) -> DataFrame:
+    """Add ``redacted_text`` and ``replaced_total``; no value that was found stays in clear.
+
+    Every place of every found value that is a word of its own is replaced, cards also where they are written with
+    spaces or dashes. Places that overlap are replaced together. Values are searched in one pass and the text is put together
+    once, so the work is linear in text, values and places, however many values there are. A null text stays null with 0
+    replacements. Texts without values are not sent to Python.
+    """
+    kept = [f"`{c}`" for c in df.columns]
+    paired = df.selectExpr("*", f"{masked_values(hits_col, text_col, unicode)} as _pairs")
+    any_value = F.size("_pairs") > 0
+    done = paired.withColumn("_done", _splice(F.when(any_value, F.col(text_col)), F.when(any_value, F.col("_pairs"))))
+    return done.selectExpr(
+        *kept, f"coalesce(_done.text, {text_col}) as redacted_text", "coalesce(_done.total, 0L) as replaced_total"
+    )
+
+
 def write_neutralized(df: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Write ``id, redacted_text, replaced_total``; sources are never overwritten."""
     (
