@@ -234,10 +234,12 @@ def _far(spark, columns: dict) -> object:
     return spark.range(1).select(*[F.lit(v).cast(t).alias(n) for n, (v, t) in columns.items()])
 
 
-def _two_files(df, end, folder: str) -> None:
-    """All rows in one file, then the last one, so that a stream reads them in this order."""
-    df.coalesce(1).write.parquet(folder)
-    end.coalesce(1).write.mode("append").parquet(folder)
+def _run_twice(start, rows, end, folder: str) -> None:
+    """Run a stream over all rows, in the files they come in, then over the last row, with the same checkpoint."""
+    rows.write.parquet(folder)
+    finished(start())
+    end.write.mode("append").parquet(folder)
+    finished(start())
 
 
 @query("debounce_stream", SQL["debounce_capped"])
@@ -253,12 +255,14 @@ def debounce_stream(spark, sf):
         spark,
         {"path": ("/end", "string"), "size": (0, "bigint"), "mtime": (0, "bigint"), "changed_at": ("2100-01-01", "timestamp")},
     )
-    _two_files(changes, end, source)
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stable = debounce(stream, quiet_seconds=S._GAP, cap_seconds=S._CAP)
-    finished(
-        stable.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared(spark, "cp"))
-    )
+    checkpoint = shared(spark, "cp")
+
+    def start():
+        stream = spark.readStream.schema(changes.schema).parquet(source)
+        stable = debounce(stream, quiet_seconds=S._GAP, cap_seconds=S._CAP)
+        return stable.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+
+    _run_twice(start, changes, end, source)
     return spark.read.parquet(out).filter("path <> '/end'").select(
         "path", "size", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_change", "ready_at")]
     )
@@ -270,13 +274,15 @@ def session_stream(spark, sf):
     source, out = shared(spark, "events"), shared(spark, "sessions")
     events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     end = _far(spark, {"user_id": (-1, "bigint"), "ts": ("2100-01-01", "timestamp"), "value": (0, "double")})
-    _two_files(events, end.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]), source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    found = session_activity(stream, "user_id", "ts", S._GAP, total=F.sum("value"))
-    finished(
-        found.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", shared(spark, "cp"))
-    )
+    checkpoint = shared(spark, "cp")
+
+    def start():
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        found = session_activity(stream, "user_id", "ts", S._GAP, total=F.sum("value"))
+        writer = found.writeStream.format("parquet").outputMode("append")
+        return writer.option("path", out).option("checkpointLocation", checkpoint)
+
+    _run_twice(start, events, end.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]), source)
     done = spark.read.parquet(out).filter("user_id <> -1").withColumn("total", F.round("total", 4))
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
@@ -296,9 +302,9 @@ def scan_stream_query(spark, sf):
         F.octet_length("text").cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("mtime"), "text",
         F.lit(True).alias("secrets_enabled"),
     )
-    docs.coalesce(2).write.parquet(source)
+    docs.write.parquet(source)
     skip = docs.filter(F.col("doc_id").cast("long") % 10 == 0).select("path", F.lit(True).alias("ignored"))
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 16).parquet(source)
     finished(
         scan_stream(stream, where, checkpoint=shared(spark, "cp"), clock=lambda: 7, ignored_files=lambda: skip)
     )
