@@ -666,3 +666,37 @@ _HOSTS = (
 def url_locality(spark, sf):
     pages = table(spark, sf, "pages").selectExpr("page_id", f"{_HOSTS} as u")
     return pages.selectExpr("*", f"{is_internet_url('u')} as internet")
+
+
+# --- rules whose groups repeat, on long texts ----------------------------------------------------
+
+# patterns that Spark's engine cannot run as they stand on texts of this length
+_LONG_RULES = {
+    "letters": r"(?:[a-z]|[A-Z]|,|\s)+\.",
+    "numbered": r"(?:[A-Za-z]+ )+[0-9]{4,}",
+    "pairs": r"(?:[a-z]{2}|[0-9]{2}|[A-Z])+;",
+}
+_LONG_TEXTS = "select {div} as doc_id, {agg} as text from documents where text is not null group by {div}"
+
+
+def _long_sql() -> str:
+    texts = _LONG_TEXTS.format(div="doc_id // 100", agg="string_agg(text, ' ' order by doc_id)")
+    found = " union all ".join(
+        f"select doc_id, {D.q(name)} as rule, regexp_extract_all(text, {D.q(p)}) as vals from long" for name, p in _LONG_RULES.items()
+    )
+    return f"""with long as materialized ({texts}), found as ({found})
+    select doc_id, rule, len(vals)::bigint as n, md5(array_to_string(vals, '|')) as vals_md5 from found where len(vals) > 0"""
+
+
+@query("rules_long_texts", _long_sql())
+def rules_long_texts(spark, sf):
+    """Rules with repeated groups over texts of a hundred documents each."""
+    docs = table(spark, sf, "documents").where("text is not null").selectExpr("doc_id div 100 as part", "doc_id", "text")
+    listed = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
+    long = docs.groupBy(F.col("part").alias("doc_id")).agg(F.array_join(listed["text"], " ").alias("text"))
+    rules = [Rule(name, value_regex=p) for name, p in _LONG_RULES.items()]
+    hits = with_rule_hits(long, rules).selectExpr("doc_id", "inline_outer(custom_hits)").where("category is not null")
+    return hits.select(
+        "doc_id", F.col("category").alias("rule"), F.size("vals").cast("bigint").alias("n"),
+        F.md5(F.array_join("vals", "|").cast("binary")).alias("vals_md5"),
+    )

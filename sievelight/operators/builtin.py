@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import validators as V
+from ..functions.patterns import safe_pattern
 from ..functions.sql import (
     NO_STRINGS,
     array,
@@ -251,7 +252,7 @@ def jwts(text: str, unicode: bool = False) -> str:
 
 def extra_secrets(text: str, patterns: Sequence[str], unicode: bool = False) -> str:
     """Hits of caller-supplied secret patterns (none are shipped)."""
-    found = ", ".join(find_all(text, p, 0, unicode) for p in patterns) or NO_STRINGS
+    found = ", ".join(find_all(text, safe_pattern(p), 0, unicode) for p in patterns) or NO_STRINGS
     return keep(f"concat({found})", lambda v: f"not {V.calendar_noise(v, text)}")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.patterns import Refused, safe_pattern
 from ..functions.sql import (
     NO_STRINGS,
     each,
@@ -55,16 +56,37 @@ def _out_of_bounds(pattern: str) -> str | None:
     return None
 
 
+def _unsafe(pattern: str) -> str | None:
+    """Why the pattern may end a job on a long text, None if it cannot."""
+    try:
+        safe_pattern(pattern)
+    except Refused as reason:
+        return f"unsafe regex: {reason}"
+    return None
+
+
 def validate_rule_regex(spark: SparkSession, pattern: str) -> str | None:
-    """None when the pattern is usable, otherwise what is wrong with it."""
+    """None when the pattern is usable, otherwise what is wrong with it.
+
+    Patterns that cannot be shown to be safe on texts of any length are refused, see ``functions/patterns.py``.
+    """
     p = pattern.strip()
     error = _out_of_bounds(p)
     if error is None:
         rejected = _rejected(spark, [p])
-        error = rejected and f"invalid regex: {rejected}"
+        error = f"invalid regex: {rejected}" if rejected else _unsafe(p)
     return error
 
 
+def safe_rule(rule: Rule) -> Rule:
+    """The rule with patterns that find the same on texts of any length; an error if there are none."""
+    fields = ("filename_regex", "field_name_regex", "value_regex")
+    try:
+        return replace(rule, **{f: p and safe_pattern(p) for f in fields for p in [getattr(rule, f)]})
+    except Refused as reason:
+        raise ValueError(f"rule {rule.name}: unsafe regex: {reason}") from None
+
+
 def locale_parts(locale: Column) -> tuple[Column, Column]:
     """Language and region (null if absent) of a locale such as ``fr_FR.UTF-8``."""
     base = F.lower(
@@ -118,7 +140,7 @@ def compile_rules(rules: DataFrame, locale: str | None = None, max_rules: int =
     found = [{f: (r[f] or "").strip() or None for f in fields} for r in rows]
     every = [p for named in found for p in named.values() if p]
     spark = rules.sparkSession
-    if any(_out_of_bounds(p) for p in every) or (every and _rejected(spark, every)):
+    if any(_out_of_bounds(p) or _unsafe(p) for p in every) or (every and _rejected(spark, every)):
         for r, named in zip(rows, found):
             for field, pattern in named.items():
                 error = pattern and validate_rule_regex(spark, pattern)
@@ -180,12 +202,13 @@ def with_rule_hits(
 ) -> DataFrame:
     """Add all rule matches as ``array<struct<category, vals>>`` in rule-name order.
 
-    Patterns are literals of the plan, so each compiles once per task. The generic key-value
+    Patterns are literals of the plan, so each compiles once per task; they are rewritten so that no text can overflow
+    the engine's stack, and a rule with a pattern that cannot be is an error before the job starts. The generic key-value
     pairs are found once and shared by all field-name rules. All values are reported, unless
     ``cap`` bounds them per rule and row.
     """
     text = text_col or "cast(null as string)"
-    ordered = sorted(rules, key=lambda r: r.name)
+    ordered = sorted(map(safe_rule, rules), key=lambda r: r.name)
     entries = ", ".join(
         struct(
             category=lit(r.name),
