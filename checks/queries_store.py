@@ -26,6 +26,7 @@ from sievelight.operators.ignore import (
     unmark_ignored,
 )
 from sievelight.operators.merge import merge_matches
+from sievelight.operators.ranks import page, with_places
 from sievelight.operators.reveal import (
     reveal_pairs,
     reveal_requested,
@@ -273,7 +274,6 @@ _ORDERS = {
     "recent": "alert_time desc",
     "type": "primary_type",
 }
-_TOP = 120
 
 
 @query(
@@ -281,15 +281,15 @@ _TOP = 120
     _ITEMS_SQL
     + " union all ".join(
         f"""(select '{name}' as sort, kind, device_id, file_id,
-        row_number() over (order by {order}, kind, device_id, file_id) as rank from items qualify rank <= {_TOP})"""
+        row_number() over (order by {order}, kind, device_id, file_id) as rank from items)"""
         for name, order in _ORDERS.items()
     ),
 )
 def alert_orders(spark, sf):
-    """The head of the alert list in each of its orders, with the place of each row."""
+    """The whole alert list in each of its orders, with the place of each row."""
     local, remote = A.alert_rows(_files(spark, sf), _scans(spark, sf)), _fleet_alerts(spark, sf)
     heads = [
-        ranked(A.visible_alerts(local, remote, sort=name), _TOP).select(
+        with_places(A.visible_alerts(local, remote, sort=name).select("kind", "device_id", "file_id")).select(
             F.lit(name).alias("sort"), "kind", "device_id", "file_id", "rank"
         )
         for name in _ORDERS
@@ -301,10 +301,22 @@ def alert_orders(spark, sf):
     "alerts_order",
     f"""with {_SCANS_SQL}, {_LATEST_SQL}, {_FILES_SQL}
     select f.file_id, row_number() over (order by risk_score desc, scanned_at desc, f.file_id) as rank
-    from files f join latest s on s.file_id = f.file_id where not deleted and {_KEEP} qualify rank <= {_TOP}""",
+    from files f join latest s on s.file_id = f.file_id where not deleted and {_KEEP}""",
 )
 def alerts_order(spark, sf):
-    return ranked(A.latest_alerts(_files(spark, sf), _scans(spark, sf)).select("file_id"), _TOP)
+    return with_places(A.latest_alerts(_files(spark, sf), _scans(spark, sf)).select("file_id"))
+
+
+@query(
+    "alerts_page",
+    f"""with {_SCANS_SQL}, {_LATEST_SQL}, {_FILES_SQL}, placed as (
+    select f.file_id, row_number() over (order by risk_score desc, scanned_at desc, f.file_id) as rank
+    from files f join latest s on s.file_id = f.file_id where not deleted and {_KEEP})
+    select * from placed where rank > 50 and rank <= 100""",
+)
+def alerts_page(spark, sf):
+    """The second page of fifty alerts."""
+    return page(with_places(A.latest_alerts(_files(spark, sf), _scans(spark, sf)).select("file_id")), 2, 50)
 
 
 @query(
