@@ -3,8 +3,9 @@
 A page becomes a sequence of text blocks. A classifier on marks of the enclosing elements, length, sentence ends
 and share of link text gives each block a cost of calling it content and one of calling it
 boilerplate: the capacities of its edges to the two terminals. Smoothness edges join blocks that
-follow each other and blocks in the same element. The maximum flow between the terminals gives the
-cheapest labelling; blocks that the source still reaches are content.
+follow each other and blocks in the same element, past blocks marked as boilerplate, which have no edges.
+The maximum flow between the terminals gives the cheapest labelling; blocks that the source still reaches are
+content. On a page without content marks unmarked text is content by default, as far as it is not links.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ _AWAY_NAMES = frozenset(
     "cookiebar cookiebanner cookieconsent cookienotice notice notices notification alert popup modal overlay sidebar aside rail widget nav navbar navigation navigate menu breadcrumb breadcrumbs "
     "pagination pager toolbar footer masthead topbar comment comments commentlist disqus reply replies respond discussion "
     "related recommended recommendations teaser teasers share sharing social follow subscribe subscription newsletter signup login "
-    "search form copyright legal disclaimer skip hidden complementary contentinfo".split()
+    "search form copyright legal disclaimer skip hidden complementary contentinfo "
+    "werbung anzeige anzeigen fusszeile kopfzeile seitenleiste kommentar kommentare publicite annonce annonces entete pied commentaire commentaires "
+    "publicidad anuncio anuncios cabecera pie comentario comentarios".split()
 )
 _FIRM_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising advertorial adbox adslot adunit sponsor sponsored "
@@ -78,15 +81,20 @@ _FIRM_NAMES = frozenset(
 _ABOUT = re.compile(r"(?:has|have|with|no|not|without|is|hide|show|toggle)[-_]", re.I)
 _HERE_NAMES = frozenset("article content post entry story main body text".split())
 _SENTENCE = re.compile(r"[.!?…。](?:[\s\"'”’)]|$)")
+_RIGHTS = re.compile(
+    r"(?:©|\(c\)|copyright\b)|.*(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\W*$", re.I | re.S
+)
+_DEFAULT = 2.6  # for link-free unmarked text where nothing is marked as content: above all smoothness edges of a block and the start of -0.5
 _STEP, _SAME, _NEAR = 0.5, 0.75, 0.5  # smoothness: neighbours, neighbours in one element, next in the element
 
 
 class _Block:
-    __slots__ = ("text", "links", "away", "here", "heading", "owner")
+    __slots__ = ("text", "links", "away", "here", "heading", "owner", "bare")
 
     def __init__(self, text: str, links: int, away: int, here: int, heading: bool, owner: int):
         self.text, self.links, self.away, self.here = text, links, away, here
         self.heading, self.owner = heading, owner
+        self.bare = False  # in no menu or the like, on a page without marked content
 
 
 def _marks(tag: str, rest: str, within: int) -> tuple[int, int]:
@@ -105,7 +113,7 @@ def _marks(tag: str, rest: str, within: int) -> tuple[int, int]:
                 away = _FIRM
             elif key == "style":
                 away = _FIRM if "display:none" in value.replace(" ", "").lower() else away
-            else:
+            elif key != "id" or tag not in _HERE:  # the id of an article tells its topic
                 for name in value.split():
                     if _ABOUT.match(name):
                         continue
@@ -182,8 +190,12 @@ class _Tree:
                 weak, here = 0, 1
             state.append((firm, weak, here))
         for b in found:
+            b.bare = b.away < 0 or not strong[b.away]
             firm, weak, b.here = state[b.away] if b.away >= 0 else (0, 0, 0)
             b.away = firm or weak
+        if any(b.here and not b.away for b in found):
+            for b in found:
+                b.bare = False
 
 
 def blocks(page: str) -> list[_Block]:
@@ -364,7 +376,12 @@ def leaning(block: _Block) -> float:
     """Cost of calling the block boilerplate less that of calling it content."""
     size = len(block.text)
     score = -0.5 + min(size, 400) / 200 + min(len(_SENTENCE.findall(block.text)), 3) * 0.4
-    score -= 3.0 * block.links / size
+    share = block.links / size
+    score -= 3.0 * share
+    if size < 300 and _RIGHTS.match(block.text):
+        score -= 5.0
+    elif block.bare and not block.away:
+        score += _DEFAULT * (1 - share)
     if block.here:
         score += 6.0
     if block.heading:
@@ -387,13 +404,16 @@ def content(found: list[_Block]) -> list[bool]:
         edges[j][i] = edges[j].get(i, 0.0) + weight
 
     last: dict[int, int] = {}
+    before = None
     for j, b in enumerate(found):
-        if j:
-            join(j - 1, j, _SAME if found[j - 1].owner == b.owner else _STEP)
+        if b.away:
+            continue
+        if before is not None:
+            join(before, j, _SAME if found[before].owner == b.owner else _STEP)
         i = last.get(b.owner)
-        if i is not None and i < j - 1:
+        if i is not None and i != before:
             join(i, j, _NEAR)
-        last[b.owner] = j
+        last[b.owner] = before = j
     while True:
         level = _levels(excess, edges)
         if level is None:

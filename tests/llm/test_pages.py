@@ -74,6 +74,27 @@ def test_marks_of_outer_elements_do_not_lose_the_article(page):
     assert op.main_text(page) == f"{LONG}\n\n{LONG}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<nav>One Two</nav><div><p>It rained today.</p></div><footer>x</footer>", "It rained today."),
+        ("<nav>One Two</nav><div><h1>Rain</h1><p>It rained today.</p></div><footer>x</footer>", "Rain\n\nIt rained today."),
+        ("<nav>首页</nav><div><p>今天下雨了。</p></div><footer>版权</footer>", "今天下雨了。"),
+        ("<nav>Start</nav><div><p>Es regnete heute.</p></div><div class=fusszeile>Impressum</div><div class='kommentare'><p>Danke schön!</p></div>", "Es regnete heute."),
+        ("<nav>a</nav><ul><li>Mix flour.<li>Add water.<li>Bake.</ul><footer>x</footer>", "Mix flour.\n\nAdd water.\n\nBake."),
+        ("<nav>a</nav><table><tr><th>Town<th>Rain<tr><td>Ulm<td>3</table><footer>x</footer>", "Town\n\nRain\n\nUlm\n\n3"),
+        (f"<p>{LONG}</p><div class=ad>Buy.</div><h2>Later</h2><div class=ad>Buy.</div><p>He left.</p><div class=ad>Buy.</div>", f"{LONG}\n\nLater\n\nHe left."),
+        (f"<article><p>{LONG}</p></article><div class=ad>Buy.</div><footer>x</footer>", LONG),
+        ("<article id='social-security-alert'><p>It came.</p></article><div>Short other.</div>", "It came.\n\nShort other."),  # joined by smoothness
+        ("<p>He left.</p><div>" + "<p><a href=x>One more</a></p>" * 9 + "</div>", "He left."),
+        ("<div><p>He left.</p></div><p>Copyright 2020 by us. All rights reserved.</p>", "He left."),
+        ("<div><a href=x>Home</a></div>", ""),
+    ],
+)
+def test_short_articles_without_marks(page, text):
+    assert op.main_text(page) == text
+
+
 def test_marks_after_a_misplaced_end_tag():
     page = f"<article><p>one</p><b class=ad><div class=text><p>two</p></b><p>three</p></div></article>{FOOT}"
     assert op.main_text(page) == "one\n\nthree"
@@ -106,11 +127,13 @@ def cost(found, labels):
     """What a labelling costs: terminal edges that are cut and smoothness edges between labels."""
     total = sum(max(0, op.leaning(b)) if not keep else max(0, -op.leaning(b)) for b, keep in zip(found, labels, strict=True))
     last = {}
-    for j, b in enumerate(found):
-        if j and labels[j] != labels[j - 1]:
-            total += op._SAME if found[j - 1].owner == b.owner else op._STEP
-        i = last.get(b.owner)
-        if i is not None and i < j - 1 and labels[i] != labels[j]:
+    free = [j for j, b in enumerate(found) if not b.away]  # marked blocks have no smoothness edges
+    for i, j in zip([None, *free], free, strict=False):
+        b = found[j]
+        if i is not None and labels[j] != labels[i]:
+            total += op._SAME if found[i].owner == b.owner else op._STEP
+        k = last.get(b.owner)
+        if k not in (None, i) and labels[k] != labels[j]:
             total += op._NEAR
         last[b.owner] = j
     return total
