@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,12 @@ def fingerprint(shape: Column) -> Column:
     return F.xxhash64(shape)
 
 
+def _hashed(shape: str) -> int:
+    """``fingerprint`` of a shape that is known when the plan is built."""
+    unsigned = xxhash.xxh64_intdigest(shape.encode(), 42)
+    return unsigned - (1 << 64) if unsigned >> 63 else unsigned
+
+
 def _mapped(layout: Fields | Messages, record: str) -> str:
     """SQL for the turns of one layout, ``array<struct<role, text>>``."""
 
@@ -109,6 +116,46 @@ def _mapped(layout: Fields | Messages, record: str) -> str:
     return array if layout.system is None else f"concat(array({one(lit('system'), layout.system)}), {array})"
 
 
+def _paths(layout: Fields | Messages) -> int:
+    """How many paths a layout needs."""
+    return len(layout.turns) if isinstance(layout, Fields) else 3 + (layout.system is not None)
+
+
+def _fits(layout: Fields | Messages, record: str) -> str:
+    """SQL: does a record have all paths of a layout, among others? An empty array of messages has them."""
+
+    def has(value: str, path: str) -> str:
+        return f"try_variant_get({value}, {lit(path)}, 'variant') is not null"
+
+    if isinstance(layout, Fields):
+        return " and ".join(has(record, p) for _, p in layout.turns)
+    array = f"try_variant_get({record}, {lit(layout.path)}, 'array<variant>')"
+    inner = " and ".join(f"exists({array}, m -> {has('m', '$.' + f)})" for f in (layout.role, layout.text))
+    system = f" and {has(record, layout.system)}" if layout.system else ""
+    return f"{array} is not null and (size({array}) = 0 or {inner}){system}"
+
+
+def _records_mapped(
+    records: DataFrame, id: str, record: str, layouts: Mapping[str, Fields | Messages]
+) -> DataFrame:
+    """``id``, ``shape``, ``fingerprint`` and the array ``_turns`` of records, null for an unknown layout."""
+    marked = records.select(F.col(id), F.col(record).alias("_record")).withColumn("shape", shape_of("_record"))
+    marked = marked.withColumn("fingerprint", fingerprint(F.col("shape")))
+    same = [f"when fingerprint = xxhash64({lit(s)}) then {_mapped(x, '_record')}" for s, x in layouts.items()]
+    wider = sorted(layouts.items(), key=lambda item: (-_paths(item[1]), item[0]))
+    more = [f"when {_fits(x, '_record')} then {_mapped(x, '_record')}" for _, x in wider]
+    names = " ".join(f"when {lit(a)} then {lit(b)}" for a, b in ROLES.items())
+    role = f"case lower(t.role) {names} else t.role end" if names else "t.role"
+    placed = (
+        f"transform(case {' '.join(same + more)} end, "
+        f"(t, i) -> struct(cast(i as long) as pos, {role} as role, coalesce(t.text, '') as text))"
+    )
+    return marked.select(
+        id, "shape", "fingerprint",
+        F.expr(f"filter({placed}, t -> not (t.role <=> 'system' and t.text = ''))").alias("_turns"),
+    )
+
+
 def turns_of_records(
     records: DataFrame,
     id: str,
@@ -117,45 +164,48 @@ def turns_of_records(
 ) -> DataFrame:
     """Canonical turns ``id, pos, role, text`` of VARIANT records, one row for each turn.
 
-    Null texts become empty, other names of roles are mapped, empty system texts are left out.
-    A record of an unknown layout, a null record and one without messages gives one row with null
-    ``pos``, so no record is lost and unknown layouts can be counted by ``fingerprint``.
+    A record's fingerprint selects its mapping. Where it is that of no layout, the layout with most paths
+    whose paths the record all has is taken (equal ones: first by shape), so further fields do no harm.
+    Null texts become empty, other names of roles are mapped, empty system texts are left out. Records
+    without turns give no row here: ``records_without_turns`` returns them.
     """
-    marked = records.select(
-        F.col(id), F.col(record).alias("_record"), fingerprint(shape_of(record)).alias("fingerprint")
-    )
-    empty = "cast(array() as array<struct<role string, text string>>)"
-    arms = " ".join(
-        f"when fingerprint = xxhash64({lit(shape)}) then {_mapped(layout, '_record')}"
-        for shape, layout in layouts.items()
-    )
-    turns = marked.select(
-        id, "fingerprint", F.posexplode_outer(F.expr(f"case {arms} else {empty} end")).alias("pos", "_turn")
-    )
-    role = F.expr(
-        "case lower(_turn.role) "
-        + " ".join(f"when {lit(a)} then {lit(b)}" for a, b in ROLES.items())
-        + " else _turn.role end"
+    mapped = _records_mapped(records, id, record, layouts)
+    return mapped.select(id, F.inline("_turns"), "fingerprint")
+
+
+def records_without_turns(
+    records: DataFrame,
+    id: str,
+    record: str,
+    layouts: Mapping[str, Fields | Messages] = LAYOUTS,
+) -> DataFrame:
+    """The records that give no turn: ``id, shape, fingerprint, reason``.
+
+    ``reason`` is ``null record``, ``unknown layout`` or ``no turns``; counts by ``shape`` tell what layouts to add.
+    """
+    mapped = _records_mapped(records, id, record, layouts)
+    reason = (
+        F.when(F.col("shape").isNull(), "null record").when(F.col("_turns").isNull(), "unknown layout").otherwise("no turns")
     )
-    canonical = turns.select(
-        id, F.col("pos").cast("long").alias("pos"), role.alias("role"),
-        F.coalesce("_turn.text", F.lit("")).alias("text"), "fingerprint",
-    )
-    return canonical.where("not (role <=> 'system' and text = '')")
+    return mapped.where("_turns is null or size(_turns) = 0").select(id, "shape", "fingerprint", reason.alias("reason"))
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
     """Canonical turns ``id, pos, role, text`` of a table with one turn in a row.
 
-    The columns are found by the table's fingerprint; other scalar columns must be left out first.
+    The table's fingerprint selects the mapping; where it is unknown, the layout whose columns the table
+    all has among others. The fingerprint is the layout's.
     """
-    shape = shape_of_type(rows.schema)
-    if shape not in ROW_LAYOUTS:
-        raise ValueError(f"no mapping for records of the shape {shape}")
+    prints = {_hashed(shape): shape for shape in ROW_LAYOUTS}
+    shape = prints.get(_hashed(shape_of_type(rows.schema)))
+    if shape is None:
+        shape = next((s for s, names in sorted(ROW_LAYOUTS.items()) if set(names) <= set(rows.columns)), None)
+    if shape is None:
+        raise ValueError(f"no mapping for records of the shape {shape_of_type(rows.schema)}")
     key, pos, role, text = ROW_LAYOUTS[shape]
     return rows.select(
         F.col(key).alias("id"), F.col(pos).cast("long").alias("pos"), F.col(role).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(_hashed(shape)).cast("long").alias("fingerprint"),
     )
 
 

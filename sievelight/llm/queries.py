@@ -130,9 +130,7 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     control = spark.range(1).select(
         F.lit(-7).cast("long").alias("id"), F.parse_json(F.lit(CONTROL_RECORD)).alias("record")
     )
-    turns = chat.turns_of_rows(rows).unionByName(
-        chat.turns_of_records(control, "id", "record").drop("fingerprint")
-    )
+    turns = chat.turns_of_rows(rows).unionByName(chat.turns_of_records(control, "id", "record"))
     read = chat.formatted(turns).select(
         F.col("id").alias("conv_id"),
         F.length("formatted").cast("long").alias("formatted_chars"),

@@ -71,6 +71,12 @@ RECORDS = [
     {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "system": ""},
     {"unknown": 1, "layout": [1.5]},
     {"messages": []},
+    {"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "tool", "id": 7}], "model": "m"},
+    {"prompt": "p", "response": "r", "score": 1, "system": ""},
+    {"system": "", "messages": []},
+    [1, 2],
+    {"messages": "text"},
+    {"prompt": "p", "completion": "c", "response": "r"},
 ]
 
 
@@ -79,13 +85,32 @@ def test_layouts_by_fingerprint(spark):
     df = spark.createDataFrame(rows, "id long, body string").select("id", F.parse_json("body").alias("record"))
     got = {}
     for r in chat.turns_of_records(df, "id", "record").orderBy("id", "pos").collect():
-        got.setdefault(r.id, []).append((r.role, r.text) if r.pos is not None else None)
+        got.setdefault(r.id, []).append((r.role, r.text))
     assert got[0] == [("user", "p"), ("assistant", "r")]
     assert got[1] == [("system", "s"), ("user", "p"), ("assistant", "")]
     assert got[2] == [("system", "i"), ("user", ""), ("assistant", "o")]
     assert got[3] == [("user", "a"), ("assistant", "")]
     assert got[4] == [("user", "a"), ("assistant", "b")]
-    assert got[5] == got[6] == got[99] == [None]
+    assert got[7] == [("user", "a"), ("tool", "")]
+    assert got[8] == [("user", "p"), ("assistant", "r")]
+    assert got[12] == [("user", "p"), ("assistant", "c")]  # two layouts fit: the first by shape
+    rest = {r.id: (r.reason, r.shape) for r in chat.records_without_turns(df, "id", "record").collect()}
+    assert {i: reason for i, (reason, _) in rest.items()} == {
+        5: "unknown layout", 6: "no turns", 9: "no turns", 10: "unknown layout", 11: "unknown layout", 99: "null record",
+    }
+    assert rest[5][1] == "OBJECT<layout: ARRAY, unknown>"
+    assert got.keys() | rest.keys() == {r[0] for r in rows} and not got.keys() & rest.keys()
+    whole = {r.id: r.formatted for r in chat.formatted(chat.turns_of_records(df, "id", "record")).collect()}
+    assert whole.keys() == got.keys()
+    assert whole[7] == "<|turn|>user<|text|>a<|end|><|turn|>tool<|text|><|end|>"
+
+
+def test_rows_by_fingerprint(spark):
+    plain = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn int, role string, text string")
+    (row,) = chat.turns_of_rows(plain).collect()
+    (more,) = chat.turns_of_rows(plain.selectExpr("*", "'x' as source")).collect()
+    shape = chat.shape_of_type(plain.schema)
+    assert row == more and row.fingerprint == spark.range(1).select(chat.fingerprint(F.lit(shape))).first()[0]
 
 
 def test_shape_ignores_types_and_order(spark):
