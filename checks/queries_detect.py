@@ -22,6 +22,7 @@ from sievelight.operators.builtin import (
 )
 from sievelight.operators.contextual import EntitySetting, detect_contextual, split_indicators
 from sievelight.operators.findings import summarize_long
+from sievelight.operators.rule_index import with_indexed_rule_hits
 from sievelight.operators.rules import (
     Rule,
     compile_rules,
@@ -30,6 +31,7 @@ from sievelight.operators.rules import (
     with_rule_hits,
 )
 from sievelight.plans.scan import scan, signals_only
+from sievelight.plans.session import lookup_join
 from sievelight.sources.catalog import load_rules
 from sievelight.sources.tables import scan_table_text, spread
 
@@ -474,6 +476,37 @@ _FILE_RULES = [
 ]
 
 
+# a rule for each name, brand and type of parts that finds the order lines of 20 pieces and more
+_LINE = "concat(l_quantity::int::string, ' x ', p_name, ', ', p_brand, ', ', p_type)"
+
+
+@query(
+    "rules_indexed",
+    """select concat_ws(', ', p_name, p_brand, p_type) as category, count(*) as n, count(distinct l_orderkey) as n_docs
+    from lineitem join part on p_partkey = l_partkey where l_quantity::int between 20 and 49 group by category""",
+)
+def rules_indexed(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    wanted = parts.select("p_name", "p_brand", "p_type").distinct().selectExpr(
+        "concat_ws(', ', p_name, p_brand, p_type) as id", "'medium' as risk_level", "true as enabled",
+        "cast(null as string) as locale_requirement", "cast(null as string) as filename_regex",
+        "cast(null as string) as field_name_regex",
+        r"concat('(?i)\\b[2-4]\\d X ', p_name, ', ', p_brand, ', ', p_type, '\\b') as value_regex",
+    )
+    rules = compile_rules(wanted, max_rules=20_000)
+    lines = lookup_join(
+        table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.col("l_partkey").alias("p_partkey")),
+        parts, ["p_partkey"], "inner",
+    ).select("l_orderkey", F.expr(_LINE.replace("::int::string", "").replace("l_quantity", "cast(cast(l_quantity as int) as string)")).alias("line"))
+    # the lines of an order are its text
+    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    hits = with_indexed_rule_hits(texts, rules)
+    found = explode_hits(hits, ["l_orderkey"], "custom_hits", "custom")
+    return found.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_docs")
+    )
+
+
 @query(
     "rules_filename",
     f"""with {PROFILES}, m as ({_rules_sql(_FILE_RULES, 'profiles', _NAME)})
