@@ -21,7 +21,8 @@ from sievelight.operators.builtin import (
     with_builtin_hits,
 )
 from sievelight.operators.contextual import EntitySetting, detect_contextual, split_indicators
-from sievelight.operators.findings import summarize_long
+from sievelight.operators.findings import summarize_long, with_risk
+from sievelight.operators.merge import merge_findings
 from sievelight.operators.rule_index import with_indexed_rule_hits
 from sievelight.operators.rules import (
     Rule,
@@ -323,6 +324,27 @@ def profile_risk_report(spark, sf):
     return flat.withColumn("suggestion", F.expr(suggestion_for("risk_level")))
 
 
+# half of all profiles are parts of one archive, the others of many
+_ARCHIVE = "case when doc_id % 2 = 0 then 0 else 1 + doc_id % 50 end"
+_IN_ARCHIVES = (
+    f"(select {_ARCHIVE} as doc_id, * exclude (doc_id, pos), row_number() over (partition by {_ARCHIVE}, category order by doc_id, pos) - 1 as pos from "
+)
+
+
+@query(
+    "merged_findings",
+    f"""with {PROFILES}, m0 as materialized ({D.matches('profiles')}), c0 as ({_rules_sql(PROFILE_RULES, 'profiles')}),
+    m as {_IN_ARCHIVES} m0), custom as {_IN_ARCHIVES} c0), z as (select distinct {_ARCHIVE} as doc_id from profiles),
+    {_NO_NAMES}, {D.risk_report('z', 'm', 'custom', 'nn', {r.name: r.risk_level for r in PROFILE_RULES})}
+    select doc_id, risk_score, risk_level, findings, custom_findings, reasons from report""",
+)
+def merged_findings(spark, sf):
+    found = with_rule_hits(with_builtin_hits(profiles(spark, sf)), PROFILE_RULES)
+    parts = found.withColumnRenamed("doc_id", "part").withColumn("doc_id", F.expr(_ARCHIVE.replace("doc_id", "part")))
+    merged = merge_findings(parts, "doc_id", "part")
+    return _flat_report(with_risk(merged, PROFILE_RULES, custom_hits="custom_hits", summarized=True))
+
+
 @query(
     "risk_levels",
     f"""with {DOCS}, m as materialized ({D.matches('docs')}), {_NO_CUSTOM}, {_NO_NAMES},

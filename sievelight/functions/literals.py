@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from .patterns import Part, Refused, _Reader
 
 #: Characters beyond ASCII that a case-insensitive pattern takes for these letters.
@@ -63,6 +65,7 @@ def _sequence(parts: list[Part]) -> frozenset[str]:
     return _best(found)
 
 
+@lru_cache(maxsize=1 << 15)
 def needed_literals(pattern: str, *, shortest: int = 3) -> frozenset[str]:
     """Folded strings of which every match holds at least one; empty if none of ``shortest`` characters are known.
 

@@ -29,6 +29,8 @@ from .builtin import EMPTY_HITS
 from .rules import Rule
 
 REASONS_TYPE = "array<struct<key:string,vars:map<string,string>>>"
+SUMMARIES_TYPE = "array<struct<category:string,count:bigint,hashes:bigint,redacted_examples:array<string>>>"
+EMPTY_SUMMARIES = f"cast(array() as {SUMMARIES_TYPE})"
 _NO_REASONS = f"cast(array() as {REASONS_TYPE})"
 
 
@@ -60,20 +62,28 @@ def summarize(hits: str, custom: bool = False, examples: int = 5) -> str:
     )
 
 
-def _hash_like(h: str) -> str:
+def count_of(h: str, summarized: bool = False) -> str:
+    return f"{h}.count" if summarized else f"cast(size({h}.vals) as bigint)"
+
+
+def hash_count(h: str) -> str:
+    """How many cookie or user-id values look like hashes; 0 for other categories."""
+    some = in_list(f"{h}.category", ["cookie", "user_id"])
+    return f"case when {some} then cast(size({keep(f'{h}.vals', looks_like_hash)}) as bigint) else 0L end"
+
+
+def _hash_like(h: str, summarized: bool) -> str:
     """At least half of the cookie or user-id values look like hashes."""
-    return (
-        f"({in_list(f'{h}.category', ['cookie', 'user_id'])} and "
-        f"size({keep(f'{h}.vals', looks_like_hash)}) * 2 >= size({h}.vals))"
-    )
+    hashes = f"{h}.hashes" if summarized else hash_count(h)
+    return f"({in_list(f'{h}.category', ['cookie', 'user_id'])} and {hashes} * 2 >= {count_of(h, summarized)})"
 
 
-def score_parts(hits: str) -> str:
+def score_parts(hits: str, summarized: bool = False) -> str:
     """``array<struct<category, count, hashy, points>>`` for each category with hits."""
     counted = each(
         hits,
         lambda h: struct(
-            category=f"{h}.category", count=f"cast(size({h}.vals) as bigint)", hashy=_hash_like(h)
+            category=f"{h}.category", count=count_of(h, summarized), hashy=_hash_like(h, summarized)
         ),
     )
     points = lambda p: (
@@ -88,6 +98,14 @@ def score_parts(hits: str) -> str:
     )
 
 
+def _shown(summaries: str) -> str:
+    """Findings of summaries."""
+    return each(
+        summaries,
+        lambda h: struct(category=f"{h}.category", count=f"{h}.count", redacted_examples=f"{h}.redacted_examples"),
+    )
+
+
 def _reason(key: str, **variables: str) -> str:
     pairs = ", ".join(f"'{k}', cast({v} as string)" for k, v in variables.items())
     empty = f"map_from_arrays({NO_STRINGS}, {NO_STRINGS})"
@@ -109,13 +127,15 @@ def with_risk(
     signals: str | None = None,
     too_large: str | None = None,
     size: str = "size",
+    summarized: bool = False,
 ) -> DataFrame:
     """Add ``findings, custom_findings, reasons, risk_score, risk_level``.
 
+    With ``summarized`` the hits are summaries of ``merge_findings`` instead of values.
     Optional inputs are column names: file-name ``bonus``, the ``weak_zip`` flag, file-name
     ``signals`` (for their reasons) and the ``too_large`` flag with ``size``.
     """
-    custom = custom_hits or EMPTY_HITS
+    custom = custom_hits or (EMPTY_SUMMARIES if summarized else EMPTY_HITS)
     bonus = bonus or "0L"
     weak = weak_zip or "false"
 
@@ -123,7 +143,7 @@ def with_risk(
         custom,
         lambda h: struct(
             category=f"{h}.category",
-            count=f"cast(size({h}.vals) as bigint)",
+            count=count_of(h, summarized),
             level=rule_level(f"{h}.category", rules),
         ),
     )
@@ -183,12 +203,12 @@ def with_risk(
     kept = [f"`{c}`" for c in df.columns if c not in out]
     return (
         df.selectExpr(
-            *kept, f"{score_parts(hits)} as _parts", f"{custom_parts} as _custom_parts"
+            *kept, f"{score_parts(hits, summarized)} as _parts", f"{custom_parts} as _custom_parts"
         )
         .selectExpr(
             *kept,
-            f"{summarize(hits)} as findings",
-            f"{summarize(custom, custom=True)} as custom_findings",
+            f"{_shown(hits) if summarized else summarize(hits)} as findings",
+            f"{_shown(custom) if summarized else summarize(custom, custom=True)} as custom_findings",
             f"cast({reasons} as {REASONS_TYPE}) as reasons",
             f"{score} as risk_score",
             f"array_max({ranks}) as _max_rank",
