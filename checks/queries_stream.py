@@ -30,6 +30,7 @@ from sievelight.streaming.pipeline import (
     read_log,
     scan_stream,
 )
+from sievelight.streaming.inventories import inventory_changes
 from sievelight.streaming.sessions import session_activity
 
 from . import detect_sql as D
@@ -242,6 +243,52 @@ def _run_twice(start, rows, end, folder: str) -> None:
     finished(start())
 
 
+# three inventories of files that are parts, an hour apart; some are missing from one, some grow
+_LISTED = "(p_partkey + n) % 5 <> 0 and p_partkey % 11 <> n + 4"
+_LISTING = {
+    "path": "concat('/parts/', p_partkey::string)",
+    "size": "(p_size + case when p_partkey % 7 <= n then n else 0 end)::bigint",
+    "mtime": "(1700000000 + case when p_partkey % 13 < n then n * 60 else 0 end)::bigint",
+    "moment": "(1704067200 + n * 3600)::bigint",
+}
+_GONE = 5400
+
+
+@query(
+    "inventory_stream",
+    f"""with l as (select {', '.join(f'{e} as {n}' for n, e in _LISTING.items())} from part, (select unnest([0, 1, 2]) as n) where {_LISTED}),
+    w as (select *, lag(moment) over p as before, lag(size) over p as old_size, lag(mtime) over p as old_mtime, lead(moment) over p as after
+          from l window p as (partition by path order by moment))
+    select path, 'created' as change, size, mtime, moment from w where before is null or moment - before > {_GONE}
+    union all
+    select path, 'changed', size, mtime, moment from w where moment - before <= {_GONE} and (size <> old_size or mtime <> old_mtime)
+    union all
+    select path, 'gone', size, mtime, moment + {_GONE} from w where after is null or after - moment > {_GONE}""",
+)
+def inventory_stream(spark, sf):
+    """Each inventory arrives by itself; the last one, much later, is empty but for one path."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    source, out, checkpoint = shared(spark, "inventories"), shared(spark, "changes"), shared(spark, "cp")
+    parts = table(spark, sf, "part").select("p_partkey", "p_size")
+
+    def arrives(rows) -> None:
+        rows.selectExpr("path", "size", "mtime", "timestamp_seconds(moment) as taken_at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("path string, size bigint, mtime bigint, taken_at timestamp").parquet(source)
+        changes = inventory_changes(stream, gone_seconds=_GONE)
+        finished(changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+
+    for n in range(3):
+        listing = parts.withColumn("n", F.lit(n)).where(_LISTED)
+        arrives(listing.selectExpr(*[f"{e} as {name}" for name, e in _LISTING.items()]))
+    arrives(spark.sql("select '/end' as path, 0L as size, 0L as mtime, 4102444800L as moment"))
+    return spark.read.parquet(out).where("path <> '/end'").select(
+        "path", "change", "size", "mtime", F.unix_seconds("changed_at").alias("moment")
+    )
+
+
 @query("debounce_stream", SQL["debounce_capped"])
 def debounce_stream(spark, sf):
     """The stream form of ``debounce_capped``."""
