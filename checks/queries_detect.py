@@ -21,7 +21,7 @@ from sievelight.operators.builtin import (
     with_builtin_hits,
 )
 from sievelight.operators.contextual import EntitySetting, detect_contextual, split_indicators
-from sievelight.operators.findings import summarize_long, with_risk
+from sievelight.operators.findings import risk_overview, summarize_long, with_risk
 from sievelight.operators.merge import merge_findings
 from sievelight.operators.rule_index import with_indexed_rule_hits
 from sievelight.operators.rules import (
@@ -324,6 +324,19 @@ def profile_risk_report(spark, sf):
     return flat.withColumn("suggestion", F.expr(suggestion_for("risk_level")))
 
 
+@query(
+    "risk_overview",
+    f"""with {DOCS}, m as materialized ({D.matches('docs')}),
+    j as (select doc_id, category, source from m join documents using (doc_id))
+    select case grouping(source, category) when 0 then 'source_category' when 1 then 'source' when 2 then 'category' else 'total' end as level,
+      source, category, count(*) as matches, count(distinct doc_id) as docs
+    from j group by grouping sets ((source, category), (source), (category), ())""",
+)
+def risk_overview_query(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    return risk_overview(with_builtin_hits(docs), "source")
+
+
 # half of all profiles are parts of one archive, the others of many
 _ARCHIVE = "case when doc_id % 2 = 0 then 0 else 1 + doc_id % 50 end"
 _IN_ARCHIVES = (

@@ -275,3 +275,27 @@ def summarize_long(matches: DataFrame, id_col: str, examples: int = 5) -> DataFr
             ).alias("redacted_examples"),
         )
     )
+
+
+# --- overview ---------------------------------------------------------------------------------
+
+
+def risk_overview(documents: DataFrame, source: str, *, hits: str = "hits") -> DataFrame:
+    """Matches and exact numbers of documents by source and category, by each of them, and in total.
+
+    ``documents`` has one row per document with its hits. Its categories differ from each other, so a document adds one to
+    each group it is in, and no distinct count is needed: one shuffle of sums that are combined before. ``level`` is
+    ``source_category``, ``source``, ``category`` or ``total`` and tells a null source from all sources. Documents
+    without hits do not count; without any hits there are no rows.
+    """
+    name, none = f"cast(`{source}` as string)", "cast(null as string)"
+    size = lambda h: f"cast(size({h}.vals) as bigint)"
+    entry = lambda level, a, b, n: struct(level=lit(level), source=a, category=b, n=n)
+    every = f"aggregate({hits}, 0L, (a, h) -> a + {size('h')})"
+    groups = (
+        f"concat({each(hits, lambda h: entry('source_category', name, f'{h}.category', size(h)))}, "
+        f"{each(hits, lambda h: entry('category', none, f'{h}.category', size(h)))}, "
+        f"array({entry('source', name, none, every)}, {entry('total', none, none, every)}))"
+    )
+    found = documents.selectExpr(f"inline(case when size({hits}) > 0 then {groups} end)")
+    return found.groupBy("level", "source", "category").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("docs"))

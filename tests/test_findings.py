@@ -196,3 +196,20 @@ def test_scan_runs_without_a_shuffle(spark):
     plan = scan(corpus)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count(r"{1,64}@") == 1
+
+
+def test_risk_overview(spark):
+    from sievelight.operators.builtin import HITS_TYPE
+    from sievelight.operators.findings import risk_overview
+
+    rows = [
+        (1, "a", [("email", ["x", "y"]), ("iban", ["z"])]), (2, "a", [("email", ["x"])]), (3, None, [("email", ["x"])]), (4, "b", []), (5, "b", None),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id int, source string, hits {HITS_TYPE}")
+    got = {(r.level, r.source, r.category): (r.matches, r.docs) for r in risk_overview(df, "source").collect()}
+    assert got == {
+        ("source_category", "a", "email"): (3, 2), ("source_category", "a", "iban"): (1, 1), ("source_category", None, "email"): (1, 1),
+        ("source", "a", None): (4, 2), ("source", None, None): (1, 1), ("category", None, "email"): (4, 3), ("category", None, "iban"): (1, 1),
+        ("total", None, None): (5, 3),
+    }
+    assert risk_overview(df.where("size(hits) = 0"), "source").count() == 0
