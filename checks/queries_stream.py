@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sievelight.operators import store
+from sievelight.operators import file_table, store
 from sievelight.operators.builtin import detect_builtin, with_builtin_hits
 from sievelight.operators.evaluate import case_counts
 from sievelight.operators.rewrite import neutralize, write_neutralized
@@ -204,6 +204,42 @@ def neutralized_sink(spark, sf):
     )
 
 
+# a thousandth of the parts is seen again, another one is flagged
+_BUCKETS = 64
+_AGAIN, _FLAGGED = "p_partkey % 1000 = 7", "p_partkey % 1000 = 13"
+_BUCKET_SQL = f"('0x' || substr(sha256(path), 1, 8))::bigint % {_BUCKETS}"
+
+
+@query(
+    "file_buckets",
+    f"""with f as (select concat('/p/', p_partkey) as path, p_size::bigint as size, p_partkey, {_AGAIN} as again, {_FLAGGED} as flagged from part),
+    b as (select *, {_BUCKET_SQL} as bucket from f),
+    touched as (select distinct bucket from b where again or flagged)
+    select path, case when again then size + 1000 else size end as size, case when again then 9 else 5 end::bigint as last_seen_at,
+      5::bigint as first_seen_at, flagged as ignored, flagged as deleted, b.bucket::int as bucket,
+      case when t.bucket is null then 0 else 1 end::bigint as batch
+    from b left join touched t on t.bucket = b.bucket""",
+)
+def file_buckets(spark, sf):
+    """A table of files after a batch about few of them, given twice: which batch wrote each file's bucket."""
+    folder = shared(spark, "files")
+    parts = table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("/p/"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size")
+    )
+    seen = parts.selectExpr("p_partkey", "path", "size", "5L as mtime", "5L as seen_at")
+    again = seen.where(_AGAIN).withColumns({"size": F.col("size") + 1000, "seen_at": F.lit(9).cast("long")})
+    flags = parts.where(_FLAGGED).select(
+        store.file_id_of(F.col("path")).alias("file_id"), F.lit(True).alias("ignored"), F.lit(True).alias("deleted")
+    )
+    file_table.update_files(spark, folder, 0, seen=seen, buckets=_BUCKETS)
+    for _ in range(2):
+        file_table.update_files(spark, folder, 1, seen=again, flags=flags)
+    file_table.drop_old_versions(spark, folder, 1)
+    return file_table.read_files(spark, folder, versions=True).select(
+        "path", "size", "last_seen_at", "first_seen_at", "ignored", "deleted", "bucket", "batch"
+    )
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 _PATH = "concat('/w', (user_id % 4)::string, '/', case when event_id % 9 = 0 then '.h/' else '' end, event_id::string, case when event_id % 7 = 0 then '.part' else '.txt' end)"
