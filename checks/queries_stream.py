@@ -31,6 +31,7 @@ from sievelight.streaming.pipeline import (
     scan_stream,
 )
 from sievelight.streaming.inventories import inventory_changes
+from sievelight.streaming.late import late_counts, late_router, on_time_stream, routed
 from sievelight.streaming.sessions import session_activity
 
 from . import detect_sql as D
@@ -370,6 +371,64 @@ def session_stream(spark, sf):
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+# events arrive in three parts by their time; some arrive one or two parts later than they should
+_ARRIVAL = "least(2, case when day(ts) <= 10 then 0 when day(ts) <= 20 then 1 else 2 end + case when event_id % 17 = 0 then 1 when event_id % 23 = 0 then 2 else 0 end)"
+_DELAY = 5 * 86_400
+_LATE_SQL = f"""e as (select event_id, user_id, ts::timestamp as ts, value, {_ARRIVAL} as part from events),
+    m as (select a.part, max(e.ts) as newest from (select distinct part from e) a join e on e.part < a.part group by a.part),
+    r as (select e.*, coalesce(ts < newest - interval '{_DELAY} seconds', false) as late from e left join m on m.part = e.part)"""
+
+
+def _routed_events(spark, sf, after=lambda store, schema: None) -> tuple[str, object]:
+    """Route the events part by part; ``after`` runs behind each part."""
+    source, where, checkpoint = shared(spark, "events"), shared(spark, "routed"), shared(spark, "cp")
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    for n in range(3):
+        events.where(f"{_ARRIVAL} = {n}").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        finished(late_router(stream, where, "ts", _DELAY, checkpoint=checkpoint))
+        after(where, events.schema)
+    return where, events.schema
+
+
+@query(
+    "late_rows",
+    f"""with {_LATE_SQL} select event_id, late, count(*) filter (where late) over () as n_late from r""",
+)
+def late_rows(spark, sf):
+    """All events again: those on time and those behind the watermark, with the number that was counted."""
+    where, schema = _routed_events(spark, sf)
+    n = late_counts(spark, where).agg(F.sum("late")).first()[0]
+    sides = [routed(spark, where, side, schema).select("event_id", F.lit(side == "late").alias("late")) for side in ("on_time", "late")]
+    return sides[0].unionByName(sides[1]).withColumn("n_late", F.lit(n))
+
+
+@query(
+    "late_sessions",
+    f"""with {_LATE_SQL}, o as (select * from r where not late),
+    g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) < {S._GAP * 1_000_000} then 0 else 1 end as fresh from o window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as sid from g)
+    select user_id, min(ts) as session_start, max(ts) as session_end, count(*) as n_events, round(sum(value), 4) as total from s group by user_id, sid""",
+)
+def late_sessions(spark, sf):
+    """Sessions of the events on time, as a stream behind the router: none of them is dropped."""
+    out, checkpoint = shared(spark, "sessions"), shared(spark, "cp")
+
+    def sessions(where, schema) -> None:
+        found = session_activity(
+            on_time_stream(spark, where, schema), "user_id", "ts", S._GAP, late=f"{_DELAY} seconds", total=F.sum("value")
+        )
+        writer = found.writeStream.format("parquet").outputMode("append")
+        finished(writer.option("path", out).option("checkpointLocation", checkpoint))
+
+    where, schema = _routed_events(spark, sf, sessions)
+    end = _far(spark, {"event_id": (-1, "bigint"), "user_id": (-1, "bigint"), "ts": ("2100-01-01", "timestamp"), "value": (0, "double")})
+    end.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{where}/on_time/end")
+    sessions(where, schema)
+    done = spark.read.parquet(out).filter("user_id <> -1").withColumn("total", F.round("total", 4))
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query(
     "scan_stream",
     _SIGNALS

@@ -13,10 +13,12 @@ def session_activity(
 ) -> DataFrame:
     """Streaming sessions: ``key, session_start, session_end, n_events`` and the aggregates.
 
-    The watermark bounds the state; events later than that are dropped by Spark and show up in
-    the query's progress.
+    Events that lie the gap or more apart are in different sessions, as in :func:`session_batch`. The watermark bounds the state;
+    events later than that are dropped by Spark and show up in the query's progress. To keep them, route the stream first
+    (``late.late_router``) and read on from ``late.on_time_stream``.
     """
-    window = F.session_window(F.col(ts), f"{quiet_seconds} seconds")
+    # Spark joins windows that touch, so the window ends a microsecond before the gap
+    window = F.session_window(F.col(ts), f"{quiet_seconds * MICROS - 1} microseconds")
     return (
         events.withWatermark(ts, late)
         .groupBy(F.col(key), window.alias("w"))
