@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redact, redact_last
@@ -13,6 +12,7 @@ from ..functions.sql import each, fold, keep, let, struct, zipped
 from ..plans.session import lookup_join
 from .builtin import detect_builtin
 from .ignore import flag_ignored_values, is_builtin
+from .running import running_totals
 
 
 _ALL = (1 << 31) - 1
@@ -62,21 +62,14 @@ def trim_reveal_pairs(
     """As :func:`trim_reveal_hits` for long-form rows with ``category, pos``."""
     if per_category is None and per_file is None:
         return pairs
-    per_category, per_file = per_category or _ALL, per_file or _ALL
-    top = (
-        pairs.withColumn(
-            "_n", F.row_number().over(W.partitionBy(id_col, "category").orderBy("pos"))
-        )
-        .filter(F.col("_n") <= per_category)
-    )
-    every = W.partitionBy(id_col)
-    cut = W.partitionBy(id_col).orderBy("category", F.col("pos").desc())
-    return (
-        top.withColumn("_excess", F.count(F.lit(1)).over(every) - per_file)
-        .withColumn("_cut", F.row_number().over(cut))
-        .filter(F.col("_cut") > F.col("_excess"))
-        .drop("_n", "_excess", "_cut")
-    )
+    # a document may hold most of all pairs: places are counted over many tasks
+    kept = pairs
+    if per_category:
+        kept = running_totals(kept, [id_col, "category"], ["pos"], _n=F.lit(1)).filter(F.col("_n") <= per_category)
+    if per_file:
+        # what is cut lies at the ends of the categories in name order, so what stays comes first from behind
+        kept = running_totals(kept, [id_col], [F.col("category").desc(), "pos"], _n=F.lit(1)).filter(F.col("_n") <= per_file)
+    return kept.select(*pairs.columns)
 
 
 def reveal_lookup(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.running import running_totals
+
 
 def sheet_cells_to_text(
     cells: DataFrame,
@@ -31,30 +32,18 @@ def sheet_cells_to_text(
     line = F.concat(F.col("value"), F.lit("\n"))
     kept = wanted.withColumn("_line", line)
     if max_bytes is not None:
-        order = W.partitionBy("path").orderBy("sheet_no", "row", "col")
-        first = F.row_number().over(
-            W.partitionBy("path", "sheet_no").orderBy("row", "col")
-        )
-        kept = (
-            kept.withColumn("_first", first == 1)
-            .withColumn(
-                "_size",
-                F.coalesce(F.octet_length("_line"), F.lit(0))
-                + F.when(F.col("_first"), F.octet_length(header)).otherwise(0),
-            )
-            .withColumn("_sum", F.sum("_size").over(order))
-            .withColumn("_fits", F.col("_sum") <= max_bytes)
-            # a sheet is opened only while the cells before it left some budget
-            .withColumn("_open", F.col("_first") & (F.col("_sum") - F.col("_size") < max_bytes))
-            .withColumn(
-                "_ok_before",
-                F.coalesce(
-                    F.min("_fits").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)
-                ),
-            )
-            .filter(F.col("_ok_before") & (F.col("_fits") | F.col("_open")))
-            .withColumn("_line", F.when(F.col("_fits"), F.col("_line")))
+        # a file's sheets, and a sheet, may hold most of all cells: sums run over many tasks
+        kept = running_totals(kept, ["path", "sheet_no"], ["row", "col"], _no=F.lit(1))
+        size = F.coalesce(F.octet_length("_line"), F.lit(0)) + F.when(F.col("_no") == 1, F.octet_length(header)).otherwise(0)
+        kept = running_totals(
+            kept.withColumn("_size", size.cast("long")), ["path"], ["sheet_no", "row", "col", "_no"], _sum=F.col("_size")
         )
+        before = F.col("_sum") - F.col("_size")
+        fits = F.col("_sum") <= max_bytes
+        # a sheet is opened only while the cells before it left some budget
+        opened = (F.col("_no") == 1) & (before < max_bytes)
+        # sums never fall, so all cells before fit where the last of them did
+        kept = kept.filter((before <= max_bytes) & (fits | opened)).withColumn("_line", F.when(fits, F.col("_line")))
     lines = F.array_sort(
         F.collect_list(F.when(F.col("_line").isNotNull(), F.struct("row", "col", "_line")))
     )
