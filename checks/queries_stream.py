@@ -29,6 +29,7 @@ from sievelight.streaming.pipeline import (
     fleet_ingest,
     read_log,
     scan_stream,
+    trim_fleet_alerts,
 )
 from sievelight.streaming.inventories import inventory_changes
 from sievelight.streaming.late import late_counts, late_router, on_time_stream, routed
@@ -466,6 +467,14 @@ def scan_stream_query(spark, sf):
     select device_id, count(*) as n, max(received_at) as last_at from judged where status = 'accepted' group by device_id""",
 )
 def fleet_stream(spark, sf):
+    where = _fleet_store(spark, sf)
+    return current_fleet_alerts(spark, where).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("received_at").alias("last_at")
+    )
+
+
+def _fleet_store(spark, sf) -> str:
+    """A store that collected the requests of all devices in three batches."""
     source, where = shared(spark, "requests"), shared(spark, "fleet")
     requests = table(spark, sf, "events").select(
         F.expr(S._REQUEST_AUTH).alias("authorization"), S.epoch("ts").alias("received_at"),
@@ -476,6 +485,20 @@ def fleet_stream(spark, sf):
     requests.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
     finished(fleet_ingest(stream, where, lambda: S._devices(spark, sf), shared(spark, "cp")))
-    return current_fleet_alerts(spark, where).groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("received_at").alias("last_at")
+    return where
+
+
+@query(
+    "fleet_trim",
+    f"""with {S._DEVICES_SQL}, {S._JUDGED_SQL}, a as (select * from judged where status = 'accepted'),
+    r as (select *, row_number() over (order by received_at desc, device_id desc, event_id::varchar desc) as place from a)
+    select device_id, event_id::varchar as file_id, received_at, 1::bigint as folders from r where place <= (select count(*) // 2 from a)""",
+)
+def fleet_trim(spark, sf):
+    """The store itself keeps the newer half of the alerts, and one of three folders."""
+    where = _fleet_store(spark, sf)
+    trim_fleet_alerts(spark, where, current_fleet_alerts(spark, where).count() // 2)
+    left = spark.read.parquet(f"{where}/fleet_alerts").select("batch").distinct().count()
+    return current_fleet_alerts(spark, where).select(
+        "device_id", "file_id", "received_at", F.lit(left).cast("long").alias("folders")
     )

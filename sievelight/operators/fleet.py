@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import lookup_join
+from .retention import newest_rows
 
 
 def bearer_token(authorization: Column) -> Column:
@@ -59,11 +60,10 @@ def device_last_seen(devices: DataFrame, accepted: DataFrame) -> DataFrame:
 def fleet_retention(
     alerts: DataFrame, keep: int | None = None, *arrival: str
 ) -> DataFrame:
-    """The last ``keep`` alerts by arrival; all without a number."""
+    """The last ``keep`` alerts by arrival, in no order; all without a number."""
     if keep is None:
         return alerts
-    order = [F.col(c).desc() for c in (arrival or ("received_at", "device_id", "file_id"))]
-    return alerts.orderBy(*order).limit(keep)
+    return newest_rows(alerts, keep, *(arrival or ("received_at", "device_id", "file_id")))
 
 
 def fleet_alerts_top(alerts: DataFrame, limit: int = 50, *tie: str) -> DataFrame:

@@ -84,9 +84,14 @@ def _state(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame
     log = spark.read.parquet(path)
     if not done:
         return None, log.drop("batch")
-    last = max(int(n.removeprefix("upto-")) for n in done)
-    known = spark.read.parquet(f"{path}_snapshots/upto-{last}")
-    return known, log.filter(_batch_number() > last).drop("batch")  # a filter on folders
+    name, last = max(((n, _upto(n)) for n in done), key=lambda x: x[1])
+    known = spark.read.parquet(f"{path}_snapshots/{name}")
+    return known, log.filter(_batch_number() > last[0]).drop("batch")  # a filter on folders
+
+
+def _upto(name: str) -> tuple[int, ...]:
+    """Last batch of a snapshot ``upto-<batch>`` or ``upto-<batch>.<time it was trimmed>``."""
+    return tuple(int(n) for n in name.removeprefix("upto-").split("."))
 
 
 def _batch_number() -> Column:
@@ -268,17 +273,60 @@ def fleet_ingest(
     store: str,
     devices: Callable[[], DataFrame],
     checkpoint: str,
+    *,
+    keep: int | None = None,
+    trim_every: int = 100,
 ) -> DataStreamWriter:
     """Writer that collects fleet alerts; devices are read anew for every micro-batch.
 
-    ``checkpoint`` is the stream's own folder.
+    ``checkpoint`` is the stream's own folder. With ``keep`` the store is trimmed to that many alerts every ``trim_every`` batches.
     """
-    return requests.writeStream.foreachBatch(
-        lambda batch, batch_id: fleet_batch(batch, batch_id, store, devices())
-    ).option("checkpointLocation", checkpoint)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        fleet_batch(batch, batch_id, store, devices())
+        if keep is not None and batch_id % trim_every == trim_every - 1:
+            trim_fleet_alerts(batch.sparkSession, store, keep)
+
+    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def current_fleet_alerts(spark: SparkSession, store: str, keep: int | None = None) -> DataFrame | None:
     """Collected alerts, the last ``keep`` of them when given."""
-    log = read_log(spark, f"{store}/fleet_alerts")
-    return log if log is None or keep is None else fleet_retention(log, keep)
+    known, log = _state(spark, f"{store}/fleet_alerts")
+    if log is None:
+        return None
+    alerts = log if known is None else known.unionByName(log)
+    return alerts if keep is None else fleet_retention(alerts, keep)
+
+
+def trim_fleet_alerts(spark: SparkSession, store: str, keep: int, *, requests: bool = False) -> None:
+    """Keep the last ``keep`` alerts in the store itself, and remove the folders they no longer need.
+
+    What is kept becomes a snapshot; batches up to it and older snapshots are removed once it is finished, so a trim that dies loses
+    nothing, and readers use one or the other whole. The newest batch keeps its folder, which its retry may write again.
+    To be called between batches, with no reader of older snapshots. ``requests`` removes the judged requests of these batches, too;
+    their counts by status stay.
+    """
+    path = f"{store}/fleet_alerts"
+    alerts = current_fleet_alerts(spark, store)
+    if alerts is None:
+        return
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    system = hadoop.Path(path).getFileSystem(conf)
+
+    def names(folder: str, prefix: str) -> list[str]:
+        at = hadoop.Path(folder)
+        found = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+        return [n for n in found if n.startswith(prefix)]
+
+    batches = {int(n.removeprefix("batch=")) for n in names(path, "batch=")}
+    last, old = max(batches), names(f"{path}_snapshots", "upto-")
+    again = 1 + max((u[1] for u in map(_upto, old) if u[0] == last and len(u) > 1), default=0)
+    kept = f"upto-{last}.{again}"
+    fleet_retention(alerts, keep).write.mode("overwrite").parquet(f"{path}_snapshots/{kept}")
+    for n in old:
+        system.delete(hadoop.Path(f"{path}_snapshots/{n}"), True)
+    for folder in (path, f"{store}/fleet_requests") if requests else (path,):
+        for n in names(folder, "batch="):
+            if int(n.removeprefix("batch=")) < last:
+                system.delete(hadoop.Path(f"{folder}/{n}"), True)
