@@ -98,17 +98,31 @@ def _batch_number() -> Column:
     return F.split(F.col("batch").cast("string"), "-")[0].cast("long")
 
 
-def snapshot(spark: SparkSession, store: str) -> None:
+def snapshot(spark: SparkSession, store: str, *, drop: bool = False) -> None:
     """Write the current files and reminders, so that reading them no longer goes through all batches.
 
-    To be called now and then, between runs of the stream; logs stay as they are.
+    To be called now and then, between runs of the stream. With ``drop`` the batches and snapshots that the new one replaces are
+    removed once it is finished, but for the newest batch, which its retry may write again; otherwise logs stay as they are.
+    Without new batches nothing is written.
     """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     for name, current in (("files", current_files), ("reminders", current_reminders)):
-        log = read_log(spark, f"{store}/{name}")
-        if log is not None:
-            last = spark.read.parquet(f"{store}/{name}").agg(F.max(_batch_number())).first()[0]
-            if last is not None:
-                current(spark, store).write.mode("overwrite").parquet(f"{store}/{name}_snapshots/upto-{last}")
+        path = f"{store}/{name}"
+        if read_log(spark, path) is None:
+            continue
+        last = spark.read.parquet(path).agg(F.max(_batch_number())).first()[0]
+        if last is None:
+            continue
+        target = f"{path}_snapshots/upto-{last}"
+        system = hadoop.Path(path).getFileSystem(conf)
+        if not system.exists(hadoop.Path(f"{target}/_SUCCESS")):
+            current(spark, store).write.mode("overwrite").parquet(target)
+        if drop:
+            for folder, prefix in ((path, "batch="), (f"{path}_snapshots", "upto-")):
+                for status in system.listStatus(hadoop.Path(folder)):
+                    n = status.getPath().getName().removeprefix(prefix)
+                    if n != status.getPath().getName() and int(n.split("-")[0]) < last:
+                        system.delete(status.getPath(), True)
 
 
 def store_batch(
