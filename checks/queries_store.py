@@ -37,6 +37,7 @@ from sievelight.operators.reveal import (
 from sievelight.operators.rewrite import neutralize, neutralize_spans
 from sievelight.operators.rules import compile_rules
 from sievelight.plans.scan import scan
+from sievelight.plans.session import stored
 from sievelight.sources.archives import (
     audit_zip_encryption,
     docx_text,
@@ -287,7 +288,8 @@ _ORDERS = {
 )
 def alert_orders(spark, sf):
     """The whole alert list in each of its orders, with the place of each row."""
-    local, remote = A.alert_rows(_files(spark, sf), _scans(spark, sf)), _fleet_alerts(spark, sf)
+    local = stored(A.alert_rows(_files(spark, sf), _scans(spark, sf)), "alerts")
+    remote = stored(_fleet_alerts(spark, sf), "alerts")
     heads = [
         with_places(A.visible_alerts(local, remote, sort=name).select("kind", "device_id", "file_id")).select(
             F.lit(name).alias("sort"), "kind", "device_id", "file_id", "rank"

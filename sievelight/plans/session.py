@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder, for frames that are read several times (a sort reads its input twice)."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame, *columns: str) -> DataFrame:
     """Compute costly columns once before they are filtered on.
 
