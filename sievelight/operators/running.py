@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import checkpoint_dir
+from ..plans.session import checkpoint_dir, stored
 
 _IN_PARTITION = 33  # bits that number the rows of a partition
 
@@ -36,7 +36,8 @@ def running_totals(rows: DataFrame, keys: list[str], order: list[str | Column],
     columns = [F.col(f"`{c}`") for c in kept]
     valued = rows.withColumns({n: F.coalesce(expr, F.lit(0)) for n, expr in given.items()})
     # keys and order are sorted by their columns before any is replaced
-    valued.orderBy(*by, *order).select(*columns, *given, F.monotonically_increasing_id().alias(at)).write.parquet(path)
+    # a sort reads its input twice, once for the bounds of its ranges, so what the rows cost is paid before it
+    stored(valued, "running").orderBy(*by, *order).select(*columns, *given, F.monotonically_increasing_id().alias(at)).write.parquet(path)
     laid = spark.read.parquet(path).withColumn(part, F.shiftright(at, _IN_PARTITION))
 
     # what the keys at the ends of the partitions hold there

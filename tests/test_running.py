@@ -95,3 +95,16 @@ def test_pairs_of_one_document(many_partitions):
         order = sorted(top, key=lambda r: (r[1], -r[2]))
         want += order[max(0, len(order) - 150):]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_rows_are_made_once(many_partitions):
+    made = many_partitions.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def costly(i):
+        made.add(1)
+        return i
+
+    rows = many_partitions.range(500).select(costly("id").alias("i"), (F.col("id") % 3).alias("k"))
+    assert running_totals(rows, ["k"], ["i"], n=F.lit(1)).agg(F.sum("n")).first()[0] == 2 * sum(range(168)) + sum(range(167))
+    assert made.value == 500
