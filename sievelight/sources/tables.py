@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import file_extension
 
 def spread(
-    df: DataFrame, *keys: str, split_bytes: int = 128 << 20, max_bytes: int = 4 << 30
+    df: DataFrame, *keys: str, split_bytes: int = 128 << 20, max_bytes: int = 4 << 30, part_bytes: int | None = None
 ) -> DataFrame:
     """Split a small input over all cores; leave a large one as its file splits.
 
     A file with a single row group is read by one task however many cores are free. Inputs that
     Spark's statistics put below one split per core, and below ``max_bytes``, are therefore
     hashed by ``keys`` over the cores. Larger inputs have splits enough and are not shuffled.
+
+    With ``part_bytes`` the parts are about so large, however large the input: for tables whose compressed bytes become wide rows that
+    tasks sort, so that memory of a task does not grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if part_bytes is not None:
+        return df.repartition(max(cores, -(-size // part_bytes)), *keys)
     if size >= min(cores * split_bytes, max_bytes):
         return df
     return df.repartition(cores, *keys)
