@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
+    """Hand large values to Python workers in batches of a few megabytes; a smaller bound of the session stays.
+
+    A worker holds a batch several times over (as it arrives, as Python values, and what comes of them), so with Spark's
+    64 MB the workers of an executor take gigabytes for documents or archives.
+    """
+    given = re.fullmatch(r"(-?\d+)b?", spark.conf.get(_BATCH_BYTES))
+    if given and not 0 < int(given[1]) <= max_bytes:
+        spark.conf.set(_BATCH_BYTES, str(max_bytes))
+
+
 def pin(df: DataFrame, *columns: str) -> DataFrame:
     """Compute costly columns once before they are filtered on.
 
