@@ -17,7 +17,7 @@ nothing costs time in proportion to the square of n.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 _ROUNDS = 200  # of a group, at most, that go deeper one by one
@@ -288,3 +288,47 @@ def safe_pattern(pattern: str) -> str:
         run = None if _starts(tree[0][1:], END) & (members | END) else as_class
     flags = re.match(r"(?:\(\?[a-zA-Z]+\))*", safe)[0]
     return f"{flags}(?:(?<!{run})|\\G){safe[len(flags):]}" if run else safe
+
+
+_TESTED = 3  # characters behind a leading word boundary that are tested before it
+
+
+def _beginnings(parts: list[Part], n: int) -> set[tuple[str, ...]]:
+    """What the first ``n`` characters may be, one by one; shorter where that ends or is not known."""
+    if not n or not parts:
+        return {()}
+    p, rest = parts[0], parts[1:]
+    if p.kind == "set" and p.text != ".":
+        left = replace(p, low=max(p.low - 1, 0), high=p.high if p.high == _FOREVER else p.high - 1)
+        more = _beginnings([left, *rest] if left.high else rest, n - 1) if p.high else set()
+        return {(p.text, *m) for m in more} | (set() if p.low else _beginnings(rest, n))
+    if p.kind == "group" and p.text in ("(", "(?:") and p.low:
+        return set().union(*(_beginnings([*b, *rest] if p.high == 1 else b, n) for b in p.branches))
+    return {()}
+
+
+@lru_cache(maxsize=4096)
+def quick_start(pattern: str) -> str:
+    """The pattern with the same matches, where the first characters are tested before a leading ``\\b``.
+
+    The engine looks up both neighbours of a word boundary with all their properties, at each place of a text. The next characters
+    rule out most places for less.
+    """
+    flags = re.match(r"((?:\(\?[a-zA-Z]+\))*)\\b(?![*+?{])", pattern)
+    if not flags:
+        return pattern
+    reader = _Reader(pattern)
+    try:
+        tree = reader.branches()
+    except Refused:
+        return pattern
+    if len(tree) > 1 or reader.at < len(pattern) or not reader.balanced:
+        return pattern
+    parts = [p for p in tree[0][: 1 + flags[1].count("(")] if p.kind != "flags"]
+    after = tree[0][1 + flags[1].count("(") :]
+    tested = [sorted(set(at)) for at in zip(*_beginnings(after, _TESTED))] if [p.text for p in parts] == ["\\b"] else []
+    if not tested:
+        return pattern
+    inside = lambda t: "\\" + t if len(t) == 1 and t.isascii() and not t.isalnum() and not t.isspace() else t
+    classes = "".join(at[0] if len(at) == 1 else f"[{''.join(map(inside, at))}]" for at in tested)
+    return f"{flags[1]}(?={classes}){pattern[len(flags[1]):]}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterable
 
+from .patterns import quick_start
+
 _numbers = itertools.count()
 
 
@@ -94,7 +96,7 @@ def lookup(key: str, table: dict[str, object], default: str) -> str:
 
 def find_all(text: str, pattern: str, group: int = 0, unicode: bool = False) -> str:
     """All non-overlapping matches as ``array<string>``, empty when the text is null."""
-    p = ("(?U)" if unicode else "") + pattern
+    p = ("(?U)" if unicode else "") + quick_start(pattern)
     return f"coalesce(regexp_extract_all({text}, {lit(p)}, {group}), {NO_STRINGS})"
 
 

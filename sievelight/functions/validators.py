@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from . import fixed
 from .sql import any_of, contains_any, find_all, fold, in_list, let, lit
 
@@ -48,8 +46,8 @@ def phone_ok(v: str, phone_locale: str = "other") -> str:
     def accept(s: str) -> str:
         digits = let(
             digits_only(s),
-            lambda d: f"({plausible_digits(d)} and ({s} rlike {lit(fixed.PHONE_E164)} "
-            f"or (length({d}) between 8 and 12 and {s} rlike {lit(local)})))",
+            lambda d: f"(({s} rlike {lit(fixed.PHONE_E164)} or (length({d}) between 8 and 12 "
+            f"and {s} rlike {lit(local)})) and {plausible_digits(d)})",
         )
         return f"(not contains({s}, '/') and {digits})"
 
@@ -144,8 +142,7 @@ def is_section_number_like(v: str) -> str:
 
 
 def looks_like_svg(text: str) -> str:
-    p = "(?i)" + "|".join(re.escape(m) for m in fixed.SVG_MARKS)
-    return f"({text} rlike {lit(p)})"
+    return contains_any(f"lower({text})", fixed.SVG_MARKS)
 
 
 def looks_like_hash(v: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import validators as V
-from ..functions.patterns import safe_pattern
+from ..functions.patterns import quick_start, safe_pattern
 from ..functions.sql import (
     NO_STRINGS,
     array,
@@ -26,6 +26,7 @@ from ..functions.sql import (
     first_n,
     fold,
     guarded,
+    in_list,
     keep,
     let,
     lit,
@@ -45,20 +46,13 @@ _SECRET_WORDS = ["key", "token", "secret", "pass", "pwd"]
 _ADDRESS_WORDS = ["addr", "adresse", "direccion", "anschrift", "street", "rue", "calle", "stra", "عنوان"]
 _POSTAL_WORDS = ["postal", "postcode", "zip", "plz", "الرمز"]
 _BIRTH_WORDS = ["naissance", "dob", "birth", "geburtsdatum", "nacimiento", "الميلاد"]
+# categories that use the lower-case text, the identifier pairs and the long numbers
+_LOW_USERS = ["address", "postal_code", "date_of_birth", "secret"]
+_PAIRS_USERS = ["cookie", "user_id"]
+_NUMBERS_USERS = ["phone", "credit_card"]
 
-
-
-def _starting(pattern: str, letters: str) -> str:
-    """The keyword pattern with its possible first letters tested before the costlier word
-    boundary."""
-    return f"(?i)(?=[{letters}])" + pattern.removeprefix("(?i)")
-
-
-_IPV4 = r"(?=\d)" + fixed.IPV4
-_SECRET_KV = _starting(fixed.SECRET_KV, "axritscp")
-_DEVICE_HINT = _starting(fixed.DEVICE_HINT, "udmiga")
-_ADDRESS_KV = _starting(fixed.ADDRESS_KV, "adsrcع")
-_BIRTH_DATE = _starting(fixed.BIRTH_DATE, "dnbgfت")
+_IPV4 = r"(?=\d{1,3}\.\d)" + fixed.IPV4
+_DEVICE_HINT = quick_start(fixed.DEVICE_HINT)
 
 
 def _has_separator(text: str) -> str:
@@ -80,9 +74,12 @@ def key_values(text: str, pattern: str, unicode: bool = False) -> str:
 
 
 def emails(text: str, unicode: bool = False) -> str:
+    """An address holds no blank, so only the words with an @ are searched."""
+    words = keep(f"split({text}, ' ', -1)", lambda w: f"contains({w}, '@')")
+    found = f"flatten({each(words, lambda w: find_all(w, fixed.EMAIL, 0, unicode))})"
     return guarded(
         f"contains({text}, '@')",
-        keep(find_all(text, fixed.EMAIL, 0, unicode), lambda v: f"not {V.is_example_email(v)}"),
+        keep(found, lambda v: f"not {V.is_example_email(v)}"),
     )
 
 
@@ -219,7 +216,7 @@ def secret_values(text: str, low: str, unicode: bool = False) -> str:
             f"({V.looks_like_secret_key(k)} and {V.looks_like_secret_value(f'{kv}.value')}))",
         )
 
-    pairs = keep(key_values(text, _SECRET_KV, unicode), accept)
+    pairs = keep(key_values(text, fixed.SECRET_KV, unicode), accept)
     return guarded(
         f"{_has_separator(text)} and {_mentions(low, _SECRET_WORDS, unicode)}",
         each(pairs, lambda kv: f"{kv}.value"),
@@ -259,7 +256,7 @@ def extra_secrets(text: str, patterns: Sequence[str], unicode: bool = False) ->
 def addresses(text: str, low: str, unicode: bool = False) -> str:
     return guarded(
         f"{contains_any(text, [':', '='])} and {_mentions(low, _ADDRESS_WORDS, unicode)}",
-        each(keep(find_all(text, _ADDRESS_KV, 1, unicode), V.address_value_ok), V.strip),
+        each(keep(find_all(text, fixed.ADDRESS_KV, 1, unicode), V.address_value_ok), V.strip),
     )
 
 
@@ -273,7 +270,7 @@ def postal_codes(text: str, low: str, unicode: bool = False) -> str:
 def birth_dates(text: str, low: str, unicode: bool = False) -> str:
     return guarded(
         _mentions(low, _BIRTH_WORDS, unicode),
-        each(find_all(text, _BIRTH_DATE, 1, unicode), V.strip),
+        each(find_all(text, fixed.BIRTH_DATE, 1, unicode), V.strip),
     )
 
 
@@ -364,13 +361,16 @@ def with_builtin_hits(
     extra_secret_patterns: Sequence[str] = (),
     cap: int | None = None,
     unicode: bool = True,
+    target: str | None = None,
 ) -> DataFrame:
     """Add one column with all built-in matches of each row's whole text.
 
     ``secrets`` is a flag or the name of a boolean column. ``categories`` restricts the
     detectors that run. All values are reported, unless ``cap`` bounds them per category and row.
-    ``unicode=False`` restricts digits, spaces, word borders and case folding to ASCII.
+    ``unicode=False`` restricts digits, spaces, word borders and case folding to ASCII. ``target`` is a column with the one
+    category that is wanted of a row; the detectors of others do not run on it.
     """
+    of = lambda names, e, empty=NO_STRINGS: e if target is None else guarded(in_list(target, names), e, empty)
     values = text_values(
         text_col,
         "_pairs",
@@ -383,15 +383,15 @@ def with_builtin_hits(
         unicode=unicode,
     )
     wanted = [c for c in values if categories is None or c in categories]
-    hits = as_hits({c: first_n(values[c], cap) for c in wanted})
+    hits = as_hits({c: of([c], first_n(values[c], cap)) for c in wanted})
     # what several detectors use is computed once, in columns of its own
     any_digit = lit("(?U)\\d" if unicode else "[0-9]")
     helpers = df.selectExpr(
         "*",
-        f"{lowered(text_col)} as _low",
+        f"{of(_LOW_USERS, lowered(text_col), 'cast(null as string)')} as _low",
         f"{text_col} rlike {any_digit} as _digit",
-        f"{id_pairs(text_col, unicode)} as _pairs",
-    ).selectExpr("*", f"{guarded('_digit', long_numbers(text_col, unicode))} as _numbers")
+        f"{of(_PAIRS_USERS, id_pairs(text_col, unicode), f'cast(array() as {PAIRS_TYPE})')} as _pairs",
+    ).selectExpr("*", f"{of(_NUMBERS_USERS, guarded('_digit', long_numbers(text_col, unicode)))} as _numbers")
     return helpers.selectExpr(*[f"`{c}`" for c in df.columns], f"{hits} as {out}")
 
 

@@ -21,16 +21,22 @@ def detected_types(cases: DataFrame, rules: Sequence[Rule], **options) -> DataFr
 
 
 def evaluate_cases(cases: DataFrame, rules: Sequence[Rule], **options) -> DataFrame:
-    """Cases with ``outcome``: HIT, MISS, FALSE_POS or CLEAN for their target type."""
-    judged = detected_types(cases, rules, **options)
-    has = F.array_contains("detected", F.col("target_type"))
+    """Cases with ``outcome``: HIT, MISS, FALSE_POS or CLEAN for their target type.
+
+    The outcome comes from the detectors and rules of the case's own type, so a case costs one of them and not all. ``detected``
+    still lists all types found; it is worked out where a caller reads it.
+    """
+    listed = detected_types(cases, rules, **options)
+    own = with_builtin_hits(listed, "text", "_own", target="target_type", **options)
+    judged = with_rule_hits(own, rules, "text", out="_own_rules", target="target_type")
+    has = F.expr("case when target_type is not null then size(_own) + size(_own_rules) > 0 end")
     outcome = (
         F.when(F.col("should_detect") & has, "HIT")
         .when(F.col("should_detect"), "MISS")
         .when(has, "FALSE_POS")
         .otherwise("CLEAN")
     )
-    return judged.withColumn("outcome", outcome)
+    return judged.withColumn("outcome", outcome).drop("_own", "_own_rules")
 
 
 def confusion(judged: DataFrame) -> DataFrame:

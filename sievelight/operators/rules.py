@@ -17,12 +17,14 @@ from ..functions.sql import (
     each,
     find_all,
     first_n,
+    guarded,
+    in_list,
     keep,
     lit,
     struct,
 )
 from ..functions.text import file_name
-from .builtin import HITS_TYPE, explode_hits
+from .builtin import HITS_TYPE, PAIRS_TYPE, explode_hits
 
 
 @dataclass(frozen=True)
@@ -199,27 +201,31 @@ def with_rule_hits(
     *,
     cap: int | None = None,
     unicode: bool = True,
+    target: str | None = None,
 ) -> DataFrame:
     """Add all rule matches as ``array<struct<category, vals>>`` in rule-name order.
 
     Patterns are literals of the plan, so each compiles once per task; they are rewritten so that no text can overflow
     the engine's stack, and a rule with a pattern that cannot be is an error before the job starts. The generic key-value
     pairs are found once and shared by all field-name rules. All values are reported, unless
-    ``cap`` bounds them per rule and row.
+    ``cap`` bounds them per rule and row. ``target`` is a column with the name of the one rule that is wanted of a row; others do
+    not run on it.
     """
+    of = lambda names, e, empty=NO_STRINGS: e if target is None else guarded(in_list(target, names), e, empty)
     text = text_col or "cast(null as string)"
     ordered = sorted(map(safe_rule, rules), key=lambda r: r.name)
     entries = ", ".join(
         struct(
             category=lit(r.name),
-            vals=rule_values(r, text, "_name" if name_col else None, "_pairs", cap, unicode),
+            vals=of([r.name], rule_values(r, text, "_name" if name_col else None, "_pairs", cap, unicode)),
         )
         for r in ordered
     )
     hits = keep(f"array({entries})", lambda h: f"size({h}.vals) > 0") if entries else "array()"
     helpers = []
-    if any(r.field_name_regex for r in rules):
-        helpers.append(f"{field_pairs(text, unicode)} as _pairs")
+    keyed = [r.name for r in rules if r.field_name_regex]
+    if keyed:
+        helpers.append(f"{of(keyed, field_pairs(text, unicode), f'cast(array() as {PAIRS_TYPE})')} as _pairs")
     if name_col:
         helpers.append(f"{file_name(name_col)} as _name")
     kept = [f"`{c}`" for c in df.columns if c != out]

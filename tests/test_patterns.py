@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sievelight.catalog import shipped
 from sievelight.functions import fixed
-from sievelight.functions.patterns import Refused, safe_pattern
+from sievelight.functions.patterns import Refused, quick_start, safe_pattern
+from sievelight.functions.sql import NO_STRINGS, lit
 from sievelight.operators.rules import Rule, detect_rules, validate_rule_regex
 
 REWRITTEN = [
@@ -129,3 +130,28 @@ def test_refused_rules_are_named(spark, texts):
     with pytest.raises(ValueError, match="rule bad: unsafe regex"):
         detect_rules(texts("a"), "text", "id", [Rule("bad", value_regex="(a+)+b")])
     assert len(fixed.CATEGORIES) > 5
+
+
+@pytest.mark.parametrize("pattern, want", [
+    (r"(?i)\bDE\d{9}\b", r"(?i)(?=DE\d)\bDE\d{9}\b"),
+    (r"\b(?:x[_\s-]*api|-)k", r"(?=[\-x][[_\s-]ak])\b(?:x[_\s-]*api|-)k"),
+    (r"\b(?:\d[ -]?){13,19}\b", r"(?=\d)\b(?:\d[ -]?){13,19}\b"),
+    *[(p, p) for p in (r"\ba|b", r"\b.x", r"\b\d?", r"\b(a", r"\b(a)\1", r"\b(?=x)a", r"\b+a", "a", r"(?x)\b a")],
+])
+def test_first_characters_are_tested_before_a_word_boundary(pattern, want):
+    assert quick_start(pattern) == want
+
+
+def test_quick_start_finds_the_same(spark):
+    rng = random.Random(11)
+    plain = [fixed.EMAIL, fixed.PHONE, fixed.IBAN, fixed.CARD, fixed.ID_KV, fixed.SECRET_KV, fixed.BEARER, fixed.GUID, fixed.JWT,
+             fixed.ADDRESS_KV, fixed.POSTAL_KV, fixed.BIRTH_DATE, fixed.DEVICE_HINT, r"(?i)\b(?:sik|k-|[s-u]x?)\b", r"\b\Q-]\Ea",
+             *[r[5] for r in [*shipped.BASE_RULES, *shipped.LOCALE_RULES["fr"]]]]
+    pieces = ["user id", "uſer ıd: ", "SID", "ſid", "K", "k-", "sİk", ": abcdefgh", "= ", "-> ", "a", "é", "\u0301", "_", " ", "\n", "٣", "12", "4539 1488 0343 6467",
+              "DE4", "FR12", "0x", "bc1", "-]a", "@", "a.b@c.de", "token", "Bearer ", "adresse: 12 rue x y", "plz: 12345", "dob 01/02/1990", "eyJabcdefghijk.abcdefghijk.abcdefghijk"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for u in ("", "(?U)"):
+        pairs = [(lit(u + p), lit(u + quick_start(p))) for p in plain]
+        same = " and ".join(f"coalesce(regexp_extract_all(text, {a}, 0), {NO_STRINGS}) = regexp_extract_all(text, {b}, 0)" for a, b in pairs)
+        assert df.where(f"not ({same})").collect() == []

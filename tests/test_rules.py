@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sievelight.operators.builtin import with_builtin_hits
 from sievelight.operators.evaluate import confusion, dedup_cases, evaluate_cases
 from sievelight.operators.rules import (
     Rule,
@@ -16,6 +17,7 @@ from sievelight.operators.rules import (
     field_pairs,
     locale_matches,
     validate_rule_regex,
+    with_rule_hits,
 )
 from sievelight.sources.cases import read_labelled_cases
 from sievelight.sources.catalog import load_rules, locale_candidates
@@ -33,6 +35,24 @@ def test_labelled_cases(spark):
     assert counts["mac_address"] == (3, 3)
 
 
+def test_a_case_runs_the_detectors_of_its_own_type(spark):
+    text = "a@b.fr sid: abcdef 4111111111111111 key_x: one badge B7"
+    rules = [Rule("badge", value_regex=r"\bB\d\b"), Rule("keyed", field_name_regex="^key_x$"), Rule("email", value_regex="sid")]
+    types = ["email", "credit_card", "cookie", "phone", "badge", "keyed", "none", None]
+    rows = [(i, t, text, s) for i, (t, s) in enumerate((t, s) for t in types for s in (True, False, None))]
+    rows += [(90, "email", None, True), (91, "badge", "B7x", False), (92, "keyed", "key_x= 1", False)]
+    cases = spark.createDataFrame(rows, "id int, target_type string, text string, should_detect boolean")
+    judged = evaluate_cases(cases, rules)
+    has = F.array_contains("detected", F.col("target_type"))
+    want = F.when(F.col("should_detect") & has, "HIT").when(F.col("should_detect"), "MISS").when(has, "FALSE_POS").otherwise("CLEAN")
+    assert judged.columns == [*cases.columns, "detected", "outcome"]
+    assert judged.filter(~want.eqNullSafe(F.col("outcome"))).collect() == []
+    assert {r["outcome"] for r in judged.collect()} == {"HIT", "MISS", "FALSE_POS", "CLEAN"}
+    only = with_rule_hits(with_builtin_hits(cases, target="target_type"), rules, target="target_type")
+    found = only.selectExpr("target_type as t", "transform(concat(hits, custom_hits), h -> h.category) as c").collect()
+    assert all(set(r["c"]) <= {r["t"]} for r in found) and sum(bool(r["c"]) for r in found) == 10
+
+
 def test_broken_case_line_fails(spark, tmp_path):
     path = tmp_path / "cases.jsonl"
     path.write_text('{"id": "a", "text": "x", "should_detect": true}\n{"id": \n')
