@@ -17,13 +17,11 @@ from .sessions import MICROS, across_cells, bucket_of, in_cells
 QUIET_SECONDS = 2
 CAP_SECONDS = 20
 
+Entry = tuple[int, int, int | None, int | None]  # first and last change in ms, size and mtime of the last one
+
 STATE = T.StructType(
-    [
-        T.StructField("first_seen_ms", T.LongType()),
-        T.StructField("last_change_ms", T.LongType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("mtime", T.LongType()),
-    ]
+    [T.StructField("path", T.ArrayType(T.StringType()))]
+    + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("first_seen_ms", "last_change_ms", "size", "mtime")]
 )
 OUTPUT = T.StructType(
     [
@@ -38,7 +36,7 @@ OUTPUT = T.StructType(
 
 
 class Debouncer(StatefulProcessor):
-    """Keeps one pending entry per path and a timer for the moment it becomes stable."""
+    """Keeps the pending entries of the paths of a bucket, and a timer for the moment the first of them becomes stable."""
 
     def __init__(self, quiet_ms: int, cap_ms: int, event_time: bool) -> None:
         self.quiet_ms = quiet_ms
@@ -49,63 +47,84 @@ class Debouncer(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", STATE)
 
-    def _due(self, entry: tuple[int, int, int, int]) -> int:
+    def _load(self) -> dict[str | None, Entry]:
+        if not self.pending.exists():
+            return {}
+        paths, *numbers = self.pending.get()
+        return dict(zip(paths, zip(*numbers, strict=True), strict=True))
+
+    def _keep(self, entries: dict[str | None, Entry]) -> None:
+        if entries:
+            self.pending.update((list(entries), *map(list, zip(*entries.values(), strict=True))))
+        else:
+            self.pending.clear()
+
+    def _due(self, entry: Entry) -> int:
         return min(entry[1] + self.quiet_ms, entry[0] + self.cap_ms)
 
-    def _row(self, path: str, entry: tuple[int, int, int, int]) -> tuple:
-        at = lambda ms: pd.Timestamp(ms, unit="ms", tz="UTC")
-        return (path, at(entry[0]), at(entry[1]), entry[2], entry[3], at(self._due(entry)))
+    def _first_due(self, entries: dict[str | None, Entry]) -> int | None:
+        return min(map(self._due, entries.values())) if entries else None
+
+    def _timer(self, before: int | None, due: int | None) -> None:
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=OUTPUT.names)
-        return out.astype({"size": "int64", "mtime": "int64"})
+    def _frame(self, rows: list[tuple[str | None, Entry]]) -> pd.DataFrame:
+        out = pd.DataFrame([(p, *e, self._due(e)) for p, e in rows], columns=OUTPUT.names)
+        out = out.astype({"size": "int64", "mtime": "int64"})
+        return out.assign(**{c: pd.to_datetime(out[c], unit="ms", utc=True) for c in ("first_seen", "last_change", "ready_at")})
 
-    def _in_order(self, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[tuple[int, int, int]]:
-        """Time, size and mtime of all changes of the key in the batch, in time order.
+    def _in_order(self, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[tuple]:
+        """Path, time, size and mtime of all changes of the bucket in the batch, each path in time order.
 
-        A key may come in several chunks, which are not ordered among each other; three numbers of
-        each row are kept.
+        They may come in several chunks, which are not ordered among each other; four values of each row are kept.
         """
         kept = []
         for chunk in rows:
             if self.event_time:
-                ms = pd.to_datetime(chunk["changed_at"], utc=True).map(lambda t: t.value // 1_000_000)
+                ms = pd.to_datetime(chunk["changed_at"], utc=True).astype("datetime64[ns, UTC]").astype("int64") // 1_000_000
             else:
                 ms = pd.Series(timerValues.getCurrentProcessingTimeInMs(), index=chunk.index)
-            kept.append(pd.DataFrame({"ms": ms, "size": chunk["size"], "mtime": chunk["mtime"]}))
+            kept.append(pd.DataFrame({"path": chunk["path"], "ms": ms, "size": chunk["size"], "mtime": chunk["mtime"]}))
         if kept:
-            every = pd.concat(kept).sort_values(["ms", "mtime", "size"], kind="stable").astype("int64")
-            yield from every.itertuples(index=False, name=None)
+            every = pd.concat(kept).sort_values(["ms", "mtime", "size"], kind="stable").astype({c: "int64" for c in ("ms", "size", "mtime")})
+            yield from zip(*[every[c].tolist() for c in ("path", "ms", "size", "mtime")], strict=True)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        path = key[0]
-        entry = tuple(self.pending.get()) if self.pending.exists() else None
-        before = entry
+        entries = self._load()
+        due = self._first_due(entries)
         done = []
-        for ms, size, mtime in self._in_order(rows, timerValues):
+        for path, ms, size, mtime in self._in_order(rows, timerValues):
+            entry = entries.get(path)
             if entry is not None and ms >= self._due(entry):
-                done.append(self._row(path, entry))
+                done.append((path, entry))
                 entry = None
             if entry is None:
-                entry = (ms, ms, size, mtime)
+                entries[path] = (ms, ms, size, mtime)
             elif ms >= entry[1]:
-                entry = (entry[0], ms, size, mtime)
+                entries[path] = (entry[0], ms, size, mtime)
             else:  # late, but still within the pending change
-                entry = (min(entry[0], ms), *entry[1:])
+                entries[path] = (min(entry[0], ms), *entry[1:])
         if done:
             yield self._frame(done)
-        if entry is not None:
-            if before is not None:
-                self.handle.deleteTimer(self._due(before))
-            self.pending.update(entry)
-            self.handle.registerTimer(self._due(entry))
+        if entries:
+            self._keep(entries)
+            self._timer(due, self._first_due(entries))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            entry = tuple(self.pending.get())
-            if self._due(entry) <= expiredTimerInfo.getExpiryTimeInMs():
-                self.pending.clear()
-                yield self._frame([self._row(key[0], entry)])
+        # one timer stands for the bucket: whatever else is due by now is stable too
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        entries = self._load()
+        stable = {p: e for p, e in entries.items() if self._due(e) <= expired or self._due(e) < now}
+        left = {p: e for p, e in entries.items() if p not in stable}
+        if stable:
+            self._keep(left)
+            yield self._frame(list(stable.items()))
+        self._timer(None, self._first_due(left))
 
     def close(self) -> None:
         pass
@@ -118,19 +137,22 @@ def debounce(
     cap_seconds: float = CAP_SECONDS,
     event_time: bool = True,
     late: str = "10 seconds",
+    buckets: int = 256,
 ) -> DataFrame:
     """Stable files from a stream of ``path, size, mtime, changed_at``.
 
     A path is emitted when nothing changed for ``quiet_seconds``, or ``cap_seconds`` after its
     first pending change. Event time makes results repeatable and needs a watermark (``late``);
-    processing time uses the moment a change arrives. State is one small row per pending path.
+    processing time uses the moment a change arrives. State is one row for each of ``buckets`` groups of paths by hash, with four
+    numbers for each pending path: a Python call and its round trips to the state are paid per bucket and batch, not per path. Their
+    number is part of the checkpoint.
     Streams need ``spark.sql.streaming.stateStore.providerClass`` to be the RocksDB provider.
     """
     processor = Debouncer(int(quiet_seconds * 1000), int(cap_seconds * 1000), event_time)
-    rows = changes.select("path", "size", "mtime", "changed_at")
+    rows = changes.select("path", "size", "mtime", "changed_at", F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"))
     if event_time:
         rows = rows.withWatermark("changed_at", late)
-    return rows.groupBy("path").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=OUTPUT,
         outputMode="Append",

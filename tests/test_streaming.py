@@ -11,7 +11,7 @@ from test_files import flagged, make_zip
 from sievelight import schemas
 from sievelight.plans.scan import scan_files
 from sievelight.plans.session import checkpoint_dir, lookup_join
-from sievelight.streaming.debounce import debounce, debounce_batch
+from sievelight.streaming.debounce import Debouncer, debounce, debounce_batch
 from sievelight.streaming.pipeline import (
     change_stream,
     current_files,
@@ -126,6 +126,28 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert got == brute_force(changes, 2, 20)
 
 
+def test_debounced_paths_share_few_calls(spark, tmp_path, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    handled = Debouncer.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        calls.add(1)
+        yield from handled(self, key, rows, timerValues)
+
+    monkeypatch.setattr(Debouncer, "handleInputRows", counted)
+    src, n = str(tmp_path / "changes"), 2000
+    # all paths change at 0 and 30, the odd ones at 1 and 31 too; the watermark passes the first changes only
+    changes = [(f"/p{i}", float(t), i + t) for i in range(n) for t in (0, 1, 30, 31) if t in (0, 30) or i % 2]
+    for part in ([c for c in changes if c[1] < 10], [c for c in changes if c[1] > 10], [("/end", 100_000.0, 1)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(src)
+        stable = debounce(spark.readStream.schema(schemas.FILE_CHANGES).parquet(src), buckets=8)
+        writer = stable.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert [r for r in collected(spark.read.parquet(str(tmp_path / "out"))) if r[0] != "/end"] == brute_force(changes, 2, 20)
+    assert calls.value <= 3 * 8
+
+
 def test_sessions_stream_and_batch(spark, tmp_path):
     rng = random.Random(1)
     rows, want = [], {}
